@@ -8,8 +8,8 @@ a third of all rows share costs its partition no more than any other. The state
 is read back as a table from the stream's checkpoint in the shared folder.
 
 Digest hits (digests with more than one row) are then checked on full bytes: the
-rows of those digests are grouped by the normalised text itself, again with
-partial aggregation, and if one digest turns out to hold several texts, each
+rows of those digests, told by a bitmap of bounded size, are grouped by the
+normalised text itself, again with partial aggregation, and if one digest turns out to hold several texts, each
 text gets its own group.
 
 Defined results
@@ -37,10 +37,15 @@ SPACES = r"[\x20\x09-\x0D]+"
 #: Upper bound of digest rows' bytes that one micro-batch takes.
 BATCH_BYTES = 256 << 30
 
+#: Upper bound of the bitmap of hit digests: so many 64-bit words.
+BITMAP_WORDS = 1 << 20
+
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # One pass and out: a store closes with its task instead of holding disk until the end.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
@@ -103,18 +108,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if digests.isEmpty():
         return digests.select("id", F.col("id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit("").alias("text_sha256"))
     state = stage(stream_state(spark, source, keyed.schema, checkpoint), "dedup-state")
-    hits = state.filter("n > 1").select("digest")
-    # Full bytes: every row of a digest that was hit, grouped by the text itself.
-    checked = (
-        rows.withColumn("digest", F.unhex(F.sha2("body", 256)))
-        .join(hits, "digest", "left_semi")
-        .groupBy("digest", "body")
-        .agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-    )
-    texts = stage(
-        checked.select("digest", F.xxhash64("body").alias("body_hash"), F.octet_length("body").alias("bytes"), "keep_id", "n"),
-        "dedup-checked",
-    )
+    # Full bytes: the rows of digests that were hit, grouped by the text itself.
+    suspects = _of_hits(rows.withColumn("digest", F.unhex(F.sha2("body", 256))), state.filter("n > 1").select("digest"))
+    texts = stage(suspects.groupBy("digest", "body").agg(F.count(F.lit(1)).alias("n")).select("digest", "n"), "dedup-checked")
     collided = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
     if not collided.isEmpty():
         return _by_text(rows)
@@ -128,6 +124,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def _of_hits(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """The rows whose digest is in ``hits``, and a few others.
+
+    The hits go out as a bitmap with a fixed upper size, so that texts which
+    nobody repeats stay where they are; a full bitmap lets more rows pass and
+    loses none.
+    """
+    words = max(1 << 10, min(BITMAP_WORDS, 4 * hits.count()))
+    word = F.pmod(F.xxhash64("digest"), F.lit(words)).alias("word")
+    bit = F.expr("shiftleft(1L, CAST(shiftrightunsigned(xxhash64(digest, 5), 58) AS INT))")
+    bitmap = stage(hits.select(word, bit.alias("bit")).groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")), "dedup-bitmap")
+    found = rows.withColumns({"word": word, "bit": bit}).join(F.broadcast(bitmap), "word")
+    return found.filter(F.col("bits").bitwiseAND(F.col("bit")) != 0).drop("word", "bit", "bits")
+
+
 def _by_text(rows: DataFrame) -> DataFrame:
     """The decision on full texts alone, for the case that two texts share a digest."""
     groups = rows.groupBy("body").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
