@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofset.llm import exact_dedup, near_dedup, packing, sharding
+from proofset.llm import exact_dedup, near_dedup, packing, pii, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
-        "op5_near_dedup": near_dedup.query,
+        "op1_quality": quality.query,
         "op3_best_fit_packing": packing.query,
+        "op4_pii": pii.query,
+        "op5_near_dedup": near_dedup.query,
         "op9_sharding": sharding.query,
         "op10_exact_dedup": exact_dedup.query,
     }
