@@ -7,23 +7,24 @@
 2. Documents with equal sets (128-bit sum and length) form a class, represented by
    its smallest id. Only representatives go on, so exact copies cost nothing.
 3. 32 bands of 4 bins give bucket keys. A pair at 0.75 shares no bucket with
-   probability (1 - 0.75^4)^32 = 5e-6. Within a bucket candidates are star-shaped:
-   each member with the smallest id, so pairs grow with members, not their square.
-4. Candidates are confirmed on full sets. Members that the centre did not confirm
-   form a star of their own in the next round, until no bucket has two left.
-5. A member x that its centre c did not confirm can still match a member y that c
-   did confirm. The Jaccard distance is a metric: a match within 0.25 needs
-   d(x, c) <= 0.5 and d(y, c) >= d(x, c) - 0.25. Exactly those pairs, of different
-   components, are confirmed on full sets as well. So within buckets no link that
-   joins components is lost, with no cap on anyone's partners.
-6. Components of confirmed links, spread to the members of each class.
+   probability (1 - 0.75^4)^32 = 5e-6.
+4. A shingle that no other document in any bucket has can't be in an intersection:
+   with u of n shingles such, a document's similarity to one of m is at most
+   (n - u) / max(n, m + u). Members that so can't match anyone in their bucket go.
+5. Within a bucket candidates are star-shaped: each member with the centre, the
+   member with the smallest share of lone shingles. Pairs grow with members, not
+   with their square. All are confirmed on full sets.
+6. Members that their centre did not confirm, and that no other link put into its
+   component, may still match another member. They are compared with all members
+   of that centre, block by block of about ``BLOCK`` sets; a block pair gives only
+   its links. So within buckets no link is lost, and no pair is ever a row.
+7. Components of confirmed links, spread to the members of each class.
 
 Defined results
     null, empty, wordless text   empty set: linked with nothing, its own component, kept
     fewer than five words        the whole sequence is the one shingle
     very long text               processed whole, in a run of its own
-    null id                      sorts before every id in the classes (as the smallest
-                                 number); the row comes back with a null component
+    null id                      takes no part: null component, kept
     repeated rows                the same class; rows with the class's smallest id are kept
     empty table                  empty result
     extra columns                are not read, so their names cannot clash
@@ -47,6 +48,8 @@ PERCENT = 75
 BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
 SEED = 20
+#: Sets in a block of the exact comparison, about.
+BLOCK = 256
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -160,37 +163,73 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(id, set) with the set as sorted little-endian numbers."""
+    """(id, set) with the set as sorted numbers."""
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch.column(1)):
-                sets = pa.array([s.tobytes() for s in shingle_sets(data, offsets)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets], names=["id", "set"])
+                sets = [np.sort(s.view(np.int64)) for s in shingle_sets(data, offsets)]
+                ends = np.cumsum([0, *map(len, sets)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], names=["id", "set"])
 
-    return docs.mapInArrow(read, "id long, set binary")
+    return docs.mapInArrow(read, "id long, set array<long>")
 
 
-def _shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, shared, total): sizes of intersection and union of each pair (a, b)."""
+def _similar(shared: int | np.ndarray, x: int | np.ndarray, y: int | np.ndarray) -> bool | np.ndarray:
+    return 100 * shared >= PERCENT * (x + y - shared)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, linked) of each pair (a, b)."""
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared, total = [], []
+            linked = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                shared.append(both)
-                total.append(len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(total, pa.int64())],
-                names=["a", "b", "shared", "total"],
-            )
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                linked.append(bool(_similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     one = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
     other = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
     joined = pairs.select("a", "b").join(one, "b").join(other, "a").select("a", "b", "set_a", "set_b")
-    return stage(joined.mapInArrow(compare, "a long, b long, shared long, total long"), "near-verdicts")
+    return joined.mapInArrow(compare, "a long, b long, linked boolean")
+
+
+def _blocks(members: DataFrame, name: str) -> DataFrame:
+    """(centre, name): members (centre, id, component, set) gathered in blocks of about ``BLOCK``."""
+    many = members.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    gathered = members.join(many, "centre").groupBy("centre", block.alias("block"))
+    return gathered.agg(F.collect_list(F.struct("id", "component", "set")).alias(name)).drop("block")
+
+
+def _block_links(pairs: DataFrame) -> DataFrame:
+    """(a, b) for the links between different components in block pairs (xs, ys)."""
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for xs, ys in zip(batch.column(0), batch.column(1), strict=True):
+                (x_id, x_part, x_sets), (y_id, y_part, y_sets) = ((f.field(0).to_numpy(), f.field(1).to_numpy(), f.field(2)) for f in (xs.values, ys.values))
+                x_sets, y_sets = ([s.values.to_numpy() for s in f] for f in (x_sets, y_sets))
+                values = np.concatenate(y_sets)
+                owner = np.repeat(np.arange(len(y_sets)), [len(s) for s in y_sets])
+                order = np.argsort(values, kind="stable")
+                values, owner = values[order], owner[order]
+                sizes = np.array([len(s) for s in y_sets])
+                for i, s in enumerate(x_sets):
+                    lo, hi = np.searchsorted(values, s), np.searchsorted(values, s, side="right")
+                    n = hi - lo
+                    at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    shared = np.bincount(owner[at], minlength=len(y_sets))
+                    for j in np.flatnonzero(_similar(shared, len(s), sizes) & (y_part != x_part[i])):
+                        a.append(x_id[i])
+                        b.append(y_id[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return pairs.select("xs", "ys").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,69 +237,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     ship(spark)
     signed = stage(signatures(docs, id_col, text_col), "near-signatures")
-    sets_of = ["n", "f1", "f2"]
-    classes = stage(
-        signed.filter("n > 0 AND id IS NOT NULL").groupBy(*sets_of).agg(F.min("id").alias("rep")), "near-classes"
-    )
-    # The representative's bands, one row per bucket.
-    banded = signed.filter("n > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    set_of = ["n", "f1", "f2"]
+    classes = stage(signed.filter("n > 0 AND id IS NOT NULL").groupBy(*set_of).agg(F.min("id").alias("rep")), "near-classes")
+
+    # The representatives' bands, one row per bucket; then the buckets of two and more.
+    banded = signed.filter("n > 0").join(classes.select(F.col("rep").alias("id"), *set_of), ["id", *set_of], "left_semi").dropDuplicates(["id", *set_of])
     rows = banded.select(F.col("id").alias("rep"), "n", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    bucket = stage(rows.join(shared.select("key", "centre"), "key").select("key", "rep", "n", "centre"), "near-buckets")
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least")).filter("members > 1")
+    bucket = stage(rows.join(shared.select("key", "least"), "key"), "near-buckets")
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     wanted = bucket.select(F.col("rep").alias("id")).distinct()
-    sets = stage(_sets(texts.join(wanted.hint("shuffle_hash"), "id", "left_semi")).dropDuplicates(["id"]), "near-sets", compression="none")
-
-    links, grey, met = [], [], []
-    while True:
-        pairs = bucket.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-        verdict = _shared(pairs, sets)
-        links.append(verdict.filter(f"100 * shared >= {PERCENT} * total").select("a", "b"))
-        members = bucket.filter("rep <> centre").join(
-            verdict.select(F.col("a").alias("centre"), F.col("b").alias("rep"), "shared", "total"), ["centre", "rep"]
-        )
-        members = stage(members.withColumn("linked", F.expr(f"100 * shared >= {PERCENT} * total")), "near-members")
-        # Those that may match a member which the centre confirmed, and those members.
-        grey.append(members.filter("NOT linked AND 2 * shared >= total").select("key", "centre", "rep", "shared", "total"))
-        met.append(members.filter("linked").select("key", "centre", "rep", "shared", "total"))
-        rest = members.filter("NOT linked").select("key", "rep", "n")
-        again = rest.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-        bucket = stage(rest.join(again.select("key", "centre"), "key").select("key", "rep", "n", "centre"), "near-buckets")
-        if bucket.isEmpty():
-            break
+    sets = stage(_sets(texts.join(wanted.hint("shuffle_hash"), "id", "left_semi")).dropDuplicates(["id"]), "near-sets")
+    lone = sets.select("id", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("rep"))
+    lone = lone.filter("docs = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("u"))
 
-    found = _union(links)
+    able = bucket.join(lone, "rep", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    able = stage(able.filter(f"100 * (n - u) >= {PERCENT} * greatest(n, greatest(least, {PERCENT / 100} * n) + u)"), "near-able")
+    stars = able.groupBy("key").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("share"), "rep")).alias("centre"))
+    spokes = able.join(stars.select("key", F.col("centre.rep").alias("centre")), "key").filter("rep <> centre")
+    verdict = stage(_confirmed(spokes.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), sets), "near-verdicts")
+
+    found = verdict.filter("linked").select("a", "b")
     reached = components(found)
-    label = reached.select(F.col("node").alias("rep"), "component")
-    x = _union(grey).join(label, "rep", "left").select(
-        "key", "centre", F.col("rep").alias("x"), F.expr("1 - shared / total").alias("dx"), F.coalesce("component", "rep").alias("cx")
-    )
-    y = _union(met).join(label, "rep").select(
-        "key", "centre", F.col("rep").alias("y"), F.expr("1 - shared / total").alias("dy"), F.col("component").alias("cy")
-    )
-    late = x.join(y, ["key", "centre"]).filter(f"cx <> cy AND dy >= dx - {1 - PERCENT / 100} - 1e-9")
-    late = stage(late.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near-late")
-    if not late.isEmpty():
-        found = found.union(_shared(late, sets).filter(f"100 * shared >= {PERCENT} * total").select("a", "b"))
-        reached = components(found)
+    part = reached.select(F.col("node").alias("id"), "component")
+    known = verdict.select(F.col("a").alias("centre"), F.col("b").alias("id"), "linked").join(part, "id", "left")
+    known = known.withColumn("component", F.coalesce("component", "id"))
+    of_centre = part.withColumnRenamed("id", "centre").withColumnRenamed("component", "own")
+    loose = stage(known.filter("NOT linked").join(of_centre, "centre", "left").filter("own IS NULL OR own <> component").select("centre", "id", "component"), "near-loose")
+    if not loose.isEmpty():
+        around = known.select("centre", "id", "component").join(loose.select("centre").distinct(), "centre", "left_semi")
+        xs, ys = (_blocks(m.join(sets, "id").select("centre", "id", "component", "set"), name) for m, name in ((loose, "xs"), (around, "ys")))
+        late = stage(_block_links(xs.join(ys, "centre")).distinct(), "near-late")
+        if not late.isEmpty():
+            found = found.union(late)
+            reached = components(found)
+
     by_set = stage(
-        classes.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select(*sets_of, F.coalesce("component", "rep").alias("component_id")),
+        classes.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select(*set_of, F.coalesce("component", "rep").alias("component_id")),
         "near-components",
     )
-    rows = signed.select("id", *sets_of)
-    linked = rows.filter("n > 0").join(by_set, sets_of, "left").select(
+    rows = signed.select("id", *set_of)
+    linked = rows.filter("n > 0").join(by_set, set_of, "left").select(
         "id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id")
     )
-    lone = rows.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    return linked.union(lone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.union(f)
-    return out
+    alone = rows.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    return linked.union(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
