@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofset.llm import exact_dedup, near_dedup, packing, pii, quality, sharding
+from proofset.llm import exact_dedup, lang_id, media, near_dedup, packing, pii, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,9 +14,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_quality": quality.query,
+        "op2_media_columns": media.query,
         "op3_best_fit_packing": packing.query,
         "op4_pii": pii.query,
         "op5_near_dedup": near_dedup.query,
+        "op8_language_id": lang_id.query,
         "op9_sharding": sharding.query,
         "op10_exact_dedup": exact_dedup.query,
     }
