@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofset.llm import exact_dedup, lang_id, media, near_dedup, packing, pii, quality, sharding
+from proofset.llm import exact_dedup, lang_id, lm_score, media, near_dedup, packing, pii, quality, sentence_pieces, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,8 @@ def queries() -> dict[str, Query]:
         "op3_best_fit_packing": packing.query,
         "op4_pii": pii.query,
         "op5_near_dedup": near_dedup.query,
+        "op6_sentence_pieces": sentence_pieces.query,
+        "op7_lm_score": lm_score.query,
         "op8_language_id": lang_id.query,
         "op9_sharding": sharding.query,
         "op10_exact_dedup": exact_dedup.query,
