@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofset.plans import relational, textual
+from proofset.plans import analytics, matching, relational, textual
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL = {**relational.QUERIES, **textual.QUERIES}
+_ALL = {**relational.QUERIES, **textual.QUERIES, **analytics.QUERIES, **matching.QUERIES}
 
 
 def queries() -> dict[str, Query]:

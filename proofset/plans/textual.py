@@ -104,25 +104,38 @@ def dedup_first(s: SparkSession, d: str) -> DataFrame:
     return contamination.first_by_key(t.load(s, d, "documents"), tx.dedup_key(F.col("text")), "doc_id").select("doc_id")
 
 
-def document_lines(s: SparkSession, d: str) -> DataFrame:
-    """(id, text) of the lines of documents: id is doc_id * 2^20 + line."""
-    rows = t.load(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return rows.select((F.col("doc_id") * (1 << 20) + F.col("line")).alias("id"), "text")
+def _sentences(df: DataFrame, key: str, name: str) -> DataFrame:
+    rows = df.select(key, F.posexplode(F.split("text", r"\. |\n")).alias("place", "text"))
+    return rows.select((F.col(key) * (1 << 20) + F.col("place")).alias(name), "text")
+
+
+def document_sentences(s: SparkSession, d: str) -> DataFrame:
+    """(id, text) of the sentences of documents: id is doc_id * 2^20 + place."""
+    return _sentences(t.load(s, d, "documents"), "doc_id", "id")
+
+
+def held_out_sentences(s: SparkSession, d: str) -> DataFrame:
+    return _sentences(t.load(s, d, "benchmark"), "item_id", "item")
 
 
 def held_out(s: SparkSession, d: str) -> DataFrame:
     return t.load(s, d, "benchmark").select(F.col("item_id").alias("item"), "text")
 
 
-LINES_SQL = "lines AS (SELECT doc_id * 1048576 + i - 1 AS id, parts[i] AS text FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)))"
+def _sentences_sql(table: str, key: str, name: str) -> str:
+    parts = f"SELECT {key}, regexp_split_to_array(text, '\\. |\\n') AS parts FROM {table}"
+    return f"SELECT {key} * 1048576 + i - 1 AS {name}, parts[i] AS text FROM (SELECT {key}, parts, unnest(range(1, len(parts) + 1)) AS i FROM ({parts}))"
+
+
+LINES_SQL = f"lines AS ({_sentences_sql('documents', 'doc_id', 'id')}), items AS ({_sentences_sql('benchmark', 'item_id', 'item')})"
 
 
 def leak_rule1(s: SparkSession, d: str) -> DataFrame:
-    return contamination.exact_questions(document_lines(s, d), held_out(s, d))
+    return contamination.exact_questions(document_sentences(s, d), held_out_sentences(s, d))
 
 
 def leak_rule2(s: SparkSession, d: str) -> DataFrame:
-    return contamination.near_questions(document_lines(s, d), held_out(s, d)).select("id", "item", F.round("jaccard", 6).alias("jaccard"))
+    return contamination.near_questions(document_sentences(s, d), held_out_sentences(s, d)).select("id", "item", F.round("jaccard", 6).alias("jaccard"))
 
 
 def leak_containment(s: SparkSession, d: str) -> DataFrame:
@@ -132,7 +145,7 @@ def leak_containment(s: SparkSession, d: str) -> DataFrame:
 
 _ITEMS = f"b AS (SELECT item_id AS item, {_tokens_sql('text')} AS tb FROM benchmark)"
 _MET = "SELECT a.id, b.item, len(ta) AS na, len(tb) AS nb, len(list_intersect(ta, tb)) AS k FROM a, b WHERE len(ta) > 0 AND len(tb) > 0"
-RULE2_SQL = f"""WITH {LINES_SQL}, a AS (SELECT id, {_tokens_sql('text')} AS ta FROM lines), {_ITEMS},
+RULE2_SQL = f"""WITH {LINES_SQL}, a AS (SELECT id, {_tokens_sql('text')} AS ta FROM lines), b AS (SELECT item, {_tokens_sql('text')} AS tb FROM items),
 m AS ({_MET} AND len(ta) >= 0.85 * len(tb) AND len(tb) >= 0.85 * len(ta))
 SELECT id, item, round(k * 1.0e0 / (na + nb - k), 6) AS jaccard FROM m WHERE k * 1.0e0 / (na + nb - k) >= 0.85"""
 CONTAIN_SQL = f"""WITH a AS (SELECT doc_id AS id, {_tokens_sql('text')} AS ta FROM documents), {_ITEMS}, m AS ({_MET})
@@ -307,7 +320,7 @@ QUERIES = {
     "token_count": (token_count, f"SELECT doc_id, len({_tokens_sql('text')}) AS n_tokens FROM documents"),
     "canon_key": (canon_key, CANON_SQL),
     "dedup_first": (dedup_first, r"SELECT min(doc_id) AS doc_id FROM documents GROUP BY lower(trim(regexp_replace(text, '\s+', ' ', 'g')))"),
-    "leak_rule1": (leak_rule1, f"WITH {LINES_SQL} SELECT DISTINCT a.id, b.item FROM (SELECT id, {NORM.format(x='text')} AS n FROM lines) a JOIN (SELECT item_id AS item, {NORM.format(x='text')} AS n FROM benchmark) b ON a.n = b.n"),
+    "leak_rule1": (leak_rule1, f"WITH {LINES_SQL} SELECT DISTINCT a.id, b.item FROM (SELECT id, {NORM.format(x='text')} AS n FROM lines) a JOIN (SELECT item, {NORM.format(x='text')} AS n FROM items) b ON a.n = b.n"),
     "leak_rule2": (leak_rule2, RULE2_SQL),
     "leak_containment": (leak_containment, CONTAIN_SQL),
     "leak_audit": (leak_audit, AUDIT_SQL),
