@@ -52,33 +52,37 @@ _PLACE = mix64(np.arange(901, 917, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(block, ids, texts, words): documents in blocks, in input order."""
+    """(block, ids, sizes, data, words): documents in blocks, in input order; data is their compressed text."""
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch.column(1), BLOCK_BYTES):
                 words, _ = word_hashes(data, offsets)
-                ids, texts = batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo).cast(pa.string())
-                one = lambda a: pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), pa.concat_arrays([a]))
+                one = lambda a, rows=hi - lo: pa.ListArray.from_arrays(pa.array([0, rows], pa.int32()), pa.concat_arrays([a]))
+                squeezed = pa.compress(data.tobytes(), codec="zstd", asbytes=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part << 32 | n], pa.int64()), one(ids), one(texts), pa.array([len(words)], pa.int64())],
-                    names=["block", "ids", "texts", "words"],
+                    [
+                        pa.array([part << 32 | n], pa.int64()),
+                        one(batch.column(0).slice(lo, hi - lo)),
+                        one(pa.array(np.diff(offsets), pa.int64())),
+                        pa.array([squeezed], pa.binary()),
+                        pa.array([len(words)], pa.int64()),
+                    ],
+                    names=["block", "ids", "sizes", "data", "words"],
                 )
                 n += 1
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(gather, "block long, ids array<long>, texts array<string>, words long")
+    return rows.mapInArrow(gather, "block long, ids array<long>, sizes array<long>, data binary, words long")
 
 
-def grams(texts: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Hashes of the n-grams that end at each word, for n from 1 (0 where the text is too short
-    for it), and the words before each text."""
-    parts = list(text_chunks(texts, 1 << 62))
-    if not parts:
-        return [np.zeros(0, _U)] * order, np.zeros(1, np.int64)
-    _, _, data, offsets = parts[0]
-    words, before = word_hashes(data, offsets)
+def grams(sizes: pa.ListScalar, data: pa.BinaryScalar, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of a block: hashes of the n-grams that end at each word, for n from 1 (0 where the text is
+    too short for it), and the words before each text."""
+    offsets = np.concatenate(([0], np.cumsum(sizes.values.to_numpy())))
+    text = pa.decompress(data.as_buffer(), decompressed_size=int(offsets[-1]), codec="zstd")
+    words, before = word_hashes(np.frombuffer(text, dtype=np.uint8), offsets)
     place = np.arange(len(words)) - np.repeat(before[:-1], np.diff(before))
     out, sums = [], np.zeros(len(words), _U)
     for k in range(order):
@@ -124,8 +128,8 @@ def requests(blocked: DataFrame, order: int, bits: int) -> DataFrame:
 
     def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, texts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ends, _ = grams(texts.values, order)
+            for block, sizes, data in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                ends, _ = grams(sizes, data, order)
                 values, counts = _distinct(ends, return_counts=True)
                 counts, values = counts[values > 0], values[values > 0]
                 bucket = (values >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
@@ -136,7 +140,7 @@ def requests(blocked: DataFrame, order: int, bits: int) -> DataFrame:
                     kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "block", "grams", "counts"])
 
-    return blocked.select("block", "texts").mapInArrow(explode, "bucket int, block long, grams binary, counts binary")
+    return blocked.select("block", "sizes", "data").mapInArrow(explode, "bucket int, block long, grams binary, counts binary")
 
 
 def answers(asked: DataFrame) -> DataFrame:
@@ -183,22 +187,22 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     """One row per input row: id, n_words, log_score, score."""
     spark = docs.sparkSession
     ship(spark)
-    blocked = stage(blocks(docs, id_col, text_col), "lm-blocks", compression="zstd")
+    blocked = stage(blocks(docs, id_col, text_col), "lm-blocks", compression="none")
     all_words = blocked.agg(F.sum("words")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, all_words * order * 7 / BUCKET_BYTES))))
     told = answers(requests(blocked, order, bits))
     gathered = told.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "totals"))).alias("answers"))
-    met = blocked.join(gathered.hint("shuffle_hash"), "block", "left").select("ids", "texts", "answers")
+    met = blocked.join(gathered.hint("shuffle_hash"), "block", "left").select("ids", "sizes", "data", "answers")
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts, told in zip(*batch.columns, strict=True):
-                ends, before = grams(texts.values, order)
+            for ids, sizes, data, told in zip(*batch.columns, strict=True):
+                ends, before = grams(sizes, data, order)
                 parts = [widened(memoryview(x.as_buffer())) for x in told.values.field(1)] if told.is_valid else []
-                sizes = np.diff(before)
-                sums = block_scores(ends, before, np.concatenate([np.zeros(0, np.int64), *parts]), all_words) if len(ends[0]) else np.zeros(len(sizes))
+                words = np.diff(before)
+                sums = block_scores(ends, before, np.concatenate([np.zeros(0, np.int64), *parts]), all_words) if len(ends[0]) else np.zeros(len(words))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.values, pa.array(sizes, pa.int64()), pa.array(sums), pa.array(sums / np.maximum(sizes, 1))], names=["id", "n_words", "log_score", "score"]
+                    [ids.values, pa.array(words, pa.int64()), pa.array(sums), pa.array(sums / np.maximum(words, 1))], names=["id", "n_words", "log_score", "score"]
                 )
 
     return met.mapInArrow(score, "id long, n_words long, log_score double, score double")
