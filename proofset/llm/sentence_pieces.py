@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding with forward states shared by common prefixes.
 
 A text is marked (a leading mark, marks for spaces) and cut into words, each with its
-marks in front; no piece crosses a cut. The distinct new words of a chunk are sorted,
+marks in front, and wherever else the vocabulary shows that no piece crosses a cut. The distinct new words of a chunk are sorted,
 which lays them out as a trie in depth-first order: the forward states up to the
 longest common prefix with the word before are reused, the rest are computed. Encodings
 of words are kept in a memory of bounded size.
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -42,10 +43,14 @@ from pyspark.sql import functions as F
 from proofset.llm.common import documents, ship
 
 MARK = "▁"
-MEMORY_WORDS = 200_000
+#: Words remembered in each of two generations, and pairs of pieces.
+MEMORY_WORDS, MEMORY_PAIRS = 200_000, 1_000_000
+#: Characters without a piece are numbered from here within segmentations.
+_UNKNOWN = 1 << 20
+_LATIN = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 #: Texts that are encoded at a time.
 CHUNK_TEXTS = 512
-_WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -54,6 +59,22 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+class Memory(dict):
+    """A mapping of bounded size in two generations: what is used lives on, the rest is let go."""
+
+    old: dict = {}
+
+    def unknown(self, keys: set) -> set:
+        if len(self) > MEMORY_WORDS:
+            self.old = dict(self)
+            self.clear()
+        return keys.difference(self).difference(self.old)
+
+    def __missing__(self, key):
+        value = self[key] = self.old[key]
+        return value
+
+
 class Pieces:
     """A SentencePiece BPE model's pieces, and words' encodings by shared prefixes."""
 
@@ -64,11 +85,19 @@ class Pieces:
         plain = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.ids = {sp.id_to_piece(i): i for i in plain}
         self.rank = {sp.id_to_piece(i): -sp.get_score(i) for i in plain}
-        self.longest = max(map(len, self.ids))
+        self.texts = {i: p for p, i in self.ids.items()}
+        # Every ending of a piece, with the id of the piece that it is, or -1.
+        self.tails = {p[k:]: -1 for p in self.ids for k in range(len(p))} | self.ids
+        # Words also end where no piece can go on: around characters that no longer piece
+        # has, and, if no piece joins Latin letters or digits with others, between those.
+        loose = "".join(c for c in "\n\t\r" if not any(c in p and len(p) > 1 for p in self.ids))
+        joined = re.compile(rf"[{_LATIN}][^{_LATIN}{MARK}]|[^{_LATIN}{MARK}][{_LATIN}]")
+        run = rf"[^{MARK}{loose}]+" if any(map(joined.search, self.ids)) else rf"[{_LATIN}]+|[^{_LATIN}{MARK}{loose}]+"
+        self.words = re.compile(rf"{MARK}*(?:{run})|{MARK}+" + (f"|[{loose}]+" if loose else "")).findall
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.bytes_of = {i: p.encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
-        self.stable: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.stable: dict[int, bool] = {}
+        self.known = Memory()
 
     def merged(self, text: str) -> list[str]:
         """The segmentation of a short text by merging its best pair, from the left, again and again."""
@@ -80,40 +109,48 @@ class Pieces:
             _, i = min(pairs)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    def fits(self, a: str, b: str) -> bool:
-        key = (a, b)
-        found = self.stable.get(key)
-        if found is None:
-            if len(self.stable) > MEMORY_WORDS:
-                self.stable.clear()
-            found = self.stable[key] = self.merged(a + b) == [a, b]
+    def _fits(self, left: int, piece: int) -> bool:
+        """Whether merging the characters of a pair (or of a piece alone, after -1) gives it back."""
+        name = lambda i: self.texts[i] if i < _UNKNOWN else chr(i - _UNKNOWN)
+        pair = [name(piece)] if left < 0 else [name(left), name(piece)]
+        if len(self.stable) > MEMORY_PAIRS:
+            self.stable.clear()
+        found = self.stable[(left + 1) << 22 | piece] = self.merged("".join(pair)) == pair
         return found
 
-    def segment(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
-        """The pieces of each word of a sorted sequence."""
-        ids, longest, stable = self.ids, self.longest, self.stable
-        last: list[str] = [""]  # last[i]: the last piece of the first i characters
+    def segment(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+        """The pieces' ids of each word of a sorted sequence; characters without a piece count from ``_UNKNOWN``."""
+        tails, stable, fits = self.tails.get, self.stable.get, self._fits
+        last, begins = [-1], [0]  # of the first i characters: the last piece, and where it begins
         before = ""
         for word in words:
             n = min(len(word), len(before))
             same = 0
             while same < n and word[same] == before[same]:
                 same += 1
-            del last[same + 1 :]
+            del last[same + 1 :], begins[same + 1 :]
             for end in range(same + 1, len(word) + 1):
-                for begin in range(max(0, end - longest), end):
-                    piece = word[begin:end]
-                    if piece in ids or end - begin == 1:
+                begin = end - 1
+                while True:
+                    piece = tails(word[begin:end])
+                    if piece is None or (piece < 0 and begin == end - 1):
+                        if begin < end - 1:
+                            raise ValueError(f"no segmentation of {word[:end]!r}")
+                        piece = _UNKNOWN + ord(word[begin])
+                    if piece >= 0:
                         left = last[begin]
-                        if not begin or stable.get((left, piece)) or ((left, piece) not in stable and self.fits(left, piece)):
+                        good = stable((left + 1) << 22 | piece)
+                        if good or (good is None and fits(left, piece)):
                             last.append(piece)
+                            begins.append(begin)
                             break
-                else:
-                    raise ValueError(f"no segmentation of {word[:end]!r}")
+                    begin -= 1
+                    if begin < 0:
+                        raise ValueError(f"no segmentation of {word[:end]!r}")
             out, at = [], len(word)
             while at:
                 out.append(last[at])
-                at -= len(last[at])
+                at = begins[at]
             yield word, out[::-1]
             before = word
 
@@ -123,20 +160,14 @@ class Pieces:
             text = w.replace(MARK, " ")
             self.known[w] = np.asarray(self.library.encode(text[1:]), dtype="<u4").tobytes()
         for word, parts in self.segment(sorted(words - odd)):
-            ids: list[int] = []
-            for p in parts:
-                i = self.ids.get(p)
-                ids += [i] if i is not None else [self.byte_ids[b] for b in p.encode()]
-            self.known[word] = np.asarray(ids, dtype="<u4").tobytes()
+            if max(parts) >= _UNKNOWN:
+                parts = [i for p in parts for i in ([p] if p < _UNKNOWN else [self.byte_ids[b] for b in chr(p - _UNKNOWN).encode()])]
+            self.known[word] = array("I", parts).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        cut = [_WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = set().union(*cut).difference(self.known)
-        if len(self.known) + len(new) > MEMORY_WORDS:
-            self.known.clear()
-            new = set().union(*cut)
-        self.learn(new)
+        cut = [self.words(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        self.learn(self.known.unknown(set().union(*cut)))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in cut]
 
