@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofset.sources.records import cut
+
 CAP_MULTIPLE, CAP_LEAST = 2.5, 4
 
 
@@ -42,7 +44,7 @@ def allocate(rows: DataFrame, n: int, mix: list[tuple[str, float]], family: str,
     parts: list[DataFrame] = []
 
     def take(pool: DataFrame, k: int) -> int:
-        part = balanced_take(pool, k, family, key, taken, cap, seed).persist()
+        part = cut(balanced_take(pool, k, family, key, taken, cap, seed))
         got = part.groupBy(family).count().collect()
         for r in got:
             taken[r[family]] = taken.get(r[family], 0) + r["count"]
@@ -53,11 +55,11 @@ def allocate(rows: DataFrame, n: int, mix: list[tuple[str, float]], family: str,
     if total < n:
         chosen = parts[0].select(key)
         for p in parts[1:]:
-            chosen = chosen.union(p.select(key))
+            chosen = chosen.unionByName(p.select(key))
         take(rows.join(chosen, key, "left_anti"), n - total)
     out = parts[0]
     for p in parts[1:]:
-        out = out.union(p)
+        out = out.unionByName(p)
     return out.drop("turn").limit(n) if total > n else out.drop("turn")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from proofset.functions import text as tx
 from proofset.operators import exec_match, splits
+from proofset.sources.records import cut
 
 OPENERS = ("Return {body}.", "Which query gives {body}?", "I need {body}.")
 #: Names in a pool at most; longer lists are cut in hash order.
@@ -161,7 +162,7 @@ def slot_values(shop: dict[str, DataFrame]) -> DataFrame:
         "status": orders.select("status"),
         "product_name": names(products),
         "customer_name": names(customers),
-        "signup_cut": orders.select(F.date_format(F.date_trunc("month", "order_date"), "yyyy-MM-dd")).distinct().orderBy(F.col("date_format(date_trunc(month, order_date), yyyy-MM-dd)")).limit(POOL_NAMES),
+        "signup_cut": orders.select(F.date_format(F.date_trunc("month", "order_date"), "yyyy-MM-dd").alias("day")).distinct().orderBy("day").limit(POOL_NAMES),
         "month": orders.select(F.date_format("order_date", "MM")),
         "price_threshold": price_thresholds(products),
     }
@@ -273,13 +274,13 @@ class Splits:
 
 def make_splits(accepted: DataFrame, n_train: int = 800, n_val: int = 200, n_ext: int = 200, exclude: tuple[str, ...] = (), seed: int = 1234) -> Splits:
     """Reserve test_ext from the held-out patterns, then deal train and val from the rest by level."""
-    accepted = accepted.withColumn("key", F.sha1(F.concat_ws("\x1f", "family", tx.norm_question(F.col("question"))))).persist()
+    accepted = cut(accepted.withColumn("key", F.sha1(F.concat_ws("\x1f", "family", tx.norm_question(F.col("question"))))))
     pool = accepted.filter(F.col("family").isin(*TEST_FAMILIES))
-    ext = splits.allocate(pool, min(n_ext, int(pool.count() * RESERVED_SHARE)), LEVEL_MIX, "family", "level", "key", seed + 1).persist()
+    ext = splits.allocate(pool, min(n_ext, int(pool.count() * RESERVED_SHARE)), LEVEL_MIX, "family", "level", "key", seed + 1)
     rest = accepted.join(ext.select("key"), "key", "left_anti")
     rest = rest.filter(~F.col("family").isin(*exclude)) if exclude else rest
-    both = splits.allocate(rest, n_train + n_val, LEVEL_MIX, "family", "level", "key", seed + 2).persist()
-    dealt = splits.stratified_split(both, n_val / max(n_train + n_val, 1), "level", "key", seed + 3)
+    both = splits.allocate(rest, n_train + n_val, LEVEL_MIX, "family", "level", "key", seed + 2)
+    dealt = cut(splits.stratified_split(both, n_val / max(n_train + n_val, 1), "level", "key", seed + 3))
 
     def numbered(df: DataFrame, name: str) -> DataFrame:
         place = F.row_number().over(Window.orderBy(*splits.hash_order("key", seed + 4)))  # a split's size is asked for

@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read back, without its lineage.
+
+    The folder is the one the cluster names; only where none is set, as in tests, a
+    temporary one is chosen.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="proofset-"))
+    return df.checkpoint()
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     """One JSON object a line; keys sorted, nulls written."""
     df.select(*sorted(df.columns)).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
