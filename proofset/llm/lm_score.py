@@ -132,13 +132,14 @@ def requests(blocked: DataFrame, order: int, bits: int) -> DataFrame:
                 ends, _ = grams(sizes, data, order)
                 values, counts = _distinct(ends, return_counts=True)
                 counts, values = counts[values > 0], values[values > 0]
+                if not len(values):
+                    continue
                 bucket = (values >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
                 first = np.flatnonzero(np.diff(bucket, prepend=-1))
                 ends_at = np.append(first[1:], len(values))
                 rows = [(int(bucket[a]), block, packed(values[a:b]), narrow(counts[a:b])) for a, b in zip(first, ends_at, strict=True)]
-                if rows:
-                    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "block", "grams", "counts"])
+                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "block", "grams", "counts"])
 
     return blocked.select("block", "sizes", "data").mapInArrow(explode, "bucket int, block long, grams binary, counts binary")
 
