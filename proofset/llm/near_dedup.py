@@ -200,9 +200,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _blocks(members: DataFrame, name: str) -> DataFrame:
     """(centre, name): members (centre, id, component, set) gathered in blocks of about ``BLOCK``."""
     many = members.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    gathered = members.join(many, "centre").groupBy("centre", block.alias("block"))
-    return gathered.agg(F.collect_list(F.struct("id", "component", "set")).alias(name)).drop("block")
+    # One key, a struct: blocks of a centre are dealt anew, and the join may be split where it is hot.
+    at = F.struct("centre", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")).alias("at")
+    gathered = members.join(many, "centre").groupBy(at).agg(F.collect_list(F.struct("id", "component", "set")).alias(name))
+    return gathered.select("at.centre", name)
 
 
 def _block_links(pairs: DataFrame) -> DataFrame:
