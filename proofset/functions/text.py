@@ -108,14 +108,14 @@ def is_read_only(sql: Column) -> Column:
 def norm_question(q: Column) -> Column:
     """Lower case, no quotes, punctuation as spaces, single spaces."""
     bare = F.regexp_replace(F.lower(q), "[\"'`]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}_]+", " "))
 
 
 def content_tokens(q: Column) -> Column:
     """Distinct words of the normalised question that are neither stopwords nor digits."""
-    words = F.array_distinct(F.split(norm_question(q), " "))
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(words, lambda w: (w != "") & ~F.array_contains(stop, w) & ~w.rlike("^[0-9]+$"))
+    stop = F.array(*map(F.lit, ["", *STOPWORDS]))
+    words = F.array_except(F.split(norm_question(q), " "), stop)
+    return F.filter(words, lambda w: ~w.rlike("^[0-9]+$"))
 
 
 def jaccard(a: Column, b: Column) -> Column:

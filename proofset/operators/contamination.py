@@ -2,8 +2,8 @@
 
 Token-set rules meet candidates and held-out items on tokens: every item's tokens
 are joined to the candidates' (an equi-join), matches are counted per pair, and the
-similarity follows from that count and the set sizes. No pair without a common token
-is ever made; with ``prefix_filter`` only a rare-first prefix of each set is joined.
+similarity follows from that count and the set sizes. Counts are combined where the
+candidate's tokens are, so one row per pair with a common token is shuffled.
 """
 
 from __future__ import annotations
