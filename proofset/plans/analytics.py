@@ -364,6 +364,16 @@ def family_capacity(s, d):
     return taskgen.capacities(s, taskgen.slot_values(_shop(s, d)))
 
 
+def _capacity_sql() -> str:
+    names = (("product_name", "p_name", "part"), ("customer_name", "c_name", "customer"), ("signup_cut", "date_trunc('month', o_orderdate)", "orders"))
+    cut = [f"SELECT '{slot}', least({taskgen.POOL_NAMES}, count(DISTINCT {value})) FROM {table}" for slot, value, table in names]
+    fixed = [f"SELECT '{slot}', {len(values)}" for slot, values in taskgen.SLOT_CONSTANTS.items()]
+    sizes = " UNION ALL ".join(["SELECT slot, count(*) AS n FROM pools GROUP BY slot", *cut, f"SELECT 'price_threshold', count(*) FROM ({THRESHOLDS_SQL})", *fixed])
+    rows = ", ".join(f"('{x.family}', '{x.level}', {len(x.variants) * len(x.openers)}, {list(x.slots)}::VARCHAR[])" for x in taskgen.TEMPLATES)
+    return f"""WITH pools AS ({POOLS_SQL}), sizes AS ({sizes}), t(family, level, made, slots) AS (VALUES {rows})
+SELECT family, level, CAST(made * (SELECT coalesce(product(n), 1) FROM sizes WHERE list_contains(t.slots, slot)) AS BIGINT) AS capacity FROM t"""
+
+
 def enumerate_sizes(s, d):
     tasks = taskgen.enumerate_tasks(s, taskgen.slot_values(_shop(s, d)))
     return tasks.groupBy("family", "level").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("gold").alias("n_golds"))
@@ -411,7 +421,7 @@ QUERIES = {
     "merge_equality": (merge_equality, "SELECT count(*) FILTER (WHERE doc_id % 9 = 0 OR quality <> 1 - toxic) AS n_different FROM labels"),
     "slot_pools": (slot_pools, POOLS_SQL),
     "price_thresholds": (price_thresholds, THRESHOLDS_SQL),
-    "family_capacity": (family_capacity, None),
+    "family_capacity": (family_capacity, _capacity_sql()),
     "enumerate_sizes": (enumerate_sizes, None),
     "tumbling_counts": (ev.tumbling_counts, "SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS value FROM events GROUP BY 1, 2"),
     "session_counts": (ev.session_counts, "SELECT user_id, count(*) FILTER (WHERE b IS NULL OR ts >= b + INTERVAL 30 MINUTE) AS sessions, count(*) AS events FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) GROUP BY user_id"),

@@ -246,7 +246,8 @@ QUERIES = {
     ),
     "list_columns": (
         t.column_list,
-        None,
+        f"""SELECT table_name, CAST(ordinal_position - 1 AS INTEGER) AS position, column_name FROM information_schema.columns
+        WHERE table_name IN ({", ".join(f"'{n}'" for n in t.TABLES)})""",
     ),
     "sample_rows": (lambda s, d: t.sample_rows(t.products(s, d), "product_id"), f"{SHOP} SELECT * FROM products ORDER BY product_id LIMIT 3"),
 }
