@@ -294,3 +294,39 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+#: Exact on all pairs with a common shingle, without MinHash.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS shingles
+  FROM w
+), c AS (
+  SELECT md5(array_to_string(list_sort(shingles), chr(10))) AS class, min(doc_id) AS rep, any_value(shingles) AS shingles, any_value(len(shingles)) AS n
+  FROM s WHERE len(shingles) > 0 GROUP BY 1
+), e AS (
+  SELECT rep, n, unnest(shingles) AS shingle FROM c
+), links AS (
+  SELECT a.rep AS a, b.rep AS b
+  FROM e AS a JOIN e AS b ON a.shingle = b.shingle AND a.rep < b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n
+  HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT rep AS node, rep AS other FROM c
+  UNION
+  SELECT reach.node, edges.b FROM reach JOIN edges ON reach.other = edges.a
+), part AS (
+  SELECT node, min(other) AS component_id FROM reach GROUP BY node
+)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, coalesce(part.component_id, s.doc_id) AS component_id,
+       s.doc_id = coalesce(part.component_id, s.doc_id) AS kept
+FROM s
+LEFT JOIN c ON len(s.shingles) > 0 AND c.class = md5(array_to_string(list_sort(s.shingles), chr(10)))
+LEFT JOIN part ON part.node = c.rep
+"""

@@ -27,4 +27,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op5_near_dedup": near_dedup.ORACLE_SQL, "op10_exact_dedup": exact_dedup.ORACLE_SQL}
