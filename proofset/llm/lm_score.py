@@ -47,6 +47,7 @@ from proofset.llm.near_dedup import word_hashes
 
 ORDER, BACKOFF = 2, 0.4
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+TEXT_LEVEL = 6
 _U = np.uint64
 _PLACE = mix64(np.arange(901, 917, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
@@ -60,7 +61,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for lo, hi, data, offsets in text_chunks(batch.column(1), BLOCK_BYTES):
                 words, _ = word_hashes(data, offsets)
                 one = lambda a, rows=hi - lo: pa.ListArray.from_arrays(pa.array([0, rows], pa.int32()), pa.concat_arrays([a]))
-                squeezed = pa.compress(data.tobytes(), codec="zstd", asbytes=True)
+                squeezed = pa.Codec("zstd", compression_level=TEXT_LEVEL).compress(data.tobytes(), asbytes=True)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([part << 32 | n], pa.int64()),
