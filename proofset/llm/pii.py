@@ -192,3 +192,77 @@ def redact(docs: DataFrame, text_col: str = "text", count_col: str | None = None
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce(text, '') AS body FROM documents
+), split AS (
+  SELECT doc_id, body, 0 AS kind, regexp_extract_all(body, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS found,
+         string_split_regex(body, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS gaps FROM t
+  UNION ALL
+  SELECT doc_id, body, 1, regexp_extract_all(body, '[0-9]+(?:\.[0-9]+){3}'), string_split_regex(body, '[0-9]+(?:\.[0-9]+){3}') FROM t
+  UNION ALL
+  SELECT doc_id, body, 2, regexp_extract_all(body, '[0-9](?:[\x20-]?[0-9])+'), string_split_regex(body, '[0-9](?:[\x20-]?[0-9])+') FROM t
+  UNION ALL
+  SELECT doc_id, body, 3, regexp_extract_all(body, '\+[0-9][\x20().0-9-]+[0-9]'), string_split_regex(body, '\+[0-9][\x20().0-9-]+[0-9]') FROM t
+  UNION ALL  -- starts of IBANs, with the character before
+  SELECT doc_id, body, 4, regexp_extract_all(body, '(?:^|[^A-Za-z0-9])[A-Z]{2}[0-9]{2}'), string_split_regex(body, '(?:^|[^A-Za-z0-9])[A-Z]{2}[0-9]{2}') FROM t
+  UNION ALL  -- whole runs of digits and hyphens
+  SELECT doc_id, body, 5, regexp_extract_all(body, '[0-9-]+'), string_split_regex(body, '[0-9-]+') FROM t
+), each AS (
+  SELECT doc_id, body, kind, unnest(found) AS match, unnest(gaps[1:len(found)]) AS gap, unnest(range(len(found))) AS i FROM split
+), placed AS (
+  SELECT doc_id, body, kind, match, regexp_replace(match, '[^0-9]', '', 'g') AS digits,
+         CAST(sum(length(gap) + length(match)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS stop
+  FROM each
+), started AS (
+  SELECT doc_id, body, stop - 4 AS start, regexp_extract(body[stop - 3:stop + 61], '^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}') AS match
+  FROM placed WHERE kind = 4
+), whole AS (
+  SELECT doc_id, body, match, start, start + length(match) AS stop
+  FROM started WHERE match <> '' AND NOT regexp_matches(body[start + length(match) + 1:start + length(match) + 1], '[A-Za-z0-9]')
+), iban AS (  -- leftmost, non-overlapping
+  SELECT doc_id, min(start) AS start, arg_min(stop, start) AS stop FROM whole GROUP BY doc_id
+  UNION ALL
+  SELECT w.doc_id, min(w.start), arg_min(w.stop, w.start) FROM iban JOIN whole AS w ON w.doc_id = iban.doc_id AND w.start >= iban.stop GROUP BY w.doc_id
+), turned AS (
+  SELECT w.*, replace(w.match, ' ', '') AS flat FROM whole AS w JOIN iban USING (doc_id, start)
+), numbered AS (
+  SELECT *, array_to_string(list_transform(string_split(flat[5:] || flat[:4], ''), lambda c: CASE WHEN c >= 'A' THEN CAST(ascii(c) - 55 AS VARCHAR) ELSE c END), '') AS number
+  FROM turned WHERE length(flat) BETWEEN 15 AND 34
+), confirmed AS (
+  SELECT doc_id, body, kind, stop - length(match) AS start, stop FROM placed
+  WHERE CASE kind
+    WHEN 0 THEN true
+    WHEN 1 THEN list_bool_and(list_transform(string_split(match, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND coalesce(try_cast(ltrim(p, '0') AS INTEGER), 0) <= 255))
+    WHEN 2 THEN length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(string_split(reverse(digits), ''),
+      lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INTEGER) WHEN c > '4' THEN 2 * CAST(c AS INTEGER) - 9 ELSE 2 * CAST(c AS INTEGER) END)) % 10 = 0
+    WHEN 3 THEN length(digits) BETWEEN 10 AND 15
+    WHEN 5 THEN regexp_full_match(match, '[0-9]{3}-[0-9]{2}-[0-9]{4}')
+    ELSE false END
+  UNION ALL
+  SELECT doc_id, body, 4, start, stop FROM numbered
+  WHERE list_reduce(list_transform(string_split(number, ''), lambda c: CAST(c AS INTEGER)), lambda a, c: (a * 10 + c) % 97) = 1
+), near AS (
+  SELECT *, substring(body, greatest(start - 39, 1), stop - start + 80) AS around FROM confirmed
+), scored AS (
+  SELECT doc_id, kind, start, stop, ['email', 'ip', 'card', 'phone', 'iban', 'ssn'][kind + 1] AS name, CASE kind
+    WHEN 0 THEN CASE WHEN regexp_matches(around, '(?i)mail|contact|write to') THEN 1.0 ELSE 0.9 END
+    WHEN 1 THEN CASE WHEN regexp_matches(around, '(?i)\bip\b|address|host|server') THEN 0.9 ELSE 0.6 END
+    WHEN 2 THEN CASE WHEN regexp_matches(around, '(?i)card|credit|visa|payment') THEN 1.0 ELSE 0.8 END
+    WHEN 3 THEN CASE WHEN regexp_matches(around, '(?i)phone|call|tel|mobile|fax') THEN 0.9 ELSE 0.6 END
+    WHEN 4 THEN CASE WHEN regexp_matches(around, '(?i)iban|account|bank') THEN 1.0 ELSE 0.9 END
+    ELSE CASE WHEN regexp_matches(around, '(?i)\bssn\b|social security|tax id') THEN 0.7 ELSE 0.4 END END AS score
+  FROM near
+), told AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone,
+         string_agg(concat_ws(':', name, start, stop), ',' ORDER BY start, kind) FILTER (kind < 4) AS base,
+         string_agg(concat_ws(':', name, start, stop), ',' ORDER BY start, kind) AS spans,
+         string_agg(format('{:.2f}', CAST(score AS DOUBLE)), ',' ORDER BY start, kind) AS scores
+  FROM scored WHERE kind < 4 OR score >= 0.5 GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
+FROM t LEFT JOIN told ON told.doc_id = t.doc_id
+"""

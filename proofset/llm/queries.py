@@ -27,4 +27,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_near_dedup": near_dedup.ORACLE_SQL, "op10_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {
+        "op4_pii": pii.ORACLE_SQL,
+        "op5_near_dedup": near_dedup.ORACLE_SQL,
+        "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+    }
