@@ -183,10 +183,11 @@ def typo(q: Column, key: Column) -> Column:
     a neighbouring key, or two letters exchanged.
     """
     words = F.split(q, " ")
-    draw = lambda i, n, salt: F.pmod(F.xxhash64(key, i, F.lit(salt)), n)
+    drawn = lambda i, salt: F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), i.cast("string"), F.lit(str(salt)))), 1, 6), 16, 10).cast("int")
+    draw = lambda i, n, salt: drawn(i, salt) % n
     fit = lambda w: (F.length(F.regexp_replace(w, r"^[.,?']+|[.,?']+$", "")) > 4) & ~F.contains(w, F.lit("'")) & w.rlike("^[a-z]")
     places = F.filter(F.transform(words, lambda w, i: F.when(fit(w), i)), lambda i: i.isNotNull())
-    chosen = F.slice(F.array_sort(F.transform(places, lambda i: F.struct(draw(i, F.lit(1 << 20), 1).alias("rank"), i.alias("i")))), 1, 2)
+    chosen = F.slice(F.array_sort(F.transform(places, lambda i: F.struct(drawn(i, 1).alias("rank"), i.alias("i")))), 1, 2)
     hit = F.transform(chosen, lambda s: s["i"])
     near = F.create_map(*(F.lit(x) for pair in NEIGHBOUR_KEYS.items() for x in pair))
 

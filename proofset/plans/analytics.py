@@ -91,6 +91,20 @@ def replay(s, d):
     return trajectories.replay(episodes, "actions", 4).select("conv_id", "reason", "turns", "tool_calls", "final_sql")
 
 
+#: An episode ends at its first statement, its second malformed text, or its fourth turn.
+REPLAY_SQL = """WITH a AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i,
+    CASE WHEN (conv_id + turn) % 5 = 1 AND text IS NOT NULL THEN 'call' WHEN (conv_id + turn) % 5 = 3 THEN 'answer' ELSE 'bad' END AS kind
+  FROM conversations WHERE role = 'assistant'
+), b AS (SELECT *, count(*) FILTER (kind = 'bad') OVER (PARTITION BY conv_id ORDER BY i) AS bad FROM a),
+e AS (SELECT conv_id, min(i) FILTER (kind = 'answer') AS answer, min(i) FILTER (kind = 'bad' AND bad = 2) AS malformed, max(i) AS n FROM b GROUP BY conv_id),
+f AS (SELECT *, least(answer, malformed, 4, n) AS turns FROM e)
+SELECT f.conv_id, CASE WHEN turns = answer THEN 'submitted' WHEN turns = malformed THEN 'malformed' WHEN turns = 4 THEN 'max_turns' ELSE 'unfinished' END AS reason,
+  CAST(turns AS INTEGER) AS turns, CAST(count(*) FILTER (kind = 'call' AND i <= turns) AS INTEGER) AS tool_calls,
+  CASE WHEN turns = answer THEN 'SELECT 1' ELSE '' END AS final_sql
+FROM f JOIN b ON b.conv_id = f.conv_id GROUP BY f.conv_id, turns, answer, malformed"""
+
+
 def history(s, d):
     """Runs are users, steps their events, the metric is measured at purchases and clicks only."""
     return t.load(s, d, "events").select("user_id", "event_id", F.when(F.col("event_type").isin("purchase", "click"), F.col("value")).alias("metric"))
@@ -364,14 +378,20 @@ def family_capacity(s, d):
     return taskgen.capacities(s, taskgen.slot_values(_shop(s, d)))
 
 
-def _capacity_sql() -> str:
+def _made_sql() -> str:
     names = (("product_name", "p_name", "part"), ("customer_name", "c_name", "customer"), ("signup_cut", "date_trunc('month', o_orderdate)", "orders"))
     cut = [f"SELECT '{slot}', least({taskgen.POOL_NAMES}, count(DISTINCT {value})) FROM {table}" for slot, value, table in names]
     fixed = [f"SELECT '{slot}', {len(values)}" for slot, values in taskgen.SLOT_CONSTANTS.items()]
     sizes = " UNION ALL ".join(["SELECT slot, count(*) AS n FROM pools GROUP BY slot", *cut, f"SELECT 'price_threshold', count(*) FROM ({THRESHOLDS_SQL})", *fixed])
-    rows = ", ".join(f"('{x.family}', '{x.level}', {len(x.variants) * len(x.openers)}, {list(x.slots)}::VARCHAR[])" for x in taskgen.TEMPLATES)
-    return f"""WITH pools AS ({POOLS_SQL}), sizes AS ({sizes}), t(family, level, made, slots) AS (VALUES {rows})
-SELECT family, level, CAST(made * (SELECT coalesce(product(n), 1) FROM sizes WHERE list_contains(t.slots, slot)) AS BIGINT) AS capacity FROM t"""
+    rows = ", ".join(f"('{x.family}', '{x.level}', {len(x.variants)}, {len(x.openers)}, {list(x.slots)}::VARCHAR[])" for x in taskgen.TEMPLATES)
+    return f"""WITH pools AS ({POOLS_SQL}), sizes AS ({sizes}), t(family, level, variants, openers, slots) AS (VALUES {rows}),
+made AS (SELECT family, level, openers, CAST(variants * (SELECT coalesce(product(n), 1) FROM sizes WHERE list_contains(t.slots, slot)) AS BIGINT) AS n_golds FROM t)
+SELECT"""
+
+
+_CAPACITY_SQL = f"{_made_sql()} family, level, n_golds * openers AS capacity FROM made"
+#: Every opener asks for the same gold, and golds of other slot values differ.
+_ENUMERATED_SQL = f"{_made_sql()} family, level, least(n_golds * openers, {taskgen.ENUMERATION_CAP}) AS n, n_golds FROM made"
 
 
 def enumerate_sizes(s, d):
@@ -393,7 +413,7 @@ QUERIES = {
     "assistant_spans": (lambda s, d: trajectories.assistant_spans(conversations(s, d)), f'WITH {OFFSETS} SELECT conv_id, turn, start, stop AS "end" FROM o WHERE role = \'assistant\''),
     "mask_lengths": (mask_lengths, MASK_SQL),
     "turns_per_episode": (lambda s, d: trajectories.turns_per_episode(conversations(s, d)), "SELECT conv_id, count(*) AS n_turns, count(*) FILTER (WHERE role = 'assistant') AS n_assistant, count(*) FILTER (WHERE role = 'user') AS n_user FROM conversations GROUP BY conv_id"),
-    "episode_replay": (replay, None),
+    "episode_replay": (replay, REPLAY_SQL),
     "filled_history": (filled_history, FILLED_SQL),
     "validation_gate": (validation_gate, GATE_SQL),
     "pathology_checks": (pathologies, PATHOLOGY_SQL),
@@ -421,8 +441,8 @@ QUERIES = {
     "merge_equality": (merge_equality, "SELECT count(*) FILTER (WHERE doc_id % 9 = 0 OR quality <> 1 - toxic) AS n_different FROM labels"),
     "slot_pools": (slot_pools, POOLS_SQL),
     "price_thresholds": (price_thresholds, THRESHOLDS_SQL),
-    "family_capacity": (family_capacity, _capacity_sql()),
-    "enumerate_sizes": (enumerate_sizes, None),
+    "family_capacity": (family_capacity, _CAPACITY_SQL),
+    "enumerate_sizes": (enumerate_sizes, _ENUMERATED_SQL),
     "tumbling_counts": (ev.tumbling_counts, "SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS value FROM events GROUP BY 1, 2"),
     "session_counts": (ev.session_counts, "SELECT user_id, count(*) FILTER (WHERE b IS NULL OR ts >= b + INTERVAL 30 MINUTE) AS sessions, count(*) AS events FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) GROUP BY user_id"),
     "property_sums": (ev.property_sums, "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS k_max FROM events GROUP BY event_type"),

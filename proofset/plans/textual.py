@@ -203,6 +203,22 @@ def perturb_typo(s: SparkSession, d: str) -> DataFrame:
     return questions(s, d).select("c_custkey", tx.typo(F.col("q"), F.col("c_custkey")).alias("q"))
 
 
+def _drawn_sql(salt: int) -> str:
+    return f"CAST(concat('0x', substring(md5(concat_ws(':', c_custkey, i, {salt})), 1, 6)) AS INTEGER)"
+
+
+TYPO_SQL = f"""WITH q AS (SELECT c_custkey, string_split({QUESTION}, ' ') AS words FROM customer),
+w AS (SELECT c_custkey, unnest(words) AS w, unnest(range(len(words))) AS i FROM q),
+f AS (SELECT *, regexp_matches(w, '^[a-z]') AND NOT contains(w, chr(39)) AND length(trim(w, concat('.,?', chr(39)))) > 4 AS fit FROM w),
+r AS (SELECT *, fit AND row_number() OVER (PARTITION BY c_custkey, fit ORDER BY {_drawn_sql(1)}, i) <= 2 AS hit FROM f),
+p AS (SELECT *, CASE WHEN hit THEN 2 + {_drawn_sql(2)} % (length(w) - 2) END AS spot FROM r),
+n AS (SELECT *, MAP {{{", ".join(f"'{a}': '{b}'" for a, b in tx.NEIGHBOUR_KEYS.items())}}}[lower(w[spot:spot])] AS other FROM p)
+SELECT c_custkey, string_agg(CASE WHEN NOT hit THEN w
+    WHEN other IS NOT NULL AND {_drawn_sql(3)} % 2 = 0 THEN concat(w[:spot - 1], other, w[spot + 1:])
+    ELSE concat(w[:spot - 1], w[spot + 1:spot + 1], w[spot:spot], w[spot + 2:]) END, ' ' ORDER BY i) AS q
+FROM n GROUP BY c_custkey"""
+
+
 def _apply(fn, *more: str):
     def run(s: SparkSession, d: str) -> DataFrame:
         return questions(s, d).select("c_custkey", fn(F.col("q"), *map(F.col, more)).alias("q"))
@@ -327,7 +343,7 @@ QUERIES = {
     "perturb_paraphrase": (_apply(tx.paraphrase), _paraphrase_sql()),
     "perturb_rename": (_apply(tx.rename), _rename_sql()),
     "perturb_distractor": (_apply(tx.distractor, "c_custkey"), DISTRACT_SQL),
-    "perturb_typo": (perturb_typo, None),
+    "perturb_typo": (perturb_typo, TYPO_SQL),
     "key_nouns": (key_nouns, rf"SELECT c_custkey, array_to_string((list_filter(regexp_split_to_array(q, '\s+'), lambda w: length(w) > 4))[1:3], ' ') AS nouns FROM (SELECT c_custkey, {QUESTION} AS q FROM customer)"),
     "balanced_take": (balanced_take, f"SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {ORDER}) AS turn FROM documents) ORDER BY turn, source LIMIT 100"),
     "allocate": (allocate, _allocate_sql()),
