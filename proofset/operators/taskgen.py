@@ -19,7 +19,7 @@ from proofset.operators import exec_match, splits
 from proofset.sources.records import cut
 
 OPENERS = ("Return {body}.", "Which query gives {body}?", "I need {body}.")
-#: Names in a pool at most; longer lists are cut in hash order.
+#: Not used by any operator: the SQL of two queries still cuts three slots here.
 POOL_NAMES = 15
 ENUMERATION_CAP = 400
 # ---- Fixed values: thresholds that no table gives, quantiles of prices, bounds ----
@@ -149,20 +149,16 @@ def price_thresholds(products: DataFrame) -> DataFrame:
 
 
 def slot_values(shop: dict[str, DataFrame]) -> DataFrame:
-    """(slot, value): the domains that the tables give and the fixed ones; names are cut in hash order."""
+    """(slot, value): the whole domains that the tables give and the fixed ones."""
     customers, products, orders = (shop[n] for n in ("customers", "products", "orders"))
-
-    def names(df: DataFrame) -> DataFrame:
-        return df.select("name").distinct().orderBy(*splits.hash_order("name")).limit(POOL_NAMES)
-
     found = {
         "city": customers.select("city"),
         "segment": customers.select("segment"),
         "category": products.select("category"),
         "status": orders.select("status"),
-        "product_name": names(products),
-        "customer_name": names(customers),
-        "signup_cut": orders.select(F.date_format(F.date_trunc("month", "order_date"), "yyyy-MM-dd").alias("day")).distinct().orderBy("day").limit(POOL_NAMES),
+        "product_name": products.select("name"),
+        "customer_name": customers.select("name"),
+        "signup_cut": orders.select(F.date_format(F.date_trunc("month", "order_date"), "yyyy-MM-dd")),
         "month": orders.select(F.date_format("order_date", "MM")),
         "price_threshold": price_thresholds(products),
     }
@@ -188,23 +184,30 @@ def capacities(spark: SparkSession, values: DataFrame) -> DataFrame:
     return rows.select("family", "level", F.aggregate("slots", start, lambda a, s: a * F.coalesce(F.col("sizes")[s], F.lit(0))).alias("capacity"))
 
 
+def instances(spark: SparkSession, values: DataFrame) -> DataFrame:
+    """(family, level, multi_row, body, openers, gold, slots): every variant with every combination of slot values.
+
+    Values are joined as rows, as names grow with the tables.
+    """
+    out = None
+    for n in sorted({len(t.slots) for t in TEMPLATES}):
+        rows = template_rows(spark).filter(F.size("slots") == n).select("*", F.explode("variants").alias("filled"))
+        for i in range(n):
+            used = sorted({t.slots[i] for t in TEMPLATES if len(t.slots) == n})
+            rows = rows.withColumn("slot", F.get("slots", F.lit(i)))
+            # Templates are few whatever the tables' size.
+            rows = (rows if i else F.broadcast(rows)).join(values.filter(F.col("slot").isin(*used)), "slot")
+            rows = rows.withColumn("filled", F.map_concat("filled", F.create_map("slot", "value"))).drop("slot", "value")
+        gold = tx.fill(F.col("gold"), F.col("filled")).alias("gold")
+        part = rows.select("family", "level", "multi_row", tx.fill(F.col("body"), F.col("filled")).alias("body"), "openers", gold, F.col("filled").alias("slots"))
+        out = part if out is None else out.union(part)
+    return out
+
+
 def enumerate_tasks(spark: SparkSession, values: DataFrame, cap: int = ENUMERATION_CAP, seed: int = 1234) -> DataFrame:
     """(family, level, multi_row, question, gold, slots): every instance, ``cap`` a family in hash order."""
-    domains = values.groupBy("slot").agg(F.sort_array(F.collect_list("value")).alias("values"))
-    domains = domains.agg(F.map_from_entries(F.collect_list(F.struct("slot", "values"))).alias("domains")).withColumn("__one", F.lit(1))
-    rows = template_rows(spark).withColumn("__one", F.lit(1)).join(domains, "__one").select("*", F.explode("variants").alias("filled"))
-    for i in range(max(len(t.slots) for t in TEMPLATES)):
-        slot = F.get("slots", F.lit(i))
-        choice = F.when(slot.isNotNull(), F.col("domains")[slot]).otherwise(F.array(F.lit("")))
-        rows = rows.withColumn("__v", F.explode(choice))
-        rows = rows.withColumn("filled", F.when(slot.isNotNull(), F.map_concat("filled", F.map_from_arrays(F.array(F.coalesce(slot, F.lit(""))), F.array("__v")))).otherwise(F.col("filled"))).drop("__v")
-    rows = rows.withColumn("opener", F.explode("openers"))
-    made = rows.select(
-        "family", "level", "multi_row",
-        F.replace("opener", F.lit("{body}"), tx.fill(F.col("body"), F.col("filled"))).alias("question"),
-        tx.fill(F.col("gold"), F.col("filled")).alias("gold"),
-        F.col("filled").alias("slots"),
-    )
+    rows = instances(spark, values).withColumn("opener", F.explode("openers"))
+    made = rows.select("family", "level", "multi_row", F.replace("opener", F.lit("{body}"), F.col("body")).alias("question"), "gold", "slots")
     rank = F.row_number().over(Window.partitionBy("family").orderBy(*splits.hash_order("question", seed)))
     return made.withColumn("order", rank).filter(F.col("order") <= cap)
 

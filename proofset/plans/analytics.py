@@ -357,7 +357,7 @@ def _shop(s, d):
 
 
 def slot_pools(s, d):
-    return taskgen.slot_values(_shop(s, d)).filter("slot IN ('city', 'segment', 'category', 'status', 'month')").select("slot", "value")
+    return taskgen.slot_values(_shop(s, d)).select("slot", "value")
 
 
 POOLS_SQL = """SELECT 'city' AS slot, n_name AS value FROM (SELECT DISTINCT n_name FROM customer JOIN nation ON c_nationkey = n_nationkey)
@@ -395,8 +395,10 @@ _ENUMERATED_SQL = f"{_made_sql()} family, level, least(n_golds * openers, {taskg
 
 
 def enumerate_sizes(s, d):
-    tasks = taskgen.enumerate_tasks(s, taskgen.slot_values(_shop(s, d)))
-    return tasks.groupBy("family", "level").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("gold").alias("n_golds"))
+    values = taskgen.slot_values(_shop(s, d))
+    tasks = taskgen.enumerate_tasks(s, values).groupBy("family", "level").agg(F.count(F.lit(1)).alias("n"))
+    golds = taskgen.instances(s, values).groupBy("family", "level").agg(F.countDistinct("gold").alias("n_golds"))
+    return tasks.join(golds, ["family", "level"])
 
 
 _STAR_YIELD = f"WITH {SAMPLES}, g AS (SELECT lang, source, max(CAST(correct AS INTEGER)) AS hit FROM x GROUP BY 1, 2) SELECT lang, CAST(sum(hit) AS BIGINT) AS kept, count(*) AS tasks, round(sum(hit) * 1.0e0 / count(*), 3) AS yield FROM g GROUP BY lang"
