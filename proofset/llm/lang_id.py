@@ -7,6 +7,9 @@ runs of words from documents of different languages, by the exact gradient from
 forward-backward. A document's label is the one with the largest mean posterior
 over its words, which is also the score.
 
+A run of more than ``LETTERS`` letters without a space is several words: it is split
+where its letters end and, where they go on, into even pieces. So every letter counts.
+
 Words are looked up by their raw form in a bounded memory of emission scores;
 forward-backward runs over all documents of a chunk at once, step by step, with
 the documents that are still running.
@@ -30,6 +33,7 @@ Defined results
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -45,7 +49,7 @@ FOLDS, HELD_OUT = 5, 0
 SAMPLE_DOCS, SAMPLE_BYTES, MAX_LANGS = 2400, 20_000, 64
 UNKNOWN = "und"
 
-#: Letters of a word that are looked at; longer words keep both ends.
+#: Letters of a word at most; longer runs are several words.
 LETTERS = 20
 TABLE = 1 << 16
 LEXICON_WORDS = 30_000
@@ -58,8 +62,29 @@ _SALT = mix64(np.arange(1, 9, dtype=_U) * _U(0x9E3779B97F4A7C15))
 
 
 def letters(raw: str) -> str:
-    word = "".join(c for c in raw.lower() if c.isalpha())
-    return word if len(word) <= LETTERS else word[: LETTERS // 2] + word[-LETTERS // 2 :]
+    return "".join(c for c in raw.lower() if c.isalpha())
+
+
+def pieces(run: str) -> list[str]:
+    """The words of a run without spaces, of at most ``LETTERS`` letters each."""
+    word = letters(run)
+    if len(word) <= LETTERS:
+        return [word] if word else []
+    # Marks and format characters stand within words of many scripts.
+    apart = "".join(c if c.isalpha() else "" if unicodedata.category(c) in ("Mn", "Mc", "Me", "Cf") else " " for c in run.lower())
+    out = []
+    for part in apart.split():
+        n = -(-len(part) // LETTERS)
+        out += [part[i * len(part) // n : (i + 1) * len(part) // n] for i in range(n)]
+    return out
+
+
+def runs(text: str) -> list[str]:
+    """Words of a text in raw form; long runs as their pieces."""
+    found = text.split()
+    if max(map(len, found), default=0) <= LETTERS:
+        return found
+    return [p for r in found for p in (pieces(r) if len(r) > LETTERS else (r,))]
 
 
 def feature_rows(words: list[str], lexicon: dict[str, int]) -> np.ndarray:
@@ -163,7 +188,7 @@ class Field:
         self.known.update((r, distinct[w] if w else -1) for r, w in forms.items())
 
     def label(self, texts: list[str]) -> list[tuple[str, float]]:
-        tokens = [t.split() for t in texts]
+        tokens = [runs(t) for t in texts]
         new = set().union(*tokens).difference(self.known)
         if new:
             self.learn(set().union(*tokens) if len(self.known) + len(new) > MEMORY_WORDS else new)
@@ -189,7 +214,7 @@ def train(sample: list[tuple[str, str]], seed: int = 5) -> Field | None:
         return None
     rng = np.random.default_rng(seed)
     k = len(labels)
-    docs = [([w for w in map(letters, text.split()) if w], labels.index(lang)) for text, lang in dict.fromkeys(sample)]
+    docs = [([w for w in map(letters, runs(text)) if w], labels.index(lang)) for text, lang in dict.fromkeys(sample)]
     docs = [d for d in docs if d[0]]
     seen: dict[str, int] = {}
     for words, _ in docs:

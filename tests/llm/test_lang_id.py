@@ -78,3 +78,16 @@ def test_memory_is_bounded(monkeypatch, prose):
     small = op.train([("un deux trois", "fr"), ("one two three", "en")])
     again = [small.label([prose(i, 400)])[0] for i in (1, 2)]
     assert [a[0] for a in again] == [w[0] for w in whole] and np.allclose([a[1] for a in again], [w[1] for w in whole], atol=2e-4)
+
+
+def test_every_letter_of_a_long_run_counts(prose):
+    assert op.pieces("don't") == ["dont"] and op.pieces("1" * 99) == []
+    for run in ("x" * 10_000, "un,deux;" * 500, "ab" * 10 + "c"):
+        assert "".join(op.pieces(run)) == op.letters(run) and max(map(len, op.pieces(run))) <= op.LETTERS
+    assert op.pieces("un,deux," * 9) == ["un", "deux"] * 9
+    model = op.train([(prose(i, 60, "aei"), "one") for i in range(80)] + [(prose(1000 + i, 60, "ouy"), "two") for i in range(80)])
+    few, many = prose(1, 5, "aei"), prose(2, 3000, "ouy")
+    assert [f[0] for f in model.label([f"{few} {many.replace(' ', '')}", f"{few} {many.replace(' ', ',')}"])] == ["two", "two"]
+    ends = prose(3, 20, "aei").replace(" ", "")
+    inner = [ends + prose(4, 2000, v).replace(" ", "") + ends for v in ("aei", "ouy")]
+    assert [f[0] for f in model.label(inner)] == ["one", "two"]
