@@ -14,9 +14,10 @@ Words are looked up by their raw form in a bounded memory of emission scores;
 forward-backward runs over all documents of a chunk at once, step by step, with
 the documents that are still running.
 
-The fit sees at most ``SAMPLE_DOCS`` documents of up to ``SAMPLE_BYTES`` bytes, drawn
-by a hash of the id and shared evenly by at most ``MAX_LANGS`` languages. Prediction
-reads every whole text.
+The fit sees at most ``SAMPLE_DOCS`` documents, drawn by a hash and shared evenly by
+all languages (one document each where there are more languages than that). Of a text
+over ``SAMPLE_BYTES`` bytes it sees a window at a drawn place. Prediction reads every
+whole text.
 
 Defined results
     null text, no letter   ``und`` with score 0
@@ -39,14 +40,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofset.llm.common import documents, id_remainder, mix64, ship
 
 FOLDS, HELD_OUT = 5, 0
 #: Bounds of the training sample.
-SAMPLE_DOCS, SAMPLE_BYTES, MAX_LANGS = 2400, 20_000, 64
+SAMPLE_DOCS, SAMPLE_BYTES = 2400, 20_000
 UNKNOWN = "und"
 
 #: Letters of a word at most; longer runs are several words.
@@ -148,9 +149,10 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transition: np.nda
         if t + 1 < len(running):
             go = running[t + 1]
             ahead = emit[at[:go] + 1] * beta[:go]
-            pair = alpha[at[:go]][:, :, None] * move[None] * ahead[:, None, :]
-            expected += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
             back = ahead @ move.T
+            before = alpha[at[:go]]
+            before = before / (before * back).sum(axis=1, keepdims=True)
+            expected += move * (before.T @ ahead)  # never labels x labels for each sequence
             beta[:go] = back / back.sum(axis=1, keepdims=True)
         both = alpha[at] * beta[:m]
         posterior[at] = both / both.sum(axis=1, keepdims=True)
@@ -266,15 +268,21 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
     """Labelled rows that aren't held out, by the bounds above."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter("text IS NOT NULL AND lang IS NOT NULL").filter(id_remainder(F.col("id"), FOLDS) != HELD_OUT)
-    rows = rows.filter(F.octet_length("text").between(1, SAMPLE_BYTES))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    rows = rows.filter(F.octet_length("text") > 0)
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return []
-    each = SAMPLE_DOCS // len(counts)
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1.0, 1.2 * each / r.n))))
-    drawn = rows.withColumn("draw", draw).filter(F.col("draw") < share[F.col("lang")])
-    found = drawn.orderBy("draw").limit(2 * SAMPLE_DOCS).select("text", "lang").collect()
+    each = max(1, SAMPLE_DOCS // len(counts))
+    # A few more than asked for are drawn, so that hardly any language has fewer; the rank is exact.
+    ample = each + 6 * each**0.5 + 20
+    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1.0, ample / r.n))))
+    window = SAMPLE_BYTES // 4  # characters have up to four bytes
+    begin = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - window + 1, F.lit(1))).cast("int") + 1
+    seen = F.when(F.octet_length("text") > SAMPLE_BYTES, F.substring("text", begin, F.lit(window))).otherwise(F.col("text"))
+    drawn = rows.withColumn("draw", draw).filter(F.col("draw") < share[F.col("lang")]).select(seen.alias("text"), "lang", "draw")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
+    found = drawn.withColumn("rank", rank).filter(F.col("rank") <= each).select("text", "lang").collect()
     return sorted((r.text, r.lang) for r in found)
 
 

@@ -91,3 +91,16 @@ def test_every_letter_of_a_long_run_counts(prose):
     ends = prose(3, 20, "aei").replace(" ", "")
     inner = [ends + prose(4, 2000, v).replace(" ", "") + ends for v in ("aei", "ouy")]
     assert [f[0] for f in model.label(inner)] == ["one", "two"]
+
+
+def test_every_language_is_in_the_bounded_sample(spark, frame, prose, monkeypatch):
+    """More languages than 64, one that has long texts only, and more documents than asked for."""
+    rows = [(i, prose(i, 5), f"l{i % 70:02d}") for i in range(1400)]
+    rows += [(2000 + i, prose(i, 9_000), "long") for i in range(10)]
+    monkeypatch.setattr(op, "SAMPLE_DOCS", 7 * 71)
+    found = op.training_sample(frame(rows, clashes=False), "doc_id", "text", "lang")
+    taken = {lang: sum(x == lang for _, x in found) for lang in {r[2] for r in rows}}
+    assert len(taken) == 71 and all(1 <= n <= 7 for n in taken.values()) and len(found) <= op.SAMPLE_DOCS
+    assert all(len(text.encode()) <= op.SAMPLE_BYTES and text.strip() for text, _ in found)
+    monkeypatch.setattr(op, "SAMPLE_DOCS", 10)
+    assert {lang for _, lang in op.training_sample(frame(rows, clashes=False), "doc_id", "text", "lang")} == set(taken)
