@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from proofset.llm.common import documents, mix64, ship, stage, text_chunks
 from proofset.llm.near_dedup import word_hashes
 
-ORDER, BACKOFF = 2, 0.4
+ORDER, BACKOFF = 3, 0.4
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 TEXT_LEVEL = 6
 _U = np.uint64

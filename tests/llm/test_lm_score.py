@@ -65,3 +65,10 @@ def test_numbers_survive_packing():
     for top in (1, 255, 256, 70_000, 2**33):
         values = rng.integers(0, top + 1, size=50)
         assert (op.widened(memoryview(op.narrow(values))) == values).all()
+
+
+def test_query_hears_usual_bigrams_in_an_unusual_order(frame):
+    """Both probes are made of equally frequent bigrams; only one has a trigram that occurs elsewhere."""
+    rows = [(i, "a b c" if i % 2 else "x b y") for i in range(100)] + [(200, "a b c"), (201, "x b c")]
+    got = {r[0]: r.score for r in op.lm_scores(frame(rows)).collect()}
+    assert got[200] > got[201]
