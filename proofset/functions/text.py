@@ -92,7 +92,7 @@ def is_write(sql: Column) -> Column:
     """Starts with a write verb (as a prefix), or has a later part that does."""
     verbs = f"^(?:{'|'.join(WRITE_VERBS)})"
     parts = F.filter(F.transform(F.split(sql, ";"), lambda p: F.lower(_strip(p))), lambda p: p != "")
-    later = F.exists(F.slice(parts, 2, 10_000), lambda p: p.rlike(verbs))
+    later = F.exists(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda p: p.rlike(verbs))
     return _head(sql).rlike(verbs) | F.coalesce(later, F.lit(False))
 
 

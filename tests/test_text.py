@@ -62,6 +62,12 @@ def test_guards(spark, sql, write, read_only):
     assert value(spark, tx.is_read_only(F.lit(sql))) is read_only
 
 
+def test_a_write_far_behind_is_flagged(spark):
+    assert value(spark, tx.is_write(F.concat(F.repeat(F.lit("SELECT 1;"), 10_005), F.lit("DROP TABLE t")))) is True
+    assert value(spark, tx.is_write(F.repeat(F.lit("SELECT 1;"), 10_005))) is False
+    assert value(spark, tx.is_write(F.lit(None).cast("string"))) in (None, False)
+
+
 def test_questions(spark):
     assert value(spark, tx.norm_question(F.lit("  What's the  'Total', élan_2? "))) == "whats the total élan_2"
     assert value(spark, tx.content_tokens(F.lit("How many orders, orders of 2025?"))) == ["orders"]
