@@ -63,12 +63,11 @@ def canonical_matches(candidates: DataFrame, held_out: DataFrame) -> DataFrame:
 def signature_matches(candidates: DataFrame, held_out: DataFrame, least: float = 0.5) -> DataFrame:
     """Rule 4: the first item (by position) with the candidate's signature, and whether its
     question is similar enough to reject. Only that first item counts."""
-    met = candidates.select("id", "signature", tx.content_tokens(F.col("text")).alias("a")).join(
-        held_out.select("item", "signature", "position", tx.content_tokens(F.col("text")).alias("b")), "signature"
-    )
+    firsts = held_out.groupBy("signature").agg(F.min_by(F.struct("item", "position", "text"), "position").alias("first")).select("signature", "first.*")
+    met = candidates.select("id", "signature", tx.content_tokens(F.col("text")).alias("a")).join(firsts.withColumn("b", tx.content_tokens(F.col("text"))), "signature")
+    met = met.select("id", "item", "position", (tx.jaccard(F.col("a"), F.col("b")) >= least).alias("rejected"))
     first = Window.partitionBy("id").orderBy("position")
-    hit = met.withColumn("rank", F.row_number().over(first)).filter("rank = 1")
-    return hit.select("id", "item", (tx.jaccard(F.col("a"), F.col("b")) >= least).alias("rejected"))
+    return met.withColumn("rank", F.row_number().over(first)).filter("rank = 1").select("id", "item", "rejected")
 
 
 def audit(candidates: DataFrame, held_out: DataFrame) -> DataFrame:

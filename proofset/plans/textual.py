@@ -165,6 +165,29 @@ h AS (SELECT DISTINCT id FROM m WHERE k * 1.0e0 / nb >= 0.85),
 d AS (SELECT lang, CASE WHEN h.id IS NULL THEN 'clean' ELSE 'contained' END AS rule FROM documents LEFT JOIN h ON h.id = doc_id)
 SELECT lang, rule, count(*) AS n FROM d GROUP BY ROLLUP (lang, rule)"""
 
+#: Golds by id, written in two ways, and signatures by the first characters.
+GOLDS = {"id": "concat('select a.x  from t', CAST(id % 5003 AS STRING), ' a;')", "item": "concat('SELECT x FROM t', CAST(item % 5003 AS STRING))"}
+SIGNATURE = "substring(text, 1, 3)"
+
+
+def contamination_audit(s: SparkSession, d: str) -> DataFrame:
+    """Rules 1 to 4 by precedence over all sentences of documents and held-out items."""
+    candidates = document_sentences(s, d).selectExpr("id", "text", f"{GOLDS['id']} AS gold", f"{SIGNATURE} AS signature")
+    items = held_out_sentences(s, d).selectExpr("item", "item AS position", "text", f"{GOLDS['item']} AS gold", f"{SIGNATURE} AS signature")
+    return contamination.audit(candidates, items).select("id", F.coalesce("rule", F.lit("clean")).alias("rule"))
+
+
+RULES_SQL = f"""WITH {LINES_SQL},
+a AS (SELECT id, {SIGNATURE} AS sig, {NORM.format(x='text')} AS n, {_tokens_sql('text')} AS ta FROM lines),
+b AS (SELECT item, {SIGNATURE} AS sig, {NORM.format(x='text')} AS n, {_tokens_sql('text')} AS tb FROM items),
+m AS ({_MET} AND len(ta) >= 0.85 * len(tb) AND len(tb) >= 0.85 * len(ta)),
+r2 AS (SELECT DISTINCT id FROM m WHERE k * 1.0e0 / (na + nb - k) >= 0.85),
+f AS (SELECT sig, min(item) AS item FROM b GROUP BY sig),
+r4 AS (SELECT a.id, len(list_intersect(ta, tb)) AS k, len(ta) + len(tb) AS both FROM a JOIN f ON f.sig = a.sig JOIN b ON b.item = f.item)
+SELECT a.id, CASE WHEN a.n IN (SELECT n FROM b) THEN 'rule1_exact_question' WHEN r2.id IS NOT NULL THEN 'rule2_near_duplicate_question'
+ WHEN a.id % 5003 IN (SELECT item % 5003 FROM b) THEN 'rule3_canonical_sql' WHEN r4.both = 0 OR r4.k * 1.0e0 / (r4.both - r4.k) >= 0.5 THEN 'rule4_result_and_question'
+ WHEN r4.id IS NOT NULL THEN 'signature_only' ELSE 'clean' END AS rule FROM a LEFT JOIN r2 ON r2.id = a.id LEFT JOIN r4 ON r4.id = a.id"""
+
 #: Questions of many shapes, by customer.
 QUESTION = """CASE c_custkey % 7
  WHEN 0 THEN concat('List the names of all customers in ', c_mktsegment, '. List products too.')
@@ -340,6 +363,7 @@ QUERIES = {
     "leak_rule2": (leak_rule2, RULE2_SQL),
     "leak_containment": (leak_containment, CONTAIN_SQL),
     "leak_audit": (leak_audit, AUDIT_SQL),
+    "contamination_audit": (contamination_audit, RULES_SQL),
     "perturb_paraphrase": (_apply(tx.paraphrase), _paraphrase_sql()),
     "perturb_rename": (_apply(tx.rename), _rename_sql()),
     "perturb_distractor": (_apply(tx.distractor, "c_custkey"), DISTRACT_SQL),

@@ -50,3 +50,10 @@ def test_no_python_in_plans(spark, small):
     for name, query in catalogue.queries().items():
         plan = query(spark, small)._jdf.queryExecution().toString()
         assert not any(x in plan for x in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "MapInArrow")), name
+
+
+def test_audit_of_whole_tables_meets_every_rule(spark, small):
+    """Its rows are held against SQL above."""
+    found = {r.rule for r in catalogue.queries()["contamination_audit"](spark, small).select("rule").distinct().collect()}
+    rules = {"rule1_exact_question", "rule2_near_duplicate_question", "rule3_canonical_sql", "rule4_result_and_question", "signature_only", "clean"}
+    assert found == rules, rules - found
