@@ -11,8 +11,8 @@ does not give its ids. The forward state of a prefix is therefore the last piece
 BPE segmentation: a piece t extends the segmentation of the prefix before it if its
 pair with that prefix's last piece is stable, that is, if merging the pair's characters
 by rank gives the pair again. A segmentation whose neighbours are all stable is the
-BPE one, so exactly one state survives per prefix, as with Viterbi's best one. Unigram
-models take the best sum. Words with several leading marks, whose pieces share one
+BPE one, so exactly one state survives per prefix, as with Viterbi's best one. Models
+of other kinds (unigram ones take the best sum) are refused. Words with several leading marks, whose pieces share one
 score, are left to the library.
 
 Characters without a piece become their UTF-8 bytes' pieces.
@@ -59,6 +59,35 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def _fields(proto: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of a serialized message's fields."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte, at = proto[at], at + 1
+            value, shift = value | (byte & 127) << shift, shift + 7
+            if byte < 128:
+                return value
+
+    while at < len(proto):
+        key = number()
+        size = {1: 8, 5: 4}.get(key & 7)
+        if key & 7 == 0:
+            yield key >> 3, number()
+            continue
+        size = number() if size is None else size
+        yield key >> 3, proto[at : at + size]
+        at += size
+
+
+def is_bpe(proto: bytes) -> bool:
+    """Whether a model's trainer says BPE (field 3 of field 2 is 2; unigram where unstated)."""
+    return any(n == 3 and v == 2 for number, spec in _fields(proto) if number == 2 for n, v in _fields(spec))
+
+
 class Memory(dict):
     """A mapping of bounded size in two generations: what is used lives on, the rest is let go."""
 
@@ -82,6 +111,8 @@ class Pieces:
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        if not is_bpe(sp.serialized_model_proto()):
+            raise ValueError(f"{path} is not a BPE model; only those are encoded")
         plain = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.ids = {sp.id_to_piece(i): i for i in plain}
         self.rank = {sp.id_to_piece(i): -sp.get_score(i) for i in plain}

@@ -50,3 +50,15 @@ def test_frames(spark, frame, odd_rows, model):
     digests = op.digests(frame(odd_rows)).collect()
     assert len(digests) == len(odd_rows) and all(r.round_trip for r in digests)
     assert op.encode(frame([])).count() == 0 and op.digests(frame([])).count() == 0
+
+
+def test_other_models_are_refused(tmp_path, prose):
+    import sentencepiece
+
+    made = {}
+    for kind in ("unigram", "bpe"):
+        sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter([prose(i, 30) for i in range(50)]), model_prefix=str(tmp_path / kind), vocab_size=330, model_type=kind, byte_fallback=True, hard_vocab_limit=False, minloglevel=2)
+        made[kind] = str(tmp_path / f"{kind}.model")
+    with pytest.raises(ValueError, match="not a BPE model"):
+        op.Pieces(made["unigram"])
+    assert op.Pieces(made["bpe"]).encode(["un deux"])
