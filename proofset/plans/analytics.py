@@ -232,6 +232,21 @@ h AS (SELECT resample, CAST(('0x' || substring(md5(concat('boot0:', CAST(resampl
 SELECT resample, round(sum(CASE WHEN place < lo THEN -1.0e0 WHEN place < mid THEN 0.0e0 ELSE 1.0e0 END) / max(n), 6) AS mean FROM h GROUP BY resample"""
 
 
+def paired_interval(s, d):
+    """The paired bootstrap with its own number of resamples."""
+    found = stats.paired_bootstrap(samples(s, d).withColumn("b", 1 - F.col("toxic")), "quality", "b")
+    row = (found["delta"], *found["ci"], found["p_two_sided"], found["n"])
+    return s.createDataFrame([row], "delta double, low double, high double, p double, n long").select(_r("delta"), _r("low"), _r("high"), _r("p"), "n")
+
+
+INTERVAL_SQL = f"""WITH {SAMPLES}, v AS (SELECT 1 - toxic - quality AS d FROM x), n AS (SELECT count(*) AS n, count(*) FILTER (WHERE d = -1) AS lo, count(*) FILTER (WHERE d <= 0) AS mid, sum(d) * 1.0e0 / count(*) AS delta FROM v),
+r AS (SELECT unnest(range(0, 10000)) AS resample), q AS (SELECT unnest(range(0, (SELECT n FROM n))) AS draw),
+h AS (SELECT resample, CAST(('0x' || substring(md5(concat('boot0:', CAST(resample AS VARCHAR), ':', CAST(draw AS VARCHAR))), 1, 12)) AS BIGINT) % n AS place, lo, mid, n FROM r, q, n),
+m AS (SELECT resample, sum(CASE WHEN place < lo THEN -1.0e0 WHEN place < mid THEN 0.0e0 ELSE 1.0e0 END) / max(n) AS mean FROM h GROUP BY resample),
+o AS (SELECT mean, row_number() OVER (ORDER BY mean) - 1 AS spot FROM m)
+SELECT round(max(delta), 6) AS delta, round(max(mean) FILTER (WHERE spot = 250), 6) AS low, round(max(mean) FILTER (WHERE spot = 9750), 6) AS high, round(count(*) FILTER (WHERE abs(mean - delta) >= abs(delta)) / 10000.0e0, 6) AS p, max(n) AS n FROM o, n"""
+
+
 def seed_summary(s, d):
     runs = events(s, d).groupBy((F.col("user_id") % 7).alias("config"), "user_id").agg(F.avg(F.col("correct").cast("int")).alias("accuracy"))
     out = stats.seed_summary(runs, "accuracy", "config")
@@ -428,6 +443,7 @@ QUERIES = {
     "report_number": (report_number, REPORT_SQL),
     "mcnemar_counts": (mcnemar_counts, MCNEMAR_SQL),
     "bootstrap_means": (bootstrap_means, BOOT_SQL),
+    "paired_interval": (paired_interval, INTERVAL_SQL),
     "seed_summary": (seed_summary, SEED_SQL),
     "p50_p95": (p50_p95, P_SQL),
     "error_taxonomy": (error_taxonomy, TAXONOMY_SQL),

@@ -34,6 +34,13 @@ def list_differences(s: SparkSession, d: str) -> DataFrame:
     return em.differences(em.normalised(cheap), em.normalised(dear), ordered=True).select("c0", F.col("__pos").alias("pos"), "n_a", "n_b")
 
 
+def whole_list_differences(s: SparkSession, d: str) -> DataFrame:
+    """Two orders of a whole table, compared by position."""
+    rows = t.products(s, d)
+    cheap, dear = (rows.orderBy(way, "product_id").select("product_id") for way in (F.asc("price"), F.desc("price")))
+    return em.differences(em.normalised(cheap), em.normalised(dear), ordered=True).select("c0", F.col("__pos").alias("pos"), "n_a", "n_b")
+
+
 def signatures(s: SparkSession, d: str) -> DataFrame:
     """Row counts of a few results whose signatures agree or not with their reordered selves."""
     out = None
@@ -47,6 +54,7 @@ def signatures(s: SparkSession, d: str) -> DataFrame:
 _SIDES = """a AS (SELECT strftime(order_date, '%m') AS c0, CAST(customer_id % 50 AS DOUBLE) AS c1, 1 AS x, 0 AS y FROM shop_orders WHERE status = 'P'),
 b AS (SELECT strftime(order_date, '%m') AS c0, CAST(customer_id % 50 AS DOUBLE) AS c1, 0 AS x, 1 AS y FROM shop_orders WHERE status = 'O')"""
 _TOP = "SELECT CAST(product_id AS DOUBLE) AS c0, row_number() OVER (ORDER BY price {way}, product_id) - 1 AS pos FROM products QUALIFY row_number() OVER (ORDER BY price {way}, product_id) <= 40"
+_ALL = "SELECT CAST(product_id AS DOUBLE) AS c0, row_number() OVER (ORDER BY price {way}, product_id) - 1 AS pos FROM products"
 
 QUERIES = {
     "exec_match_bag": (
@@ -58,6 +66,10 @@ QUERIES = {
         list_differences,
         f"{SHOP}, l AS ({_TOP.format(way='')}), r AS ({_TOP.format(way='DESC')}) SELECT c0, pos, CAST(sum(x) AS BIGINT) AS n_a, CAST(sum(y) AS BIGINT) AS n_b FROM (SELECT c0, pos, 1 AS x, 0 AS y FROM l UNION ALL SELECT c0, pos, 0, 1 FROM r) GROUP BY c0, pos HAVING sum(x) <> sum(y)",
     ),
+    "exec_match_list_whole": (
+        whole_list_differences,
+        f"{SHOP}, l AS ({_ALL.format(way='')}), r AS ({_ALL.format(way='DESC')}) SELECT c0, pos, CAST(sum(x) AS BIGINT) AS n_a, CAST(sum(y) AS BIGINT) AS n_b FROM (SELECT c0, pos, 1 AS x, 0 AS y FROM l UNION ALL SELECT c0, pos, 0, 1 FROM r) GROUP BY c0, pos HAVING sum(x) <> sum(y)",
+    ),
     "signature_table": (
         signatures,
         "SELECT 'categories' AS name, count(DISTINCT p_type) AS n_rows FROM part UNION ALL SELECT 'months', count(DISTINCT strftime(o_orderdate, '%m')) FROM orders UNION ALL SELECT 'top', least(count(*), 10) FROM part",

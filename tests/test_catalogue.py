@@ -57,3 +57,12 @@ def test_audit_of_whole_tables_meets_every_rule(spark, small):
     found = {r.rule for r in catalogue.queries()["contamination_audit"](spark, small).select("rule").distinct().collect()}
     rules = {"rule1_exact_question", "rule2_near_duplicate_question", "rule3_canonical_sql", "rule4_result_and_question", "signature_only", "clean"}
     assert found == rules, rules - found
+
+
+def test_whole_results_are_compared_in_order(spark, small, other):
+    """Their rows are held against SQL above."""
+    (parts,) = other.execute("SELECT count(*) FROM part").fetchone()
+    rows = catalogue.queries()["exec_match_list_whole"](spark, small).collect()
+    assert max(r.pos for r in rows) == parts - 1 > 40
+    row = catalogue.queries()["paired_interval"](spark, small).first()
+    assert row.low <= row.delta <= row.high and row.low < row.high and 0 <= row.p <= 1
