@@ -1,8 +1,12 @@
 """Shared plumbing of the training-data operators.
 
 Scratch tables go to the folder in ``spark.checkpoint.dir`` (shared by driver
-and executors). Only where that setting is absent, as in tests, a temporary
-folder of this machine is chosen.
+and executors). Where that setting is absent, a local master, as in tests, gets a
+temporary folder of this machine; on a cluster that is an error.
+
+A row is told from others by ``row_keys``: 128 bits of its id and text. Decisions
+about rows (which copies go) are taken by these keys, never by ids alone, as an id
+may stand on several texts or be null.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -27,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared scratch folder, without a trailing slash."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='proofset-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -68,6 +74,68 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+#: Upper bound of a bitmap of row keys: so many 64-bit words.
+BITMAP_WORDS = 1 << 20
+
+
+def fresh(names: Iterable[str], wanted: str) -> str:
+    """A column name like ``wanted`` that is not among ``names``, upper or lower case."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row_keys(id_col: Column, text: Column) -> tuple[Column, Column]:
+    """128 bits that rows with the same id and text share; null texts count as empty ones."""
+    name, body = id_col.cast("string"), F.coalesce(text.cast("string"), F.lit(""))
+    return F.xxhash64(name, body), F.xxhash64(F.lit(7), body, name)
+
+
+def bit(k2: Column) -> Column:
+    """The key's bit in its word of a bitmap."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.call_function("shiftrightunsigned", k2, F.lit(58)).cast("int"))
+
+
+def bitmap(keys: DataFrame) -> tuple[DataFrame, int]:
+    """(word, bits) over the (k1, k2) of ``keys`` and the number of words, which is bounded.
+
+    Keys that are not in it are surely not among ``keys``; a full bitmap lets more
+    rows pass and loses none.
+    """
+    words = max(1 << 10, min(BITMAP_WORDS, 4 * keys.count()))
+    marked = keys.select(F.pmod("k1", F.lit(words)).alias("word"), bit(F.col("k2")).alias("bit"))
+    return stage(marked.groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")), "bitmap"), words
+
+
+def sifted(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(rows that may be among ``keys``, rows that surely aren't, names of the former's keys).
+
+    Only the former need a shuffle to tell. Both have the columns of ``docs``, the
+    former its two keys besides.
+    """
+    k1, k2, word, bits = (fresh(docs.columns, n) for n in ("row_k1", "row_k2", "row_word", "row_bits"))
+    marks, words = bitmap(keys)
+    keyed = docs.withColumns(dict(zip((k1, k2), row_keys(quoted(id_col), quoted(text_col)), strict=True)))
+    keyed = keyed.withColumn(word, F.pmod(k1, F.lit(words)))
+    seen = keyed.join(F.broadcast(marks.toDF(word, bits)), word, "left")
+    hit = F.coalesce(F.col(bits).bitwiseAND(bit(F.col(k2))) != 0, F.lit(False))
+    columns = [quoted(c) for c in docs.columns]
+    return seen.filter(hit).select(*columns, k1, k2), seen.filter(~hit).select(*columns), [k1, k2]
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` less the rows whose keys are in ``gone`` (k1, k2), which is read more than once."""
+    may, clear, keys = sifted(docs, gone, id_col, text_col)
+    kept = may.join(gone.select("k1", "k2").toDF(*keys), keys, "left_anti").select(*(quoted(c) for c in docs.columns))
+    return clear.union(kept)
+
+
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null ids count as empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(modulus))

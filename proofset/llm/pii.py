@@ -2,6 +2,9 @@
 
 Regular expressions propose spans. Positions come from the pieces between matches
 and the matches themselves, whose lengths add up; all positions are code points.
+Running sums and maxima are folded in runs of ``RUN`` values whose totals are folded
+in turn, and parts of a text are cut from its chunks of ``CHUNK`` code points, so the
+work grows with the text and its spans, not with their product.
 Validators confirm: octet ranges of addresses, Luhn for cards, digit counts for
 phones, mod-97 for IBANs. Words nearby ("card", "phone", "iban" ...) raise a span's
 score. Base kinds (email, ip, card, phone) are always reported; the added kinds,
@@ -18,7 +21,8 @@ Defined results
     overlaps             kinds are independent; each may report the same place
     repeated rows        each is searched by itself
     empty table          empty result
-    extra columns        ``redact`` keeps them; ``find`` does not read them
+    extra columns        ``redact`` keeps them, whatever their names; ``find`` does not
+                         read them
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofset.llm.common import documents
+from proofset.llm.common import documents, fresh, quoted
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
@@ -55,76 +59,92 @@ CONTEXT = {
     "ssn": r"\bssn\b|social security|tax id",
 }
 
-_SPANS = "array<struct<start:int,kind:int,end:int,score:double>>"
-
-
-def _digits(match: Column) -> Column:
-    return F.regexp_replace(match, "[^0-9]", "")
-
+#: Values of a running fold, and code points of a text, that are taken together.
+RUN, CHUNK = 64, 512
 
-def _luhn(match: Column) -> Column:
-    digits = F.filter(F.split(F.reverse(_digits(match)), ""), lambda c: c != "")
-    doubled = F.transform(
-        digits,
-        lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)),
-    )
-    return F.aggregate(doubled, F.lit(0), lambda a, x: a + x) % 10 == 0
+_SPANS = "array<struct<start:int,kind:int,end:int,score:double>>"
 
+# Expressions below are SQL text: one parse instead of thousands of column calls.
+# Names that they bind in lambdas are theirs; the text is the expression passed in.
 
-def _mod97(match: Column) -> Column:
-    flat = F.replace(match, F.lit(" "), F.lit(""))
-    turned = F.concat(F.substring(flat, 5, 64), F.substring(flat, 1, 4))
-    chars = F.filter(F.split(turned, ""), lambda c: c != "")
-    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
-    return F.aggregate(chars, F.lit(0), lambda a, c: (a * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97) == 1
 
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` for a value that is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-def _valid(kind: str, match: Column) -> Column:
-    if kind == "ip":
-        return match.rlike(r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{0,2})(?:\.|$)){4}$")
-    if kind == "card":
-        n = F.length(_digits(match))
-        return F.when(n.between(14, 19), _luhn(match)).otherwise(False)
-    if kind == "phone":
-        return F.length(_digits(match)).between(10, 15)
-    if kind == "iban":
-        n = F.length(F.replace(match, F.lit(" "), F.lit("")))
-        return F.when(n.between(15, 34), _mod97(match)).otherwise(False)
-    return F.lit(True)
 
+def _numbered(n: str, name: str, body: str) -> str:
+    """``body`` for ``name`` of 0, 1, ... n - 1 as an array."""
+    return f"transform(CASE WHEN {n} > 0 THEN sequence(0, CAST({n} AS INT) - 1) ELSE CAST(array() AS array<int>) END, {name} -> {body})"
 
-def _possible(kind: str, text: Column) -> Column:
-    if kind in NEEDS:
-        return F.contains(text, F.lit(NEEDS[kind]))
-    return text.rlike({"card": r"[0-9](?:[\x20-]?[0-9]){13}", "iban": r"[A-Z]{2}[0-9]{2}"}[kind])
 
+def _running(values: str, fold: str, level: int = 2) -> str:
+    """The folds, from 0, of the first value, the first two values and so on.
 
-def _proposed(kind: str, text: Column) -> Column:
-    """Confirmed matches of a kind as structs of start, kind's number, end and match."""
-    pattern = PATTERNS[kind]
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("found"))
-    number = KINDS.index(kind)
+    ``fold`` is of ``a`` and ``x``. A value's fold starts from that of the runs before
+    its own, which is found the same way.
+    """
+    v, before, i, b = (f"{n}{level}" for n in ("v", "before", "i", "b"))
+    if not level:
+        return _let(v, values, _numbered(f"size({v})", i, f"aggregate(slice({v}, 1, {i} + 1), 0, (a, x) -> {fold})"))
+    totals = _numbered(f"ceil(size({v}) / {RUN})", b, f"aggregate(slice({v}, {b} * {RUN} + 1, {RUN}), 0, (a, x) -> {fold})")
+    base = f"CASE WHEN {i} >= {RUN} THEN get({before}, {i} div {RUN} - 1) ELSE 0 END"
+    each = f"aggregate(slice({v}, {i} - {i} % {RUN} + 1, {i} % {RUN} + 1), {base}, (a, x) -> {fold})"
+    return _let(v, values, _let(before, _running(totals, fold, level - 1), _numbered(f"size({v})", i, each)))
+
+
+def _chunks(text: str) -> str:
+    return f"regexp_extract_all({text}, r'(?s).{{1,{CHUNK}}}', 0)"
+
+
+def _part(start: str, length: str) -> str:
+    """``length`` code points from ``start`` (from 0) of the text in ``chunks``."""
+    first = f"CAST(({start}) div {CHUNK} AS INT)"
+    many = f"greatest(least(CAST(({start} + {length}) div {CHUNK} AS INT) + 1, size(chunks)) - {first}, 0)"
+    return f"substring(array_join(slice(chunks, {first} + 1, {many}), ''), {start} - {first} * {CHUNK} + 1, {length})"
+
+
+_DIGITS = "regexp_replace(s.match, '[^0-9]', '')"
+_FLAT = "replace(s.match, ' ', '')"
+_LUHN = f"""aggregate(transform(filter(split(reverse({_DIGITS}), ''), c -> c <> ''),
+    (c, i) -> CASE WHEN i % 2 = 0 THEN CAST(c AS INT) ELSE CAST(c AS INT) * 2 - CASE WHEN CAST(c AS INT) > 4 THEN 9 ELSE 0 END END), 0, (a, x) -> a + x) % 10 = 0"""
+_VALUE = "CASE WHEN c RLIKE '[0-9]' THEN CAST(c AS INT) ELSE ascii(c) - 55 END"
+_MOD97 = f"""aggregate(filter(split(concat(substring({_FLAT}, 5, 64), substring({_FLAT}, 1, 4)), ''), c -> c <> ''),
+    0, (a, c) -> (a * CASE WHEN c RLIKE '[0-9]' THEN 10 ELSE 100 END + {_VALUE}) % 97) = 1"""
+#: Whether a match ``s.match`` is confirmed.
+_VALID = {
+    "email": "true",
+    "ip": r"s.match RLIKE r'^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{0,2})(?:\.|$)){4}$'",
+    "card": f"CASE WHEN length({_DIGITS}) BETWEEN 14 AND 19 THEN {_LUHN} ELSE false END",
+    "phone": f"length({_DIGITS}) BETWEEN 10 AND 15",
+    "iban": f"CASE WHEN length({_FLAT}) BETWEEN 15 AND 34 THEN {_MOD97} ELSE false END",
+    "ssn": "true",
+}
+#: A cheap sign that the kind can occur at all.
+_POSSIBLE = {k: f"contains({{text}}, '{c}')" for k, c in NEEDS.items()} | {
+    "card": r"{text} RLIKE r'[0-9](?:[\x20-]?[0-9]){{13}}'",
+    "iban": "{text} RLIKE '[A-Z]{{2}}[0-9]{{2}}'",
+}
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(a["found"], F.array(one)).alias("found"))
 
-    paired = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    found = F.aggregate(paired, zero, step, lambda a: a["found"])
-    kept = F.filter(found, lambda s: _valid(kind, s["match"]))
-    spans = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(number).alias("kind"), s["end"].alias("end"), _score(kind, text, s).alias("score")))
-    spans = spans if kind in BASE_KINDS else F.filter(spans, lambda s: s["score"] >= THRESHOLD)
-    none = F.array().cast(_SPANS)
-    return F.when(_possible(kind, text), spans.cast(_SPANS)).otherwise(none)
+def _proposed(kind: str, text: str) -> str:
+    """Confirmed matches of a kind as structs of start, kind's number, end and score."""
+    pattern, none = f"r'{PATTERNS[kind]}'", f"CAST(array() AS {_SPANS})"
+    steps = f"zip_with(slice(split({text}, {pattern}, -1), 1, size(found)), found, (g, m) -> length(g) + length(m))"
+    placed = f"zip_with(found, {_running(steps, 'a + x')}, (m, e) -> named_struct('start', e - length(m), 'end', e, 'match', m))"
+    near = _part(f"greatest(s.start - {REACH}, 0)", f"(s.end - s.start + {2 * REACH})")
+    score = f"least({PRIOR[kind]}D + CASE WHEN {near} RLIKE r'(?i){CONTEXT[kind]}' THEN {BOOST}D ELSE 0D END, 1D)"
+    spans = f"CAST(transform(kept, s -> named_struct('start', s.start, 'kind', {KINDS.index(kind)}, 'end', s.end, 'score', {score})) AS {_SPANS})"
+    scored = f"CASE WHEN size(kept) > 0 THEN {_let('chunks', _chunks(text), spans)} ELSE {none} END"
+    out = _let("found", f"regexp_extract_all({text}, {pattern}, 0)", _let("kept", f"filter({placed}, s -> {_VALID[kind]})", scored))
+    if kind not in BASE_KINDS:
+        out = f"filter({out}, s -> s.score >= {THRESHOLD}D)"
+    return f"CASE WHEN {_POSSIBLE[kind].format(text=text)} THEN {out} ELSE {none} END"
 
 
-def _score(kind: str, text: Column, span: Column) -> Column:
-    near = F.substring(text, F.greatest(span["start"] - REACH + 1, F.lit(1)), span["end"] - span["start"] + 2 * REACH)
-    return F.least(F.lit(PRIOR[kind]) + F.when(near.rlike(f"(?i){CONTEXT[kind]}"), BOOST).otherwise(0.0), F.lit(1.0))
+def _spans(text: str) -> str:
+    """All spans in order."""
+    return f"sort_array(concat({', '.join(_proposed(k, f"coalesce({text}, '')") for k in KINDS)}))"
 
 
 def _joined(spans: Column) -> Column:
@@ -132,61 +152,49 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _with_spans(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` and ``__spans``: all spans in order."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumns({f"__{k}": _proposed(k, text) for k in KINDS})
-    out = out.withColumn("__spans", F.sort_array(F.concat(*(F.col(f"__{k}") for k in KINDS))))
-    return out.drop(*(f"__{k}" for k in KINDS))
+def _text(name: str) -> str:
+    return f"CAST(`{name.replace('`', '``')}` AS STRING)"
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_<base kind>, base_sha256, spans, scores."""
-    found = _with_spans(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
-    of = lambda k: F.size(F.filter("__spans", lambda s: s["kind"] == KINDS.index(k))).cast("long")
-    base = F.filter("__spans", lambda s: s["kind"] < len(BASE_KINDS))
+    found = docs.select(quoted(id_col).alias("id"), F.expr(_spans(_text(text_col))).alias("found"))
+    of = lambda k: F.size(F.filter("found", lambda s: s["kind"] == KINDS.index(k))).cast("long")
+    base = F.filter("found", lambda s: s["kind"] < len(BASE_KINDS))
     return found.select(
         "id",
         *(of(k).alias(f"n_{k}") for k in BASE_KINDS),
         F.sha2(_joined(base), 256).alias("base_sha256"),
-        _joined(F.col("__spans")).alias("spans"),
-        F.array_join(F.transform("__spans", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"),
+        _joined(F.col("found")).alias("spans"),
+        F.array_join(F.transform("found", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"),
     )
 
 
+def _cleaned(text: str, spans: str) -> str:
+    """The text with every run of overlapping spans replaced by the first one's kind."""
+    begins = _numbered("size(found)", "i", "CASE WHEN i = 0 OR get(found, i).start >= get(reach, greatest(i - 1, 0)) THEN i END")
+    run = """named_struct('start', get(found, i).start, 'kind', get(found, i).kind, 'end', get(reach, coalesce(get(firsts, k + 1), size(found)) - 1))"""
+    runs = _let("firsts", f"filter({begins}, i -> i IS NOT NULL)", f"transform(firsts, (i, k) -> {run})")
+    before = "CASE WHEN i > 0 THEN get(runs, greatest(i - 1, 0)).end ELSE 0 END"
+    names = f"array({', '.join(f"'<{k}>'" for k in KINDS)})"
+    pieces = f"transform(runs, (s, i) -> concat({_part(f'({before})', f'(s.start - ({before}))')}, element_at({names}, s.kind + 1)))"
+    last = "element_at(runs, -1).end"
+    rebuilt = f"concat(array_join({pieces}, ''), {_part(last, f'(length({text}) - {last})')})"
+    rest = _let("reach", _running("transform(found, s -> s.end)", "greatest(a, x)"), _let("runs", runs, _let("chunks", _chunks(text), rebuilt)))
+    return _let("found", spans, f"CASE WHEN size(found) > 0 THEN {rest} ELSE {text} END")
+
+
 def redact(docs: DataFrame, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with every span of ``text_col`` replaced by its kind in angle brackets.
 
     Overlapping spans become one, named after the first. ``count_col``, if given and
     there, gets the new text's length in code points. Null texts stay null.
     """
-    found = _with_spans(docs, text_col)
-    zero = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-
-    def merge(a: Column, s: Column) -> Column:
-        last = F.element_at(a, -1)
-        meets = (F.size(a) > 0) & (s["start"] < F.when(F.size(a) > 0, last["end"]))
-        longer = F.struct(last["start"].alias("start"), last["kind"].alias("kind"), F.greatest(last["end"], s["end"]).alias("end"))
-        fresh = F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
-        return F.when(F.coalesce(meets, F.lit(False)), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(longer))).otherwise(
-            F.concat(a, F.array(fresh))
-        )
-
-    found = found.withColumn("__merged", F.when(F.size("__spans") > 0, F.aggregate("__spans", zero, merge)).otherwise(zero))
-    names = F.array(*(F.lit(f"<{k}>") for k in KINDS))
-    text = F.col(text_col)
-    pieces = F.transform(
-        "__merged",
-        lambda s, i: F.concat(
-            F.substring(text, F.when(i > 0, F.col("__merged")[i - 1]["end"]).otherwise(0) + 1, s["start"] - F.when(i > 0, F.col("__merged")[i - 1]["end"]).otherwise(0)),
-            F.element_at(names, s["kind"] + 1),
-        ),
-    )
-    tail = F.substring(text, F.element_at("__merged", -1)["end"] + 1, F.length(text))
-    clean = F.when(F.size("__merged") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
-    out = found.withColumn(text_col, clean).drop("__spans", "__merged")
+    found = fresh(docs.columns, "found_spans")
+    text = _text(text_col)
+    out = docs.withColumn(found, F.expr(_spans(text))).withColumn(text_col, F.expr(_cleaned(text, found))).drop(found)
     if count_col and count_col in docs.columns:
-        out = out.withColumn(count_col, F.length(text_col).cast("long"))
+        out = out.withColumn(count_col, F.length(quoted(text_col)).cast("long"))
     return out
 
 
