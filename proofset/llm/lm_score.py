@@ -5,13 +5,16 @@ of documents as rows instead of single n-grams:
 
 1. Documents are put into blocks of about ``BLOCK_BYTES`` of text (written once).
 2. Each block explodes into the distinct n-grams of its words and their counts, dealt
-   to buckets by the hash's leading bits. One row per block and bucket holds them as
-   sorted numbers, so an n-gram that every document has is one number per block.
-3. Each bucket of the count table sums its n-grams over all blocks and answers every
-   block with the totals. Hashes spread n-grams evenly; the number of buckets grows
-   with the corpus, so that a bucket stays within about ``BUCKET_BYTES``.
-4. Answers meet their block's texts again (an equi-join on the block), and scores are
-   summed per document.
+   to buckets by the hash's leading bits. One row per block, order and bucket holds
+   them as sorted numbers, so an n-gram that every document has is one number per block.
+3. Each bucket of the count table sums its n-grams over all blocks, order by order, and
+   answers every block with the totals. Hashes spread n-grams evenly; the number of
+   buckets grows with the corpus, so that a bucket stays within about ``BUCKET_BYTES``.
+4. Answers meet their block's texts again (a cogroup on the block, both sides sorted),
+   and scores are summed per document.
+
+There are never more rows than n-grams of blocks, and as long as blocks times buckets
+is small beside those, far fewer: about 4000 a GB at 30 GB.
 
 A document does not vouch for itself: its own counts are taken off. With counts c and
 n words elsewhere, the score of a word after its context is c(context word) /
@@ -19,7 +22,8 @@ c(context) if that n-gram occurs elsewhere, else ``BACKOFF`` times the score aft
 shorter context; a word alone scores max(c, 0.5) / n. The document's score is the
 mean of the logarithms.
 
-Counts are exact up to 64-bit hash collisions. Words are as in the near-duplicate
+Counts are exact up to collisions of ``HASH_BITS`` bits: of N different n-grams about
+N / 2^56 of them share their hash with another, 1e-7 at 30 GB and 1e-4 at 100 TB. Words are as in the near-duplicate
 operator: A-Z in lower case, separated by white space.
 
 Defined results
@@ -46,8 +50,11 @@ from proofset.llm.common import documents, mix64, ship, stage, text_chunks
 from proofset.llm.near_dedup import word_hashes
 
 ORDER, BACKOFF = 3, 0.4
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
-TEXT_LEVEL = 6
+BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 32 << 20
+#: Bits of an n-gram's hash.
+HASH_BITS = 56
+#: Compression of texts, and of numbers' upper bytes, counts and totals.
+TEXT_LEVEL, NUMBER_LEVEL = 6, 1
 _U = np.uint64
 _PLACE = mix64(np.arange(901, 917, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
@@ -88,76 +95,95 @@ def grams(sizes: pa.ListScalar, data: pa.BinaryScalar, order: int) -> tuple[list
     out, sums = [], np.zeros(len(words), _U)
     for k in range(order):
         sums[k:] += words[: len(words) - k] * _PLACE[k]
-        out.append(np.where(place >= k, np.maximum(mix64(sums + _U(k)), _U(1)), _U(0)))
+        out.append(np.where(place >= k, np.maximum(mix64(sums + _U(k)) >> _U(64 - HASH_BITS), _U(1)), _U(0)))
     return out, before
 
 
+def _squeezed(data: np.ndarray) -> bytes:
+    return pa.Codec("zstd", compression_level=NUMBER_LEVEL).compress(data.tobytes(), asbytes=True)
+
+
 def packed(values: np.ndarray) -> bytes:
-    """Sorted numbers as six-byte steps, or whole where a step is wider."""
-    steps = np.diff(values)
-    if len(steps) and steps.max() < _U(1 << 48):
-        return b"\1" + values[:1].astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-    return b"\0" + values.astype("<u8").tobytes()
+    """Sorted numbers: how many, the first, and the steps' bytes by place, of which the upper ones compress."""
+    steps = np.diff(values).astype("<u8")
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
+    plain = (int(values[-1] - values[0]) // max(len(steps), 1)).bit_length() // 8
+    head = np.array([len(values), values[0], plain], dtype="<u8").tobytes()
+    return head + planes[:plain].tobytes() + _squeezed(planes[plain:])
 
 
 def unpacked(data: memoryview) -> np.ndarray:
-    if data[0] == 0:
-        return np.frombuffer(data[1:], dtype="<u8")
-    steps = np.frombuffer(data[9:], dtype=np.uint8).reshape(-1, 6)
-    wide = np.zeros((len(steps), 8), dtype=np.uint8)
-    wide[:, :6] = steps
-    return np.cumsum(np.concatenate((np.frombuffer(data[1:9], dtype="<u8"), wide.view("<u8").ravel())), dtype=_U)
+    n, first, plain = np.frombuffer(data[:24], dtype="<u8")
+    steps, plain = int(n) - 1, int(plain)
+    planes, at = np.empty((8, steps), dtype=np.uint8), 24 + plain * steps
+    planes[:plain] = np.frombuffer(data[24:at], dtype=np.uint8).reshape(plain, steps)
+    if steps and plain < 8:
+        upper = pa.decompress(data[at:], decompressed_size=(8 - plain) * steps, codec="zstd")
+        planes[plain:] = np.frombuffer(upper, dtype=np.uint8).reshape(-1, steps)
+    out = np.empty(int(n), dtype=_U)
+    out[0] = first
+    np.cumsum(planes.T.copy().view("<u8").ravel(), dtype=_U, out=out[1:])
+    out[1:] += first
+    return out
 
 
 def narrow(values: np.ndarray) -> bytes:
-    """Whole numbers in as few bytes each as the largest takes."""
-    top = int(values.max()) if len(values) else 0
-    kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if top < 1 << 8 * int(k[2]))
-    return kind[2].encode() + values.astype(kind).tobytes()
+    """Whole numbers: how many, how many are large, those, and all as compressed bytes, 255 where large."""
+    large = np.flatnonzero(values >= 255)
+    head = np.array([len(values), len(large)], dtype="<u8").tobytes()
+    return head + values[large].astype("<u8").tobytes() + _squeezed(np.minimum(values, 255).astype(np.uint8))
 
 
 def widened(data: memoryview) -> np.ndarray:
-    return np.frombuffer(data[1:], dtype=f"<u{chr(data[0])}").astype(np.int64)
-
-
-def _distinct(ends: list[np.ndarray], **more: bool) -> tuple[np.ndarray, ...] | np.ndarray:
-    return np.unique(np.concatenate(ends), **more)
+    n, large = map(int, np.frombuffer(data[:16], dtype="<u8"))
+    at = 16 + 8 * large
+    out = np.frombuffer(pa.decompress(data[at:], decompressed_size=n, codec="zstd"), dtype=np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(data[16:at], dtype="<u8").astype(np.int64)
+    return out
 
 
 def requests(blocked: DataFrame, order: int, bits: int) -> DataFrame:
-    """(bucket, block, grams, counts)."""
+    """(bucket, block, n, grams, counts): n-grams of one n."""
 
     def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, sizes, data in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 ends, _ = grams(sizes, data, order)
-                values, counts = _distinct(ends, return_counts=True)
-                counts, values = counts[values > 0], values[values > 0]
-                if not len(values):
-                    continue
-                bucket = (values >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
-                first = np.flatnonzero(np.diff(bucket, prepend=-1))
-                ends_at = np.append(first[1:], len(values))
-                rows = [(int(bucket[a]), block, packed(values[a:b]), narrow(counts[a:b])) for a, b in zip(first, ends_at, strict=True)]
-                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "block", "grams", "counts"])
-
-    return blocked.select("block", "sizes", "data").mapInArrow(explode, "bucket int, block long, grams binary, counts binary")
+                for n in range(1, order + 1):
+                    values, counts = np.unique(ends[n - 1], return_counts=True)
+                    ends[n - 1] = None
+                    counts, values = counts[values > 0], values[values > 0]
+                    if not len(values):
+                        continue
+                    bucket = (values >> _U(HASH_BITS - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
+                    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+                    ends_at = np.append(first[1:], len(values))
+                    rows = [(int(bucket[a]), block, n, packed(values[a:b]), narrow(counts[a:b])) for a, b in zip(first, ends_at, strict=True)]
+                    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                    names = ["bucket", "block", "n", "grams", "counts"]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return blocked.select("block", "sizes", "data").mapInArrow(explode, "bucket int, block long, n int, grams binary, counts binary")
 
 
 def answers(asked: DataFrame) -> DataFrame:
-    """(block, bucket, totals): corpus-wide counts in the order of the request."""
+    """(block, n, bucket, totals): corpus-wide counts in the order of the request."""
 
     def total(table: pa.Table) -> pa.Table:
-        values = [unpacked(memoryview(g.as_buffer())) for g in table["grams"]]
-        counts = np.concatenate([widened(memoryview(c.as_buffer())) for c in table["counts"]])
-        _, where = np.unique(np.concatenate(values), return_inverse=True)
-        sums = np.bincount(where, weights=counts).astype(np.int64)[where]
-        ends = np.cumsum([0, *map(len, values)])
-        totals = [narrow(sums[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "totals": pa.array(totals, pa.binary())})
-
-    return asked.groupBy("bucket").applyInArrow(total, "block long, bucket int, totals binary")
+        at = np.argsort(table["n"].to_numpy(), kind="stable")
+        table = table.take(pa.array(at))
+        ns, totals = table["n"].to_numpy(), []
+        for n in np.unique(ns):
+            part = table.slice(int(np.searchsorted(ns, n)), int((ns == n).sum()))
+            values = [unpacked(memoryview(g.as_buffer())) for g in part["grams"]]
+            counts = np.concatenate([widened(memoryview(c.as_buffer())) for c in part["counts"]])
+            _, where = np.unique(np.concatenate(values), return_inverse=True)
+            sums = np.bincount(where, weights=counts).astype(np.int64)[where]
+            ends = np.cumsum([0, *map(len, values)])
+            totals += [narrow(sums[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+        return pa.table({"block": table["block"], "n": table["n"], "bucket": table["bucket"], "totals": pa.array(totals, pa.binary())})
+
+    return asked.groupBy("bucket").applyInArrow(total, "block long, n int, bucket int, totals binary")
 
 
 def _without_own(where: np.ndarray, totals: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -166,22 +192,24 @@ def _without_own(where: np.ndarray, totals: np.ndarray, owner: np.ndarray) -> np
     return totals[where] - times[inverse]
 
 
-def block_scores(ends: list[np.ndarray], before: np.ndarray, totals: np.ndarray, all_words: int) -> np.ndarray:
-    """Summed log scores of a block's documents."""
+def block_scores(ends: list[np.ndarray], before: np.ndarray, totals: list[np.ndarray], all_words: int) -> np.ndarray:
+    """Summed log scores of a block's documents; ``totals`` of each n in the order of its n-grams."""
     sizes = np.diff(before)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    values, where = _distinct(ends, return_inverse=True)
-    if len(values) and values[0] == 0:
-        totals = np.concatenate(([0], totals))
-    where = where.reshape(len(ends), -1)
-    counts = [_without_own(w, totals, owner) for w in where]
     elsewhere = np.maximum(all_words - sizes[owner], 1)
-    score = np.log(np.maximum(counts[0], 0.5) / elsewhere)
-    for k in range(1, len(ends)):
-        there = ends[k] > 0
-        context = np.concatenate(([0], counts[k - 1][:-1])) if len(owner) else counts[k - 1]
-        seen = there & (counts[k] > 0)
-        score = np.where(seen, np.log(np.maximum(counts[k], 1) / np.maximum(context, 1)), score + there * math.log(BACKOFF))
+    score = shorter = None
+    for k, (at, told) in enumerate(zip(ends, totals, strict=True)):
+        values, where = np.unique(at, return_inverse=True)
+        if len(values) and values[0] == 0:  # texts too short for the n-gram
+            told = np.concatenate(([0], told))
+        counts = _without_own(where, told, owner)
+        if k == 0:
+            score = np.log(np.maximum(counts, 0.5) / elsewhere)
+        else:
+            there = at > 0
+            context = np.concatenate(([0], shorter[:-1]))
+            score = np.where(there & (counts > 0), np.log(np.maximum(counts, 1) / np.maximum(context, 1)), score + there * math.log(BACKOFF))
+        shorter = counts
     return np.bincount(owner, weights=score, minlength=len(sizes))
 
 
@@ -191,23 +219,25 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     ship(spark)
     blocked = stage(blocks(docs, id_col, text_col), "lm-blocks", compression="none")
     all_words = blocked.agg(F.sum("words")).first()[0] or 0
-    bits = max(0, math.ceil(math.log2(max(1, all_words * order * 7 / BUCKET_BYTES))))
+    bits = max(0, math.ceil(math.log2(max(1, all_words * order * 6 / BUCKET_BYTES))))
     told = answers(requests(blocked, order, bits))
-    gathered = told.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "totals"))).alias("answers"))
-    met = blocked.join(gathered.hint("shuffle_hash"), "block", "left").select("ids", "sizes", "data", "answers")
-
-    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, sizes, data, told in zip(*batch.columns, strict=True):
-                ends, before = grams(sizes, data, order)
-                parts = [widened(memoryview(x.as_buffer())) for x in told.values.field(1)] if told.is_valid else []
-                words = np.diff(before)
-                sums = block_scores(ends, before, np.concatenate([np.zeros(0, np.int64), *parts]), all_words) if len(ends[0]) else np.zeros(len(words))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.values, pa.array(words, pa.int64()), pa.array(sums), pa.array(sums / np.maximum(words, 1))], names=["id", "n_words", "log_score", "score"]
-                )
 
-    return met.mapInArrow(score, "id long, n_words long, log_score double, score double")
+    def score(block: pa.Table, answered: pa.Table) -> pa.Table:
+        out = []
+        answered = answered.sort_by([("n", "ascending"), ("bucket", "ascending")])
+        ns = answered["n"].to_numpy()
+        for ids, sizes, data in zip(block["ids"], block["sizes"], block["data"], strict=True):
+            ends, before = grams(sizes, data, order)
+            words = np.diff(before)
+            sums = np.zeros(len(words))
+            if len(ends[0]):
+                parts = [[np.zeros(0, np.int64), *(widened(memoryview(x.as_buffer())) for x in answered["totals"].filter(pa.array(ns == n)))] for n in range(1, order + 1)]
+                sums = block_scores(ends, before, [np.concatenate(p) for p in parts], all_words)
+            out.append(pa.table([ids.values, pa.array(words, pa.int64()), pa.array(sums), pa.array(sums / np.maximum(words, 1))], names=["id", "n_words", "log_score", "score"]))
+        return pa.concat_tables(out)
+
+    texts = blocked.select("block", "ids", "sizes", "data").groupBy("block")
+    return texts.cogroup(told.groupBy("block")).applyInArrow(score, "id long, n_words long, log_score double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
