@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofset.llm.common import documents, mix64, ship, stage, text_chunks
+from proofset.llm.common import KERNEL_BYTES, documents, mix64, ship, stage, text_chunks
 from proofset.llm.near_dedup import word_hashes
 
 ORDER, BACKOFF = 3, 0.4
@@ -59,6 +59,18 @@ _U = np.uint64
 _PLACE = mix64(np.arange(901, 917, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
 
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``word_hashes`` of a block, taken in runs of about ``KERNEL_BYTES`` to keep its scratch arrays small."""
+    out, before, lo = [np.zeros(0, _U)], [np.zeros(1, np.int64)], 0
+    while lo < len(offsets) - 1:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + KERNEL_BYTES, side="right")) - 1)
+        words, ahead = word_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        out.append(words)
+        before.append(ahead[1:] + before[-1][-1])
+        lo = hi
+    return np.concatenate(out), np.concatenate(before)
+
+
 def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(block, ids, sizes, data, words): documents in blocks, in input order; data is their compressed text."""
 
@@ -66,7 +78,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch.column(1), BLOCK_BYTES):
-                words, _ = word_hashes(data, offsets)
+                words, _ = words_of(data, offsets)
                 one = lambda a, rows=hi - lo: pa.ListArray.from_arrays(pa.array([0, rows], pa.int32()), pa.concat_arrays([a]))
                 squeezed = pa.Codec("zstd", compression_level=TEXT_LEVEL).compress(data.tobytes(), asbytes=True)
                 yield pa.RecordBatch.from_arrays(
@@ -90,7 +102,7 @@ def grams(sizes: pa.ListScalar, data: pa.BinaryScalar, order: int) -> tuple[list
     too short for it), and the words before each text."""
     offsets = np.concatenate(([0], np.cumsum(sizes.values.to_numpy())))
     text = pa.decompress(data.as_buffer(), decompressed_size=int(offsets[-1]), codec="zstd")
-    words, before = word_hashes(np.frombuffer(text, dtype=np.uint8), offsets)
+    words, before = words_of(np.frombuffer(text, dtype=np.uint8), offsets)
     place = np.arange(len(words)) - np.repeat(before[:-1], np.diff(before))
     out, sums = [], np.zeros(len(words), _U)
     for k in range(order):
