@@ -1,7 +1,7 @@
 """A Spark data source over a directory of ZIP archives with stored members.
 
-Planning lists the directory and cuts each archive into byte ranges; it opens no
-archive. A task reads the index of its archive and takes the members whose header
+Planning takes the archives of the directory's manifest, or lists the directory if
+there is none, and cuts each archive into byte ranges; it opens no archive. A task reads the index of its archive and takes the members whose header
 begins in its range, so each member has one reader. Members are read by offset and
 checked against their CRC, each retried by itself with a fresh handle; payloads
 leave in Arrow batches of bounded size.
@@ -22,6 +22,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+#: The folder of Parquet files (archive, size) in a directory that says which archives count.
+MANIFEST = "_manifest"
 SCHEMA = "archive string, offset long, member string, payload binary"
 _ARROW = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("member", pa.string()), ("payload", pa.binary())])
 
@@ -60,6 +62,20 @@ def read_member(store, archive: str, offset: int, size: int, crc: int, attempts:
     raise AssertionError
 
 
+def _archives(uri: str) -> Iterator[tuple[str, int]]:
+    """(path, size) of the archives that count."""
+    from pyarrow import fs, parquet
+
+    store, path = open_store(uri)
+    listed = lambda folder: [f for f in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if f.is_file and f.base_name[0] not in "._"]
+    if store.get_file_info(f"{path}/{MANIFEST}").type == fs.FileType.NotFound:
+        yield from ((f.path, f.size) for f in listed(path) if f.base_name.endswith(".zip"))
+        return
+    for f in listed(f"{path}/{MANIFEST}"):
+        rows = parquet.read_table(f.path, filesystem=store, columns=["archive", "size"])
+        yield from zip(rows["archive"].to_pylist(), rows["size"].to_pylist(), strict=True)
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.uri = options["path"]
@@ -69,12 +85,7 @@ class ArchiveReader(DataSourceReader):
         self.pause = float(options.get("pause", 0.2))
 
     def partitions(self) -> list[ByteRange]:
-        from pyarrow import fs
-
-        store, path = open_store(self.uri)
-        found = store.get_file_info(fs.FileSelector(path, allow_not_found=True))
-        found = sorted((f for f in found if f.is_file and f.base_name.endswith(".zip") and f.base_name[0] not in "._"), key=lambda f: f.path)
-        ranges = [ByteRange(f.path, a, min(a + self.split, f.size)) for f in found for a in range(0, f.size, self.split)]
+        ranges = [ByteRange(path, a, min(a + self.split, size)) for path, size in sorted(_archives(self.uri)) for a in range(0, size, self.split)]
         return ranges or [ByteRange("", 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:

@@ -3,11 +3,12 @@
 Writing: a text's UTF-8 bytes, filled with zeros to a multiple of 64, become the
 8-bit grey samples of a PNG 64 samples wide. Each task appends its images to
 archives of about ``ARCHIVE_BYTES`` in the shared folder. An archive gets its final
-name, which the partition and a counter decide, by a move after its last byte; a
-task that runs again writes the same files again.
+name, which the partition, the task's attempt and a counter decide, by a move after its
+last byte. The manifest lists the archives of the attempts that Spark committed, so
+what failed, repeated or speculative attempts leave behind is never read.
 
-Reading: the data source of ``archive_source`` plans byte ranges and streams
-members in Arrow batches; features come from the decoded samples.
+Reading: the data source of ``archive_source`` plans byte ranges over the manifest's
+archives and streams members in Arrow batches; features come from the decoded samples.
 
 The shared folder must be a store that Arrow's file systems reach (local or
 mounted paths, HDFS, S3, GCS).
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofset.llm import archive_source
-from proofset.llm.common import documents, scratch_path, ship, stage
+from proofset.llm.common import documents, scratch_path, ship
 
 WIDTH = 64
 LEVEL = 1
@@ -126,24 +127,32 @@ class _Archive:
         self.members += 1
         self.bytes += len(data)
 
-    def close(self) -> tuple[str, int, int]:
+    def close(self) -> tuple[str, int, int, int]:
         self.zip.close()
+        size = self.stream.tell()
         self.stream.close()
         self.store.move(self.open_as, self.final)
-        return self.final, self.members, self.bytes
+        return self.final, self.members, self.bytes, size
+
+
+_MANIFEST_ROWS = "archive string, members long, bytes long, size long"
 
 
 def write_archives(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str = "text", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Store each row's payload under ``uri``; one row per archive: archive, members, bytes."""
+    """Store each row's payload under ``uri``; one row per archive: archive, members, bytes, size.
+
+    The manifest is kept in the folder's ``MANIFEST``.
+    """
+    spark = docs.sparkSession
     store, path = archive_source.open_store(uri)
     store.create_dir(path, recursive=True)
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, done, archive, at = TaskContext.get().partitionId(), [], None, 0
+        task, done, archive, at = TaskContext.get(), [], None, 0
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if archive is None:
-                    archive = _Archive(uri, f"part-{part:06d}-{len(done):05d}.zip")
+                    archive = _Archive(uri, f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(done):05d}.zip")
                 data = text.as_py() or b""
                 archive.add(f"{'null' if key is None else key}_{at}.png", encode(payload(data), len(data)))
                 at += 1
@@ -154,16 +163,18 @@ def write_archives(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col:
             done.append(archive.close())
         if done:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)],
-                names=["archive", "members", "bytes"],
+                [pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
+                names=["archive", "members", "bytes", "size"],
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return stage(rows.mapInArrow(write, "archive string, members long, bytes long"), "media-manifest")
+    manifest = f"{uri}/{archive_source.MANIFEST}"
+    rows.mapInArrow(write, _MANIFEST_ROWS).write.parquet(manifest)
+    return spark.read.schema(_MANIFEST_ROWS).parquet(manifest)
 
 
 def read_archives(spark: SparkSession, uri: str, **options: str) -> DataFrame:
-    """The members of all archives under ``uri``: archive, offset, member, payload."""
+    """The members of the archives in ``uri``'s manifest, or of all there if it has none: archive, offset, member, payload."""
     cloudpickle.register_pickle_by_value(archive_source)
     spark.dataSource.register(archive_source.ArchiveSource)
     return spark.read.format("archive_members").options(**options).load(uri)

@@ -81,3 +81,36 @@ def test_archives_roll_over(spark, frame, tmp_path, prose):
     uri = f"file://{tmp_path}/archives"
     done = op.write_archives(frame([(i, prose(i, 300)) for i in range(40)]).repartition(2), uri, archive_bytes=5000).collect()
     assert len(done) > 4 and sum(r.members for r in done) == 40 and op.read_archives(spark, uri, splitBytes="2000").count() == 40
+
+
+def test_only_the_manifest_counts(spark, frame, tmp_path, prose):
+    """Archives that a lost or repeated attempt left in the folder are not read."""
+    uri = f"file://{tmp_path}/archives"
+    done = op.write_archives(frame([(i, prose(i, 30)) for i in range(20)]).repartition(2), uri).collect()
+    stale = tmp_path / "archives" / "part-000000-999-00000.zip"
+    stale.write_bytes(open(done[0].archive, "rb").read())
+    assert [r.size for r in done] == [source.open_store(uri)[0].get_file_info(r.archive).size for r in done]
+    got = [r.id for r in op.features(op.read_archives(spark, uri)).collect()]
+    assert sorted(got) == list(range(20))
+
+
+def plain_feature(samples):
+    lines = [samples[i : i + 64] for i in range(0, len(samples), 64)]
+    n, values = len(lines), list(samples)
+    mean = sum(values) / len(values)
+    edges = [k * n // 8 for k in range(8)] + [n]
+    grid = []
+    for k in range(8):
+        band = lines[edges[k] : edges[k + 1]] if n >= 8 else lines
+        for c in range(8):
+            cell = [v for line in band for v in line[8 * c : 8 * c + 8]]
+            grid.append(sum(cell) / len(cell))
+    bits = "".join("1" if g > sum(grid) / 64 else "0" for g in grid)
+    deviation = (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5
+    return f"h{n} mean{mean:.3f} dev{deviation:.3f} hash{int(bits, 2):016x}"
+
+
+@pytest.mark.parametrize("n", [0, 1, 64, 100, 511, 513, 5000])
+def test_feature_against_brute_force(n, prose):
+    samples = op.payload(prose(n, n).encode()[:n])
+    assert op.feature(samples) == plain_feature(samples)
