@@ -8,17 +8,23 @@ a third of all rows share costs its partition no more than any other. The state
 is read back as a table from the stream's checkpoint in the shared folder.
 
 Digest hits (digests with more than one row) are then checked on full bytes: the
-rows of those digests, told by a bitmap of bounded size, are grouped by the
-normalised text itself, again with partial aggregation, and if one digest turns out to hold several texts, each
-text gets its own group.
+rows of those digests, told by a bitmap of bounded size, are reduced to the least
+and the greatest text of each digest, again with partial aggregation; both must be
+the same and as long as the content that the locator names. If one digest turns out to hold several texts, each text gets its own group.
+
+Dropping is by row: by id and text together (``row_keys``), so an id that stands on
+several texts, or none at all, loses no row that stays. Rows that surely stay are
+told by a bitmap and are not shuffled.
 
 Defined results
     null text        counts as the empty text; all empty texts are one group
     null id          ranks after every id; such a row stays only if its group has no id
+    repeated ids     an id on several texts: each row is decided by its own text
     repeated rows    rows with the same id and text are one document: they share
                      one decision, and each counts in ``group_size``
     empty table      empty result
-    extra columns    are not read, so their names cannot clash
+    extra columns    ``drop_exact_copies`` keeps them; else they are not read, so
+                     their names cannot clash
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from proofset.llm.common import documents, scratch_path, stage
+from proofset.llm.common import bit, bitmap, documents, quoted, row_keys, scratch_path, stage, without_rows
 
 #: White space that counts as one space.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -37,9 +43,6 @@ SPACES = r"[\x20\x09-\x0D]+"
 #: Upper bound of digest rows' bytes that one micro-batch takes.
 BATCH_BYTES = 256 << 30
 
-#: Upper bound of the bitmap of hit digests: so many 64-bit words.
-BITMAP_WORDS = 1 << 20
-
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -93,49 +96,56 @@ def stream_state(spark: SparkSession, source: str, schema: StructType, checkpoin
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256."""
+def _decided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, digest, and the row's keys k1, k2."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("body"))
+    given = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
+    k1, k2 = row_keys(F.col("id"), F.col("text"))
+    rows = given.select("id", normalised(F.col("text")).alias("body"), k1.alias("k1"), k2.alias("k2"))
     keyed = rows.select(
         F.unhex(F.sha2("body", 256)).alias("digest"),
         "id",
         F.struct(F.input_file_name().alias("file"), F.octet_length("body").alias("bytes")).alias("locator"),
+        "k1",
+        "k2",
     )
     source, checkpoint = scratch_path(spark, "dedup-digests"), scratch_path(spark, "dedup-stream")
     keyed.write.parquet(source)
     digests = spark.read.schema(keyed.schema).parquet(source)
     if digests.isEmpty():
-        return digests.select("id", F.col("id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit("").alias("text_sha256"))
+        return digests.select("id", F.col("id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest", "k1", "k2")
     state = stage(stream_state(spark, source, keyed.schema, checkpoint), "dedup-state")
-    # Full bytes: the rows of digests that were hit, grouped by the text itself.
-    suspects = _of_hits(rows.withColumn("digest", F.unhex(F.sha2("body", 256))), state.filter("n > 1").select("digest"))
-    texts = stage(suspects.groupBy("digest", "body").agg(F.count(F.lit(1)).alias("n")).select("digest", "n"), "dedup-checked")
-    collided = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
-    if not collided.isEmpty():
+    if _collided(rows, state):
         return _by_text(rows)
     groups = state.select("digest", F.col("first.id").alias("keep_id"), F.col("n").alias("group_size"))
-    return digests.select("id", "digest").join(groups, "digest").select(
-        "id",
-        "keep_id",
-        "group_size",
-        F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
+    return digests.select("id", "digest", "k1", "k2").join(groups, "digest").select(
+        "id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", "k1", "k2"
     )
 
 
-def _of_hits(rows: DataFrame, hits: DataFrame) -> DataFrame:
-    """The rows whose digest is in ``hits``, and a few others.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256."""
+    return _decided(docs, id_col, text_col).select("id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
 
-    The hits go out as a bitmap with a fixed upper size, so that texts which
-    nobody repeats stay where they are; a full bitmap lets more rows pass and
-    loses none.
+def _collided(rows: DataFrame, state: DataFrame) -> bool:
+    """Whether a digest that was hit stands for more than one text.
+
+    The rows of hit digests are told by a bitmap, so that texts which nobody repeats
+    stay where they are.
     """
-    words = max(1 << 10, min(BITMAP_WORDS, 4 * hits.count()))
-    word = F.pmod(F.xxhash64("digest"), F.lit(words)).alias("word")
-    bit = F.expr("shiftleft(1L, CAST(shiftrightunsigned(xxhash64(digest, 5), 58) AS INT))")
-    bitmap = stage(hits.select(word, bit.alias("bit")).groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")), "dedup-bitmap")
-    found = rows.withColumns({"word": word, "bit": bit}).join(F.broadcast(bitmap), "word")
+    hits = state.filter("n > 1").select("digest", F.col("first.locator.bytes").alias("bytes"))
+    suspects = _of_hits(rows.withColumn("digest", F.unhex(F.sha2("body", 256))), hits.select("digest"))
+    texts = suspects.groupBy("digest").agg(F.min("body").alias("least"), F.max("body").alias("most"), F.count(F.lit(1)).alias("n"))
+    differ = texts.join(hits, "digest").filter((F.col("least") != F.col("most")) | (F.octet_length("least") != F.col("bytes")))
+    return not differ.isEmpty()
+
+
+def _of_hits(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """The rows whose digest is in ``hits``, and a few others."""
+    k1, k2 = F.xxhash64("digest"), F.xxhash64(F.lit(5), "digest")
+    marks, words = bitmap(hits.select(k1.alias("k1"), k2.alias("k2")))
+    found = rows.withColumns({"word": F.pmod(k1, F.lit(words)), "bit": bit(k2)}).join(F.broadcast(marks), "word")
     return found.filter(F.col("bits").bitwiseAND(F.col("bit")) != 0).drop("word", "bit", "bits")
 
 
@@ -143,18 +153,14 @@ def _by_text(rows: DataFrame) -> DataFrame:
     """The decision on full texts alone, for the case that two texts share a digest."""
     groups = rows.groupBy("body").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     return rows.join(groups, "body").select(
-        "id",
-        "keep_id",
-        "group_size",
-        F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.sha2("body", 256).alias("text_sha256"),
+        "id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.unhex(F.sha2("body", 256)).alias("digest"), *(c for c in ("k1", "k2") if c in rows.columns)
     )
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``exact_dedup`` drops; columns unchanged."""
-    gone = exact_dedup(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone["__gone"], "left_anti")
+    gone = stage(_decided(docs, id_col, text_col).filter(~F.col("kept")).select("k1", "k2").distinct(), "dedup-gone")
+    return without_rows(docs, gone, id_col, text_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,9 @@
    and each bin keeps its smallest hash. Empty bins borrow from a bin that a fixed
    random sequence picks ("optimal" densification), so every bin is filled.
 2. Documents with equal sets (128-bit sum and length) form a class, represented by
-   its smallest id. Only representatives go on, so exact copies cost nothing.
+   the row with its smallest id. Only representatives go on, so exact copies cost
+   nothing. A class is a node of its own: its id is the node's number unless another
+   class has the same one, or it has none; then a hash of the set is.
 3. 32 bands of 4 bins give bucket keys. A pair at 0.75 shares no bucket with
    probability (1 - 0.75^4)^32 = 5e-6.
 4. A shingle that no other document in any bucket has can't be in an intersection:
@@ -16,18 +18,24 @@
    with their square. All are confirmed on full sets.
 6. Members that their centre did not confirm, and that no other link put into its
    component, may still match another member. They are compared with all members
-   of that centre, block by block of about ``BLOCK`` sets; a block pair gives only
-   its links. So within buckets no link is lost, and no pair is ever a row.
+   of that centre, block by block of about ``BLOCK`` sets or ``BLOCK_SHINGLES``
+   shingles; a block pair gives only its links. So within buckets no link is lost, and
+   no pair is ever a row. The blocks of a hot centre are dealt to a grid of tasks.
 7. Components of confirmed links, spread to the members of each class.
 
+Texts and sets of documents without a shared bucket are not shuffled: a bitmap of
+bounded size tells them.
+
 Defined results
     null, empty, wordless text   empty set: linked with nothing, its own component, kept
     fewer than five words        the whole sequence is the one shingle
     very long text               processed whole, in a run of its own
-    null id                      takes no part: null component, kept
-    repeated rows                the same class; rows with the class's smallest id are kept
+    null id                      ranks after every id; kept only where no id is in the component
+    repeated ids                 an id on several texts: each row is decided by its own text
+    repeated rows                the same class; rows with the component's smallest id are kept
     empty table                  empty result
-    extra columns                are not read, so their names cannot clash
+    extra columns                ``drop_near_copies`` keeps them; else they are not read,
+                                 so their names cannot clash
 """
 
 from __future__ import annotations
@@ -39,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofset.llm.common import documents, mix64, ship, stage, text_chunks
+from proofset.llm.common import documents, mix64, quoted, row_keys, ship, sifted, stage, text_chunks, without_rows
 from proofset.llm.components import components
 
 WORDS = 5
@@ -48,8 +56,10 @@ PERCENT = 75
 BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
 SEED = 20
-#: Sets in a block of the exact comparison, about.
-BLOCK = 256
+#: Sets, and shingles of all sets, in a block of the exact comparison, about.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 19
+#: Blocks of a side that one task of a hot centre compares.
+GRID = 8
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -140,11 +150,11 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n (set size), f1, f2 (sums that stand for the set), bands."""
+    """id, k1, k2 (the row's keys), n (set size), f1, f2 (sums that stand for the set), bands."""
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch.column(1)):
+            for lo, hi, data, offsets in text_chunks(batch.column(3)):
                 n, f, bands = [], [], []
                 for s in shingle_sets(data, offsets):
                     n.append(len(s))
@@ -154,16 +164,17 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 ends = np.cumsum([0, *map(len, bands)])
                 keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(bands).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1]), keys],
-                    names=["id", "n", "f1", "f2", "bands"],
+                    [*(batch.column(i).slice(lo, hi - lo) for i in range(3)), pa.array(n, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1]), keys],
+                    names=["id", "k1", "k2", "n", "f1", "f2", "bands"],
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(sign, "id long, n long, f1 long, f2 long, bands array<long>")
+    k1, k2 = row_keys(quoted(id_col), quoted(text_col))
+    rows = docs.select(quoted(id_col).cast("long").alias("id"), k1.alias("k1"), k2.alias("k2"), quoted(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(sign, "id long, k1 long, k2 long, n long, f1 long, f2 long, bands array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(id, set) with the set as sorted numbers."""
+    """(id, text) to (id, set) with the set as sorted numbers."""
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,13 +208,29 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(compare, "a long, b long, linked boolean")
 
 
-def _blocks(members: DataFrame, name: str) -> DataFrame:
-    """(centre, name): members (centre, id, component, set) gathered in blocks of about ``BLOCK``."""
-    many = members.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    # One key, a struct: blocks of a centre are dealt anew, and the join may be split where it is hot.
-    at = F.struct("centre", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")).alias("at")
-    gathered = members.join(many, "centre").groupBy(at).agg(F.collect_list(F.struct("id", "component", "set")).alias(name))
-    return gathered.select("at.centre", name)
+def _blocks(members: DataFrame) -> DataFrame:
+    """``members`` (centre, id, component, set) with ``blocks`` of its centre, and its ``block`` among them."""
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.size("set")) / BLOCK_SHINGLES))
+    many = members.groupBy("centre").agg(size.cast("int").alias("blocks"))
+    return members.join(many, "centre").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+
+def _block_pairs(loose: DataFrame, around: DataFrame) -> DataFrame:
+    """(xs, ys): each block of a centre's loose members with each block of all its members.
+
+    The pairs of a centre are dealt to cells of ``GRID`` x ``GRID`` blocks; a block is
+    sent to every cell of its row or column.
+    """
+    sides = [_blocks(m) for m in (loose, around)]
+    cells = [F.ceil(F.col("blocks") / GRID).cast("int") for _ in sides]
+    counts = [s.groupBy("centre").agg(F.first(c).alias("others")) for s, c in zip(sides, cells, strict=True)]
+    gathered = []
+    for side, other, cell, name, row in zip(sides, counts[::-1], cells, ("xs", "ys"), (True, False), strict=True):
+        own, every = F.pmod("block", cell), F.explode(F.sequence(F.lit(0), F.col("others") - 1))
+        dealt = side.join(other, "centre").withColumn("own", own).withColumn("other", every)
+        at = F.struct("centre", *(F.col(c).alias(n) for c, n in zip(("own", "other") if row else ("other", "own"), ("row", "column"), strict=True))).alias("at")
+        gathered.append(dealt.groupBy(at, "block").agg(F.collect_list(F.struct("id", "component", "set")).alias(name)).select("at", name))
+    return gathered[0].join(gathered[1], "at").select("xs", "ys")
 
 
 def _block_links(pairs: DataFrame) -> DataFrame:
@@ -233,23 +260,29 @@ def _block_links(pairs: DataFrame) -> DataFrame:
     return pairs.select("xs", "ys").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    ship(spark)
-    signed = stage(signatures(docs, id_col, text_col), "near-signatures")
-    set_of = ["n", "f1", "f2"]
-    classes = stage(signed.filter("n > 0 AND id IS NOT NULL").groupBy(*set_of).agg(F.min("id").alias("rep")), "near-classes")
+def _classes(signed: DataFrame) -> DataFrame:
+    """The distinct sets: n, f1, f2, node, and id, k1, k2 of the row that represents the class."""
+    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")).alias("first")
+    found = stage(signed.filter("n > 0").groupBy("n", "f1", "f2").agg(least).select("n", "f1", "f2", "first.id", "first.k1", "first.k2"), "near-sets-of-rows")
+    shared = found.filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("id", F.lit(True).alias("shared"))
+    odd = F.coalesce(F.col("shared"), F.col("id").isNull())
+    node = F.when(odd, F.xxhash64("n", "f1", "f2")).otherwise(F.col("id"))
+    return stage(found.join(shared, "id", "left").select("n", "f1", "f2", "id", "k1", "k2", node.alias("node"), odd.alias("odd")), "near-classes")
+
 
+def _links(signed: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, component) of the classes that have a link; ``component`` is some node of it."""
     # The representatives' bands, one row per bucket; then the buckets of two and more.
-    banded = signed.filter("n > 0").join(classes.select(F.col("rep").alias("id"), *set_of), ["id", *set_of], "left_semi").dropDuplicates(["id", *set_of])
-    rows = banded.select(F.col("id").alias("rep"), "n", F.explode("bands").alias("key"))
+    of_row = ["k1", "k2", "n", "f1", "f2"]
+    banded = signed.filter("n > 0").join(classes.select("node", *of_row), of_row).select("node", "n", "bands").dropDuplicates(["node"])
+    rows = banded.select(F.col("node").alias("rep"), "n", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least")).filter("members > 1")
     bucket = stage(rows.join(shared.select("key", "least"), "key"), "near-buckets")
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    wanted = bucket.select(F.col("rep").alias("id")).distinct()
-    sets = stage(_sets(texts.join(wanted.hint("shuffle_hash"), "id", "left_semi")).dropDuplicates(["id"]), "near-sets")
+    wanted = stage(classes.join(bucket.select(F.col("rep").alias("node")).distinct(), "node", "left_semi").select("node", "k1", "k2"), "near-wanted")
+    may, _, keys = sifted(texts, wanted, "id", "text")
+    one_each = may.toDF("id", "text", "k1", "k2").dropDuplicates(["k1", "k2"])
+    sets = stage(_sets(one_each.join(wanted, ["k1", "k2"]).select(F.col("node").alias("id"), "text")), "near-sets")
     lone = sets.select("id", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("rep"))
     lone = lone.filter("docs = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("u"))
 
@@ -266,30 +299,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = known.withColumn("component", F.coalesce("component", "id"))
     of_centre = part.withColumnRenamed("id", "centre").withColumnRenamed("component", "own")
     loose = stage(known.filter("NOT linked").join(of_centre, "centre", "left").filter("own IS NULL OR own <> component").select("centre", "id", "component"), "near-loose")
-    if not loose.isEmpty():
-        around = known.select("centre", "id", "component").join(loose.select("centre").distinct(), "centre", "left_semi")
-        xs, ys = (_blocks(m.join(sets, "id").select("centre", "id", "component", "set"), name) for m, name in ((loose, "xs"), (around, "ys")))
-        late = stage(_block_links(xs.join(ys, "centre")).distinct(), "near-late")
-        if not late.isEmpty():
-            found = found.union(late)
-            reached = components(found)
-
-    by_set = stage(
-        classes.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select(*set_of, F.coalesce("component", "rep").alias("component_id")),
-        "near-components",
-    )
-    rows = signed.select("id", *set_of)
-    linked = rows.filter("n > 0").join(by_set, set_of, "left").select(
-        "id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id")
-    )
-    alone = rows.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    if loose.isEmpty():
+        return reached
+    around = known.select("centre", "id", "component").join(loose.select("centre").distinct(), "centre", "left_semi")
+    pairs = _block_pairs(*(m.join(sets, "id").select("centre", "id", "component", "set") for m in (loose, around)))
+    late = stage(_block_links(pairs).distinct(), "near-late")
+    return reached if late.isEmpty() else components(found.union(late))
+
+
+def _components(classes: DataFrame, reached: DataFrame) -> DataFrame:
+    """(n, f1, f2, component_id): the smallest id of a class's component; null where it has none."""
+    parts = classes.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = stage(parts.select("n", "f1", "f2", "id", "odd", "component"), "near-parts")
+    # Where every node is an id, the smallest node is the smallest id.
+    mixed = parts.filter("odd").select("component").distinct()
+    smallest = parts.join(mixed, "component", "left_semi").groupBy("component").agg(F.min("id").alias("least"), F.lit(True).alias("mixed"))
+    named = parts.join(smallest, "component", "left")
+    return stage(named.select("n", "f1", "f2", F.when(F.col("mixed"), F.col("least")).otherwise(F.col("component")).alias("component_id")), "near-components")
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id, kept, and the row's keys k1, k2."""
+    ship(docs.sparkSession)
+    signed = stage(signatures(docs, id_col, text_col), "near-signatures")
+    classes = _classes(signed)
+    texts = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text"))
+    by_set = _components(classes, _links(signed, classes, texts))
+    rows = signed.select("id", "k1", "k2", "n", "f1", "f2")
+    linked = rows.filter("n > 0").join(by_set, ["n", "f1", "f2"]).select("id", F.col("n").alias("n_shingles"), "component_id", "k1", "k2")
+    alone = rows.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), "k1", "k2")
     return linked.union(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, n_shingles, component_id, kept."""
+    return _decided(docs, id_col, text_col).select("id", "n_shingles", "component_id", "kept")
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component; columns unchanged."""
-    gone = near_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone["__gone"], "left_anti")
+    gone = stage(_decided(docs, id_col, text_col).filter(~F.col("kept")).select("k1", "k2").distinct(), "near-gone")
+    return without_rows(docs, gone, id_col, text_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

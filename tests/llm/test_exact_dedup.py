@@ -66,3 +66,20 @@ def test_drop_keeps_columns(spark, frame):
     docs = frame([(1, "a"), (2, "a"), (3, "b"), (None, "c")])
     out = op.drop_exact_copies(docs)
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == {1, 3, None}
+
+
+#: One id on two texts, copies without an id, repeated rows, a group without any id.
+MIXED = [(3, "x y z"), (5, "x y z"), (5, "different text kept"), (None, "x  y z"), (None, "nobody"), (None, "nobody"), (8, "again"), (8, "again"), (9, None), (2, ""), (5, "different\ttext kept")]
+
+
+def test_drop_decides_by_row(spark, frame):
+    out = op.drop_exact_copies(frame(MIXED).repartition(4))
+    want = [(i, t) for i, t in MIXED if (i, t) not in [(5, "x y z"), (None, "x  y z"), (9, None)]]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
+    assert found(op.exact_dedup(frame(MIXED))) == brute(MIXED)
+
+
+def test_drop_by_row_many(spark, frame):
+    rows = [(i % 70, f"text {i % 90}" if i % 3 else "hot") for i in range(600)]
+    kept = {(min(j for j, u in rows if u == t), t) for _, t in rows}
+    assert sorted((r.doc_id, r.text) for r in op.drop_exact_copies(frame(rows).repartition(5)).collect()) == sorted(r for r in rows if r in kept)

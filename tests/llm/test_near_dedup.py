@@ -106,3 +106,24 @@ def test_drop_keeps_one_each(spark, frame, prose):
     docs = frame([(1, prose(1, 80)), (2, edited(prose(1, 80), 1, 1)), (3, prose(2, 80)), (4, "")])
     out = op.drop_near_copies(docs)
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == {1, 3, 4}
+
+
+def test_drop_decides_by_row(spark, frame, prose):
+    """One id on two texts, near copies without an id, repeated rows, groups without any id."""
+    base = prose(1, 90)
+    rows = [(3, base), (5, edited(base, 1, 1)), (5, prose(2, 90)), (None, edited(base, 2, 1)), (None, prose(3, 90)), (None, prose(3, 90)), (8, prose(4, 90)), (8, prose(4, 90)), (None, ""), (7, edited(prose(2, 90), 5, 1))]
+    got = sorted(((r.id, r.component_id, r.kept) for r in op.near_duplicates(frame(rows).repartition(3)).collect()), key=str)
+    want = [(3, 3, True), (5, 3, False), (5, 5, True), (None, 3, False), (None, None, True), (None, None, True), (8, 8, True), (8, 8, True), (None, None, True), (7, 5, False)]
+    assert got == sorted(want, key=str)
+    out = op.drop_near_copies(frame(rows).repartition(3))
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted((r for r, w in zip(rows, want, strict=True) if w[2]), key=str)
+
+
+def test_hot_centre_is_dealt_to_a_grid(spark, frame, prose, monkeypatch):
+    monkeypatch.setattr(op, "BLOCK", 8)
+    monkeypatch.setattr(op, "GRID", 2)
+    rows = [(k, edited(prose(7, 100), k, 1 + k % 5)) for k in range(120)]
+    assert found(op.near_duplicates(frame(rows).repartition(6))) == brute(rows)
+    members = spark.createDataFrame([(c, i, i, list(range(i))) for c, n in ((1, 60), (2, 3)) for i in range(1, n)], "centre long, id long, component long, set array<long>")
+    pairs = [(x["id"], y["id"]) for r in op._block_pairs(members.filter("id % 2 = 0"), members).collect() for x in r.xs for y in r.ys]
+    assert len(pairs) == len(set(pairs)) + 2 and {(a, b) for a in range(2, 60, 2) for b in range(1, 60)} == set(pairs)
