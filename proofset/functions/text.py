@@ -214,6 +214,7 @@ def tool_call(text: Column) -> Column:
     return F.when(raw == "", None).when(parsed["name"].isNull(), bad).otherwise(parsed)
 
 
+TOOL_HELP = '<tool>{"name": "list_tables|describe_table|sample_rows|run_query", "args": {"table": "...", "sql": "..."}}</tool>'
 SYSTEM = "Answer with one read-only SQL query in a ```sql block and nothing else."
 
 
@@ -224,6 +225,14 @@ def prompt(question: Column, schema: str, extra: Column | None = None) -> Column
     return F.array(message("system", F.lit(SYSTEM)), message("user", F.concat_ws("\n\n", *blocks)))
 
 
+def tool_prompt(question: Column, schema: str | None, max_turns: int) -> Column:
+    """Chat messages of an episode with tools; without a schema the policy has to look it up."""
+    known = [F.lit(f"Tables:\n{schema}")] if schema else []
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    system = f"{SYSTEM} Before that you may call tools, one to a reply, {max_turns} replies in all: {TOOL_HELP}"
+    return F.array(message("system", F.lit(system)), message("user", F.concat_ws("\n\n", *known, F.concat(F.lit("Question: "), question))))
+
+
 def repair_prompt(question: Column, schema: str, sql: Column, error: Column) -> Column:
     """Chat messages that show a failed statement and its error."""
     shown = F.concat_ws("\n", F.lit("The last query failed."), F.concat(F.lit("Query: "), sql), F.concat(F.lit("Error: "), error))

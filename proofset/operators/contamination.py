@@ -88,6 +88,6 @@ def audit(candidates: DataFrame, held_out: DataFrame) -> DataFrame:
 
 
 def first_by_key(df: DataFrame, key: Column, position: str) -> DataFrame:
-    """The first row by position of each key."""
-    firsts = df.groupBy(key.alias("__key")).agg(F.min(position).alias(position))
+    """The first row by position of each key; keys are grouped by their digest, not by their text."""
+    firsts = df.groupBy(F.unhex(F.sha2(key, 256)).alias("__key")).agg(F.min(position).alias(position))
     return df.join(firsts.select(position), position, "left_semi")

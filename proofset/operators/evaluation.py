@@ -64,6 +64,11 @@ def tx_statement(text: str | None) -> str:
     return spark.range(1).select(tx.extract_statement(F.lit(text).cast("string")).alias("s")).first().s
 
 
+def correctness_vector(records: DataFrame, key: str = "id", correct: str = "correct") -> DataFrame:
+    """(key, hit): 0 or 1 for each record, ordered by key, so that two runs can be paired."""
+    return records.select(key, F.col(correct).cast("int").alias("hit")).orderBy(key)
+
+
 def by_level(records: DataFrame, level: str = "level", correct: str = "correct") -> DataFrame:
     """Per level and in all (level null): correct, n, accuracy."""
     hit = F.col(correct).cast("int")

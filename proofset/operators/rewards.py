@@ -13,6 +13,7 @@ from proofset.functions import text as tx
 REWARD_MIN, REWARD_MAX = -0.20, 1.35
 PROXY_EXECUTES, PROXY_ROWS, PROXY_OVERLAP, PROXY_MOST_ROWS = 0.4, 0.3, 0.3, 50
 COLLAPSE_SHARE = 0.30
+MOST_STEPS = 3
 # -----------------------------------------------------------------------------
 
 
@@ -25,10 +26,13 @@ class Weights:
     efficiency: float = 0.05  # taken off for each further call
 
     def bounds(self) -> dict[str, float | bool]:
-        """How far apart correct and incorrect answers score."""
-        worst = self.exec_match + self.executes - 0.0
-        least = min(REWARD_MAX, worst)
-        most = min(REWARD_MAX, self.format + self.executes + self.nonempty)
+        """How far apart correct and incorrect answers score.
+
+        The worst correct answer has a bad format and took ``MOST_STEPS`` further calls;
+        the best incorrect one has a good format, runs at once and returns rows.
+        """
+        least = self.exec_match + self.executes + self.nonempty - MOST_STEPS * self.efficiency
+        most = self.format + self.executes + self.nonempty
         return {"min_correct": least, "max_incorrect": most, "margin": least - most, "separated": least > most}
 
 

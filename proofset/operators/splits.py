@@ -21,12 +21,14 @@ def balanced_take(rows: DataFrame, k: int, family: str, key: str, taken: dict[st
     """``k`` rows, each time one of the family taken least so far (ties by name).
 
     A row's turn is its rank in the family plus what was taken of it before, so the
-    greedy order is a sort by (turn, family). A limited sort keeps ``k`` rows a task.
+    greedy order is a sort by (turn, family). Of a family only the first ``k`` rows can
+    be taken, so each task keeps no more of it before the shuffle that ranks them.
     """
     taken = taken or {}
     rank = F.row_number().over(Window.partitionBy(family).orderBy(*hash_order(key, seed)))
     before = F.coalesce(F.create_map(*(F.lit(x) for kv in taken.items() for x in kv))[F.col(family)], F.lit(0)) if taken else F.lit(0)
-    turned = rows.withColumn("turn", rank + before)
+    first = rows.withColumn("__rank", rank).filter(F.col("__rank") <= k)
+    turned = first.withColumn("turn", F.col("__rank") + before).drop("__rank")
     if cap is not None:
         turned = turned.filter(F.col("turn") <= cap)
     return turned.orderBy("turn", family).limit(k)

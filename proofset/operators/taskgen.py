@@ -19,8 +19,6 @@ from proofset.operators import exec_match, splits
 from proofset.sources.records import cut
 
 OPENERS = ("Return {body}.", "Which query gives {body}?", "I need {body}.")
-#: Not used by any operator: the SQL of two queries still cuts three slots here.
-POOL_NAMES = 15
 ENUMERATION_CAP = 400
 # ---- Fixed values: thresholds that no table gives, quantiles of prices, bounds ----
 SLOT_CONSTANTS = {"count_threshold": (2, 3, 4), "qty_threshold": (2, 3), "n_limit": (3, 5, 10)}

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofset.functions import text as tx
+from proofset.operators import rewards
 
 # ---- Fixed values ------------------------------------------------------------
 EPSILON = 1e-4
 BAND = (0.125, 0.875)
 REFUSAL = "refused: only read-only queries run here"
+CORRECTION = "Neither a tool call nor a statement was found. Reply with one of them."
+UNKNOWN_CALL = "no result is known for this call"
+MAX_TURNS, ROWS_SHOWN = 4, 10
 # ------------------------------------------------------------------------------
 
 
@@ -26,9 +32,11 @@ def advantages(df: DataFrame, group: str, reward: str, scale: bool = True) -> Da
     return df.join(moments, group).withColumn("advantage", value).drop("__mean", "__std")
 
 
-def group_summary(df: DataFrame, group: str, reward: str, correct: str, position: str) -> DataFrame:
-    """Per group: size, reward moments and range, pass rate, pass at 1 (the first member) and at G."""
+def group_summary(df: DataFrame, group: str, reward: str, correct: str, position: str, turns: str | None = None, tool_calls: str | None = None) -> DataFrame:
+    """Per group: size, reward moments and range, pass rate, pass at 1 (the first member) and at G,
+    and the means of turns and tool calls where those columns are named."""
     hit = F.col(correct).cast("int")
+    means = [F.avg(c).alias(n) for c, n in ((turns, "mean_turns"), (tool_calls, "mean_tool_calls")) if c]
     return df.groupBy(group).agg(
         F.count(F.lit(1)).alias("g"),
         F.avg(reward).alias("reward_mean"),
@@ -39,6 +47,7 @@ def group_summary(df: DataFrame, group: str, reward: str, correct: str, position
         F.min_by(hit, position).alias("pass_at_1"),
         F.max(hit).alias("pass_at_g"),
         (F.stddev_pop(reward) < EPSILON).alias("zero_advantage"),
+        *means,
     )
 
 
@@ -105,28 +114,35 @@ def turns_per_episode(turns: DataFrame) -> DataFrame:
     return turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), by_role("assistant").alias("n_assistant"), by_role("user").alias("n_user"))
 
 
-def replay(episodes: DataFrame, actions: str = "actions", max_turns: int = 6) -> DataFrame:
+def replay(episodes: DataFrame, actions: str = "actions", max_turns: int = MAX_TURNS, results: str | None = None) -> DataFrame:
     """``episodes`` with how each ends, from its ordered array of assistant texts.
 
-    A tool call goes on; a text without a fence and without a statement is malformed,
-    once forgiven; a statement is submitted; more than ``max_turns`` is the end.
-    Adds: reason, turns, tool_calls, final_sql, final_text.
+    A statement is submitted and ends the episode. A tool call, or a text that is
+    neither (malformed), is answered and goes on; at turn ``max_turns`` either ends it.
+    Adds: reason, turns, tool_calls, final_sql; with ``results``, a column that maps the
+    text of a tool call to what the tool said, also ``steps``: the assistant's texts and
+    the answers to them as (role, content).
     """
-    start = F.struct(
-        F.lit("running").alias("reason"), F.lit(0).alias("turns"), F.lit(0).alias("tool_calls"), F.lit(0).alias("malformed"), F.lit("").alias("final_text")
-    )
+    none = F.array().cast("array<struct<role:string,content:string>>")
+    start = F.struct(F.lit("running").alias("reason"), F.lit(0).alias("turns"), F.lit(0).alias("tool_calls"), F.lit("").alias("final_text"), none.alias("steps"))
+    said = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
 
     def step(s: Column, text: Column) -> Column:
         tool = tx.tool_call(text).isNotNull()
         answer = ~tool & tx.looks_like_select(tx.extract_statement(text))
-        bad = ~tool & ~answer
-        reason = F.when(answer, "submitted").when(bad & (s["malformed"] >= 1), "malformed").when(s["turns"] + 1 >= max_turns, "max_turns").otherwise("running")
+        last = s["turns"] + 1 >= max_turns
+        reason = F.when(answer, "submitted").when(last & tool, "max_turns").when(last, "malformed_final").otherwise("running")
+        steps = s["steps"]
+        if results:
+            call = F.regexp_extract(F.coalesce(text, F.lit("")), tx.TOOL_CALL, 1)
+            reply = F.when(tool, F.coalesce(F.col(results)[call], F.lit(UNKNOWN_CALL))).when(~answer & ~last, CORRECTION)
+            steps = F.concat(steps, F.array(said("assistant", text)), F.when(reply.isNotNull(), F.array(said("tool", reply))).otherwise(none))
         after = F.struct(
             reason.alias("reason"),
             (s["turns"] + 1).alias("turns"),
             (s["tool_calls"] + tool.cast("int")).alias("tool_calls"),
-            (s["malformed"] + bad.cast("int")).alias("malformed"),
             F.when(answer, text).otherwise(s["final_text"]).alias("final_text"),
+            steps.alias("steps"),
         )
         return F.when(s["reason"] == "running", after).otherwise(s)
 
@@ -138,14 +154,107 @@ def replay(episodes: DataFrame, actions: str = "actions", max_turns: int = 6) ->
             "turns": F.col("__end.turns"),
             "tool_calls": F.col("__end.tool_calls"),
             "final_sql": tx.extract_statement(F.col("__end.final_text")),
+            **({"steps": F.col("__end.steps")} if results else {}),
         }
     ).drop("__end")
 
 
+def tool_results(episodes: DataFrame, tools: Tools, actions: str = "actions") -> DataFrame:
+    """``episodes`` with ``results``: what the tools say to each distinct call of all episodes.
+
+    Each distinct call runs once, as a statement needs a session; their number is what
+    policies differ in, not that of the episodes.
+    """
+    text = F.explode(actions)
+    raw = episodes.select(text.alias("text")).select(F.regexp_extract(F.coalesce("text", F.lit("")), tx.TOOL_CALL, 1).alias("raw"), tx.tool_call(F.col("text")).alias("call"))
+    calls = raw.filter("raw <> ''").groupBy("raw").agg(F.first("call").alias("call")).collect()
+    said = [(r.raw, tools.call(r.call.name, r.call.args)) for r in calls]
+    found = F.create_map(*(F.lit(x) for pair in said for x in pair)) if said else F.create_map().cast("map<string,string>")
+    return episodes.withColumn("results", found)
+
+
+# ---- Rollouts of a policy: a function from messages to texts --------------------
+
+
+@dataclass
+class Trajectory:
+    task: dict
+    steps: list[dict]
+    final_sql: str
+    raw_completion: str
+    reward: float
+    reward_parts: dict[str, float]
+    correct: bool
+    n_llm_calls: int
+    n_tool_calls: int
+    terminated_reason: str
+
+
+class Rollouts:
+    """Lets policies answer tasks (question, gold) over the session's tables, and rewards them."""
+
+    def __init__(self, matcher, schema: str, tools: Tools, max_turns: int = MAX_TURNS, weights: rewards.Weights = rewards.Weights()):
+        self.matcher, self.schema, self.tools, self.max_turns, self.weights = matcher, schema, tools, max_turns, weights
+        self.spark = matcher.spark
+
+    def _one(self, **columns: Column):
+        return self.spark.range(1).select(*(c.alias(n) for n, c in columns.items())).first()
+
+    def _messages(self, question: str, tools: bool, hide_schema: bool) -> list[dict]:
+        prompt = tx.tool_prompt(F.lit(question), None if hide_schema else self.schema, self.max_turns) if tools else tx.prompt(F.lit(question), self.schema)
+        return [m.asDict() for m in self._one(m=prompt).m]
+
+    def _scored(self, task: dict, steps: list[dict], text: str, sql: str, calls: int, tool_calls: int, reason: str) -> Trajectory:
+        parsed = self._one(sql=tx.extract_statement(F.lit(text))).sql
+        info = self.matcher.info(parsed, task["gold"])
+        row = self.spark.createDataFrame([(text, info.executes, info.n_rows, info.correct, calls)], "completion string, executes boolean, n_rows long, correct boolean, calls int")
+        scored = rewards.composite(row, self.weights)
+        found = scored.select("reward", rewards.reward_parts(scored).alias("parts")).first()
+        parts = dict(found.parts)
+        if not sql:  # ended without an answer
+            parts["exec_match"] = 0.0
+        return Trajectory(task, steps, sql, text, found.reward, parts, info.correct, calls, tool_calls, reason)
+
+    def single_turn(self, policy, task: dict) -> Trajectory:
+        messages = self._messages(task["question"], False, False)
+        text = next(iter(policy(messages)), "")
+        sql = self._one(sql=tx.extract_statement(F.lit(text))).sql
+        return self._scored(task, [*messages, {"role": "assistant", "content": text}], text, sql, 1, 0, "single_turn")
+
+    def multi_turn(self, policy, task: dict, hide_schema: bool = False) -> Trajectory:
+        """The policy may call tools, and is corrected, until it submits or its turns end."""
+        steps, tool_calls = self._messages(task["question"], True, hide_schema), 0
+        for turn in range(1, self.max_turns + 1):
+            text = next(iter(policy(list(steps))), "")
+            steps.append({"role": "assistant", "content": text})
+            statement = tx.extract_statement(F.lit(text))
+            seen = self._one(call=tx.tool_call(F.lit(text)), sql=statement, answer=tx.looks_like_select(statement))
+            last = turn == self.max_turns
+            if seen.call is not None:
+                tool_calls += 1
+                steps.append({"role": "tool", "content": self.tools.call(seen.call.name, seen.call.args)})
+                if last:
+                    return self._scored(task, steps, text, "", turn, tool_calls, "max_turns")
+            elif seen.answer:
+                return self._scored(task, steps, text, seen.sql, turn, tool_calls, "submitted")
+            elif last:
+                return self._scored(task, steps, text, "", turn, tool_calls, "malformed_final")
+            else:
+                steps.append({"role": "tool", "content": CORRECTION})
+        raise ValueError("no turns")
+
+    def group(self, policy, task: dict, size: int = 8, multi_turn: bool = False) -> list[Trajectory]:
+        return [(self.multi_turn if multi_turn else self.single_turn)(policy, task) for _ in range(size)]
+
+    def batch(self, policy, tasks: list[dict], size: int = 1, multi_turn: bool = False) -> list[list[Trajectory]]:
+        """One group per task."""
+        return [self.group(policy, t, size, multi_turn) for t in tasks]
+
+
 class Tools:
     """The tools of a query environment over the session's catalog."""
 
-    def __init__(self, spark, row_limit: int = 5):
+    def __init__(self, spark, row_limit: int = ROWS_SHOWN):
         self.spark, self.row_limit = spark, row_limit
 
     def call(self, name: str, args: dict[str, str] | None = None) -> str:
@@ -170,13 +279,25 @@ class Tools:
 
     def _shown(self, df: DataFrame) -> str:
         rows = df.limit(self.row_limit + 1).collect()
-        more = " (+ more)" if len(rows) > self.row_limit else ""
-        return "\n".join(str(tuple(r)) for r in rows[: self.row_limit]) + more
+        n = df.count() if len(rows) > self.row_limit else len(rows)
+        more = f" (+{n - self.row_limit} more rows)" if n > self.row_limit else ""
+        return f"{n} row(s): {[tuple(r) for r in rows[: self.row_limit]]}{more}"
 
 
 # ---- Training histories: (run, step, metric) ---------------------------------
 
 
+def step_history(df: DataFrame, run: str, step: str, group: str, reward: str, turns: str, loss: str) -> DataFrame:
+    """Per run and step over (group, reward, turns, loss): mean reward, mean turns, mean loss and
+    the share of groups whose rewards, to six places, are all the same."""
+    groups = df.groupBy(run, step, group).agg(
+        F.sum(reward).alias("__r"), F.sum(turns).alias("__t"), F.sum(loss).alias("__l"), F.count(F.lit(1)).alias("__n"),
+        (F.countDistinct(F.round(reward, 6)) <= 1).cast("int").alias("__flat"),
+    )
+    mean = lambda c: F.sum(c) / F.sum("__n")
+    return groups.groupBy(run, step).agg(mean("__r").alias("reward"), mean("__t").alias("mean_turns"), mean("__l").alias("loss"), F.avg("__flat").alias("zero_advantage"))
+
+
 def filled_history(df: DataFrame, run: str, step: str, metric: str) -> DataFrame:
     """``df`` with ``filled``: the last measured value, and before the first one, that one."""
     back = Window.partitionBy(run).orderBy(step)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofset.functions import stats
-from proofset.operators import datasets, evaluation, trajectories, taskgen
+from proofset.functions import text as tx
+from proofset.operators import datasets, evaluation, rewards, trajectories, taskgen
 from proofset.sources import tables as t
 from proofset.streaming import events as ev
 
@@ -91,18 +92,80 @@ def replay(s, d):
     return trajectories.replay(episodes, "actions", 4).select("conv_id", "reason", "turns", "tool_calls", "final_sql")
 
 
-#: An episode ends at its first statement, its second malformed text, or its fourth turn.
+#: An episode ends at its first statement or its fourth turn.
 REPLAY_SQL = """WITH a AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i,
     CASE WHEN (conv_id + turn) % 5 = 1 AND text IS NOT NULL THEN 'call' WHEN (conv_id + turn) % 5 = 3 THEN 'answer' ELSE 'bad' END AS kind
   FROM conversations WHERE role = 'assistant'
-), b AS (SELECT *, count(*) FILTER (kind = 'bad') OVER (PARTITION BY conv_id ORDER BY i) AS bad FROM a),
-e AS (SELECT conv_id, min(i) FILTER (kind = 'answer') AS answer, min(i) FILTER (kind = 'bad' AND bad = 2) AS malformed, max(i) AS n FROM b GROUP BY conv_id),
-f AS (SELECT *, least(answer, malformed, 4, n) AS turns FROM e)
-SELECT f.conv_id, CASE WHEN turns = answer THEN 'submitted' WHEN turns = malformed THEN 'malformed' WHEN turns = 4 THEN 'max_turns' ELSE 'unfinished' END AS reason,
+), e AS (SELECT conv_id, min(i) FILTER (kind = 'answer') AS answer, max(i) AS n FROM a GROUP BY conv_id),
+f AS (SELECT *, least(answer, 4, n) AS turns FROM e)
+SELECT f.conv_id, CASE WHEN turns = answer THEN 'submitted' WHEN turns < 4 THEN 'unfinished' WHEN count(*) FILTER (i = 4 AND kind = 'call') > 0 THEN 'max_turns' ELSE 'malformed_final' END AS reason,
   CAST(turns AS INTEGER) AS turns, CAST(count(*) FILTER (kind = 'call' AND i <= turns) AS INTEGER) AS tool_calls,
   CASE WHEN turns = answer THEN 'SELECT 1' ELSE '' END AS final_sql
-FROM f JOIN b ON b.conv_id = f.conv_id GROUP BY f.conv_id, turns, answer, malformed"""
+FROM f JOIN a ON a.conv_id = f.conv_id GROUP BY f.conv_id, turns, answer"""
+
+
+def rollout_steps(s, d):
+    """Episodes of whole conversations: by length a text is a call of one of two tools, a statement, or as it is."""
+    for name in ("region", "nation"):
+        t.load(s, d, name).createOrReplaceTempView(f"rollout_{name}")
+    text = """CASE length(text) % 5 WHEN 1 THEN '<tool>{"name": "run_query", "args": {"sql": "SELECT count(*) FROM rollout_nation"}}</tool>'
+              WHEN 2 THEN '<tool>{"name": "run_query", "args": {"sql": "SELECT r_regionkey, r_name FROM rollout_region ORDER BY r_regionkey"}}</tool>'
+              WHEN 3 THEN concat('```sql SELECT ', turn, ' ```') ELSE concat('I say: ', replace(text, '<tool>', '')) END"""
+    turns = conversations(s, d).filter("role = 'assistant'").select("conv_id", "turn", F.expr(text).alias("text"))
+    episodes = turns.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("actions"))
+    told = trajectories.tool_results(episodes, trajectories.Tools(s, 2))
+    out = trajectories.replay(told, "actions", 3, "results")
+    steps = F.array_join(F.transform("steps", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")
+    return out.select("conv_id", "reason", "turns", "tool_calls", "final_sql", F.md5(steps).alias("steps"))
+
+
+ROLLOUT_SQL = f"""WITH w AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, length(text) % 5 AS kind, CASE length(text) % 5
+    WHEN 1 THEN '<tool>{{"name": "run_query", "args": {{"sql": "SELECT count(*) FROM rollout_nation"}}}}</tool>'
+    WHEN 2 THEN '<tool>{{"name": "run_query", "args": {{"sql": "SELECT r_regionkey, r_name FROM rollout_region ORDER BY r_regionkey"}}}}</tool>'
+    WHEN 3 THEN concat('```sql SELECT ', turn, ' ```') ELSE concat('I say: ', replace(text, '<tool>', '')) END AS said, turn
+  FROM conversations WHERE role = 'assistant'
+), n AS (SELECT count(*) AS n FROM nation), g AS (
+  SELECT count(*) AS n, string_agg(concat('(', r_regionkey, ', ', chr(39), r_name, chr(39), ')'), ', ' ORDER BY r_regionkey) FILTER (p <= 2) AS shown FROM (SELECT *, row_number() OVER (ORDER BY r_regionkey) AS p FROM region)
+), a AS (
+  SELECT w.*, CASE kind WHEN 1 THEN concat('1 row(s): [(', n.n, ',)]') WHEN 2 THEN concat(g.n, ' row(s): [', g.shown, ']', CASE WHEN g.n > 2 THEN concat(' (+', g.n - 2, ' more rows)') ELSE '' END)
+    WHEN 3 THEN NULL ELSE CASE WHEN i < 3 THEN '{trajectories.CORRECTION}' END END AS reply FROM w, n, g
+), e AS (SELECT conv_id, min(i) FILTER (kind = 3) AS answer, max(i) AS n FROM a GROUP BY conv_id), f AS (SELECT *, least(answer, 3, n) AS turns FROM e)
+SELECT f.conv_id, CASE WHEN turns = answer THEN 'submitted' WHEN turns < 3 THEN 'unfinished' WHEN count(*) FILTER (i = 3 AND kind IN (1, 2)) > 0 THEN 'max_turns' ELSE 'malformed_final' END AS reason,
+  CAST(turns AS INTEGER) AS turns, CAST(count(*) FILTER (kind IN (1, 2) AND i <= turns) AS INTEGER) AS tool_calls,
+  coalesce(max(CASE WHEN i = answer THEN concat('SELECT ', turn) END), '') AS final_sql,
+  md5(string_agg(CASE WHEN i <= turns THEN concat('assistant:', said, CASE WHEN reply IS NULL THEN '' ELSE concat('|tool:', reply) END) END, '|' ORDER BY i)) AS steps
+FROM f JOIN a ON a.conv_id = f.conv_id GROUP BY f.conv_id, turns, answer"""
+
+
+def reward_bounds(s, d):
+    found = rewards.Weights().bounds()
+    return s.createDataFrame([tuple(found[n] for n in ("min_correct", "max_incorrect", "margin"))], "min_correct double, max_incorrect double, margin double").select(_r("min_correct"), _r("max_incorrect"), _r("margin"))
+
+
+def training_history(s, d):
+    """Steps are days, groups users; turns and losses come from ids and values."""
+    rows = t.load(s, d, "events").select(F.lit(0).alias("run"), F.dayofmonth("ts").alias("step"), "user_id", F.floor("value").alias("reward"), (F.col("event_id") % 4 + 1).alias("turns"), (F.col("event_id") % 7).alias("loss"))
+    return trajectories.step_history(rows, "run", "step", "user_id", "reward", "turns", "loss").select("step", _r("reward"), _r("mean_turns"), _r("loss"), _r("zero_advantage"))
+
+
+HISTORY_SQL = """WITH g AS (SELECT day(ts) AS step, user_id, sum(floor(value)) AS r, sum(event_id % 4 + 1) AS t, sum(event_id % 7) AS l, count(*) AS n, CAST(count(DISTINCT floor(value)) <= 1 AS INTEGER) AS flat FROM events GROUP BY 1, 2)
+SELECT step, round(sum(r) * 1.0e0 / sum(n), 6) AS reward, round(sum(t) * 1.0e0 / sum(n), 6) AS mean_turns, round(sum(l) * 1.0e0 / sum(n), 6) AS loss, round(avg(flat), 6) AS zero_advantage FROM g GROUP BY step"""
+
+
+def sft_rows(s, d):
+    """The kept sample of each source as a training row."""
+    rows = datasets.rejection_sample(samples(s, d), "source", "correct", "text", "doc_id").select(F.concat(F.lit("Say "), "source").alias("question"), "sql", "source")
+    out = datasets.sft_rows(rows, "t(a)")
+    flat = lambda c: F.md5(F.array_join(F.transform(c, lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|"))
+    return out.select("source", flat("prompt").alias("prompt"), flat("completion").alias("completion"))
+
+
+def _sft_sql() -> str:
+    return f"""WITH {SAMPLES}, r AS ({_best('correct')})
+SELECT source, md5(concat('system:{tx.SYSTEM}|user:Tables:', chr(10), 't(a)', chr(10), chr(10), 'Question: Say ', source)) AS prompt,
+ md5(concat('assistant:```sql', chr(10), sql, chr(10), '```')) AS completion FROM r"""
 
 
 def history(s, d):
@@ -378,6 +441,12 @@ def slot_pools(s, d):
 POOLS_SQL = """SELECT 'city' AS slot, n_name AS value FROM (SELECT DISTINCT n_name FROM customer JOIN nation ON c_nationkey = n_nationkey)
 UNION ALL SELECT 'segment', c_mktsegment FROM (SELECT DISTINCT c_mktsegment FROM customer) UNION ALL SELECT 'category', p_type FROM (SELECT DISTINCT p_type FROM part)
 UNION ALL SELECT 'status', o_orderstatus FROM (SELECT DISTINCT o_orderstatus FROM orders) UNION ALL SELECT DISTINCT 'month', strftime(o_orderdate, '%m') FROM orders"""
+#: The domains that grow with the tables, whole.
+GROWING = {
+    "product_name": "SELECT DISTINCT p_name FROM part",
+    "customer_name": "SELECT DISTINCT c_name FROM customer",
+    "signup_cut": "SELECT DISTINCT strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') FROM orders",
+}
 
 
 def price_thresholds(s, d):
@@ -389,15 +458,20 @@ q AS (SELECT unnest([0.1e0, 0.25e0, 0.4e0, 0.5e0, 0.6e0, 0.75e0, 0.9e0]) AS f)
 SELECT DISTINCT CAST(round_even(price / 100.0e0, 0) * 100 AS BIGINT) AS value FROM r, q WHERE p = CAST(floor(n * f) AS BIGINT)"""
 
 
+def _all_pools_sql() -> str:
+    grown = [f"SELECT '{slot}', * FROM ({sql})" for slot, sql in GROWING.items()]
+    fixed = [f"SELECT '{slot}', '{v}'" for slot, values in taskgen.SLOT_CONSTANTS.items() for v in values]
+    return " UNION ALL ".join([POOLS_SQL, *grown, f"SELECT 'price_threshold', CAST(value AS VARCHAR) FROM ({THRESHOLDS_SQL})", *fixed])
+
+
 def family_capacity(s, d):
     return taskgen.capacities(s, taskgen.slot_values(_shop(s, d)))
 
 
 def _made_sql() -> str:
-    names = (("product_name", "p_name", "part"), ("customer_name", "c_name", "customer"), ("signup_cut", "date_trunc('month', o_orderdate)", "orders"))
-    cut = [f"SELECT '{slot}', least({taskgen.POOL_NAMES}, count(DISTINCT {value})) FROM {table}" for slot, value, table in names]
+    grown = [f"SELECT '{slot}', count(*) FROM ({sql})" for slot, sql in GROWING.items()]
     fixed = [f"SELECT '{slot}', {len(values)}" for slot, values in taskgen.SLOT_CONSTANTS.items()]
-    sizes = " UNION ALL ".join(["SELECT slot, count(*) AS n FROM pools GROUP BY slot", *cut, f"SELECT 'price_threshold', count(*) FROM ({THRESHOLDS_SQL})", *fixed])
+    sizes = " UNION ALL ".join(["SELECT slot, count(*) AS n FROM pools GROUP BY slot", *grown, f"SELECT 'price_threshold', count(*) FROM ({THRESHOLDS_SQL})", *fixed])
     rows = ", ".join(f"('{x.family}', '{x.level}', {len(x.variants)}, {len(x.openers)}, {list(x.slots)}::VARCHAR[])" for x in taskgen.TEMPLATES)
     return f"""WITH pools AS ({POOLS_SQL}), sizes AS ({sizes}), t(family, level, variants, openers, slots) AS (VALUES {rows}),
 made AS (SELECT family, level, openers, CAST(variants * (SELECT coalesce(product(n), 1) FROM sizes WHERE list_contains(t.slots, slot)) AS BIGINT) AS n_golds FROM t)
@@ -431,6 +505,10 @@ QUERIES = {
     "mask_lengths": (mask_lengths, MASK_SQL),
     "turns_per_episode": (lambda s, d: trajectories.turns_per_episode(conversations(s, d)), "SELECT conv_id, count(*) AS n_turns, count(*) FILTER (WHERE role = 'assistant') AS n_assistant, count(*) FILTER (WHERE role = 'user') AS n_user FROM conversations GROUP BY conv_id"),
     "episode_replay": (replay, REPLAY_SQL),
+    "rollout_steps": (rollout_steps, ROLLOUT_SQL),
+    "reward_bounds": (reward_bounds, "SELECT round(1.0e0 + 0.1e0 + 0.05e0 - 3 * 0.05e0, 6) AS min_correct, round(0.15e0 + 0.1e0 + 0.05e0, 6) AS max_incorrect, round(1.0e0 - 0.15e0 - 3 * 0.05e0, 6) AS margin"),
+    "training_history": (training_history, HISTORY_SQL),
+    "sft_rows": (sft_rows, _sft_sql()),
     "filled_history": (filled_history, FILLED_SQL),
     "validation_gate": (validation_gate, GATE_SQL),
     "pathology_checks": (pathologies, PATHOLOGY_SQL),
@@ -457,7 +535,7 @@ QUERIES = {
     "correctness_heatmap": (heatmap, f"WITH {ANSWERS} SELECT doc_id, max(CASE WHEN agent = 'a' THEN hit END) AS a, max(CASE WHEN agent = 'b' THEN hit END) AS b, max(CASE WHEN agent = 'c' THEN hit END) AS c FROM y GROUP BY doc_id"),
     "pareto": (pareto, PARETO_SQL),
     "merge_equality": (merge_equality, "SELECT count(*) FILTER (WHERE doc_id % 9 = 0 OR quality <> 1 - toxic) AS n_different FROM labels"),
-    "slot_pools": (slot_pools, POOLS_SQL),
+    "slot_pools": (slot_pools, _all_pools_sql()),
     "price_thresholds": (price_thresholds, THRESHOLDS_SQL),
     "family_capacity": (family_capacity, _CAPACITY_SQL),
     "enumerate_sizes": (enumerate_sizes, _ENUMERATED_SQL),

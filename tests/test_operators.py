@@ -121,7 +121,7 @@ def test_rewards(spark):
     got = [r.reward for r in rewards.composite(df).collect()]
     assert got == pytest.approx([1.30, 0.0, 0.0, 0.25])
     bounds = rewards.Weights().bounds()
-    assert bounds["separated"] and bounds["margin"] > 0.5
+    assert bounds["separated"] and (bounds["min_correct"], bounds["max_incorrect"], bounds["margin"]) == pytest.approx((1.00, 0.30, 0.70))
     parts = rewards.components(df).select(rewards.reward_parts(rewards.components(df)).alias("p")).first().p
     assert set(parts) == {"exec_match", "format", "executes", "nonempty", "safety", "efficiency"}
 
@@ -145,22 +145,60 @@ def test_advantages(spark):
 
 def test_replay(spark):
     tool, answer = '<tool>{"name": "list_tables", "args": {}}</tool>', "```sql\nSELECT 1\n```"
-    episodes = [(1, [tool, answer]), (2, ["hm", "hm"]), (3, [tool] * 9), (4, []), (5, ["hm", answer, "more"])]
+    episodes = [(1, [tool, answer]), (2, ["hm", "hm"]), (3, [tool] * 9), (4, []), (5, ["hm", answer, "more"]), (6, ["hm"] * 5), (7, ["hm", "hm", "hm", tool])]
     out = trajectories.replay(spark.createDataFrame(episodes, "id int, actions array<string>"), max_turns=4)
     assert {r.id: (r.reason, r.turns, r.tool_calls, r.final_sql) for r in out.collect()} == {
         1: ("submitted", 2, 1, "SELECT 1"),
-        2: ("malformed", 2, 0, ""),
+        2: ("unfinished", 2, 0, ""),
         3: ("max_turns", 4, 4, ""),
         4: ("unfinished", 0, 0, ""),
         5: ("submitted", 2, 0, "SELECT 1"),
+        6: ("malformed_final", 4, 0, ""),
+        7: ("max_turns", 4, 1, ""),
     }
 
 
+def test_rollouts(spark, shop):
+    tool, gold = '<tool>{"name": "run_query", "args": {"sql": "SELECT count(*) FROM customers"}}</tool>', "SELECT count(*) FROM customers"
+    rolls = trajectories.Rollouts(exec_match.Matcher(spark), "customers(customer_id)", trajectories.Tools(spark))
+    task, seen = {"question": "How many customers?", "gold": gold}, []
+
+    def says(*texts):
+        left = list(texts)
+        return lambda messages: seen.append([m["role"] for m in messages]) or [left.pop(0) if left else ""]
+
+    one = rolls.single_turn(says(f"```sql\n{gold}\n```"), task)
+    assert (one.correct, one.terminated_reason, one.n_llm_calls, one.reward) == (True, "single_turn", 1, pytest.approx(1.30))
+    many = rolls.multi_turn(says("hm", tool, f"```sql\n{gold}\n```"), task)
+    assert (many.correct, many.terminated_reason, many.n_llm_calls, many.n_tool_calls) == (True, "submitted", 3, 1)
+    assert [s["content"] for s in many.steps if s["role"] == "tool"] == [trajectories.CORRECTION, "1 row(s): [(20,)]"]
+    assert seen[-1] == ["system", "user", "assistant", "tool", "assistant", "tool"] and many.reward == pytest.approx(1.20)
+    hidden = rolls.multi_turn(says(*["hm"] * 9), task, hide_schema=True)
+    assert (hidden.terminated_reason, hidden.n_llm_calls, hidden.final_sql) == ("malformed_final", 4, "")
+    assert "customers(customer_id)" not in hidden.steps[1]["content"] and "customers(customer_id)" in many.steps[1]["content"]
+    assert rolls.multi_turn(says(*[tool] * 9), task).terminated_reason == "max_turns"
+    groups = rolls.batch(says("SELECT 1", f"{gold};"), [task], 2)
+    assert [t.correct for t in groups[0]] == [False, True]
+
+
+def test_null_columns_have_no_type(spark):
+    numbers, nothing, texts = (spark.sql(f"SELECT 1 AS a, {x} AS b") for x in ("CAST(NULL AS INT)", "CAST(NULL AS STRING)", "'1.0'"))
+    assert exec_match.same_result(numbers, nothing) and not exec_match.same_result(spark.sql("SELECT 1, 1.0"), texts)
+
+
+def test_external_metrics_and_vector(spark):
+    df = spark.createDataFrame([(2, {"format": 1.0}, 3, True), (1, {"format": 0.5}, 1, False)], "id int, parts map<string,double>, turns int, correct boolean")
+    assert {r.id: r.metrics for r in trajectories.external_metrics(df, "parts", "turns").collect()} == {2: {"format": 1.0, "turns": 3.0}, 1: {"format": 0.5, "turns": 1.0}}
+    assert [tuple(r) for r in evaluation.correctness_vector(df).collect()] == [(1, 0), (2, 1)]
+    summed = trajectories.group_summary(df.withColumn("g", F.lit(1)), "g", "turns", "correct", "id", "turns", "id").first()
+    assert (summed.mean_turns, summed.mean_tool_calls) == (2.0, 1.5)
+
+
 def test_tools(spark, shop):
     tools = trajectories.Tools(spark, row_limit=2)
     assert "customers" in tools.call("list_tables") and "city" in tools.call("describe_table", {"table": "customers"})
     assert tools.call("run_query", {"sql": "DROP TABLE customers"}) == trajectories.REFUSAL
-    assert tools.call("run_query", {"sql": "SELECT name FROM customers"}).endswith("(+ more)")
+    assert tools.call("run_query", {"sql": "SELECT name FROM customers"}).endswith("(+18 more rows)")
     assert "no table" in tools.call("sample_rows", {"table": "nope"})
 
 
