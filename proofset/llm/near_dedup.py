@@ -209,27 +209,28 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """``members`` (centre, id, component, set) with ``blocks`` of its centre, and its ``block`` among them."""
-    size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.size("set")) / BLOCK_SHINGLES))
+    """``members`` (centre, id, component, n) with ``blocks`` of its centre, and its ``block`` among them."""
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
     many = members.groupBy("centre").agg(size.cast("int").alias("blocks"))
     return members.join(many, "centre").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
 
-def _block_pairs(loose: DataFrame, around: DataFrame) -> DataFrame:
+def _block_pairs(loose: DataFrame, around: DataFrame, sets: DataFrame) -> DataFrame:
     """(xs, ys): each block of a centre's loose members with each block of all its members.
 
     The pairs of a centre are dealt to cells of ``GRID`` x ``GRID`` blocks; a block is
-    sent to every cell of its row or column.
+    sent to every cell of its row or column. Members are dealt without their sets, which
+    join them by id: a hot centre moves only numbers, and no set goes by its centre.
     """
     sides = [_blocks(m) for m in (loose, around)]
-    cells = [F.ceil(F.col("blocks") / GRID).cast("int") for _ in sides]
-    counts = [s.groupBy("centre").agg(F.first(c).alias("others")) for s, c in zip(sides, cells, strict=True)]
+    cells = F.ceil(F.col("blocks") / GRID).cast("int")
+    counts = [s.groupBy("centre").agg(F.first(cells).alias("others")) for s in sides]
     gathered = []
-    for side, other, cell, name, row in zip(sides, counts[::-1], cells, ("xs", "ys"), (True, False), strict=True):
-        own, every = F.pmod("block", cell), F.explode(F.sequence(F.lit(0), F.col("others") - 1))
-        dealt = side.join(other, "centre").withColumn("own", own).withColumn("other", every)
-        at = F.struct("centre", *(F.col(c).alias(n) for c, n in zip(("own", "other") if row else ("other", "own"), ("row", "column"), strict=True))).alias("at")
-        gathered.append(dealt.groupBy(at, "block").agg(F.collect_list(F.struct("id", "component", "set")).alias(name)).select("at", name))
+    for side, other, name, names in zip(sides, counts[::-1], ("xs", "ys"), (("own", "other"), ("other", "own")), strict=True):
+        dealt = side.join(other, "centre").withColumn("own", F.pmod("block", cells)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+        at = F.struct("centre", F.col(names[0]).alias("row"), F.col(names[1]).alias("column")).alias("at")
+        full = dealt.select(at, "block", "id", "component").join(sets, "id")
+        gathered.append(full.groupBy("at", "block").agg(F.collect_list(F.struct("id", "component", "set")).alias(name)).select("at", name))
     return gathered[0].join(gathered[1], "at").select("xs", "ys")
 
 
@@ -301,8 +302,9 @@ def _links(signed: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame
     loose = stage(known.filter("NOT linked").join(of_centre, "centre", "left").filter("own IS NULL OR own <> component").select("centre", "id", "component"), "near-loose")
     if loose.isEmpty():
         return reached
-    around = known.select("centre", "id", "component").join(loose.select("centre").distinct(), "centre", "left_semi")
-    pairs = _block_pairs(*(m.join(sets, "id").select("centre", "id", "component", "set") for m in (loose, around)))
+    around = stage(known.select("centre", "id", "component").join(loose.select("centre").distinct(), "centre", "left_semi"), "near-around")
+    sizes = classes.select(F.col("node").alias("id"), "n")
+    pairs = _block_pairs(*(m.join(sizes, "id") for m in (loose, around)), sets)
     late = stage(_block_links(pairs).distinct(), "near-late")
     return reached if late.isEmpty() else components(found.union(late))
 

@@ -124,6 +124,7 @@ def test_hot_centre_is_dealt_to_a_grid(spark, frame, prose, monkeypatch):
     monkeypatch.setattr(op, "GRID", 2)
     rows = [(k, edited(prose(7, 100), k, 1 + k % 5)) for k in range(120)]
     assert found(op.near_duplicates(frame(rows).repartition(6))) == brute(rows)
-    members = spark.createDataFrame([(c, i, i, list(range(i))) for c, n in ((1, 60), (2, 3)) for i in range(1, n)], "centre long, id long, component long, set array<long>")
-    pairs = [(x["id"], y["id"]) for r in op._block_pairs(members.filter("id % 2 = 0"), members).collect() for x in r.xs for y in r.ys]
+    members = spark.createDataFrame([(c, i, i, i) for c, n in ((1, 60), (2, 3)) for i in range(1, n)], "centre long, id long, component long, n long")
+    sets = spark.createDataFrame([(i, list(range(i))) for i in range(1, 60)], "id long, set array<long>")
+    pairs = [(x["id"], y["id"]) for r in op._block_pairs(members.filter("id % 2 = 0"), members, sets).collect() for x in r.xs for y in r.ys]
     assert len(pairs) == len(set(pairs)) + 2 and {(a, b) for a in range(2, 60, 2) for b in range(1, 60)} == set(pairs)
