@@ -12,12 +12,15 @@ from pyspark.sql.types import StructType
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read back, without its lineage.
 
-    The folder is the one the cluster names; only where none is set, as in tests, a
-    temporary one is chosen.
+    The folder is the one the cluster names; only a local master, as in tests, gets a
+    temporary one where none is set.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="proofset-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="proofset-"))
     return df.checkpoint()
 
 
