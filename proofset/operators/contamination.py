@@ -1,9 +1,8 @@
 """Contamination of candidates by held-out texts, and de-duplication by key.
 
-Token-set rules meet candidates and held-out items on tokens: every item's tokens
-are joined to the candidates' (an equi-join), matches are counted per pair, and the
-similarity follows from that count and the set sizes. Counts are combined where the
-candidate's tokens are, so one row per pair with a common token is shuffled.
+Token-set rules meet candidates and held-out items on the items' rarest tokens (an
+equi-join), of which a similar text cannot miss all; the pairs found are confirmed on
+full token sets. Common tokens make no pairs unless an item has no others.
 """
 
 from __future__ import annotations
@@ -12,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofset.functions import text as tx
+from proofset.sources.records import cut
+
+#: Held-out tokens are broadcast up to this measured size.
+BROADCAST_BYTES = 32 << 20
 
 
 def token_sets(df: DataFrame, id_col: str, text_col: str, name: str = "tokens") -> DataFrame:
@@ -25,32 +28,54 @@ def exact_questions(candidates: DataFrame, held_out: DataFrame) -> DataFrame:
     return a.join(b, "norm").select("id", "item").distinct()
 
 
-def token_overlaps(candidates: DataFrame, held_out: DataFrame, least: float = 0.0) -> DataFrame:
-    """(id, item, shared, n_id, n_item) of pairs with a token in common.
+def rarest_tokens(held_out: DataFrame, least: float) -> DataFrame:
+    """(item, token, b): of each held-out item's tokens ``b`` as many of the rarest as a text with the
+    share ``least`` of them cannot miss all of: n - ceil(least * n) + 1 of n.
+
+    Rare means in few held-out items, so that a candidate's token leads to few of them.
+    """
+    sets = token_sets(held_out, "item", "text", "b").select("item", "b", F.explode_outer("b").alias("token"))
+    times = sets.groupBy("token").agg(F.count(F.lit(1)).alias("times"))
+    ranked = sets.join(times, "token").groupBy("item", "b").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("ranked"))
+    needed = F.ceil(F.size("b") * F.lit(least) - 1e-9)  # rounding may only lengthen the list
+    first = F.slice("ranked", F.lit(1), F.greatest(F.size("b") - needed + 1, F.lit(1)).cast("int"))
+    return ranked.select("item", "b", F.explode(first).alias("x")).select("item", "x.token", "b")
+
+
+def token_overlaps(candidates: DataFrame, held_out: DataFrame, least: float, alike: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(id, item, shared, n_id, n_item) of the pairs that share ``least`` of the item's tokens, at least.
 
-    With ``least`` > 0, pairs whose sizes rule out that Jaccard similarity are left
-    out before they are counted.
+    A Jaccard similarity of ``least`` asks for that too, and, ``alike``, for sizes that allow
+    it, which are looked at before the tokens. Where the rarest tokens and their
+    items' sets fit ``broadcast_bytes``, candidates meet them in one pass and only what is
+    confirmed is shuffled; beyond that, pairs are found first and then get their sets.
     """
-    a = token_sets(candidates, "id", "text").filter(F.size("tokens") > 0).withColumn("n_id", F.size("tokens"))
-    b = token_sets(held_out, "item", "text").filter(F.size("tokens") > 0).withColumn("n_item", F.size("tokens"))
-    a = a.select("id", "n_id", F.explode("tokens").alias("token"))
-    b = b.select("item", "n_item", F.explode("tokens").alias("token"))
-    met = a.join(b, "token")
-    if least:
-        met = met.filter((F.col("n_id") >= least * F.col("n_item")) & (F.col("n_item") >= least * F.col("n_id")))
-    return met.groupBy("id", "item", "n_id", "n_item").agg(F.count(F.lit(1)).alias("shared"))
+    rare = cut(rarest_tokens(held_out, least))
+    # An outer explode, as the filter of an inner one is pushed down and takes the tokens twice.
+    sets = token_sets(candidates, "id", "text", "a")
+    found = sets.select("id", "a", F.explode_outer("a").alias("token"))
+    size = rare.agg(F.sum(F.octet_length(F.array_join("b", " ")) + 24 * F.size("b") + F.octet_length("token") + 64)).first()[0] or 0
+    if size <= broadcast_bytes:
+        met = found.join(F.broadcast(rare), "token")
+    else:
+        pairs = found.select("id", "token").join(rare.select("item", "token"), "token").select("id", "item").distinct()
+        met = sets.join(pairs, "id").join(rare.select("item", "b").dropDuplicates(["item"]), "item")
+    if alike:
+        met = met.filter(F.size("b") >= least * F.size("a"))
+    sizes = met.select("id", "item", F.size(F.array_intersect("a", "b")).alias("shared"), F.size("a").alias("n_id"), F.size("b").alias("n_item"))
+    return sizes.filter(F.col("shared") / F.col("n_item") >= least).distinct()
 
 
 def near_questions(candidates: DataFrame, held_out: DataFrame, least: float = 0.85) -> DataFrame:
     """Rule 2: (id, item, jaccard) from ``least`` up."""
     similarity = F.col("shared") / (F.col("n_id") + F.col("n_item") - F.col("shared"))
-    return token_overlaps(candidates, held_out, least).withColumn("jaccard", similarity).filter(F.col("jaccard") >= least).select("id", "item", "jaccard")
+    return token_overlaps(candidates, held_out, least, alike=True).withColumn("jaccard", similarity).filter(F.col("jaccard") >= least).select("id", "item", "jaccard")
 
 
 def containment(candidates: DataFrame, held_out: DataFrame, least: float = 0.85) -> DataFrame:
     """(id, item, contained): the share of an item's tokens that a candidate has."""
     contained = F.col("shared") / F.col("n_item")
-    return token_overlaps(candidates, held_out).withColumn("contained", contained).filter(F.col("contained") >= least).select("id", "item", "contained")
+    return token_overlaps(candidates, held_out, least).withColumn("contained", contained).select("id", "item", "contained")
 
 
 def canonical_matches(candidates: DataFrame, held_out: DataFrame) -> DataFrame:

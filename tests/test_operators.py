@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +78,21 @@ def test_contamination_rules(spark):
     }
 
 
+@pytest.mark.parametrize("broadcast_bytes", [contamination.BROADCAST_BYTES, 0])
+def test_token_overlaps_against_brute_force(spark, broadcast_bytes):
+    rng = random.Random(5)
+    words = [f"w{chr(97 + i)}x" for i in range(26)]
+    draw = lambda: " ".join(rng.choices(words, weights=range(1, 27), k=rng.randrange(0, 24)))
+    texts, items = [draw() for _ in range(80)] + [None, "the of", ""], [draw() for _ in range(40)] + [None, "12 the"]
+    texts += [t for t in items if t][:5] * 2
+    got = contamination.token_overlaps(
+        spark.createDataFrame(list(enumerate(texts)), "id long, text string"), spark.createDataFrame(list(enumerate(items)), "item long, text string"), 0.6, broadcast_bytes=broadcast_bytes
+    ).collect()
+    a, b = ([{w for w in (t or "").split() if w in words} for t in x] for x in (texts, items))
+    want = {(i, j, len(x & y), len(x), len(y)) for i, x in enumerate(a) for j, y in enumerate(b) if y and len(x & y) / len(y) >= 0.6}
+    assert len(got) == len(want) > 100 and {tuple(r) for r in got} == want
+
+
 def test_first_by_key(spark):
     df = spark.createDataFrame([(1, "A  b"), (2, "a b"), (3, "c")], "pos int, sql string")
     assert {r.pos for r in datasets.dedup_by_sql(df, "sql", "pos").collect()} == {1, 3}
