@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from proofset.functions import stats
 from proofset.functions import text as tx
 from proofset.operators import datasets, evaluation, rewards, trajectories, taskgen
+from proofset.plans.textual import NORM
 from proofset.sources import tables as t
 from proofset.streaming import events as ev
 
@@ -284,6 +285,24 @@ MCNEMAR_SQL = f"""WITH {SAMPLES} SELECT count(*) FILTER (WHERE quality > 1 - tox
 count(*) FILTER (WHERE quality = 1 - toxic) AS ties, count(*) AS n, round(sum(1 - toxic - quality) * 1.0e0 / count(*), 6) AS delta FROM x"""
 
 
+def mcnemar_test(s, d):
+    """Both forms of the paired test over all labelled items."""
+    pairs = samples(s, d).withColumn("b", 1 - F.col("toxic"))
+    found = [stats.mcnemar(pairs, "quality", "b", exact)["p_two_sided"] for exact in (True, False)]
+    return s.createDataFrame([tuple(found)], "p_exact double, p_approximate double").select(_r("p_exact"), _r("p_approximate"))
+
+
+MCNEMAR_P_SQL = f"""WITH {SAMPLES}, c AS (SELECT count(*) FILTER (quality > 1 - toxic) AS a, count(*) FILTER (1 - toxic > quality) AS b FROM x), e AS (SELECT *, a + b AS n FROM c),
+i AS (SELECT *, unnest(range(0, least(a, b) + 1)) AS i FROM e), t AS (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0e0))) AS tail FROM i)
+SELECT round(least(1.0e0, 2 * tail), 6) AS p_exact, CASE WHEN n = 0 THEN 1.0e0 ELSE round(exp(-pow(abs(b - a) - 1, 2) / n / 2.0e0), 6) END AS p_approximate FROM t, e"""
+
+
+def external_metrics(s, d):
+    """Events as trajectories: the value is the only reward part, two counters come from ids."""
+    rows = t.load(s, d, "events").select("event_id", F.create_map(F.lit("value"), F.col("value")).alias("parts"), (F.col("event_id") % 4).alias("turns"), (F.col("event_id") % 3).alias("calls"))
+    return trajectories.external_metrics(rows, "parts", "turns", "calls").select("event_id", *(F.col("metrics")[n].alias(f"m_{n}") for n in ("value", "turns", "calls")))
+
+
 def bootstrap_means(s, d):
     diffs = samples(s, d).select((1 - F.col("toxic") - F.col("quality")).alias("d"))
     return stats.bootstrap_means(diffs, "d", 20).withColumn("mean", F.round("mean", 6))
@@ -490,6 +509,38 @@ def enumerate_sizes(s, d):
     return tasks.join(golds, ["family", "level"])
 
 
+# ---- Generated tasks: documents are questions, their sources families; facts of golds by id ----
+GOLD = "CASE WHEN doc_id % 10 = 0 THEN concat('drop ', CAST(doc_id AS VARCHAR(20))) ELSE concat('  Select ', CAST(doc_id AS VARCHAR(20))) END"
+RULE = "CASE doc_id % 13 WHEN 0 THEN 'rule1_exact_question' WHEN 1 THEN 'signature_only' END"
+
+
+def made_tasks(s, d):
+    docs = t.load(s, d, "documents")
+    tasks = docs.selectExpr("doc_id", "source AS family", "text AS question", f"{GOLD} AS gold", "doc_id % 5 < 3 AS multi_row", f"{RULE} AS rule", "doc_id AS order")
+    facts = docs.filter("doc_id % 17 > 0").selectExpr(f"{GOLD} AS gold", "CASE WHEN doc_id % 7 = 0 THEN 'NOT_FOUND' END AS error", "CASE WHEN doc_id % 11 > 0 THEN doc_id % 4 END AS n_rows", "doc_id % 4 = 1 AND doc_id % 3 = 0 AS all_null")
+    return taskgen.validated(tasks, facts)
+
+
+MADE = f"""v AS (SELECT doc_id, source AS family, text AS question, {RULE} AS rule, CASE WHEN doc_id % 10 = 0 THEN 'not_select' WHEN doc_id % 17 = 0 THEN 'gold_none' WHEN doc_id % 7 = 0 THEN 'gold_error:NOT_FOUND'
+ WHEN doc_id % 11 = 0 THEN 'gold_none' WHEN doc_id % 4 = 0 THEN 'empty_result' WHEN doc_id % 12 = 9 THEN 'all_null_result' WHEN doc_id % 4 = 1 AND doc_id % 5 < 3 THEN 'degenerate_single_row' ELSE 'ok' END AS reason FROM documents)"""
+
+
+def validated_tasks(s, d):
+    return made_tasks(s, d).select("doc_id", "reason")
+
+
+def accepted_tasks(s, d):
+    return taskgen.corpus(made_tasks(s, d)).select("doc_id", "family")
+
+
+def rejection_counts(s, d):
+    return taskgen.audit_counts(made_tasks(s, d))
+
+
+_ACCEPTED_SQL = f"""WITH {MADE}, r AS (SELECT doc_id, family, row_number() OVER (PARTITION BY family, {NORM.format(x='question')} ORDER BY doc_id) AS p FROM v WHERE reason = 'ok' AND (rule IS NULL OR rule = 'signature_only'))
+SELECT doc_id, family FROM r WHERE p = 1"""
+_REJECTED_SQL = f"""WITH {MADE}, w AS (SELECT family, CASE WHEN reason <> 'ok' THEN reason ELSE coalesce(rule, 'accepted') END AS why FROM v) SELECT family, why, count(*) AS n FROM w GROUP BY CUBE (family, why)"""
+
 _STAR_YIELD = f"WITH {SAMPLES}, g AS (SELECT lang, source, max(CAST(correct AS INTEGER)) AS hit FROM x GROUP BY 1, 2) SELECT lang, CAST(sum(hit) AS BIGINT) AS kept, count(*) AS tasks, round(sum(hit) * 1.0e0 / count(*), 3) AS yield FROM g GROUP BY lang"
 
 QUERIES = {
@@ -520,6 +571,12 @@ QUERIES = {
     "wilson": (wilson, f"WITH {LEVELS} SELECT lang, round(greatest(0.0e0, {WILSON} - {HALF}), 6) AS low, round(least(1.0e0, {WILSON} + {HALF}), 6) AS high FROM g"),
     "report_number": (report_number, REPORT_SQL),
     "mcnemar_counts": (mcnemar_counts, MCNEMAR_SQL),
+    "mcnemar_test": (mcnemar_test, MCNEMAR_P_SQL),
+    "correctness_vector": (lambda s, d: evaluation.correctness_vector(samples(s, d), "doc_id"), f"WITH {SAMPLES} SELECT doc_id, CAST(correct AS INTEGER) AS hit FROM x"),
+    "external_metrics": (external_metrics, "SELECT event_id, value AS m_value, CAST(event_id % 4 AS DOUBLE) AS m_turns, CAST(event_id % 3 AS DOUBLE) AS m_calls FROM events"),
+    "validated_tasks": (validated_tasks, f"WITH {MADE} SELECT doc_id, reason FROM v"),
+    "accepted_tasks": (accepted_tasks, _ACCEPTED_SQL),
+    "rejection_counts": (rejection_counts, _REJECTED_SQL),
     "bootstrap_means": (bootstrap_means, BOOT_SQL),
     "paired_interval": (paired_interval, INTERVAL_SQL),
     "seed_summary": (seed_summary, SEED_SQL),
