@@ -72,3 +72,35 @@ def test_filter_keeps_what_scores_well(spark):
     good = {r.doc_id for r in op.query(spark, d).collect() if r.predicted}
     out = op.keep_good(docs, table(spark, d, "labels"))
     assert out.schema == docs.schema and {r.doc_id for r in out.collect()} == good
+
+
+def plain_statistics(text: str) -> list[float]:
+    """The statistics as written in words, one byte after the other."""
+    data = text.encode()
+    n, space, digits = max(len(data), 1), b" \t\n\x0b\x0c\r", b"0123456789"
+    share = lambda test: sum(map(test, data)) / n
+    words, lines = data.split(), data.split(b"\n")
+    again, seen = 0, set()
+    for i, line in enumerate(lines):
+        whole = len(line) + (i < len(lines) - 1)
+        again += whole if whole > 8 and line in seen else 0
+        seen.add(line)
+    same = sum(x == y and y not in space for x, y in zip(data, data[1:], strict=False))
+    spaces = sum(x in space and y in space for x, y in zip(data, data[1:], strict=False))
+    symbols = b"#$%&*<=>@\\^_`{}~+[]/"
+    solid = sum(x not in space for x in data)
+    n_words = max(len(words), 1)
+    shares = [
+        share(lambda x: 65 <= x <= 90), share(lambda x: 97 <= x <= 122), share(lambda x: x in digits), share(lambda x: x >= 128), share(lambda x: x in b".?"),
+        share(lambda x: x in b"!"), share(lambda x: x in b",;:"), share(lambda x: x in b"|"), share(lambda x: x in symbols),
+    ]
+    capitals = sum(65 <= w[0] <= 90 for w in words)
+    logs = [len(data), solid / n_words, len(data) / len(lines), len(lines)]
+    return [*np.sqrt(shares), *np.log1p(logs), *np.sqrt([again / n, capitals / n_words, same / n, spaces / n])]
+
+
+def test_statistics_against_brute_force(prose):
+    line = "The Same Line, again.\n"
+    texts = ["", " ", "A", "Hello World!! 12 | {x}", line * 4 + "end", line + "between\n" + line, "x\n" * 9, "É é\t\tß...", "a  b\n\n\nC", prose(3, 400), "no end\n" + line[:-1] + "\n" + line[:-1], "~`@#$%^&*()_+-=[]{}\\|;:'\",./<>?"]
+    for row, text in zip(stats_of(texts), texts, strict=True):
+        assert dict(zip(op.NAMES, row, strict=True)) == pytest.approx(dict(zip(op.NAMES, plain_statistics(text), strict=True))), text
