@@ -60,10 +60,18 @@ def successes(result: Any) -> tuple[int, int]:
 
 
 def sign_test(a_only: int, b_only: int) -> float:
-    """Exact two-sided probability of so uneven a split of disagreements."""
-    n = a_only + b_only
-    tail = sum(math.comb(n, i) for i in range(min(a_only, b_only) + 1))
-    return min(1.0, 2 * tail / 2**n)
+    """Exact two-sided probability of so uneven a split of disagreements.
+
+    Terms are taken from the largest one down, by their ratios, until they no longer count:
+    some square root of n of them, whatever n is.
+    """
+    n, i = a_only + b_only, min(a_only, b_only)
+    term, tail = math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)), 0.0
+    while i >= 0 and term > tail * 1e-17:
+        tail += term
+        term *= i / (n - i + 1)
+        i -= 1
+    return min(1.0, 2 * tail)
 
 
 def mcnemar_chi(a_only: int, b_only: int) -> float:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -239,6 +240,13 @@ def test_intervals():
         stats.successes(3.5)
 
 
+def test_sign_test_against_whole_sums():
+    for a, b in ((0, 0), (0, 1), (3, 9), (40, 40), (41, 40), (120, 180), (900, 1000), (0, 900)):
+        whole = min(1.0, 2 * sum(math.comb(a + b, i) for i in range(min(a, b) + 1)) / 2 ** (a + b))
+        assert stats.sign_test(a, b) == pytest.approx(whole, rel=1e-9, abs=1e-300)
+    assert stats.sign_test(10**9, 10**9 + 1) == pytest.approx(1.0, abs=1e-4) and stats.sign_test(10**9, 2 * 10**9) == 0.0
+
+
 def test_paired(spark):
     df = spark.createDataFrame([(1, 1)] * 5 + [(0, 1)] * 6 + [(1, 0)] + [(0, 0)] * 4, "a int, b int")
     test = stats.mcnemar(df, "a", "b")
