@@ -21,10 +21,12 @@ Defined results
 
 from __future__ import annotations
 
-import base64
+import json
 import os
 import re
+import unicodedata
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -41,8 +43,26 @@ CAPACITY = 1024
 END_ID = 2
 #: Hash buckets in which the pieces of one length are ranked.
 RANK_BUCKETS = 256
-#: The pre-tokenizer of the vocabulary: contractions, words, numbers, signs, spaces.
-PRE_TOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Unicode's white space.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Characters whose kind depends on the Unicode version, as Python and ``tokenizers`` have different ones.
+UNSETTLED = r"\u1c89\u1c8a\ua7cb-\ua7dc\U00010000-\U0001f10c\U0001fbf0-\U0010ffff"
+#: Words whose ids a worker remembers, and the length up to which it does.
+KNOWN_WORDS = 1 << 19
+KNOWN_LETTERS = 32
+
+
+@cache
+def pre_tokens() -> re.Pattern:
+    """The words of byte-level vocabularies: contractions, letters, numbers, signs, spaces."""
+
+    def kind(major: str) -> str:
+        of = [unicodedata.category(chr(c))[0] == major for c in range(1 << 16)]
+        edges = np.flatnonzero(np.diff(of, prepend=False, append=False)).reshape(-1, 2)
+        return "".join(f"\\u{a:04x}-\\u{b - 1:04x}" for a, b in edges)
+
+    letters, numbers = kind("L"), kind("N")
+    return re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{letters}]+| ?[{numbers}]+| ?[^{SPACE}{letters}{numbers}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -52,12 +72,13 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    """Token ids of whole texts, as ``tokenizers`` gives them for the vocabulary file.
+    """Token ids of whole texts by ``tokenizers``.
 
-    Latin-script texts go through ``tiktoken`` with the same vocabulary as ranks,
-    which gives the same ids in a third of the time. Other texts, those with the
-    vocabulary's special token, and those with very long unbroken runs, and all
-    texts if there is no such file of ranks, go through ``tokenizers`` itself.
+    Byte-level BPE merges within a word only, so a text's ids are those of its words
+    in a row, and a worker remembers the ids of words it has met. A full memory is
+    emptied, so that it is bounded by that size or one text. Texts with a special token
+    or a character that Unicode's versions class apart are encoded as a whole, and so
+    are all texts of a vocabulary of another kind.
     """
 
     def __init__(self, path: str):
@@ -65,20 +86,35 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.fast = None
-        ranks = Path(path).with_suffix(".tiktoken")
-        if ranks.exists():
-            import tiktoken
-
-            lines = (line.split() for line in ranks.read_bytes().splitlines() if line)
-            self.fast = tiktoken.Encoding("ranks", pat_str=PRE_TOKENS, mergeable_ranks={base64.b64decode(a): int(n) for a, n in lines}, special_tokens={})
+        made = json.loads(Path(path).read_bytes())
+        split = made["pre_tokenizer"] or {}
+        by_words = split.get("type") == "ByteLevel" and not split["add_prefix_space"] and split.get("use_regex", True)
+        self.by_words = by_words and made["model"]["type"] == "BPE" and not made["normalizer"]
         special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.plain = re.compile(rf"[^\0-\u024f\u2010-\u2027]|\S{{2000}}|{special or '(?!)'}")
+        self.whole = re.compile(f"[{UNSETTLED}]|{special or '(?!)'}")
+        self.known: dict[str, bytes] = {}
+
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids, as little-endian bytes, of those ``words`` that aren't known; short ones are remembered."""
+        new = [w for w in set(words) if w not in self.known]
+        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        ids = {w: array("I", e.ids).tobytes() for w, e in zip(new, found, strict=True)}
+        if len(self.known) + len(ids) > KNOWN_WORDS:
+            self.known = {}
+        self.known.update((w, b) for w, b in ids.items() if len(w) <= KNOWN_LETTERS)
+        return ids
 
     def encode(self, text: str) -> np.ndarray:
-        if self.fast and not self.plain.search(text):
-            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        if not self.by_words or self.whole.search(text):
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        words = pre_tokens().findall(text)
+        try:
+            ids = b"".join(map(self.known.__getitem__, words))
+        except KeyError:
+            before = self.known
+            new = self.learn(words)
+            ids = b"".join(new[w] if w in new else before[w] for w in words)
+        return np.frombuffer(ids, dtype="<u4")
 
 
 @cache

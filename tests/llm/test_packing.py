@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from functools import cache
 
 import numpy as np
 
@@ -55,10 +56,15 @@ def test_segment_tree():
         assert tree.tightest(n) == min((c for c in open_bins if c >= n), default=None)
 
 
-def ids_of(text):
+@cache
+def library():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(op.vocabulary_path()).encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(op.vocabulary_path())
+
+
+def ids_of(text):
+    return library().encode(text or "", add_special_tokens=False).ids
 
 
 def test_encoder_equals_the_library():
@@ -69,6 +75,23 @@ def test_encoder_equals_the_library():
     assert all(encode(t).tolist() == ids_of(t) for t in texts)
 
 
+def test_words_are_the_library_s():
+    split = library().pre_tokenizer.pre_tokenize_str
+    whole = op.encoder(op.vocabulary_path()).whole
+    for c in [*range(0xD800), *range(0xE000, 0x110000, 7)]:
+        text = f"a{chr(c)}1{chr(c)}{chr(c)} {chr(c)}!{chr(c)} b"
+        assert whole.search(text) or [m.span() for m in op.pre_tokens().finditer(text)] == [at for _, at in split(text)], hex(c)
+
+
+def test_memory_of_words_is_bounded(monkeypatch, prose):
+    monkeypatch.setattr(op, "KNOWN_WORDS", 50)
+    own = op.Encoder(op.vocabulary_path())
+    for i in range(60):
+        text = prose(i, 40) + " " + "x" * i + f" {i}" * 3
+        assert own.encode(text).tolist() == ids_of(text) and len(own.known) <= 50 + 200
+        assert max(map(len, own.known)) <= op.KNOWN_LETTERS
+
+
 def test_pieces_and_places(spark, frame, odd_rows, prose):
     rows = [*odd_rows, *((100 + i, prose(i, 5 * i)) for i in range(200))]
     got = op.pack(frame(rows).repartition(5)).collect()
