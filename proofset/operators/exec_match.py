@@ -8,7 +8,11 @@ A bag compares by one aggregation of both sides, a list by rows with their posit
 from __future__ import annotations
 
 import re
+import threading
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import TypeVar
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +22,7 @@ from pyspark.sql.types import BooleanType, NumericType
 from proofset.functions import text as tx
 from proofset.sources.records import cut
 
+T = TypeVar("T")
 #: Spark's conditions by kind of failure.
 ERROR_KINDS = {
     "UNRESOLVED_COLUMN": "hallucinated_column",
@@ -51,6 +56,47 @@ def run_sql(spark: SparkSession, sql: str) -> tuple[DataFrame | None, str | None
         return None, f"{e.getCondition() or type(e).__name__}: {str(e).splitlines()[0]}"
 
 
+def within(spark: SparkSession, seconds: float, action: Callable[[], T]) -> tuple[T | None, str | None]:
+    """(result of ``action``, None), or (None, error) once its Spark jobs took over ``seconds``.
+
+    Jobs carry a tag and are interrupted by it, those that start too late as well. A task
+    ends at its next check for interruption; the rows of one inner loop have none.
+    """
+    tag, done, late = f"limit-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+
+    def watch() -> None:
+        wait = seconds
+        while not done.wait(wait):
+            late.set()
+            spark.sparkContext.cancelJobsWithTag(tag)
+            wait = 0.2
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    spark.sparkContext.addJobTag(tag)
+    watcher.start()
+    try:
+        return action(), None
+    except Exception:
+        if late.is_set():
+            return None, f"timeout: over {seconds:g} s"
+        raise
+    finally:
+        done.set()
+        watcher.join()
+        spark.sparkContext.removeJobTag(tag)
+
+
+def run_rows(spark: SparkSession, sql: str, rows: int, seconds: float) -> tuple[list | None, str | None]:
+    """(at most ``rows`` rows, None) or (None, error), within a time limit."""
+    df, error = run_sql(spark, sql)
+    if df is None:
+        return None, error
+    try:
+        return within(spark, seconds, df.limit(rows).collect)
+    except PySparkException as e:
+        return None, f"{e.getCondition() or type(e).__name__}: {str(e).splitlines()[0]}"
+
+
 def error_kind(error: str) -> str:
     return ERROR_KINDS.get(re.split(r"[.:]", error)[0], "other_sql_error")
 

@@ -18,13 +18,29 @@ from proofset.functions import text as tx
 from proofset.operators import exec_match, splits
 from proofset.sources.records import cut
 
-OPENERS = ("Return {body}.", "Which query gives {body}?", "I need {body}.")
+OPENERS = (
+    "Return {body}.", "Which query gives {body}?", "I need {body}.", "Find {body}.", "Please work out {body}.",
+    "Can you give me {body}?", "Write SQL for {body}.", "A report should show {body}.", "From the shop's tables, get {body}.",
+)
 ENUMERATION_CAP = 400
 # ---- Fixed values: thresholds that no table gives, quantiles of prices, bounds ----
 SLOT_CONSTANTS = {"count_threshold": (2, 3, 4), "qty_threshold": (2, 3), "n_limit": (3, 5, 10)}
 PRICE_QUANTILES = (0.1, 0.25, 0.4, 0.5, 0.6, 0.75, 0.9)
 LEVEL_MIX = [("easy", 0.25), ("medium", 0.40), ("hard", 0.35)]
 RESERVED_SHARE = 0.55
+#: How many ways of asking each family has.
+PHRASINGS = {
+    "cust_by_city": 6, "cust_by_segment": 6, "prod_by_category": 6, "count_cust_by_city": 3, "count_prod_by_category": 6,
+    "count_orders_by_status": 3, "price_of_product": 6, "attr_of_customer": 6, "distinct_col": 6, "prod_price_compare": 6,
+    "order_ids_by_status": 3, "prod_in_cat_above_price": 6, "count_by_group": 5, "agg_price_by_category": 6, "having_count": 3,
+    "topn_products_by_price": 3, "orders_per_month": 3, "orders_per_customer": 3, "qty_per_product": 3, "never_ordered_products": 3,
+    "signup_after": 6, "distinct_products_in_status": 3, "customers_with_status_order": 3, "avg_qty_per_order_item": 3, "count_orders_in_month": 6,
+    "revenue_total_status": 7, "revenue_by_group": 6, "argmax_revenue_by_group": 6, "avg_order_value": 6, "orders_with_n_items": 6,
+    "status_fraction": 6, "max_per_group": 3, "never_in_status": 6, "total_vs_status_revenue": 6, "active_multi_month": 6,
+    "revenue_per_month": 6, "topn_customers_by_orders": 6, "customers_by_city_segment": 6, "revenue_by_group_all": 5, "orders_count_by_status_month": 6,
+    "avg_qty_having": 6, "argmax_qty_category": 3, "segment_avg_order_value": 6, "never_ordered_customers": 6, "orders_per_month_status": 4,
+    "qty_per_product_status": 4, "never_ordered_in_category": 4, "extreme_per_group": 4, "argmax_qty_group_status": 4,
+}
 # ------------------------------------------------------------------------------------
 JOBS_OF = 24
 
@@ -38,7 +54,10 @@ class Template:
     slots: tuple[str, ...] = ()
     variants: tuple[dict[str, str], ...] = ({},)
     multi_row: bool = False
-    openers: tuple[str, ...] = OPENERS
+
+    @property
+    def openers(self) -> tuple[str, ...]:
+        return OPENERS[: PHRASINGS[self.family]]
 
 
 SALES = "order_items i JOIN shop_orders o ON o.order_id = i.order_id JOIN products p ON p.product_id = i.product_id"
@@ -210,6 +229,32 @@ def enumerate_tasks(spark: SparkSession, values: DataFrame, cap: int = ENUMERATI
     return made.withColumn("order", rank).filter(F.col("order") <= cap)
 
 
+def draw_tasks(spark: SparkSession, values: DataFrame, draws: int = 1, seed: int = 1234) -> DataFrame:
+    """(family, draw, level, multi_row, question, gold, slots): ``draws`` random instances of each template.
+
+    Draws are with replacement. Each takes a variant, an opener and the values of its
+    slots by md5(seed:draw:family:what), so nothing is enumerated. A template with a
+    slot of no values has no instance.
+    """
+    rows = template_rows(spark).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    said = F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), "family")
+
+    def pick(options: str):
+        drawn = F.conv(F.substring(F.md5(F.concat(said, F.lit(f":{options}"))), 1, 8), 16, 10).cast("long")
+        return F.get(options, F.pmod(drawn, F.size(options)).cast("int"))
+
+    # Templates are few whatever the tables' size.
+    wanted = F.broadcast(rows.select("family", "draw", F.explode("slots").alias("slot")))
+    least = F.min_by("value", F.md5(F.concat_ws(":", said, F.col("slot"), F.col("value"))))
+    found = values.join(wanted, "slot").groupBy("family", "draw", "slot").agg(least.alias("value"))
+    found = found.groupBy("family", "draw").agg(F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("found"))
+    none = F.create_map().cast("map<string,string>")
+    made = rows.join(found, ["family", "draw"], "left").withColumn("found", F.coalesce("found", none)).filter(F.size("found") == F.size("slots"))
+    made = made.withColumn("filled", F.map_concat(pick("variants"), "found"))
+    body = tx.fill(F.replace(pick("openers"), F.lit("{body}"), F.col("body")), F.col("filled"))
+    return made.select("family", "draw", "level", "multi_row", body.alias("question"), tx.fill(F.col("gold"), F.col("filled")).alias("gold"), F.col("filled").alias("slots"))
+
+
 def run_golds(spark: SparkSession, golds: list[str], jobs_of: int = JOBS_OF) -> DataFrame:
     """(gold, error, n_rows, all_null, signature) of distinct statements, ``jobs_of`` to a job."""
     ran, failed = [], []

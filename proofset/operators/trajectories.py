@@ -305,6 +305,18 @@ def filled_history(df: DataFrame, run: str, step: str, metric: str) -> DataFrame
     return df.withColumn("filled", F.coalesce(F.last(metric, True).over(back), F.first(metric, True).over(ahead)))
 
 
+def chart_series(df: DataFrame, run: str, step: str, panels: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(run, panel, metric, step, value): what each panel draws of each run.
+
+    A panel has the columns it accepts, in order, and takes the first that the run has
+    any value of; steps without a value leave no point.
+    """
+    options = [F.struct(F.lit(p).alias("panel"), F.lit(i).alias("__i"), F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for p, cs in panels.items() for i, c in enumerate(cs)]
+    points = df.select(run, step, F.inline(F.array(*options))).filter("value IS NOT NULL")
+    first = points.groupBy(run, "panel").agg(F.min("__i").alias("__i"))
+    return points.join(first, [run, "panel", "__i"]).select(run, "panel", "metric", step, "value")
+
+
 def validation_gate(df: DataFrame, run: str, step: str, metric: str, patience: int = 3) -> DataFrame:
     """Per run, over measured steps only: best value, the step to promote, where patience ends, and why."""
     rows = df.filter(F.col(metric).isNotNull()).select(run, F.col(step).alias("__s"), F.col(metric).alias("__m"))

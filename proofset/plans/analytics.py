@@ -185,6 +185,21 @@ FILLED_SQL = f"""WITH {HISTORY} SELECT event_id, coalesce(last_value(metric IGNO
  first_value(metric IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS filled FROM h"""
 
 
+PANELS = {"reward": ("proxy", "reward"), "truth": ("accuracy",)}
+
+
+def chart_series(s, d):
+    """Users are runs: the proxy is known at purchases, the reward at every even event, the accuracy at clicks."""
+    rows = t.load(s, d, "events").selectExpr("user_id", "event_id", "CASE WHEN event_type = 'purchase' THEN value END AS proxy", "CASE WHEN event_id % 2 = 0 THEN value + 1 END AS reward", "CASE WHEN event_type = 'click' THEN value END AS accuracy")
+    return trajectories.chart_series(rows, "user_id", "event_id", PANELS)
+
+
+CHART_SQL = """WITH e AS (SELECT *, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id) AS bought FROM events)
+SELECT user_id, 'reward' AS panel, 'proxy' AS metric, event_id, value FROM e WHERE event_type = 'purchase' AND value IS NOT NULL
+UNION ALL SELECT user_id, 'reward', 'reward', event_id, value + 1 FROM e WHERE bought = 0 AND event_id % 2 = 0 AND value IS NOT NULL
+UNION ALL SELECT user_id, 'truth', 'accuracy', event_id, value FROM e WHERE event_type = 'click' AND value IS NOT NULL"""
+
+
 def validation_gate(s, d):
     return trajectories.validation_gate(history(s, d), "user_id", "event_id", "metric", 5)
 
@@ -509,6 +524,38 @@ def enumerate_sizes(s, d):
     return tasks.join(golds, ["family", "level"])
 
 
+DRAWS = 20
+
+
+def task_draws(s, d):
+    return taskgen.draw_tasks(s, taskgen.slot_values(_shop(s, d)), DRAWS).select("family", "draw", "level", "question", "gold")
+
+
+def _draws_sql() -> str:
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    many = lambda xs: "[" + ", ".join(map(text, xs)) + "]::VARCHAR[]"
+    keys = sorted({k for x in taskgen.TEMPLATES for v in x.variants for k in v})
+    slots = sorted({n for x in taskgen.TEMPLATES for n in x.slots})
+    filled = lambda x: [many([v.get(k, "") for v in x.variants]) for k in keys]
+    rows = ", ".join(f"({text(x.family)}, {text(x.level)}, {text(x.body)}, {text(x.gold)}, {many(x.slots)}, {many(x.openers)}, {', '.join(filled(x))})" for x in taskgen.TEMPLATES)
+    pick = lambda options, of: f"{options}[1 + CAST(concat('0x', substr(md5(concat(said, ':{of}')), 1, 8)) AS BIGINT) % len({options})]"
+
+    def fill(x: str) -> str:
+        for k in keys:
+            x = f"replace({x}, '{{{k}}}', {pick(f'v_{k}', 'variants')})"
+        for n in slots:
+            x = f"replace({x}, '{{{n}}}', coalesce(s_{n}, ''))"
+        return x
+
+    chosen = ", ".join(f"max(value) FILTER (slot = '{n}') AS s_{n}" for n in slots)
+    return f"""WITH pools AS ({_all_pools_sql()}), t(family, level, body, gold, slots, openers, {', '.join(f'v_{k}' for k in keys)}) AS (VALUES {rows}),
+w AS (SELECT *, concat('1234:', draw, ':', family) AS said FROM t, range({DRAWS}) r(draw)),
+f AS (SELECT family, draw, slot, arg_min(value, md5(concat(said, ':', slot, ':', value))) AS value FROM (SELECT family, draw, said, unnest(slots) AS wanted FROM w) x JOIN pools ON slot = wanted GROUP BY 1, 2, 3),
+g AS (SELECT family, draw, {chosen} FROM f GROUP BY 1, 2)
+SELECT w.family, CAST(w.draw AS INTEGER) AS draw, level, {fill(f"replace({pick('openers', 'openers')}, '{{body}}', body)")} AS question, {fill('gold')} AS gold
+FROM w LEFT JOIN g ON g.family = w.family AND g.draw = w.draw"""
+
+
 # ---- Generated tasks: documents are questions, their sources families; facts of golds by id ----
 GOLD = "CASE WHEN doc_id % 10 = 0 THEN concat('drop ', CAST(doc_id AS VARCHAR(20))) ELSE concat('  Select ', CAST(doc_id AS VARCHAR(20))) END"
 RULE = "CASE doc_id % 13 WHEN 0 THEN 'rule1_exact_question' WHEN 1 THEN 'signature_only' END"
@@ -560,6 +607,7 @@ QUERIES = {
     "reward_bounds": (reward_bounds, "SELECT round(1.0e0 + 0.1e0 + 0.05e0 - 3 * 0.05e0, 6) AS min_correct, round(0.15e0 + 0.1e0 + 0.05e0, 6) AS max_incorrect, round(1.0e0 - 0.15e0 - 3 * 0.05e0, 6) AS margin"),
     "training_history": (training_history, HISTORY_SQL),
     "sft_rows": (sft_rows, _sft_sql()),
+    "chart_series": (chart_series, CHART_SQL),
     "filled_history": (filled_history, FILLED_SQL),
     "validation_gate": (validation_gate, GATE_SQL),
     "pathology_checks": (pathologies, PATHOLOGY_SQL),
@@ -595,6 +643,7 @@ QUERIES = {
     "slot_pools": (slot_pools, _all_pools_sql()),
     "price_thresholds": (price_thresholds, THRESHOLDS_SQL),
     "family_capacity": (family_capacity, _CAPACITY_SQL),
+    "task_draws": (task_draws, _draws_sql()),
     "enumerate_sizes": (enumerate_sizes, _ENUMERATED_SQL),
     "tumbling_counts": (ev.tumbling_counts, "SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS value FROM events GROUP BY 1, 2"),
     "session_counts": (ev.session_counts, "SELECT user_id, count(*) FILTER (WHERE b IS NULL OR ts >= b + INTERVAL 30 MINUTE) AS sessions, count(*) AS events FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) GROUP BY user_id"),

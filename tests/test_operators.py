@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -309,3 +310,24 @@ def test_taskgen(spark, shop):
     assert report["requested"] == {"train": 12, "val": 4, "test_ext": 6} and sum(report["produced"].values()) > 8
     assert splits.overlap_count(made.train, made.test_ext, "family", "question").first()[0] == 0
     assert taskgen.audit_counts(checked.withColumn("rule", F.lit(None).cast("string"))).filter("family IS NULL AND why IS NULL").first().n == few.count()
+
+
+def test_statements_have_a_time_limit(spark):
+    long = "SELECT sum(id % 7) FROM range(0, 100000000000000)"
+    began = time.monotonic()
+    assert exec_match.run_rows(spark, long, 5, 1.0) == (None, "timeout: over 1 s")
+    assert time.monotonic() - began < 20
+    assert exec_match.run_rows(spark, "SELECT 1 + 1 AS two", 5, 30.0)[0][0].two == 2
+    assert exec_match.run_rows(spark, "SELECT nothing", 5, 30.0)[0] is None
+    with pytest.raises(ZeroDivisionError):
+        exec_match.within(spark, 30.0, lambda: 1 // 0)
+
+
+def test_draws_are_instances(spark, shop):
+    values = taskgen.slot_values(shop)
+    got = taskgen.draw_tasks(spark, values, 3).collect()
+    assert len(got) == 3 * len(taskgen.TEMPLATES) and not any("{" in r.question + r.gold for r in got)
+    made = {(r.family, r.gold) for r in taskgen.instances(spark, values).collect()}
+    assert {(r.family, r.gold) for r in got} <= made
+    assert {(r.family, r.draw, r.question) for r in got} == {(r.family, r.draw, r.question) for r in taskgen.draw_tasks(spark, values, 3).collect()}
+    assert taskgen.draw_tasks(spark, values.filter("slot <> 'city'"), 1).filter("family = 'cust_by_city'").count() == 0
