@@ -60,7 +60,7 @@ def within(spark: SparkSession, seconds: float, action: Callable[[], T]) -> tupl
     """(result of ``action``, None), or (None, error) once its Spark jobs took over ``seconds``.
 
     Jobs carry a tag and are interrupted by it, those that start too late as well. A task
-    ends at its next check for interruption; the rows of one inner loop have none.
+    ends at its next check for interruption.
     """
     tag, done, late = f"limit-{uuid.uuid4().hex}", threading.Event(), threading.Event()
 
