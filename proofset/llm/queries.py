@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofset.llm import exact_dedup, lang_id, lm_score, media, near_dedup, packing, pii, quality, sentence_pieces, sharding
+from proofset.llm import exact_dedup, fingerprints, lang_id, lm_score, media, near_dedup, packing, pii, quality, sentence_pieces, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op8_language_id": lang_id.query,
         "op9_sharding": sharding.query,
         "op10_exact_dedup": exact_dedup.query,
+        "op11_fingerprints": fingerprints.query,
     }
 
 
