@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofset.llm import exact_dedup, fingerprints, lang_id, lm_score, media, near_dedup, packing, pii, quality, sentence_pieces, sharding
+from proofset.llm import exact_dedup, filter_audit, fingerprints, lang_id, lm_score, media, near_dedup, packing, periodic_runs, pii, quality, sentence_pieces, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,8 @@ def queries() -> dict[str, Query]:
         "op9_sharding": sharding.query,
         "op10_exact_dedup": exact_dedup.query,
         "op11_fingerprints": fingerprints.query,
+        "op12_periodic_runs": periodic_runs.query,
+        "op13_filter_audit": filter_audit.query,
     }
 
 
@@ -32,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_pii": pii.ORACLE_SQL,
         "op5_near_dedup": near_dedup.ORACLE_SQL,
         "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op13_filter_audit": filter_audit.ORACLE_SQL,
     }
