@@ -7,7 +7,7 @@ full token sets. Common tokens make no pairs unless an item has no others.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofset.functions import text as tx
@@ -70,7 +70,20 @@ def token_overlaps(candidates: DataFrame, held_out: DataFrame, least: float, ali
 def near_questions(candidates: DataFrame, held_out: DataFrame, least: float = 0.85) -> DataFrame:
     """Rule 2: (id, item, jaccard) from ``least`` up."""
     similarity = F.col("shared") / (F.col("n_id") + F.col("n_item") - F.col("shared"))
-    return token_overlaps(candidates, held_out, least, alike=True).withColumn("jaccard", similarity).filter(F.col("jaccard") >= least).select("id", "item", "jaccard")
+    found = token_overlaps(candidates, held_out, least, alike=True).withColumn("jaccard", similarity).filter(F.col("jaccard") >= least).select("id", "item", "jaccard")
+    return found.union(_tokenless(candidates, held_out))
+
+
+def _tokenless(candidates: DataFrame, held_out: DataFrame) -> DataFrame:
+    """(id, item, 1.0) of texts without content tokens, whose set equals that of an item without.
+
+    All such items are one class, for which the first one stands, so there is a pair for
+    each text and not for each text and item.
+    """
+    first = token_sets(held_out, "item", "text").filter(F.size("tokens") == 0).agg(F.min("item").alias("item")).filter("item IS NOT NULL")
+    texts = token_sets(candidates, "id", "text").filter(F.size("tokens") == 0).select("id", F.lit(0).alias("__empty")).distinct()
+    # One row.
+    return texts.join(F.broadcast(first.withColumn("__empty", F.lit(0))), "__empty").select("id", "item", F.lit(1.0).alias("jaccard"))
 
 
 def containment(candidates: DataFrame, held_out: DataFrame, least: float = 0.85) -> DataFrame:
@@ -91,9 +104,7 @@ def signature_matches(candidates: DataFrame, held_out: DataFrame, least: float =
     question is similar enough to reject. Only that first item counts."""
     firsts = held_out.groupBy("signature").agg(F.min_by(F.struct("item", "position", "text"), "position").alias("first")).select("signature", "first.*")
     met = candidates.select("id", "signature", tx.content_tokens(F.col("text")).alias("a")).join(firsts.withColumn("b", tx.content_tokens(F.col("text"))), "signature")
-    met = met.select("id", "item", "position", (tx.jaccard(F.col("a"), F.col("b")) >= least).alias("rejected"))
-    first = Window.partitionBy("id").orderBy("position")
-    return met.withColumn("rank", F.row_number().over(first)).filter("rank = 1").select("id", "item", "rejected")
+    return met.select("id", "item", (tx.jaccard(F.col("a"), F.col("b")) >= least).alias("rejected"))
 
 
 def audit(candidates: DataFrame, held_out: DataFrame) -> DataFrame:
@@ -114,6 +125,12 @@ def audit(candidates: DataFrame, held_out: DataFrame) -> DataFrame:
 
 
 def first_by_key(df: DataFrame, key: Column, position: str) -> DataFrame:
-    """The first row by position of each key; keys are grouped by their digest, not by their text."""
-    firsts = df.groupBy(F.unhex(F.sha2(key, 256)).alias("__key")).agg(F.min(position).alias(position))
-    return df.join(firsts.select(position), position, "left_semi")
+    """The first row by position of each key; keys are grouped by their digest, not by their text.
+
+    Rows that share the key and its smallest position stay together, as nothing orders
+    them; a null position comes after all others.
+    """
+    marked = df.withColumn("__key", F.unhex(F.sha2(key, 256)))
+    firsts = marked.groupBy("__key").agg(F.min(position).alias("__first"))
+    met = marked.alias("a").join(firsts.alias("b"), F.col("a.__key").eqNullSafe(F.col("b.__key")) & F.col(f"a.{position}").eqNullSafe(F.col("b.__first")), "left_semi")
+    return met.drop("__key")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from proofset.functions import stats
 from proofset.functions import text as tx
-from proofset.operators.exec_match import ERROR_KINDS, Matcher, run_sql
+from proofset.operators.exec_match import ERROR_KINDS, GoldError, Matcher, constant, run_rows, side_by_side
 
 RECORD = "id string, level string, question string, gold string, pred string, error string, correct boolean"
 
@@ -20,16 +20,30 @@ GPU_HOUR = {"T4": 0.35, "L4": 0.70, "A10G": 1.00, "A100-40GB": 2.00}
 
 
 def evaluate(spark: SparkSession, tasks: list[dict], agent: Callable[[str], str], matcher: Matcher | None = None) -> DataFrame:
-    """Records of an agent over a bounded list of tasks (id, level, question, gold); a crash is an answer that fails."""
+    """Records of an agent over a bounded list of tasks (id, level, question, gold).
+
+    The agent's crash is an answer that fails, as is a statement that fails or takes too
+    long; a gold that fails is told in ``error``, and nothing is correct against it.
+    Statements are judged side by side.
+    """
     matcher = matcher or Matcher(spark)
-    rows = []
+    preds = []
     for task in tasks:
         try:
-            pred = tx_statement(agent(task["question"]))
+            preds.append(tx_statement(agent(task["question"])))
         except Exception as e:  # the agent's own failure is a result
-            pred = f"-- agent error: {type(e).__name__}"
-        error = None if pred.startswith("-- agent error") else run_sql(spark, pred)[1]
-        rows.append((str(task["id"]), task["level"], task["question"], task["gold"], pred, error, matcher.matches(pred, task["gold"])))
+            preds.append(f"-- agent error: {type(e).__name__}")
+
+    def judged(pair: tuple[dict, str]) -> tuple[str | None, bool]:
+        try:
+            info = matcher.info(pair[1], pair[0]["gold"])
+        except GoldError as e:
+            return f"gold_error: {e}", False
+        return None if pair[1].startswith("-- agent error") else info.error, info.correct
+
+    ran = side_by_side(spark, zip(tasks, preds, strict=True), judged, 4 * matcher.seconds, told=lambda r: r[0])
+    found = [r if failure is None else (failure, False) for r, failure in ran]
+    rows = [(str(t["id"]), t["level"], t["question"], t["gold"], p, *f) for t, p, f in zip(tasks, preds, found, strict=True)]
     return spark.createDataFrame(rows, RECORD)
 
 
@@ -48,7 +62,7 @@ def evaluate_batches(spark: SparkSession, tasks: list[dict], agent: Callable[[li
             got = [f"-- agent error: {type(e).__name__}"] * len(batch)
         answers += got + [""] * (len(batch) - len(got))
     for _ in range(repairs if repair else 0):
-        failed = [(i, run_sql(spark, a)[1]) for i, a in enumerate(answers)]
+        failed = [(i, e) for i, (_, e) in enumerate(run_rows(spark, a, 1) for a in answers)]
         failed = [(i, e) for i, e in failed if e is not None]
         if not failed:
             break
@@ -61,7 +75,7 @@ def evaluate_batches(spark: SparkSession, tasks: list[dict], agent: Callable[[li
 def tx_statement(text: str | None) -> str:
     """``extract_statement`` for one string."""
     spark = SparkSession.active()
-    return spark.range(1).select(tx.extract_statement(F.lit(text).cast("string")).alias("s")).first().s
+    return constant(spark, tx.extract_statement(F.lit(text).cast("string")).alias("s")).s
 
 
 def correctness_vector(records: DataFrame, key: str = "id", correct: str = "correct") -> DataFrame:

@@ -10,19 +10,33 @@ from __future__ import annotations
 import re
 import threading
 import uuid
-from collections.abc import Callable
+from collections import OrderedDict
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import islice
 from typing import TypeVar
 
+from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, NumericType
+from pyspark.sql.types import BooleanType, NumericType, StringType, StructField, StructType
 
 from proofset.functions import text as tx
-from proofset.sources.records import cut
+from proofset.sources.records import cut, scratch_path
 
 T = TypeVar("T")
+Item = TypeVar("Item")
+#: What a statement may take where its caller names no limit, in seconds.
+LIMIT_SECONDS = 60.0
+#: Statements that run side by side.
+WORKERS = 4
+#: Statements whose answers the driver holds at a time.
+SLICE = 512
+#: What Spark raises for statements that fail, when analysed or when run.
+FAILURES = (PySparkException, Py4JJavaError)
 #: Spark's conditions by kind of failure.
 ERROR_KINDS = {
     "UNRESOLVED_COLUMN": "hallucinated_column",
@@ -37,11 +51,27 @@ class GoldError(ValueError):
     """The reference query itself fails."""
 
 
+def constant(spark: SparkSession, *columns: Column) -> Row:
+    """The values of expressions over no table, which the optimiser folds: no job runs."""
+    return spark.sql("VALUES (1)").select(*columns).first()
+
+
+def failure(e: BaseException) -> str:
+    """One line that names the kind of failure first."""
+    if isinstance(e, PySparkException):
+        return f"{e.getCondition() or type(e).__name__}: {str(e).splitlines()[0]}"
+    root = getattr(e, "java_exception", None)
+    while root is not None and root.getCause() is not None:
+        root = root.getCause()
+    said = type(e).__name__ if root is None else root.getClass().getSimpleName()
+    return f"{said}: {(str(e) if root is None else root.getMessage() or '').splitlines()[:1]}"
+
+
 def guard(spark: SparkSession, sql: str) -> str | None:
     """Why the statement may not run, or None. Spark runs DDL eagerly, so this comes first."""
     if not sql.strip():
         return "empty"
-    allowed = spark.range(1).select(tx.is_read_only(F.lit(sql)).alias("ok")).first().ok
+    allowed = constant(spark, tx.is_read_only(F.lit(sql)).alias("ok")).ok
     return None if allowed else "refused: not one read-only statement"
 
 
@@ -52,8 +82,8 @@ def run_sql(spark: SparkSession, sql: str) -> tuple[DataFrame | None, str | None
         return None, refused
     try:
         return spark.sql(sql.strip().rstrip(";")), None
-    except PySparkException as e:
-        return None, f"{e.getCondition() or type(e).__name__}: {str(e).splitlines()[0]}"
+    except FAILURES as e:
+        return None, failure(e)
 
 
 def within(spark: SparkSession, seconds: float, action: Callable[[], T]) -> tuple[T | None, str | None]:
@@ -86,15 +116,60 @@ def within(spark: SparkSession, seconds: float, action: Callable[[], T]) -> tupl
         spark.sparkContext.removeJobTag(tag)
 
 
-def run_rows(spark: SparkSession, sql: str, rows: int, seconds: float) -> tuple[list | None, str | None]:
+def attempt(spark: SparkSession, action: Callable[[], T], seconds: float = LIMIT_SECONDS) -> tuple[T | None, str | None]:
+    """(result of ``action``, None) or (None, error): a statement's failure and its time limit are results."""
+    try:
+        return within(spark, seconds, action)
+    except FAILURES as e:
+        return None, failure(e)
+
+
+def run_rows(spark: SparkSession, sql: str, rows: int, seconds: float = LIMIT_SECONDS) -> tuple[list | None, str | None]:
     """(at most ``rows`` rows, None) or (None, error), within a time limit."""
     df, error = run_sql(spark, sql)
-    if df is None:
-        return None, error
-    try:
-        return within(spark, seconds, df.limit(rows).collect)
-    except PySparkException as e:
-        return None, f"{e.getCondition() or type(e).__name__}: {str(e).splitlines()[0]}"
+    return (None, error) if df is None else attempt(spark, df.limit(rows).collect, seconds)
+
+
+def side_by_side(spark: SparkSession, items: Iterable[Item], action: Callable[[Item], T], seconds: float = LIMIT_SECONDS, workers: int = WORKERS, told: Callable[[T], str | None] = lambda _: None) -> list[tuple[T | None, str | None]]:
+    """``attempt`` of each item, in order, by a bounded number of threads that submit jobs.
+
+    ``told`` gives the error that a result tells of, where ``action`` has limits within.
+
+    Each attempt has a tag and a limit of its own. What ran out of time beside others
+    is attempted again alone, and then in the other order, as a statement that hangs may
+    have held all slots and its tasks need a while to end; so it costs its own result only. Each thread has a scheduler pool of its own: with
+    ``spark.scheduler.mode`` FAIR free slots are shared.
+    """
+    pools = iter([f"statements-{i}" for i in range(workers)])
+    start = inheritable_thread_target(spark)(lambda: spark.sparkContext.setLocalProperty("spark.scheduler.pool", next(pools)))
+    items = list(items)
+    with ThreadPoolExecutor(workers, initializer=start) as pool:
+        ran = list(pool.map(lambda item: attempt(spark, lambda: action(item), seconds), items))
+    # A job that another one's threads submitted may be cancelled along with that one.
+    late = re.compile("^timeout: over|SPARK_JOB_CANCELLED")
+    for order in (1, -1) if len(items) > 1 else ():
+        for i in [i for i, (found, error) in enumerate(ran) if late.search(error or told(found) or "")][::order]:
+            ran[i] = attempt(spark, lambda i=i: action(items[i]), seconds)
+    return ran
+
+
+def answered(keys: DataFrame, action: Callable[[Row], tuple], schema: str, seconds: float = LIMIT_SECONDS, workers: int = WORKERS, told: Callable[[tuple], str | None] = lambda _: None) -> DataFrame:
+    """``keys`` with the values (``schema``) that ``action`` gives for each row, and ``failure``.
+
+    Rows come to the driver in slices of ``SLICE``, as statements need a session, and a
+    slice's answers are written before the next one comes.
+    """
+    spark = keys.sparkSession
+    keys, path = cut(keys), scratch_path(keys.sparkSession, "answers")
+    values = StructType.fromDDL(schema)
+    whole = StructType([*keys.schema, *values, StructField("failure", StringType())])
+    spark.createDataFrame([], whole).write.parquet(path)
+    left = keys.toLocalIterator()
+    while part := list(islice(left, SLICE)):
+        ran = side_by_side(spark, part, action, seconds, workers, told)
+        rows = [(*k, *(found if error is None else [None] * len(values)), error) for k, (found, error) in zip(part, ran, strict=True)]
+        spark.createDataFrame(rows, whole).write.mode("append").parquet(path)
+    return spark.read.schema(whole).parquet(path)
 
 
 def error_kind(error: str) -> str:
@@ -159,9 +234,11 @@ def same_result(a: DataFrame, b: DataFrame, ordered: bool = False) -> bool:
     return differences(a, b, ordered).isEmpty()
 
 
-def signature(df: DataFrame) -> DataFrame:
-    """One row: rows, and a sum over row hashes that no order or partitioning changes."""
+def signature(df: DataFrame, ordered: bool = False) -> DataFrame:
+    """One row: rows, and a sum over row hashes that no partitioning changes; nor does the
+    order of rows, unless it counts, when hashes are of rows with their positions."""
     flat = normalised(df)
+    flat = with_position(flat) if ordered else flat
     row = F.conv(F.substring(F.md5(F.to_json(F.struct(*flat.columns), {"ignoreNullFields": "false"})), 1, 12), 16, 10).cast("decimal(20,0)")
     return flat.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(row), F.lit(0).cast("decimal(30,0)")).cast("string").alias("signature"))
 
@@ -178,34 +255,50 @@ class ExecInfo:
     gold_cols: int | None = None
 
 
+def _whole(df: DataFrame) -> int:
+    """The number of rows, after all columns of all rows were computed and kept (a count may leave some out)."""
+    df.persist().write.format("noop").mode("overwrite").save()
+    return df.count()
+
+
 class Matcher:
-    """Scores statements against gold statements, which run once each."""
+    """Scores statements against gold statements, whose results are kept; the least recently used goes first.
+
+    No statement takes more than ``seconds``; one that fails or takes longer has no result.
+    """
 
-    def __init__(self, spark: SparkSession, keep: int = 4096):
-        self.spark, self.keep = spark, keep
-        self._gold: dict[str, DataFrame] = {}
+    def __init__(self, spark: SparkSession, keep: int = 4096, seconds: float = LIMIT_SECONDS):
+        self.spark, self.keep, self.seconds = spark, keep, seconds
+        self._gold: OrderedDict[str, DataFrame] = OrderedDict()
+        self._lock = threading.Lock()
 
     def gold(self, sql: str) -> DataFrame:
-        if sql not in self._gold:
-            df, error = run_sql(self.spark, sql)
-            if df is None:
-                raise GoldError(f"{error} in {sql!r}")
-            if len(self._gold) >= self.keep:
-                self._gold.pop(next(iter(self._gold))).unpersist()
-            self._gold[sql] = df.persist()
-        return self._gold[sql]
+        """The gold's result, computed once; ``GoldError`` if it fails at any point."""
+        with self._lock:
+            if sql in self._gold:
+                self._gold.move_to_end(sql)
+                return self._gold[sql]
+        df, error = run_sql(self.spark, sql)
+        if df is not None:
+            _, error = attempt(self.spark, lambda: _whole(df), self.seconds)
+        if error is not None:
+            if df is not None:
+                df.unpersist()
+            raise GoldError(f"{error} in {sql!r}")
+        with self._lock:
+            self._gold[sql] = df
+            while len(self._gold) > self.keep:
+                self._gold.popitem(last=False)[1].unpersist()
+        return df
 
     def matches(self, predicted: str, gold: str) -> bool:
         wanted = self.gold(gold)
         df, _ = run_sql(self.spark, predicted)
-        try:
-            return df is not None and same_result(df, wanted, is_ordered(gold))
-        except PySparkException:
-            return False
+        return df is not None and attempt(self.spark, lambda: same_result(df, wanted, is_ordered(gold)), self.seconds)[0] is True
 
     def info(self, predicted: str, gold: str | None = None) -> ExecInfo:
         """All facts from one execution."""
-        read_only = self.spark.range(1).select(tx.is_read_only(F.lit(predicted)).alias("x")).first().x
+        read_only = constant(self.spark, tx.is_read_only(F.lit(predicted)).alias("x")).x
         df, error = run_sql(self.spark, predicted)
         out = ExecInfo(False, error, 0, 0, False, bool(read_only))
         if gold is not None:
@@ -214,14 +307,13 @@ class Matcher:
             out.gold_cols = len(wanted.columns) if out.gold_rows else 0
         if df is None:
             return out
-        try:
-            out.n_rows = df.persist().count()
-            out.executes, out.n_cols = True, len(df.columns) if out.n_rows else 0
-            out.correct = gold is not None and same_result(df, wanted, is_ordered(gold))
-        except PySparkException as e:
-            out.error = str(e.getCondition() or type(e).__name__)
-        finally:
-            df.unpersist()
+        n, out.error = attempt(self.spark, lambda: _whole(df), self.seconds)
+        if out.error is None:
+            out.executes, out.n_rows, out.n_cols = True, n, len(df.columns) if n else 0
+            if gold is not None:
+                same, out.error = attempt(self.spark, lambda: same_result(df, wanted, is_ordered(gold)), self.seconds)
+                out.correct = same is True
+        df.unpersist()
         return out
 
 

@@ -42,7 +42,6 @@ PHRASINGS = {
     "qty_per_product_status": 4, "never_ordered_in_category": 4, "extreme_per_group": 4, "argmax_qty_group_status": 4,
 }
 # ------------------------------------------------------------------------------------
-JOBS_OF = 24
 
 
 @dataclass(frozen=True)
@@ -255,28 +254,30 @@ def draw_tasks(spark: SparkSession, values: DataFrame, draws: int = 1, seed: int
     return made.select("family", "draw", "level", "multi_row", body.alias("question"), tx.fill(F.col("gold"), F.col("filled")).alias("gold"), F.col("filled").alias("slots"))
 
 
-def run_golds(spark: SparkSession, golds: list[str], jobs_of: int = JOBS_OF) -> DataFrame:
-    """(gold, error, n_rows, all_null, signature) of distinct statements, ``jobs_of`` to a job."""
-    ran, failed = [], []
-    for gold in golds:
-        df, error = exec_match.run_sql(spark, gold)
-        if df is None:
-            failed.append((gold, error))
-            continue
-        empty = F.lit(True)
-        for c in df.columns:
-            empty = empty & F.col(f"`{c}`").isNull()
-        named = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
-        nulls = named.agg(F.count(F.when(F.coalesce(*(F.col(c).cast("string") for c in named.columns)).isNotNull(), 1)).alias("some"))
-        facts = exec_match.signature(df).withColumn("__one", F.lit(1)).join(nulls.withColumn("__one", F.lit(1)), "__one")
-        ran.append(facts.select(F.lit(gold).alias("gold"), F.lit(None).cast("string").alias("error"), "n_rows", F.expr("n_rows = 1 AND some = 0").alias("all_null"), "signature"))
-    rows: list[tuple] = [(g, e, 0, False, None) for g, e in failed]
-    for lo in range(0, len(ran), jobs_of):
-        part = ran[lo]
-        for df in ran[lo + 1 : lo + jobs_of]:
-            part = part.union(df)
-        rows += [tuple(r) for r in part.collect()]
-    return spark.createDataFrame(rows, "gold string, error string, n_rows long, all_null boolean, signature string")
+def facts_of(df: DataFrame, ordered: bool = False) -> DataFrame:
+    """One row: n_rows, all_null (the only row has nulls only) and signature of a result."""
+    named = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    nulls = named.agg(F.count(F.when(F.coalesce(*(F.col(c).cast("string") for c in named.columns)).isNotNull(), 1)).alias("some"))
+    one = F.lit(1).alias("__one")
+    facts = exec_match.signature(df, ordered).select("*", one).join(nulls.select("*", one), "__one")
+    return facts.select("n_rows", F.expr("n_rows = 1 AND some = 0").alias("all_null"), "signature")
+
+
+def run_golds(spark: SparkSession, golds: list[str] | DataFrame, seconds: float = exec_match.LIMIT_SECONDS) -> DataFrame:
+    """(gold, error, n_rows, all_null, signature) of distinct statements, side by side.
+
+    A gold that fails, when analysed or when run, or takes longer than ``seconds`` has its
+    error, and ``ERR:`` with it as its signature; the others don't notice.
+    """
+    keys = golds.select("gold").distinct() if isinstance(golds, DataFrame) else spark.createDataFrame([(g,) for g in dict.fromkeys(golds)], "gold string")
+
+    def facts(row) -> tuple:
+        df, error = exec_match.run_sql(spark, row.gold)
+        return (error, 0, False, None) if df is None else (None, *facts_of(df, exec_match.is_ordered(row.gold)).first())
+
+    ran = exec_match.answered(keys, facts, "error string, n_rows long, all_null boolean, signature string", seconds)
+    error = F.coalesce("failure", "error")
+    return ran.select("gold", error.alias("error"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("all_null", F.lit(False)).alias("all_null"), F.coalesce("signature", F.concat(F.lit("ERR:"), error)).alias("signature"))
 
 
 def validated(tasks: DataFrame, facts: DataFrame) -> DataFrame:

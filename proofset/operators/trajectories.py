@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofset.functions import text as tx
-from proofset.operators import rewards
+from proofset.operators import exec_match
 
 # ---- Fixed values ------------------------------------------------------------
 EPSILON = 1e-4
@@ -160,123 +158,58 @@ def replay(episodes: DataFrame, actions: str = "actions", max_turns: int = MAX_T
 
 
 def tool_results(episodes: DataFrame, tools: Tools, actions: str = "actions") -> DataFrame:
-    """``episodes`` with ``results``: what the tools say to each distinct call of all episodes.
-
-    Each distinct call runs once, as a statement needs a session; their number is what
-    policies differ in, not that of the episodes.
-    """
-    text = F.explode(actions)
-    raw = episodes.select(text.alias("text")).select(F.regexp_extract(F.coalesce("text", F.lit("")), tx.TOOL_CALL, 1).alias("raw"), tx.tool_call(F.col("text")).alias("call"))
-    calls = raw.filter("raw <> ''").groupBy("raw").agg(F.first("call").alias("call")).collect()
-    said = [(r.raw, tools.call(r.call.name, r.call.args)) for r in calls]
-    found = F.create_map(*(F.lit(x) for pair in said for x in pair)) if said else F.create_map().cast("map<string,string>")
-    return episodes.withColumn("results", found)
-
-
-# ---- Rollouts of a policy: a function from messages to texts --------------------
-
-
-@dataclass
-class Trajectory:
-    task: dict
-    steps: list[dict]
-    final_sql: str
-    raw_completion: str
-    reward: float
-    reward_parts: dict[str, float]
-    correct: bool
-    n_llm_calls: int
-    n_tool_calls: int
-    terminated_reason: str
-
-
-class Rollouts:
-    """Lets policies answer tasks (question, gold) over the session's tables, and rewards them."""
-
-    def __init__(self, matcher, schema: str, tools: Tools, max_turns: int = MAX_TURNS, weights: rewards.Weights = rewards.Weights()):
-        self.matcher, self.schema, self.tools, self.max_turns, self.weights = matcher, schema, tools, max_turns, weights
-        self.spark = matcher.spark
-
-    def _one(self, **columns: Column):
-        return self.spark.range(1).select(*(c.alias(n) for n, c in columns.items())).first()
-
-    def _messages(self, question: str, tools: bool, hide_schema: bool) -> list[dict]:
-        prompt = tx.tool_prompt(F.lit(question), None if hide_schema else self.schema, self.max_turns) if tools else tx.prompt(F.lit(question), self.schema)
-        return [m.asDict() for m in self._one(m=prompt).m]
-
-    def _scored(self, task: dict, steps: list[dict], text: str, sql: str, calls: int, tool_calls: int, reason: str) -> Trajectory:
-        parsed = self._one(sql=tx.extract_statement(F.lit(text))).sql
-        info = self.matcher.info(parsed, task["gold"])
-        row = self.spark.createDataFrame([(text, info.executes, info.n_rows, info.correct, calls)], "completion string, executes boolean, n_rows long, correct boolean, calls int")
-        scored = rewards.composite(row, self.weights)
-        found = scored.select("reward", rewards.reward_parts(scored).alias("parts")).first()
-        parts = dict(found.parts)
-        if not sql:  # ended without an answer
-            parts["exec_match"] = 0.0
-        return Trajectory(task, steps, sql, text, found.reward, parts, info.correct, calls, tool_calls, reason)
-
-    def single_turn(self, policy, task: dict) -> Trajectory:
-        messages = self._messages(task["question"], False, False)
-        text = next(iter(policy(messages)), "")
-        sql = self._one(sql=tx.extract_statement(F.lit(text))).sql
-        return self._scored(task, [*messages, {"role": "assistant", "content": text}], text, sql, 1, 0, "single_turn")
-
-    def multi_turn(self, policy, task: dict, hide_schema: bool = False) -> Trajectory:
-        """The policy may call tools, and is corrected, until it submits or its turns end."""
-        steps, tool_calls = self._messages(task["question"], True, hide_schema), 0
-        for turn in range(1, self.max_turns + 1):
-            text = next(iter(policy(list(steps))), "")
-            steps.append({"role": "assistant", "content": text})
-            statement = tx.extract_statement(F.lit(text))
-            seen = self._one(call=tx.tool_call(F.lit(text)), sql=statement, answer=tx.looks_like_select(statement))
-            last = turn == self.max_turns
-            if seen.call is not None:
-                tool_calls += 1
-                steps.append({"role": "tool", "content": self.tools.call(seen.call.name, seen.call.args)})
-                if last:
-                    return self._scored(task, steps, text, "", turn, tool_calls, "max_turns")
-            elif seen.answer:
-                return self._scored(task, steps, text, seen.sql, turn, tool_calls, "submitted")
-            elif last:
-                return self._scored(task, steps, text, "", turn, tool_calls, "malformed_final")
-            else:
-                steps.append({"role": "tool", "content": CORRECTION})
-        raise ValueError("no turns")
-
-    def group(self, policy, task: dict, size: int = 8, multi_turn: bool = False) -> list[Trajectory]:
-        return [(self.multi_turn if multi_turn else self.single_turn)(policy, task) for _ in range(size)]
-
-    def batch(self, policy, tasks: list[dict], size: int = 1, multi_turn: bool = False) -> list[list[Trajectory]]:
-        """One group per task."""
-        return [self.group(policy, t, size, multi_turn) for t in tasks]
+    """``episodes`` with ``results``: what the tools say to each of the episode's calls, by the call's text."""
+    keyed = episodes.withColumn("__row", F.monotonically_increasing_id())
+    text = keyed.select("__row", F.explode(actions).alias("text"))
+    asked = text.select("__row", F.regexp_extract(F.coalesce("text", F.lit("")), tx.TOOL_CALL, 1).alias("raw"), tx.tool_call(F.col("text")).alias("call")).filter("raw <> ''")
+    answers = tools.answered(asked.select("raw", "call"))
+    pairs = asked.select("__row", "raw").distinct().join(answers, "raw")
+    found = pairs.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("raw", "said"))).alias("results"))
+    none = F.create_map().cast("map<string,string>")
+    return keyed.join(found, "__row", "left").drop("__row").withColumn("results", F.coalesce("results", none))
 
 
 class Tools:
-    """The tools of a query environment over the session's catalog."""
+    """The tools of a query environment over the session's catalog.
 
-    def __init__(self, spark, row_limit: int = ROWS_SHOWN):
-        self.spark, self.row_limit = spark, row_limit
+    Whatever a call asks for, its answer is a text: failures and time limits are told in it.
+    """
+
+    def __init__(self, spark, row_limit: int = ROWS_SHOWN, seconds: float = exec_match.LIMIT_SECONDS):
+        self.spark, self.row_limit, self.seconds = spark, row_limit, seconds
 
     def call(self, name: str, args: dict[str, str] | None = None) -> str:
-        from proofset.operators.exec_match import run_sql
+        said, error = exec_match.attempt(self.spark, lambda: self._answer(name, args or {}), self.seconds)
+        return said if error is None else f"error: {error}"
+
+    def answered(self, calls: DataFrame) -> DataFrame:
+        """(raw, said): the answer to each distinct call of ``calls`` (raw, call), side by side in slices."""
+        distinct = calls.groupBy("raw").agg(F.first("call").alias("call"))
+        found = exec_match.answered(distinct, lambda r: (self._answer(r.call.name, r.call.args or {}),), "said string", self.seconds)
+        return found.select("raw", F.coalesce("said", F.concat(F.lit("error: "), "failure")).alias("said"))
 
-        args = args or {}
+    def _answer(self, name: str, args: dict[str, str]) -> str:
         if name == "list_tables":
-            return "\n".join(sorted(t.name for t in self.spark.catalog.listTables()))
+            return "\n".join(self._tables())
         if name in ("describe_table", "sample_rows"):
-            table = args.get("table", "")
-            if not self.spark.catalog.tableExists(table):
+            table = args.get("table") or ""
+            if table not in self._tables():
                 return f"no table {table!r}"
+            df = self.spark.table(f"`{table.replace('`', '``')}`")
             if name == "describe_table":
-                return "\n".join(f"{c.name} {c.dataType}" for c in self.spark.catalog.listColumns(table))
-            return self._shown(self.spark.table(table).limit(3))
+                return "\n".join(f"{c} {kind}" for c, kind in df.dtypes)
+            plain = [F.col(f"`{c}`") for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
+            return self._shown(df.orderBy(*plain).limit(3))
         if name == "run_query":
-            df, error = run_sql(self.spark, args.get("sql", ""))
+            df, error = exec_match.run_sql(self.spark, args.get("sql") or "")
             if error and error.startswith("refused"):
                 return REFUSAL
             return f"error: {error}" if df is None else self._shown(df)
         return "bad JSON in the tool call" if name == "__bad_json__" else f"no tool {name!r}"
 
+    def _tables(self) -> list[str]:
+        return sorted(t.name for t in self.spark.catalog.listTables())
+
     def _shown(self, df: DataFrame) -> str:
         rows = df.limit(self.row_limit + 1).collect()
         n = df.count() if len(rows) > self.row_limit else len(rows)

@@ -135,7 +135,7 @@ ROLLOUT_SQL = f"""WITH w AS (
 ), e AS (SELECT conv_id, min(i) FILTER (kind = 3) AS answer, max(i) AS n FROM a GROUP BY conv_id), f AS (SELECT *, least(answer, 3, n) AS turns FROM e)
 SELECT f.conv_id, CASE WHEN turns = answer THEN 'submitted' WHEN turns < 3 THEN 'unfinished' WHEN count(*) FILTER (i = 3 AND kind IN (1, 2)) > 0 THEN 'max_turns' ELSE 'malformed_final' END AS reason,
   CAST(turns AS INTEGER) AS turns, CAST(count(*) FILTER (kind IN (1, 2) AND i <= turns) AS INTEGER) AS tool_calls,
-  coalesce(max(CASE WHEN i = answer THEN concat('SELECT ', turn) END), '') AS final_sql,
+  coalesce(max(CASE WHEN i = answer AND i <= turns THEN concat('SELECT ', turn) END), '') AS final_sql,
   md5(string_agg(CASE WHEN i <= turns THEN concat('assistant:', said, CASE WHEN reply IS NULL THEN '' ELSE concat('|tool:', reply) END) END, '|' ORDER BY i)) AS steps
 FROM f JOIN a ON a.conv_id = f.conv_id GROUP BY f.conv_id, turns, answer"""
 

@@ -145,9 +145,12 @@ def leak_containment(s: SparkSession, d: str) -> DataFrame:
 
 _ITEMS = f"b AS (SELECT item_id AS item, {_tokens_sql('text')} AS tb FROM benchmark)"
 _MET = "SELECT a.id, b.item, len(ta) AS na, len(tb) AS nb, len(list_intersect(ta, tb)) AS k FROM a, b WHERE len(ta) > 0 AND len(tb) > 0"
+#: Two empty sets are equal; all items without tokens are one class, and the first stands for it.
+_EMPTY = "(SELECT min(item) AS item FROM b WHERE len(tb) = 0 HAVING count(*) > 0)"
 RULE2_SQL = f"""WITH {LINES_SQL}, a AS (SELECT id, {_tokens_sql('text')} AS ta FROM lines), b AS (SELECT item, {_tokens_sql('text')} AS tb FROM items),
 m AS ({_MET} AND len(ta) >= 0.85 * len(tb) AND len(tb) >= 0.85 * len(ta))
-SELECT id, item, round(k * 1.0e0 / (na + nb - k), 6) AS jaccard FROM m WHERE k * 1.0e0 / (na + nb - k) >= 0.85"""
+SELECT id, item, round(k * 1.0e0 / (na + nb - k), 6) AS jaccard FROM m WHERE k * 1.0e0 / (na + nb - k) >= 0.85
+UNION ALL SELECT a.id, e.item, 1.0e0 FROM a, {_EMPTY} AS e WHERE len(ta) = 0"""
 CONTAIN_SQL = f"""WITH a AS (SELECT doc_id AS id, {_tokens_sql('text')} AS ta FROM documents), {_ITEMS}, m AS ({_MET})
 SELECT id, item, round(k * 1.0e0 / nb, 6) AS contained FROM m WHERE k * 1.0e0 / nb >= 0.85"""
 
@@ -181,7 +184,7 @@ RULES_SQL = f"""WITH {LINES_SQL},
 a AS (SELECT id, {SIGNATURE} AS sig, {NORM.format(x='text')} AS n, {_tokens_sql('text')} AS ta FROM lines),
 b AS (SELECT item, {SIGNATURE} AS sig, {NORM.format(x='text')} AS n, {_tokens_sql('text')} AS tb FROM items),
 m AS ({_MET} AND len(ta) >= 0.85 * len(tb) AND len(tb) >= 0.85 * len(ta)),
-r2 AS (SELECT DISTINCT id FROM m WHERE k * 1.0e0 / (na + nb - k) >= 0.85),
+r2 AS (SELECT DISTINCT id FROM m WHERE k * 1.0e0 / (na + nb - k) >= 0.85 UNION SELECT a.id FROM a, {_EMPTY} AS e WHERE len(ta) = 0),
 f AS (SELECT sig, min(item) AS item FROM b GROUP BY sig),
 r4 AS (SELECT a.id, len(list_intersect(ta, tb)) AS k, len(ta) + len(tb) AS both FROM a JOIN f ON f.sig = a.sig JOIN b ON b.item = f.item)
 SELECT a.id, CASE WHEN a.n IN (SELECT n FROM b) THEN 'rule1_exact_question' WHEN r2.id IS NOT NULL THEN 'rule2_near_duplicate_question'

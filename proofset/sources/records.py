@@ -3,24 +3,34 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read back, without its lineage.
+def shared_dir(spark: SparkSession) -> str:
+    """The scratch folder that the cluster names; only a local master, as in tests, gets a
+    temporary one where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='proofset-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    The folder is the one the cluster names; only a local master, as in tests, gets a
-    temporary one where none is set.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read back, without its lineage."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="proofset-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

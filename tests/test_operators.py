@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from proofset.functions import stats
-from proofset.operators import contamination, datasets, evaluation, exec_match, rewards, splits, taskgen, trajectories
+from proofset.operators import contamination, datasets, evaluation, exec_match, rewards, rollouts, splits, taskgen, trajectories
 from proofset.sources import records, tables
 
 
@@ -177,27 +177,100 @@ def test_replay(spark):
     }
 
 
+def scripted(*texts):
+    """A policy that says the next text at each turn, by how many it has said."""
+    said = lambda steps: F.size(F.filter(steps, lambda m: m["role"] == "assistant"))
+    return lambda steps, member: F.get(F.array(*map(F.lit, texts)), said(steps))
+
+
 def test_rollouts(spark, shop):
     tool, gold = '<tool>{"name": "run_query", "args": {"sql": "SELECT count(*) FROM customers"}}</tool>', "SELECT count(*) FROM customers"
-    rolls = trajectories.Rollouts(exec_match.Matcher(spark), "customers(customer_id)", trajectories.Tools(spark))
-    task, seen = {"question": "How many customers?", "gold": gold}, []
-
-    def says(*texts):
-        left = list(texts)
-        return lambda messages: seen.append([m["role"] for m in messages]) or [left.pop(0) if left else ""]
-
-    one = rolls.single_turn(says(f"```sql\n{gold}\n```"), task)
-    assert (one.correct, one.terminated_reason, one.n_llm_calls, one.reward) == (True, "single_turn", 1, pytest.approx(1.30))
-    many = rolls.multi_turn(says("hm", tool, f"```sql\n{gold}\n```"), task)
-    assert (many.correct, many.terminated_reason, many.n_llm_calls, many.n_tool_calls) == (True, "submitted", 3, 1)
-    assert [s["content"] for s in many.steps if s["role"] == "tool"] == [trajectories.CORRECTION, "1 row(s): [(20,)]"]
-    assert seen[-1] == ["system", "user", "assistant", "tool", "assistant", "tool"] and many.reward == pytest.approx(1.20)
-    hidden = rolls.multi_turn(says(*["hm"] * 9), task, hide_schema=True)
-    assert (hidden.terminated_reason, hidden.n_llm_calls, hidden.final_sql) == ("malformed_final", 4, "")
-    assert "customers(customer_id)" not in hidden.steps[1]["content"] and "customers(customer_id)" in many.steps[1]["content"]
-    assert rolls.multi_turn(says(*[tool] * 9), task).terminated_reason == "max_turns"
-    groups = rolls.batch(says("SELECT 1", f"{gold};"), [task], 2)
-    assert [t.correct for t in groups[0]] == [False, True]
+    tasks = spark.createDataFrame([(1, "How many customers?", gold), (1, "How many customers?", gold), (2, "Fails", "SELECT 1/0")], "id int, question string, gold string")
+    matcher, tools, schema = exec_match.Matcher(spark), trajectories.Tools(spark), "customers(customer_id)"
+    one = rollouts.scored(rollouts.single_turn(tasks, lambda steps, member: F.lit(f"```sql\n{gold}\n```"), schema), matcher).orderBy("id").collect()
+    assert [(r.correct, r.reason, r.turns, round(r.reward, 6)) for r in one[:2]] == [(True, "single_turn", 1, 1.3)] * 2
+    assert not one[2].correct and one[2].gold_error.startswith("DIVIDE_BY_ZERO") and not one[2].executes
+    answer = f"```sql\n{gold}\n```"
+    many = rollouts.scored(rollouts.multi_turn(tasks.limit(1), scripted("hm", tool, answer), schema, tools), matcher).first()
+    assert (many.correct, many.reason, many.turns, many.tool_calls, round(many.reward, 6)) == (True, "submitted", 3, 1, 1.2)
+    assert [s.role for s in many.steps] == ["system", "user", *["assistant", "tool"] * 2, "assistant"]
+    assert [s.content for s in many.steps if s.role == "tool"] == [trajectories.CORRECTION, "1 row(s): [(20,)]"]
+    hidden = rollouts.multi_turn(tasks.limit(1), scripted(*["hm"] * 9), schema, tools, hide_schema=True).first()
+    assert (hidden.reason, hidden.turns, hidden.final_sql) == ("malformed_final", 4, "")
+    assert schema not in hidden.steps[1].content and schema in many.steps[1].content
+    broken = '<tool>{"name": "run_query", "args": {"sql": "SELECT 1/0"}}</tool>'
+    stuck = rollouts.multi_turn(tasks.limit(1), scripted(*[broken] * 9), schema, tools).first()
+    assert stuck.reason == "max_turns" and "DIVIDE_BY_ZERO" in stuck.steps[3].content
+    group = rollouts.multi_turn(tasks.limit(1), lambda steps, member: F.when(member == 0, "SELECT 1").otherwise(f"{gold};"), schema, tools, size=2)
+    assert {r.member: r.correct for r in rollouts.scored(group, matcher).collect()} == {0: False, 1: True}
+    silent = rollouts.multi_turn(tasks.limit(1), lambda steps, member: F.lit(None).cast("string"), schema, tools, max_turns=2)
+    assert rollouts.scored(silent, matcher).first().reason == "malformed_final"
+    assert rollouts.multi_turn(tasks.limit(0), scripted("x"), schema, tools).count() == 0
+
+
+def test_every_failing_call_is_an_answer(spark, shop):
+    tools = trajectories.Tools(spark, seconds=5)
+    assert tools.call("run_query", {"sql": "SELECT 1/0"}).startswith("error: DIVIDE_BY_ZERO")
+    assert tools.call("run_query", {"sql": "SELECT nope FROM customers"}).startswith("error: UNRESOLVED_COLUMN")
+    assert tools.call("run_query", {"sql": "SELECT CAST('x' AS INT)"}).startswith("error: CAST_INVALID_INPUT")
+    assert tools.call("run_query") == tools.call("run_query", {"sql": None}) == "error: empty"
+    for name in ("a b", "'", "`", "", None, "customers; DROP TABLE x", "nope.customers"):
+        assert tools.call("describe_table", {"table": name}).startswith("no table") and tools.call("sample_rows", {"table": name}).startswith("no table")
+    assert tools.call("sample_rows", {"table": "customers"}) == tools.call("sample_rows", {"table": "customers"}) and "(1," in tools.call("sample_rows", {"table": "customers"})
+
+
+#: Billions of pairs of one key.
+HANGING_JOIN = "SELECT count(*) FROM (SELECT id % 2 AS k FROM range(400000)) a JOIN (SELECT id % 2 AS k, id FROM range(3000000)) b ON a.k = b.k AND a.k + b.id > 7"
+
+
+def test_a_hanging_statement_costs_its_own_row_only(spark):
+    began = time.monotonic()
+    golds = ["SELECT 1", "SELECT 1/0", HANGING_JOIN, "SELECT nothing", "SELECT 2 ORDER BY 1"]
+    facts = {r.gold: r for r in taskgen.run_golds(spark, golds, 8.0).collect()}
+    assert [facts[g].n_rows for g in golds] == [1, 0, 0, 0, 1] and facts[golds[0]].error is None and facts[golds[4]].error is None
+    assert facts[HANGING_JOIN].error == "timeout: over 8 s" and facts[HANGING_JOIN].signature == "ERR:timeout: over 8 s"
+    assert facts["SELECT 1/0"].error.startswith("DIVIDE_BY_ZERO") and facts["SELECT nothing"].error.startswith("UNRESOLVED_COLUMN")
+    assert time.monotonic() - began < 120
+    matcher = exec_match.Matcher(spark, seconds=3)
+    assert not matcher.matches(HANGING_JOIN, "SELECT 1") and matcher.info("SELECT 1/0", "SELECT 1").error.startswith("DIVIDE_BY_ZERO")
+    with pytest.raises(exec_match.GoldError):
+        matcher.gold("SELECT 1/0")
+    records = evaluation.evaluate(spark, [{"id": i, "level": "easy", "question": q, "gold": g} for i, (q, g) in enumerate([("a", "SELECT 1"), ("b", "SELECT 1/0"), ("c", "SELECT 1")])], {"a": HANGING_JOIN, "b": "SELECT 1", "c": "SELECT 1"}.__getitem__, matcher)
+    assert [(r.correct, (r.error or "").split(":")[0]) for r in records.orderBy("id").collect()] == [(False, "timeout"), (False, "gold_error"), (True, "")]
+
+
+def test_least_recently_used_gold_goes_first(spark):
+    matcher = exec_match.Matcher(spark, keep=2)
+    for sql in ("SELECT 1", "SELECT 2", "SELECT 1", "SELECT 3"):
+        matcher.gold(sql)
+    assert list(matcher._gold) == ["SELECT 1", "SELECT 3"]
+
+
+def test_signatures_of_ordered_results(spark):
+    up, down = (spark.sql(f"SELECT id FROM range(100) ORDER BY id {way}") for way in ("ASC", "DESC"))
+    plain, ordered = ([exec_match.signature(df, o).first() for df in (up, down)] for o in (False, True))
+    assert plain[0] == plain[1] and ordered[0] != ordered[1] and ordered[0] == exec_match.signature(up.repartition(3).orderBy("id"), True).first()
+
+
+def test_first_by_key_with_repeated_positions(spark):
+    import random
+
+    rng = random.Random(6)
+    cases = [[(5, "a"), (3, "a"), (5, "b")], [], [(None, "a"), (None, "b"), (1, "b")], *([(rng.randrange(6), rng.choice("abcd")) for _ in range(30)] for _ in range(3))]
+    for rows in cases:
+        found = contamination.first_by_key(spark.createDataFrame(rows, "p int, k string"), F.col("k"), "p").collect()
+        least = {}
+        for p, k in rows:
+            least[k] = min((least.get(k, (True, 0)), (p is None, p or 0)))
+        assert sorted(map(str, map(tuple, found))) == sorted(str((p, k)) for p, k in rows if (p is None, p or 0) == least[k])
+
+
+def test_rule_2_on_texts_without_tokens(spark):
+    texts = spark.createDataFrame([(1, "the of"), (2, "12 the"), (3, "customers in Oslo"), (4, "")], "id int, text string")
+    items = spark.createDataFrame([(7, "how many"), (6, "the"), (8, "customers Oslo")], "item int, text string")
+    found = {(r.id, r.item, r.jaccard) for r in contamination.near_questions(texts, items).collect()}
+    assert found == {(1, 6, 1.0), (2, 6, 1.0), (4, 6, 1.0), (3, 8, 1.0)}
+    assert contamination.near_questions(texts, items.filter("item = 8")).select("id").collect() == [(3,)]
 
 
 def test_null_columns_have_no_type(spark):
