@@ -176,17 +176,23 @@ def error_kind(error: str) -> str:
     return ERROR_KINDS.get(re.split(r"[.:]", error)[0], "other_sql_error")
 
 
+def normal_cell(field: StructField) -> Column:
+    """A number rounded to two places, everything else as text."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, NumericType | BooleanType):
+        return F.round(c.cast("double"), 2) + F.lit(0.0)
+    return c.cast("string")
+
+
 def normalised(df: DataFrame) -> DataFrame:
     """Columns c0, c1, ...: numbers rounded to two places, everything else as text."""
+    positional = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return positional.select(*(normal_cell(f).alias(f.name) for f in positional.schema))
 
-    def one(name: str, kind) -> Column:
-        c = F.col(f"`{name}`")
-        if isinstance(kind, NumericType | BooleanType):
-            return F.round(c.cast("double"), 2) + F.lit(0.0)
-        return c.cast("string")
 
-    positional = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
-    return positional.select(*(one(f.name, f.dataType).alias(f.name) for f in positional.schema))
+def row_number_of(shown: Column) -> Column:
+    """48 bits that stand for a row's JSON."""
+    return F.conv(F.substring(F.md5(shown), 1, 12), 16, 10).cast("decimal(20,0)")
 
 
 def with_position(df: DataFrame) -> DataFrame:
@@ -239,7 +245,7 @@ def signature(df: DataFrame, ordered: bool = False) -> DataFrame:
     order of rows, unless it counts, when hashes are of rows with their positions."""
     flat = normalised(df)
     flat = with_position(flat) if ordered else flat
-    row = F.conv(F.substring(F.md5(F.to_json(F.struct(*flat.columns), {"ignoreNullFields": "false"})), 1, 12), 16, 10).cast("decimal(20,0)")
+    row = row_number_of(F.to_json(F.struct(*flat.columns), {"ignoreNullFields": "false"}))
     return flat.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(row), F.lit(0).cast("decimal(30,0)")).cast("string").alias("signature"))
 
 

@@ -9,14 +9,16 @@ many of them to a job, before results are joined back.
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofset.functions import text as tx
 from proofset.operators import exec_match, splits
-from proofset.sources.records import cut
+from proofset.sources.records import cut, scratch_path
 
 OPENERS = (
     "Return {body}.", "Which query gives {body}?", "I need {body}.", "Find {body}.", "Please work out {body}.",
@@ -263,23 +265,100 @@ def facts_of(df: DataFrame, ordered: bool = False) -> DataFrame:
     return facts.select("n_rows", F.expr("n_rows = 1 AND some = 0").alias("all_null"), "signature")
 
 
-def run_golds(spark: SparkSession, golds: list[str] | DataFrame, seconds: float = exec_match.LIMIT_SECONDS) -> DataFrame:
+def run_golds(spark: SparkSession, golds: list[str] | DataFrame, seconds: float = exec_match.LIMIT_SECONDS, ordered: bool = True) -> DataFrame:
     """(gold, error, n_rows, all_null, signature) of distinct statements, side by side.
 
     A gold that fails, when analysed or when run, or takes longer than ``seconds`` has its
-    error, and ``ERR:`` with it as its signature; the others don't notice.
+    error, and ``ERR:`` with it as its signature; the others don't notice. Order counts in
+    signatures of golds with ORDER BY, unless ``ordered`` is off.
     """
     keys = golds.select("gold").distinct() if isinstance(golds, DataFrame) else spark.createDataFrame([(g,) for g in dict.fromkeys(golds)], "gold string")
 
     def facts(row) -> tuple:
         df, error = exec_match.run_sql(spark, row.gold)
-        return (error, 0, False, None) if df is None else (None, *facts_of(df, exec_match.is_ordered(row.gold)).first())
+        return (error, 0, False, None) if df is None else (None, *facts_of(df, ordered and exec_match.is_ordered(row.gold)).first())
 
     ran = exec_match.answered(keys, facts, "error string, n_rows long, all_null boolean, signature string", seconds)
     error = F.coalesce("failure", "error")
     return ran.select("gold", error.alias("error"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("all_null", F.lit(False)).alias("all_null"), F.coalesce("signature", F.concat(F.lit("ERR:"), error)).alias("signature"))
 
 
+#: Slots of few values whatever the tables' size: each value gets a statement of its own.
+LITERAL_SLOTS = (*SLOT_CONSTANTS, "price_threshold")
+FACTS = "gold string, error string, n_rows long, all_null boolean, signature string"
+
+
+def _folds(values: DataFrame) -> list[tuple[Template, dict[str, str], list[str]]]:
+    """(template, variant with literal slots, slots that are folded) of every statement to run."""
+    few: dict[str, list[str]] = {}
+    for r in values.filter(F.col("slot").isin(*LITERAL_SLOTS)).collect():
+        few.setdefault(r.slot, []).append(r.value)
+    out = []
+    for t in TEMPLATES:
+        known = [s for s in t.slots if s in LITERAL_SLOTS]
+        for variant in t.variants:
+            for chosen in product(*(sorted(few.get(s, [])) for s in known)):
+                out.append((t, {**variant, **dict(zip(known, chosen, strict=True))}, [s for s in t.slots if s not in LITERAL_SLOTS]))
+    return out
+
+
+def _folded(made: DataFrame, template: Template, known: dict[str, str], slots: list[str]) -> DataFrame:
+    """``FACTS`` of all instances of the statement, which runs once.
+
+    Slot values are rows of a parameter table, to which the statement is joined laterally;
+    the engine turns equalities into an ordinary join. Results are grouped by the values.
+    """
+    spark = made.sparkSession
+    rows = made.filter(F.col("family") == template.family)
+    for k, v in known.items():
+        rows = rows.filter(F.col("slots")[k] == v)
+    params = rows.select("gold", *(F.col("slots")[x].alias(x) for x in slots))
+    text = template.gold
+    for k, v in known.items():
+        text = text.replace(f"{{{k}}}", v)
+    if not slots:
+        one = F.lit(1).alias("__one")  # one row on each side
+        return params.select("gold", one).join(facts_of(spark.sql(text)).select("*", one), "__one").select("gold", F.lit(None).cast("string").alias("error"), "n_rows", "all_null", "signature")
+    view = f"fold_{uuid.uuid4().hex}"
+    params.select(*slots).createOrReplaceTempView(view)
+    for x in slots:
+        text = text.replace(f"'{{{x}}}'", f"p.{x}")
+    try:
+        found = spark.sql(f"SELECT p.*, r.* FROM {view} p, LATERAL ({text}) r")
+        found._jdf.queryExecution().optimizedPlan()  # what cannot be folded is refused here
+    finally:
+        spark.catalog.dropTempView(view)
+    keys, cells = [f"k{i}" for i in range(len(slots))], [f"v{i}" for i in range(len(found.columns) - len(slots))]
+    found = found.toDF(*keys, *cells)
+    shown = F.to_json(F.struct(*(exec_match.normal_cell(found.schema[c]).alias(f"c{i}") for i, c in enumerate(cells))), {"ignoreNullFields": "false"})
+    some = F.coalesce(*(F.col(c).cast("string") for c in cells)).isNotNull()
+    sums = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(some, 1)).alias("some"), F.sum(exec_match.row_number_of(shown)).alias("total"))
+    met = params.toDF("gold", *keys).join(sums, keys, "left")
+    n = F.coalesce("n", F.lit(0))
+    return met.select("gold", F.lit(None).cast("string").alias("error"), n.alias("n_rows"), ((n == 1) & (F.coalesce("some", F.lit(0)) == 0)).alias("all_null"), F.coalesce("total", F.lit(0).cast("decimal(30,0)")).cast("string").alias("signature"))
+
+
+def folded_golds(spark: SparkSession, values: DataFrame, seconds: float = exec_match.LIMIT_SECONDS) -> DataFrame:
+    """``run_golds`` of every instance of every template, by one statement for each template,
+    variant and literal slot value; signatures are of results without their order.
+
+    A statement that the engine cannot fold, or that fails for one of its values, is run
+    singly for each of them, so failures are those of the instances that fail.
+    """
+    made, path = cut(instances(spark, values).select("family", "gold", "slots")), scratch_path(spark, "golds")
+    folds = _folds(values)
+    spark.createDataFrame([], FACTS).write.parquet(path)
+    ran = exec_match.side_by_side(spark, enumerate(folds), lambda f: _folded(made, *f[1]).write.parquet(f"{path}-{f[0]}"), seconds)
+    out = spark.read.schema(FACTS).parquet(path, *(f"{path}-{i}" for i, (_, error) in enumerate(ran) if error is None))
+    for (template, known, _), (_, error) in zip(folds, ran, strict=True):
+        if error is not None:
+            rows = made.filter(F.col("family") == template.family)
+            for k, v in known.items():
+                rows = rows.filter(F.col("slots")[k] == v)
+            out = out.union(run_golds(spark, rows, seconds, ordered=False))
+    return out
+
+
 def validated(tasks: DataFrame, facts: DataFrame) -> DataFrame:
     """``tasks`` with their gold's facts and ``reason``: why a task is no use, or ``ok``."""
     reason = (

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from itertools import product
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofset.functions import stats
 from proofset.functions import text as tx
 from proofset.operators import datasets, evaluation, rewards, trajectories, taskgen
+from proofset.plans.relational import SHOP
 from proofset.plans.textual import NORM
 from proofset.sources import tables as t
+from proofset.sources.records import cut, scratch_path
+from proofset.streaming import episodes
 from proofset.streaming import events as ev
 
 
@@ -106,6 +111,20 @@ SELECT f.conv_id, CASE WHEN turns = answer THEN 'submitted' WHEN turns < 4 THEN
 FROM f JOIN a ON a.conv_id = f.conv_id GROUP BY f.conv_id, turns, answer"""
 
 
+def episode_stream(s, d):
+    """As ``replay``, by the stateful stream: half of the texts come first, and so ahead of their turn."""
+    text = """CASE WHEN (conv_id + turn) % 5 = 1 THEN concat('<tool>{"name": "list_tables", "args": {}}</tool>', text)
+              WHEN (conv_id + turn) % 5 = 3 THEN '```sql SELECT 1 ```' ELSE concat('no idea of ', replace(text, '<tool>', '')) END"""
+    step = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    said = conversations(s, d).filter("role = 'assistant'").select(F.col("conv_id").alias("episode"), step.alias("step"), F.expr(text).alias("text"))
+    folder = scratch_path(s, "episodes")
+    for part in (1, 0):
+        said.filter(F.pmod(F.xxhash64("episode", "step"), F.lit(2)) == part).write.mode("append").parquet(f"{folder}/in")
+    texts = s.readStream.schema(said.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/in")
+    episodes.start(texts, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return episodes.outcomes(s, f"{folder}/out", f"{folder}/checkpoint").withColumnRenamed("episode", "conv_id")
+
+
 def rollout_steps(s, d):
     """Episodes of whole conversations: by length a text is a call of one of two tools, a statement, or as it is."""
     for name in ("region", "nation"):
@@ -556,6 +575,40 @@ SELECT w.family, CAST(w.draw AS INTEGER) AS draw, level, {fill(f"replace({pick('
 FROM w LEFT JOIN g ON g.family = w.family AND g.draw = w.draw"""
 
 
+def folded_golds(s, d):
+    """Facts of the gold of every instance of every template over the whole tables."""
+    shop = _shop(s, d)
+    taskgen.register(s, shop)
+    return taskgen.folded_golds(s, cut(taskgen.slot_values(shop))).select("gold", "n_rows", F.col("all_null").cast("int").alias("all_null"), F.col("error").isNotNull().cast("int").alias("failed"))
+
+
+def _folded_sql() -> str:
+    """Each template's gold as a correlated subquery over its slots' domains."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    value = {"price_threshold": "CAST(p_price_threshold.value AS DOUBLE)", "signup_cut": "CAST(p_signup_cut.value AS TIMESTAMP)"}
+    parts = []
+    for x in taskgen.TEMPLATES:
+        for variant in x.variants:
+            gold = x.gold
+            for k, v in variant.items():
+                gold = gold.replace(f"{{{k}}}", v)
+            fixed = [k for k in x.slots if k in taskgen.SLOT_CONSTANTS]
+            for chosen in product(*(taskgen.SLOT_CONSTANTS[k] for k in fixed)):
+                shown, ran = gold, gold.replace("date_format", "strftime").replace("'MM'", "'%m'")
+                for k, v in zip(fixed, chosen, strict=True):
+                    shown, ran = shown.replace(f"{{{k}}}", str(v)), ran.replace(f"{{{k}}}", str(v))
+                shown = text(shown)
+                free = [k for k in x.slots if k not in fixed]
+                for k in free:
+                    shown = f"replace({shown}, '{{{k}}}', p_{k}.value)"
+                    ran = ran.replace(f"'{{{k}}}'", f"{{{k}}}").replace(f"{{{k}}}", value.get(k, f"p_{k}.value"))
+                pools = "".join(f", (SELECT value FROM pools WHERE slot = '{k}') AS p_{k}" for k in free)
+                filled = f"(SELECT count(*) FROM (SELECT to_json(r) AS j FROM ({ran}) AS r) WHERE regexp_matches(j, ':[^n]'))"
+                parts.append(f"SELECT {shown} AS gold, (SELECT count(*) FROM ({ran})) AS n_rows, {filled} AS filled FROM (SELECT 1){pools}")
+    return f"""{SHOP}, pools AS ({_all_pools_sql()}), made AS ({" UNION ALL ".join(parts)})
+SELECT gold, n_rows, CAST(n_rows = 1 AND filled = 0 AS INTEGER) AS all_null, 0 AS failed FROM made"""
+
+
 # ---- Generated tasks: documents are questions, their sources families; facts of golds by id ----
 GOLD = "CASE WHEN doc_id % 10 = 0 THEN concat('drop ', CAST(doc_id AS VARCHAR(20))) ELSE concat('  Select ', CAST(doc_id AS VARCHAR(20))) END"
 RULE = "CASE doc_id % 13 WHEN 0 THEN 'rule1_exact_question' WHEN 1 THEN 'signature_only' END"
@@ -622,6 +675,8 @@ QUERIES = {
     "mcnemar_test": (mcnemar_test, MCNEMAR_P_SQL),
     "correctness_vector": (lambda s, d: evaluation.correctness_vector(samples(s, d), "doc_id"), f"WITH {SAMPLES} SELECT doc_id, CAST(correct AS INTEGER) AS hit FROM x"),
     "external_metrics": (external_metrics, "SELECT event_id, value AS m_value, CAST(event_id % 4 AS DOUBLE) AS m_turns, CAST(event_id % 3 AS DOUBLE) AS m_calls FROM events"),
+    "folded_golds": (folded_golds, _folded_sql()),
+    "episode_stream": (episode_stream, REPLAY_SQL),
     "validated_tasks": (validated_tasks, f"WITH {MADE} SELECT doc_id, reason FROM v"),
     "accepted_tasks": (accepted_tasks, _ACCEPTED_SQL),
     "rejection_counts": (rejection_counts, _REJECTED_SQL),
