@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofset.functions.ordered import running
+
 #: Two-sided normal quantiles of the usual levels.
 Z_TABLE = {0.10: 1.6448536, 0.05: 1.9599640, 0.01: 2.5758293}
 
@@ -163,14 +165,17 @@ def seed_summary(runs: DataFrame, value: str, *keys: str) -> DataFrame:
 def nearest_rank(df: DataFrame, value: str, key: str | None, shares: dict[str, float]) -> DataFrame:
     """Per key, the value at sorted position min(floor(n * share), n - 1), without interpolation.
 
-    Distinct values are counted first and ranked by running counts, so a key's rows
-    are never gathered.
+    Distinct values are counted first and ranked by running counts over ranges of (key,
+    value), so neither a key's rows nor its distinct values are gathered in a task.
     """
-    from pyspark.sql import Window
-
     keys = [key] if key else []
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    over = Window.partitionBy(*keys)
-    counted = counted.withColumns({"__upto": F.sum("__c").over(over.orderBy("__v")), "__n": F.sum("__c").over(over)})
-    pick = lambda q: F.min(F.when(F.col("__upto") > F.least(F.floor(F.col("__n") * F.lit(q)), F.col("__n") - 1), F.col("__v")))
-    return counted.groupBy(*keys).agg(F.max("__n").alias("n"), *(pick(q).alias(name) for name, q in shares.items()))
+    ran = running(counted, [*keys, "__v"], total="__c")
+    sizes = ran.groupBy(*(F.col(k).alias("__k") for k in keys)).agg(F.sum("__c").alias("__n"), F.min(F.col("__upto") - F.col("__c")).alias("__first"))
+    if key:
+        met = ran.join(sizes, F.col(key).eqNullSafe(F.col("__k"))).drop("__k")
+    else:
+        met = ran.withColumn("__one", F.lit(1)).join(sizes.withColumn("__one", F.lit(1)), "__one")  # one row
+    upto = F.col("__upto") - F.col("__first")
+    pick = lambda q: F.min(F.when(upto > F.least(F.floor(F.col("__n") * F.lit(q)), F.col("__n") - 1), F.col("__v")))
+    return met.groupBy(*keys).agg(F.max("__n").alias("n"), *(pick(q).alias(name) for name, q in shares.items()))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofset.functions import stats
 from proofset.functions import text as tx
+from proofset.functions.ordered import running
 from proofset.operators.exec_match import ERROR_KINDS, GoldError, Matcher, constant, run_rows, side_by_side
 
 RECORD = "id string, level string, question string, gold string, pred string, error string, correct boolean"
@@ -183,12 +184,11 @@ def heatmap(df: DataFrame, agent: str, item: str, correct: str, agents: list[str
 def pareto(df: DataFrame, cost: str, value: str) -> DataFrame:
     """Rows that no other beats on cost and value at once: a running best over rising cost.
 
-    Costs are grouped first; the window runs over the best value of each cost.
+    Costs are grouped first; the best value of each cost meets the best before it.
     """
     best = df.groupBy(F.col(cost).alias("__c")).agg(F.max(value).alias("__v"))
-    before = Window.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
-    front = best.withColumn("__b", F.max("__v").over(before)).filter("__b IS NULL OR __v > __b")
-    return df.join(front, (F.col(cost) == F.col("__c")) & (F.col(value) == F.col("__v"))).drop("__c", "__v", "__b")
+    front = running(best, ["__c"], best="__v").filter("__before IS NULL OR __v > __before")
+    return df.join(front, (F.col(cost) == F.col("__c")) & (F.col(value) == F.col("__v"))).drop("__c", "__v", "__before")
 
 
 def same_decisions(a: DataFrame, b: DataFrame, item: str, correct: str) -> DataFrame:

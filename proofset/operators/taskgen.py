@@ -16,6 +16,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from proofset.functions import stats
 from proofset.functions import text as tx
 from proofset.operators import exec_match, splits
 from proofset.sources.records import cut, scratch_path
@@ -154,15 +155,10 @@ def register(spark: SparkSession, shop: dict[str, DataFrame]) -> None:
 
 
 def price_thresholds(products: DataFrame) -> DataFrame:
-    """(value): prices at fixed quantiles, to the next hundred, distinct.
-
-    Only counts per price are sorted.
-    """
-    counted = products.groupBy("price").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.orderBy("price")
-    placed = counted.withColumns({"upto": F.sum("n").over(order), "all": F.sum("n").over(Window.partitionBy())})
-    picks = [F.min(F.when(F.col("upto") > F.floor(F.col("all") * F.lit(q)), F.col("price"))) for q in PRICE_QUANTILES]
-    values = placed.agg(F.array(*picks).alias("p")).select(F.explode("p").alias("p"))
+    """(value): prices at fixed quantiles, to the next hundred, distinct."""
+    names = {f"q{i}": q for i, q in enumerate(PRICE_QUANTILES)}
+    picks = stats.nearest_rank(products, "price", None, names)
+    values = picks.select(F.explode(F.array(*names)).alias("p")).filter("p IS NOT NULL")
     return values.select((F.bround(F.col("p") / 100) * 100).cast("long").alias("value")).distinct()
 
 

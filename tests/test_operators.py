@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from proofset.functions import stats
+from proofset.functions import ordered, stats
 from proofset.operators import contamination, datasets, evaluation, exec_match, rewards, rollouts, splits, taskgen, trajectories
 from proofset.sources import records, tables
 
@@ -340,6 +340,35 @@ def test_nearest_rank(spark):
     assert (row.n, row.p50, row.p95) == (97, ordered[48], ordered[min(int(97 * 0.95), 96)])
 
 
+def test_order_statistics_and_front_against_sorting(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, float(rng.randrange(40))]), rng.randrange(25), rng.randrange(60)) for _ in range(700)]
+    df = spark.createDataFrame(rows, "k string, v double, cost int, gain int").repartition(5)
+    shares = {"q0": 0.0, "q3": 0.3, "q5": 0.5, "q95": 0.95, "q1": 1.0}
+    want = {}
+    for key in ("a", "b", None):
+        vs = sorted(v for k, v, *_ in rows if k == key and v is not None)
+        want[key] = (len(vs), *(vs[min(int(len(vs) * q), len(vs) - 1)] for q in shares.values()))
+    assert {r.k: (r.n, *(r[c] for c in shares)) for r in stats.nearest_rank(df, "v", "k", shares).collect()} == want
+    everything = sorted(v for _, v, *_ in rows if v is not None)
+    assert tuple(stats.nearest_rank(df, "v", None, shares).first()) == (len(everything), *(everything[min(int(len(everything) * q), len(everything) - 1)] for q in shares.values()))
+    assert stats.nearest_rank(df.limit(0), "v", "k", shares).count() == 0 and stats.nearest_rank(df.limit(0), "v", None, shares).filter("q5 IS NOT NULL").count() == 0
+    front = sorted((r.cost, r.gain) for r in evaluation.pareto(df, "cost", "gain").collect())
+    best = lambda c, g: all(not (x <= c and y >= g and (x, y) != (c, g)) for _, _, x, y in rows)
+    assert front == sorted((c, g) for _, _, c, g in rows if best(c, g))
+    values = [(i, rng.randrange(-9, 9)) for i in range(300)]
+    out = ordered.running(spark.createDataFrame(values, "i int, x int").repartition(7), ["i"], "x", "x").orderBy("i").collect()
+    assert [(r["__upto"], r["__before"]) for r in out] == [(sum(x for _, x in values[: i + 1]), max((x for _, x in values[:i]), default=None)) for i in range(300)]
+
+
+def test_folded_golds_equal_single_runs(spark, shop):
+    made = records.cut(taskgen.folded_golds(spark, records.cut(taskgen.slot_values(shop))))
+    golds = sorted((r.gold for r in made.select("gold").collect()), key=lambda g: g[::-1])[::25]
+    single = {tuple(r) for r in taskgen.run_golds(spark, golds, ordered=False).collect()}
+    assert {tuple(r) for r in made.filter(F.col("gold").isin(*golds)).collect()} == single and len(single) == len(golds)
+    assert made.count() == made.select("gold").distinct().count() > 300
+
+
 def test_evaluation(spark, shop):
     tasks = [{"id": i, "level": "easy", "question": q, "gold": "SELECT count(*) FROM customers"} for i, q in enumerate("abcd")]
     answers = {"a": "```sql\nSELECT 20\n```", "b": "SELECT 21", "c": "SELECT x FROM customers"}
