@@ -124,8 +124,8 @@ def revenue_total(spark: SparkSession, d: str, status: str) -> DataFrame:
 def revenue_by(spark: SparkSession, d: str, group: Group, status: str | None = None) -> DataFrame:
     """Revenue per group, highest first.
 
-    Per product or customer, lines are summed by id before the names are joined on,
-    so that the join sees one row a group.
+    Per customer, lines are summed by id before the names are joined on, so that the
+    join sees one row a customer; other groups are summed by name.
     """
     keys = GROUPS[group]
     if group == "customer":
