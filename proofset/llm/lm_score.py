@@ -14,7 +14,9 @@ of documents as rows instead of single n-grams:
    and scores are summed per document.
 
 There are never more rows than n-grams of blocks, and as long as blocks times buckets
-is small beside those, far fewer: about 4000 a GB at 30 GB.
+is small beside those, far fewer. As both grow with the corpus, rows a GB grow in
+proportion to it until then: by the constants below some 11,000 a GB at 0.5 GB and
+700,000 a GB at 30 GB.
 
 A document does not vouch for itself: its own counts are taken off. With counts c and
 n words elsewhere, the score of a word after its context is c(context word) /
