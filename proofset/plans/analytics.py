@@ -11,7 +11,7 @@ from proofset.functions import stats
 from proofset.functions import text as tx
 from proofset.operators import datasets, evaluation, rewards, trajectories, taskgen
 from proofset.plans.relational import SHOP
-from proofset.plans.textual import NORM
+from proofset.plans.textual import COMPOSITE_SQL, FACTS, NORM, facts
 from proofset.sources import tables as t
 from proofset.sources.records import cut, scratch_path
 from proofset.streaming import episodes
@@ -160,8 +160,17 @@ FROM f JOIN a ON a.conv_id = f.conv_id GROUP BY f.conv_id, turns, answer"""
 
 
 def reward_bounds(s, d):
-    found = rewards.Weights().bounds()
-    return s.createDataFrame([tuple(found[n] for n in ("min_correct", "max_incorrect", "margin"))], "min_correct double, max_incorrect double, margin double").select(_r("min_correct"), _r("max_incorrect"), _r("margin"))
+    """How correct and incorrect completions score, beside the bound that the weights give each."""
+    bounds = rewards.Weights().bounds()
+    scored = rewards.composite(facts(s, d)).select("correct", "reward")
+    spread = scored.groupBy("correct").agg(F.count(F.lit(1)).alias("n"), F.min("reward").alias("least"), F.max("reward").alias("most"))
+    bound = F.when(F.col("correct"), F.lit(bounds["min_correct"])).otherwise(F.lit(bounds["max_incorrect"])).alias("bound")
+    return spread.select(F.col("correct").cast("int").alias("correct"), "n", _r("least"), _r("most"), F.round(bound, 6).alias("bound"))
+
+
+BOUNDS_SQL = f"""WITH r AS ({COMPOSITE_SQL}), f AS (SELECT doc_id, {FACTS} FROM documents)
+SELECT CAST(correct AS INTEGER) AS correct, count(*) AS n, round(min(reward), 6) AS least, round(max(reward), 6) AS most,
+ CASE WHEN correct THEN round(1.0e0 + 0.1e0 + 0.05e0 - 3 * 0.05e0, 6) ELSE round(0.15e0 + 0.1e0 + 0.05e0, 6) END AS bound FROM r JOIN f ON f.doc_id = r.doc_id GROUP BY correct"""
 
 
 def training_history(s, d):
@@ -657,7 +666,7 @@ QUERIES = {
     "turns_per_episode": (lambda s, d: trajectories.turns_per_episode(conversations(s, d)), "SELECT conv_id, count(*) AS n_turns, count(*) FILTER (WHERE role = 'assistant') AS n_assistant, count(*) FILTER (WHERE role = 'user') AS n_user FROM conversations GROUP BY conv_id"),
     "episode_replay": (replay, REPLAY_SQL),
     "rollout_steps": (rollout_steps, ROLLOUT_SQL),
-    "reward_bounds": (reward_bounds, "SELECT round(1.0e0 + 0.1e0 + 0.05e0 - 3 * 0.05e0, 6) AS min_correct, round(0.15e0 + 0.1e0 + 0.05e0, 6) AS max_incorrect, round(1.0e0 - 0.15e0 - 3 * 0.05e0, 6) AS margin"),
+    "reward_bounds": (reward_bounds, BOUNDS_SQL),
     "training_history": (training_history, HISTORY_SQL),
     "sft_rows": (sft_rows, _sft_sql()),
     "chart_series": (chart_series, CHART_SQL),
