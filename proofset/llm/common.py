@@ -129,11 +129,27 @@ def sifted(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> tupl
     return seen.filter(hit).select(*columns, k1, k2), seen.filter(~hit).select(*columns), [k1, k2]
 
 
-def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` less the rows whose keys are in ``gone`` (k1, k2), which is read more than once."""
-    may, clear, keys = sifted(docs, gone, id_col, text_col)
-    kept = may.join(gone.select("k1", "k2").toDF(*keys), keys, "left_anti").select(*(quoted(c) for c in docs.columns))
-    return clear.union(kept)
+def one_of_each(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of ``docs`` for each value of ``keys``, without these: the least by a digest of all columns.
+
+    Partial aggregation leaves one row per key and task ahead of the shuffle.
+    """
+    columns = [quoted(c) for c in docs.columns if c not in keys]
+    row = F.struct(*columns)
+    return docs.groupBy(*keys).agg(F.min_by(row, F.sha2(F.to_json(row), 256)).alias("row")).select("row.*")
+
+
+def without_rows(docs: DataFrame, fates: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` less the rows whose keys are in ``fates`` (k1, k2, stays).
+
+    Of the rows that share a key which stays, one does. ``fates`` is read more than once.
+    """
+    may, clear, keys = sifted(docs, fates, id_col, text_col)
+    kept = clear.union(may.join(fates.select("k1", "k2").toDF(*keys), keys, "left_anti").select(*(quoted(c) for c in docs.columns)))
+    repeated = fates.filter("stays").select("k1", "k2").toDF(*keys)
+    if repeated.isEmpty():
+        return kept
+    return kept.union(one_of_each(may.join(repeated, keys, "left_semi"), keys))
 
 
 def id_remainder(doc_id: Column, modulus: int) -> Column:

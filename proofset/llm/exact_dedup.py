@@ -20,8 +20,9 @@ Defined results
     null text        counts as the empty text; all empty texts are one group
     null id          ranks after every id; such a row stays only if its group has no id
     repeated ids     an id on several texts: each row is decided by its own text
-    repeated rows    rows with the same id and text are one document: they share
-                     one decision, and each counts in ``group_size``
+    repeated rows    rows with the same id and text share one decision, and each counts
+                     in ``group_size``; ``drop_exact_copies`` leaves one row of each group,
+                     also where its smallest id stands on several rows, or no row has an id
     empty table      empty result
     extra columns    ``drop_exact_copies`` keeps them; else they are not read, so
                      their names cannot clash
@@ -97,7 +98,10 @@ def stream_state(spark: SparkSession, source: str, schema: StructType, checkpoin
 
 
 def _decided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, digest, and the row's keys k1, k2."""
+    """One row per input row: id, keep_id, group_size, kept, digest, part, and the row's keys k1, k2.
+
+    Digest and part together tell the group.
+    """
     spark = docs.sparkSession
     given = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
     k1, k2 = row_keys(F.col("id"), F.col("text"))
@@ -113,13 +117,13 @@ def _decided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     keyed.write.parquet(source)
     digests = spark.read.schema(keyed.schema).parquet(source)
     if digests.isEmpty():
-        return digests.select("id", F.col("id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest", "k1", "k2")
+        return digests.select("id", F.col("id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest", F.lit(0).cast("long").alias("part"), "k1", "k2")
     state = stage(stream_state(spark, source, keyed.schema, checkpoint), "dedup-state")
     if _collided(rows, state):
         return _by_text(rows)
     groups = state.select("digest", F.col("first.id").alias("keep_id"), F.col("n").alias("group_size"))
     return digests.select("id", "digest", "k1", "k2").join(groups, "digest").select(
-        "id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", "k1", "k2"
+        "id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", F.lit(0).cast("long").alias("part"), "k1", "k2"
     )
 
 
@@ -153,14 +157,21 @@ def _by_text(rows: DataFrame) -> DataFrame:
     """The decision on full texts alone, for the case that two texts share a digest."""
     groups = rows.groupBy("body").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     return rows.join(groups, "body").select(
-        "id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.unhex(F.sha2("body", 256)).alias("digest"), *(c for c in ("k1", "k2") if c in rows.columns)
+        "id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.unhex(F.sha2("body", 256)).alias("digest"), F.xxhash64("body").alias("part"), *(c for c in ("k1", "k2") if c in rows.columns)
     )
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` drops; columns unchanged."""
-    gone = stage(_decided(docs, id_col, text_col).filter(~F.col("kept")).select("k1", "k2").distinct(), "dedup-gone")
-    return without_rows(docs, gone, id_col, text_col)
+    """``docs`` with one row of each group of equal texts, one with the smallest id; columns unchanged."""
+    rows = _decided(docs, id_col, text_col).filter("group_size > 1")
+    # Narrow rows of groups only; a group of copies is one row per task ahead of the shuffle.
+    keyed = stage(rows.groupBy("digest", "part", "k1", "k2").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "dedup-keys")
+    # Only rows with the smallest id are joined, which are few in any group.
+    least = keyed.filter("kept").groupBy("digest", "part").agg(F.min(F.struct("k1", "k2")).alias("least"))
+    told = keyed.filter("kept").join(least, ["digest", "part"]).select("k1", "k2", "n", (F.struct("k1", "k2") == F.col("least")).alias("stays"))
+    told = told.union(keyed.filter("NOT kept").select("k1", "k2", "n", F.lit(False).alias("stays")))
+    fates = stage(told.filter("NOT stays OR n > 1").select("k1", "k2", "stays"), "dedup-fates")
+    return without_rows(docs, fates, id_col, text_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

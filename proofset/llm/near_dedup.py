@@ -33,6 +33,8 @@ Defined results
     null id                      ranks after every id; kept only where no id is in the component
     repeated ids                 an id on several texts: each row is decided by its own text
     repeated rows                the same class; rows with the component's smallest id are kept
+                                 and ``drop_near_copies`` leaves one row of each component, and
+                                 of wordless texts one row for each id and text
     empty table                  empty result
     extra columns                ``drop_near_copies`` keeps them; else they are not read,
                                  so their names cannot clash
@@ -262,13 +264,13 @@ def _block_links(pairs: DataFrame) -> DataFrame:
 
 
 def _classes(signed: DataFrame) -> DataFrame:
-    """The distinct sets: n, f1, f2, node, and id, k1, k2 of the row that represents the class."""
+    """The distinct sets: n, f1, f2, node, rows, and id, k1, k2 of the row that represents the class."""
     least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")).alias("first")
-    found = stage(signed.filter("n > 0").groupBy("n", "f1", "f2").agg(least).select("n", "f1", "f2", "first.id", "first.k1", "first.k2"), "near-sets-of-rows")
+    found = stage(signed.filter("n > 0").groupBy("n", "f1", "f2").agg(least, F.count(F.lit(1)).alias("rows")).select("n", "f1", "f2", "rows", "first.id", "first.k1", "first.k2"), "near-sets-of-rows")
     shared = found.filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("id", F.lit(True).alias("shared"))
     odd = F.coalesce(F.col("shared"), F.col("id").isNull())
     node = F.when(odd, F.xxhash64("n", "f1", "f2")).otherwise(F.col("id"))
-    return stage(found.join(shared, "id", "left").select("n", "f1", "f2", "id", "k1", "k2", node.alias("node"), odd.alias("odd")), "near-classes")
+    return stage(found.join(shared, "id", "left").select("n", "f1", "f2", "rows", "id", "k1", "k2", node.alias("node")), "near-classes")
 
 
 def _links(signed: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -310,26 +312,28 @@ def _links(signed: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame
 
 
 def _components(classes: DataFrame, reached: DataFrame) -> DataFrame:
-    """(n, f1, f2, component_id): the smallest id of a class's component; null where it has none."""
-    parts = classes.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = stage(parts.select("n", "f1", "f2", "id", "odd", "component"), "near-parts")
-    # Where every node is an id, the smallest node is the smallest id.
-    mixed = parts.filter("odd").select("component").distinct()
-    smallest = parts.join(mixed, "component", "left_semi").groupBy("component").agg(F.min("id").alias("least"), F.lit(True).alias("mixed"))
-    named = parts.join(smallest, "component", "left")
-    return stage(named.select("n", "f1", "f2", F.when(F.col("mixed"), F.col("least")).otherwise(F.col("component")).alias("component_id")), "near-components")
+    """(n, f1, f2, rows, component_id, s1, s2): for each class its component's smallest id, null where it has none, and the keys of the row that stays."""
+    parts = stage(classes.join(reached, "node", "left"), "near-parts")
+    of_class = parts.select("n", "f1", "f2", "rows", "component", F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2").alias("first"))
+    linked = of_class.filter("component IS NOT NULL")
+    least = linked.groupBy("component").agg(F.min("first").alias("least"))
+    named = linked.join(least, "component").select("n", "f1", "f2", "rows", "least")
+    named = named.union(of_class.filter("component IS NULL").select("n", "f1", "f2", "rows", "first"))
+    return stage(named.select("n", "f1", "f2", "rows", F.col("least.id").alias("component_id"), F.col("least.k1").alias("s1"), F.col("least.k2").alias("s2")), "near-components")
 
 
 def _decided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept, and the row's keys k1, k2."""
+    """One row per input row: id, n_shingles, component_id, kept, the row's keys k1, k2, the keys s1, s2 of
+    the row that stays, and ``lone``: no other row has the set."""
     ship(docs.sparkSession)
     signed = stage(signatures(docs, id_col, text_col), "near-signatures")
     classes = _classes(signed)
     texts = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text"))
     by_set = _components(classes, _links(signed, classes, texts))
     rows = signed.select("id", "k1", "k2", "n", "f1", "f2")
-    linked = rows.filter("n > 0").join(by_set, ["n", "f1", "f2"]).select("id", F.col("n").alias("n_shingles"), "component_id", "k1", "k2")
-    alone = rows.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), "k1", "k2")
+    linked = rows.filter("n > 0").join(by_set, ["n", "f1", "f2"])
+    linked = linked.select("id", F.col("n").alias("n_shingles"), "component_id", "k1", "k2", "s1", "s2", (F.col("rows") == 1).alias("lone"))
+    alone = rows.filter("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), "k1", "k2", F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.lit(False).alias("lone"))
     return linked.union(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
@@ -339,9 +343,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component; columns unchanged."""
-    gone = stage(_decided(docs, id_col, text_col).filter(~F.col("kept")).select("k1", "k2").distinct(), "near-gone")
-    return without_rows(docs, gone, id_col, text_col)
+    """``docs`` with one row of each component; columns unchanged."""
+    rows = _decided(docs, id_col, text_col).withColumn("stays", (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")))
+    told = rows.filter("NOT (stays AND lone)").groupBy("k1", "k2").agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
+    fates = stage(told.filter("NOT stays OR n > 1").select("k1", "k2", "stays"), "near-fates")
+    return without_rows(docs, fates, id_col, text_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

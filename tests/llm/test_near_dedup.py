@@ -116,7 +116,37 @@ def test_drop_decides_by_row(spark, frame, prose):
     want = [(3, 3, True), (5, 3, False), (5, 5, True), (None, 3, False), (None, None, True), (None, None, True), (8, 8, True), (8, 8, True), (None, None, True), (7, 5, False)]
     assert got == sorted(want, key=str)
     out = op.drop_near_copies(frame(rows).repartition(3))
-    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted((r for r, w in zip(rows, want, strict=True) if w[2]), key=str)
+    stay = {r for r, w in zip(rows, want, strict=True) if w[2]}
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(stay, key=str)
+
+
+def plain_drop(rows):
+    """(smallest id or none, texts that may stay) for each component of rows; wordless rows by id and text."""
+    parts = []
+    for i, t in rows:
+        s, joined, rest = shingles(t), [(i, t or "")], []
+        for part in parts:
+            near = any(s and shingles(u) and 100 * len(s & shingles(u)) >= 75 * len(s | shingles(u)) for _, u in part)
+            same = not s and (i, t or "") in part
+            (joined.extend(part) if near or same else rest.append(part))
+        parts = [*rest, joined]
+    out = []
+    for part in parts:
+        least = min((i for i, _ in part if i is not None), default=None)
+        out.append((least, {t for i, t in part if i == least}))
+    return out
+
+
+def test_drop_leaves_one_row(spark, frame, prose):
+    """Repeated rows, near copies under one id, under none, and wordless rows."""
+    base = prose(11, 90)
+    rows = [(3, base), (3, base), (7, base), (3, edited(base, 1, 1)), (None, prose(12, 90)), (None, edited(prose(12, 90), 2, 1)), (None, prose(12, 90))]
+    rows += [(4, ""), (4, None), (5, " "), (None, ""), (None, None), (9, prose(13, 90)), (9, prose(14, 90)), (9, "one two"), (10, "ONE two")]
+    got = [(r.doc_id, r.text or "") for r in op.drop_near_copies(frame(rows).repartition(4)).collect()]
+    want = plain_drop(rows)
+    assert len(got) == len(want)
+    for least, texts in want:
+        assert sum(i == least and t in texts for i, t in got) == 1
 
 
 def test_hot_centre_is_dealt_to_a_grid(spark, frame, prose, monkeypatch):
