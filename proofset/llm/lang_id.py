@@ -7,17 +7,18 @@ runs of words from documents of different languages, by the exact gradient from
 forward-backward. A document's label is the one with the largest mean posterior
 over its words, which is also the score.
 
-A run of more than ``LETTERS`` letters without a space is several words: it is split
-where its letters end and, where they go on, into even pieces. So every letter counts.
+Words are unbroken letters; marks, format characters and apostrophes, which stand within
+words, are taken out first. More than ``LETTERS`` letters in a row are cut into
+even pieces. So every letter counts, by one rule at any length.
 
-Words are looked up by their raw form in a bounded memory of emission scores;
+What stands between spaces is looked up in a bounded memory of emission scores;
 forward-backward runs over all documents of a chunk at once, step by step, with
 the documents that are still running.
 
 The fit sees at most ``SAMPLE_DOCS`` documents, drawn by a hash and shared evenly by
 all languages (one document each where there are more languages than that). Of a text
-over ``SAMPLE_BYTES`` bytes it sees a window at a drawn place. Prediction reads every
-whole text.
+over ``SAMPLE_BYTES`` bytes it sees a window at a drawn place. The lexicon has each word
+that more than two documents of the sample have. Prediction reads every whole text.
 
 Defined results
     null text, no letter   ``und`` with score 0
@@ -50,38 +51,36 @@ FOLDS, HELD_OUT = 5, 0
 SAMPLE_DOCS, SAMPLE_BYTES = 2400, 20_000
 UNKNOWN = "und"
 
-#: Letters of a word at most; longer runs are several words.
+#: Letters of a word at most; more in a row are several words.
 LETTERS = 20
 TABLE = 1 << 16
-LEXICON_WORDS = 30_000
 SEQUENCE, STEPS, BATCH, RATE, DECAY = 48, 80, 256, 0.2, 1e-4
 #: Characters of text that are labelled at a time, and words remembered.
 CHUNK_CHARS, MEMORY_WORDS = 4 << 20, 400_000
 
+#: Categories of characters that stand within words, and others that do.
+WITHIN, APOSTROPHES = ("Mn", "Mc", "Me", "Cf"), "'\u2019"
+
 _U = np.uint64
 _SALT = mix64(np.arange(1, 9, dtype=_U) * _U(0x9E3779B97F4A7C15))
 
 
-def letters(raw: str) -> str:
-    return "".join(c for c in raw.lower() if c.isalpha())
-
-
 def pieces(run: str) -> list[str]:
     """The words of a run without spaces, of at most ``LETTERS`` letters each."""
-    word = letters(run)
-    if len(word) <= LETTERS:
-        return [word] if word else []
-    # Marks and format characters stand within words of many scripts.
-    apart = "".join(c if c.isalpha() else "" if unicodedata.category(c) in ("Mn", "Mc", "Me", "Cf") else " " for c in run.lower())
+    low = run.lower()
+    if low.isalpha():
+        parts = [low]
+    else:
+        parts = "".join(c if c.isalpha() else "" if c in APOSTROPHES or unicodedata.category(c) in WITHIN else " " for c in low).split()
     out = []
-    for part in apart.split():
+    for part in parts:
         n = -(-len(part) // LETTERS)
         out += [part[i * len(part) // n : (i + 1) * len(part) // n] for i in range(n)]
     return out
 
 
 def runs(text: str) -> list[str]:
-    """Words of a text in raw form; long runs as their pieces."""
+    """What stands between spaces; where it is long, its words, so that no long run is remembered."""
     found = text.split()
     if max(map(len, found), default=0) <= LETTERS:
         return found
@@ -167,9 +166,10 @@ class Field:
     lexicon: dict[str, int]
     known: dict[str, int] = field(default_factory=dict)
     table: np.ndarray | None = None
+    several: list[list[int]] = field(default_factory=list)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}, "table": None}
+        return self.__dict__ | {"known": {}, "table": None, "several": []}
 
     def emissions(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.labels)), dtype=np.float32)
@@ -180,23 +180,34 @@ class Field:
         return out
 
     def learn(self, raw: set[str]) -> None:
-        """Remember the emission rows of raw words; those without letters get -1."""
+        """Remember the emission rows of runs: of one word its row, of none -1, of several
+        -2 less their place in ``several``."""
         if self.table is None or len(self.known) + len(raw) > MEMORY_WORDS:
-            self.known, self.table = {}, np.zeros((0, len(self.labels)), dtype=np.float32)
-        forms = {r: letters(r) for r in raw}
-        distinct = {w: i for i, w in enumerate(dict.fromkeys(w for w in forms.values() if w), start=len(self.table))}
+            self.known, self.table, self.several = {}, np.zeros((0, len(self.labels)), dtype=np.float32), []
+        forms = {r: pieces(r) for r in raw}
+        distinct = {w: i for i, w in enumerate(dict.fromkeys(w for f in forms.values() for w in f), start=len(self.table))}
         if distinct:
             self.table = np.concatenate((self.table, self.emissions(list(distinct))))
-        self.known.update((r, distinct[w] if w else -1) for r, w in forms.items())
+        for r, words in forms.items():
+            if len(words) > 1:
+                self.known[r] = -2 - len(self.several)
+                self.several.append([distinct[w] for w in words])
+            else:
+                self.known[r] = distinct[words[0]] if words else -1
+
+    def words(self, tokens: list[str]) -> np.ndarray:
+        """The emission rows of the words of remembered runs."""
+        rows = np.fromiter(map(self.known.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        if len(rows) and rows.min() < -1:
+            rows = np.fromiter((w for r in rows.tolist() for w in (self.several[-2 - r] if r < -1 else (r,))), dtype=np.int64)
+        return rows[rows >= 0]
 
     def label(self, texts: list[str]) -> list[tuple[str, float]]:
         tokens = [runs(t) for t in texts]
         new = set().union(*tokens).difference(self.known)
         if new:
             self.learn(set().union(*tokens) if len(self.known) + len(new) > MEMORY_WORDS else new)
-        get = self.known.__getitem__
-        rows = [np.fromiter(map(get, t), dtype=np.int64, count=len(t)) for t in tokens]
-        rows = [r[r >= 0] for r in rows]
+        rows = [self.words(t) for t in tokens]
         out = [(UNKNOWN, 0.0)] * len(texts)
         order = sorted((i for i, r in enumerate(rows) if len(r)), key=lambda i: -len(rows[i]))
         if order:
@@ -216,14 +227,13 @@ def train(sample: list[tuple[str, str]], seed: int = 5) -> Field | None:
         return None
     rng = np.random.default_rng(seed)
     k = len(labels)
-    docs = [([w for w in map(letters, runs(text)) if w], labels.index(lang)) for text, lang in dict.fromkeys(sample)]
+    docs = [([w for r in runs(text) for w in pieces(r)], labels.index(lang)) for text, lang in dict.fromkeys(sample)]
     docs = [d for d in docs if d[0]]
     seen: dict[str, int] = {}
     for words, _ in docs:
         for w in set(words):
             seen[w] = seen.get(w, 0) + 1
-    frequent = sorted((w for w, n in seen.items() if n > 2), key=lambda w: (-seen[w], w))[:LEXICON_WORDS]
-    lexicon = {w: i for i, w in enumerate(frequent)}
+    lexicon = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n > 2))}
     vocabulary = {w: i for i, w in enumerate(sorted(seen))}
     rows = feature_rows(list(vocabulary), lexicon) if vocabulary else np.zeros((0, 1), dtype=np.int64)
     weights = np.zeros((TABLE + 1 + len(lexicon), k))

@@ -7,6 +7,10 @@ import numpy as np
 from proofset.llm import lang_id as op
 
 
+def letters(run):
+    return "".join(c for c in run.lower() if c.isalpha())
+
+
 def test_forward_backward_equals_enumeration():
     from itertools import product
 
@@ -52,7 +56,7 @@ def test_words_of_code_switched_text(prose):
     sample = [(prose(i, 60, "aei"), "one") for i in range(80)] + [(prose(1000 + i, 60, "ouy"), "two") for i in range(80)]
     model = op.train(sample)
     assert (np.diag(model.transition) > model.transition.mean(axis=0)).all()
-    words = [w for w in map(op.letters, (prose(7, 30, "aei") + " " + prose(8, 30, "ouy")).split())]
+    words = [w for w in map(letters, (prose(7, 30, "aei") + " " + prose(8, 30, "ouy")).split())]
     posterior, _ = op.forward_backward(model.emissions(words), np.array([60]), model.transition)
     assert (posterior.argmax(axis=1) == [0] * 30 + [1] * 30).mean() > 0.95
 
@@ -83,7 +87,7 @@ def test_memory_is_bounded(monkeypatch, prose):
 def test_every_letter_of_a_long_run_counts(prose):
     assert op.pieces("don't") == ["dont"] and op.pieces("1" * 99) == []
     for run in ("x" * 10_000, "un,deux;" * 500, "ab" * 10 + "c"):
-        assert "".join(op.pieces(run)) == op.letters(run) and max(map(len, op.pieces(run))) <= op.LETTERS
+        assert "".join(op.pieces(run)) == letters(run) and max(map(len, op.pieces(run))) <= op.LETTERS
     assert op.pieces("un,deux," * 9) == ["un", "deux"] * 9
     model = op.train([(prose(i, 60, "aei"), "one") for i in range(80)] + [(prose(1000 + i, 60, "ouy"), "two") for i in range(80)])
     few, many = prose(1, 5, "aei"), prose(2, 3000, "ouy")
@@ -93,6 +97,24 @@ def test_every_letter_of_a_long_run_counts(prose):
     assert [f[0] for f in model.label(inner)] == ["one", "two"]
 
 
+def test_runs_split_alike_at_any_length():
+    """Punctuation parts words, marks and apostrophes do not, in short runs and long ones."""
+    for run, words in (("a,b", ["a", "b"]), ("one-two", ["one", "two"]), ("don't", ["dont"]), ("e\u0301t\u00e9", ["et\u00e9"]), ("x1y", ["x", "y"])):
+        for times in (1, 3, 50, 2000):
+            assert op.pieces(",".join([run] * times)) == words * times
+            assert [w for r in op.runs(",".join([run] * times)) for w in op.pieces(r)] == words * times
+    model = op.train([("un deux trois", "fr"), ("one two three", "en")])
+    apart, joined = "un deux one two un", "un,deux;one-two.un"
+    assert model.label([apart]) == model.label([joined]) == model.label([joined, apart])[1:]
+    assert model.label([" ".join([apart] * 40)]) == model.label([";".join([joined] * 40)])
+
+
+def test_lexicon_has_every_word_of_three_documents():
+    sample = [(" ".join(f"w{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(600)) + f" own{chr(97 + k)}", "en") for k in range(3)]
+    model = op.train(sample)
+    assert len(model.lexicon) == 600 and len(model.weights) == op.TABLE + 1 + 600
+
+
 def test_every_language_is_in_the_bounded_sample(spark, frame, prose, monkeypatch):
     """More languages than 64, one that has long texts only, and more documents than asked for."""
     rows = [(i, prose(i, 5), f"l{i % 70:02d}") for i in range(1400)]
