@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from statistics import NormalDist
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,20 +122,57 @@ def bootstrap_means(items: DataFrame, value: str, resamples: int, seed: int = 0,
     draws = spark.range(resamples * n).select((F.col("id") % resamples).alias("resample"), F.expr(f"id div {resamples}").alias("draw"))
     key = F.md5(F.concat_ws(":", F.lit(f"{salt}{seed}"), "resample", "draw"))
     at = F.conv(F.substring(key, 1, 12), 16, 10).cast("long") % n
-    drawn, seen = F.lit(None).cast("double"), 0
-    for v, c in counts:
-        drawn = F.coalesce(drawn, F.when(at < seen + c, F.lit(float(v))))
-        seen += c
-    return draws.withColumn("x", drawn).groupBy("resample").agg((F.sum("x") / n).alias("mean"))
+    seen = np.cumsum([c for _, c in counts]).tolist()
+    drawn = F.when(F.col("at") < seen[0], F.lit(float(counts[0][0])))
+    for (v, _), upto in zip(counts[1:], seen[1:], strict=True):
+        drawn = drawn.when(F.col("at") < upto, F.lit(float(v)))
+    return draws.select("resample", at.alias("at")).select("resample", drawn.alias("x")).groupBy("resample").agg((F.sum("x") / n).alias("mean"))
 
 
-def paired_bootstrap(pairs: DataFrame, a: str, b: str, resamples: int = 10_000, seed: int = 0, alpha: float = 0.05) -> dict[str, Any]:
-    """Observed difference, its interval by sorted position, p-value, wins and ties."""
+#: Distinct values up to which resamples are drawn as counts.
+COUNTED_VALUES = 4096
+
+
+def bootstrap_counts(items: DataFrame, value: str, resamples: int, seed: int = 0) -> DataFrame:
+    """(resample, mean) over resampled items, drawn as counts of the distinct values.
+
+    A resample of n items holds its values in multinomial counts, which are drawn value by
+    value as conditional binomials, so the work is resamples times distinct values whatever
+    n is. Each resample has a generator of its own, keyed by seed and number, so a task that
+    runs again draws the same. Nulls are not items; more than ``COUNTED_VALUES`` distinct
+    values go to ``bootstrap_means``.
+    """
+    known = items.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counts = sorted((r["v"], r["n"]) for r in known.limit(COUNTED_VALUES + 1).collect())
+    if len(counts) > COUNTED_VALUES:
+        return bootstrap_means(items.filter(F.col(value).isNotNull()), value, resamples, seed)
+    spark = items.sparkSession
+    if not counts:
+        return spark.createDataFrame([], "resample long, mean double")
+    values, sizes = (np.array(x) for x in zip(*counts, strict=True))
+    n = int(sizes.sum())
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            means = []
+            for resample in batch.column(0).to_pylist():
+                drawn = np.random.Generator(np.random.Philox(key=[seed % (1 << 64), resample])).multinomial(n, sizes / n)
+                means.append(float(drawn @ values) / n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(means, pa.float64())], names=["resample", "mean"])
+
+    return spark.range(resamples).select(F.col("id").alias("resample")).mapInArrow(draw, "resample long, mean double")
+
+
+def paired_bootstrap(pairs: DataFrame, a: str, b: str, resamples: int = 10_000, seed: int = 0, alpha: float = 0.05, by_items: bool = False) -> dict[str, Any]:
+    """Observed difference, its interval by sorted position, p-value, wins and ties.
+
+    Resamples are drawn as counts, or ``by_items`` as one hashed draw for each item of each.
+    """
     row = discordant(pairs, a, b).first()
     if not row.n:
         return {"delta": 0.0, "ci": (0.0, 0.0), "p_two_sided": 1.0, "n": 0}
     diffs = pairs.select((F.col(b).cast("int") - F.col(a).cast("int")).alias("d"))
-    means = sorted(r["mean"] for r in bootstrap_means(diffs, "d", resamples, seed).collect())
+    means = sorted(r["mean"] for r in (bootstrap_means if by_items else bootstrap_counts)(diffs, "d", resamples, seed).collect())
     low, high = means[int(alpha / 2 * resamples)], means[min(int((1 - alpha / 2) * resamples), resamples - 1)]
     p = sum(abs(m - row.delta) >= abs(row.delta) for m in means) / resamples
     return {"delta": row.delta, "ci": (low, high), "p_two_sided": min(1.0, p), "n": row.n, "wins_a": row.a_only, "wins_b": row.b_only, "ties": row.ties}

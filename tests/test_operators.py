@@ -330,6 +330,38 @@ def test_paired(spark):
     assert "disagreements 7" in stats.compare(df, "a", "b")
 
 
+def test_bootstrap_by_counts_draws_the_same_distribution(spark):
+    """Means against the exact mean and variance of a resample, and the interval against hashed draws."""
+    values = [-1] * 30 + [0] * 150 + [1] * 60
+    items = spark.createDataFrame([(v,) for v in values] + [(None,)], "d int")
+    means = [r["mean"] for r in stats.bootstrap_counts(items, "d", 4000, 3).collect()]
+    n, centre = len(values), sum(values) / len(values)
+    variance = (sum(v * v for v in values) / n - centre**2) / n
+    assert abs(sum(means) / 4000 - centre) < 5 * math.sqrt(variance / 4000)
+    assert sum((m - centre) ** 2 for m in means) / 4000 == pytest.approx(variance, rel=0.15)
+    assert all(abs(m * n - round(m * n)) < 1e-9 for m in means)
+    again = stats.bootstrap_counts(items.repartition(7), "d", 4000, 3)
+    assert sorted(means) == sorted(r["mean"] for r in again.repartition(3).collect())
+    pairs = items.filter("d IS NOT NULL").select((F.col("d") < 0).cast("int").alias("a"), (F.col("d") > 0).cast("int").alias("b"))
+    one, other = (stats.paired_bootstrap(pairs, "a", "b", resamples=2000, by_items=x) for x in (False, True))
+    assert one["delta"] == other["delta"] == centre
+    assert all(abs(x - y) < 0.35 * math.sqrt(variance) for x, y in zip(one["ci"], other["ci"], strict=True))
+
+
+def test_bootstrap_by_counts_does_not_grow_with_items(spark):
+    """Four million items, three draws a resample; no item, no resample."""
+    means = stats.bootstrap_counts(spark.range(1 << 22).select((F.col("id") % 3 - 1).alias("d")), "d", 50)
+    rows = [r["mean"] for r in means.collect()]
+    assert len(rows) == 50 and all(abs(m) < 6 * math.sqrt(2 / 3 / (1 << 22)) for m in rows)
+    assert stats.bootstrap_counts(spark.range(0).select(F.col("id").alias("d")), "d", 50).count() == 0
+
+
+def test_bootstrap_of_many_values_is_drawn_by_items(spark, monkeypatch):
+    items = spark.range(40).select(F.col("id").cast("double").alias("d"))
+    monkeypatch.setattr(stats, "COUNTED_VALUES", 39)
+    assert sorted(stats.bootstrap_counts(items, "d", 9).collect()) == sorted(stats.bootstrap_means(items, "d", 9).collect())
+
+
 def test_nearest_rank(spark):
     import random
 
