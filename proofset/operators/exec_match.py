@@ -130,12 +130,12 @@ def run_rows(spark: SparkSession, sql: str, rows: int, seconds: float = LIMIT_SE
     return (None, error) if df is None else attempt(spark, df.limit(rows).collect, seconds)
 
 
-def side_by_side(spark: SparkSession, items: Iterable[Item], action: Callable[[Item], T], seconds: float = LIMIT_SECONDS, workers: int = WORKERS, told: Callable[[T], str | None] = lambda _: None) -> list[tuple[T | None, str | None]]:
+def side_by_side(spark: SparkSession, items: Iterable[Item], action: Callable[[Item], T], seconds: float | Callable[[Item], float] = LIMIT_SECONDS, workers: int = WORKERS, told: Callable[[T], str | None] = lambda _: None) -> list[tuple[T | None, str | None]]:
     """``attempt`` of each item, in order, by a bounded number of threads that submit jobs.
 
     ``told`` gives the error that a result tells of, where ``action`` has limits within.
 
-    Each attempt has a tag and a limit of its own. What ran out of time beside others
+    Each attempt has a tag and a limit of its own, which may depend on the item. What ran out of time beside others
     is attempted again alone, and then in the other order, as a statement that hangs may
     have held all slots and its tasks need a while to end; so it costs its own result only. Each thread has a scheduler pool of its own: with
     ``spark.scheduler.mode`` FAIR free slots are shared.
@@ -143,13 +143,14 @@ def side_by_side(spark: SparkSession, items: Iterable[Item], action: Callable[[I
     pools = iter([f"statements-{i}" for i in range(workers)])
     start = inheritable_thread_target(spark)(lambda: spark.sparkContext.setLocalProperty("spark.scheduler.pool", next(pools)))
     items = list(items)
+    limit = seconds if callable(seconds) else lambda _: seconds
     with ThreadPoolExecutor(workers, initializer=start) as pool:
-        ran = list(pool.map(lambda item: attempt(spark, lambda: action(item), seconds), items))
+        ran = list(pool.map(lambda item: attempt(spark, lambda: action(item), limit(item)), items))
     # A job that another one's threads submitted may be cancelled along with that one.
     late = re.compile("^timeout: over|SPARK_JOB_CANCELLED")
     for order in (1, -1) if len(items) > 1 else ():
         for i in [i for i, (found, error) in enumerate(ran) if late.search(error or told(found) or "")][::order]:
-            ran[i] = attempt(spark, lambda i=i: action(items[i]), seconds)
+            ran[i] = attempt(spark, lambda i=i: action(items[i]), limit(items[i]))
     return ran
 
 
@@ -176,23 +177,33 @@ def error_kind(error: str) -> str:
     return ERROR_KINDS.get(re.split(r"[.:]", error)[0], "other_sql_error")
 
 
-def normal_cell(field: StructField) -> Column:
-    """A number rounded to two places, everything else as text."""
-    c = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, NumericType | BooleanType):
-        return F.round(c.cast("double"), 2) + F.lit(0.0)
-    return c.cast("string")
+def normal_cell(field: StructField) -> str:
+    """In SQL: a number rounded to two places, everything else as text."""
+    number = isinstance(field.dataType, NumericType | BooleanType)
+    return f"round(CAST(`{field.name}` AS DOUBLE), 2) + 0.0e0" if number else f"CAST(`{field.name}` AS STRING)"
 
 
 def normalised(df: DataFrame) -> DataFrame:
     """Columns c0, c1, ...: numbers rounded to two places, everything else as text."""
     positional = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
-    return positional.select(*(normal_cell(f).alias(f.name) for f in positional.schema))
+    return positional.select(*(F.expr(normal_cell(f)).alias(f.name) for f in positional.schema))
 
 
-def row_number_of(shown: Column) -> Column:
-    """48 bits that stand for a row's JSON."""
-    return F.conv(F.substring(F.md5(shown), 1, 12), 16, 10).cast("decimal(20,0)")
+def row_number_of(columns: Iterable[str]) -> str:
+    """In SQL: 48 bits that stand for the JSON of a row of normal cells."""
+    row = ", ".join(f"'{c}', `{c}`" for c in columns)
+    return f"CAST(conv(substring(md5(to_json(named_struct({row}), map('ignoreNullFields', 'false'))), 1, 12), 16, 10) AS BIGINT)"
+
+
+def total_of(number: Column) -> Column:
+    """The sum of row numbers as text, exact for any number of rows. Halves are summed, as longs are quicker than decimals."""
+    high, low = (F.coalesce(F.sum(half), F.lit(0)).cast("decimal(30,0)") for half in (F.shiftright(number, 24), number.bitwiseAND((1 << 24) - 1)))
+    return (high * F.lit(1 << 24) + low).cast("decimal(30,0)").cast("string")
+
+
+def filled(columns: Iterable[str]) -> str:
+    """In SQL: whether any cell of a row is not null."""
+    return f"coalesce({', '.join(f'CAST(`{c}` AS STRING)' for c in columns)}) IS NOT NULL"
 
 
 def with_position(df: DataFrame) -> DataFrame:
@@ -241,12 +252,12 @@ def same_result(a: DataFrame, b: DataFrame, ordered: bool = False) -> bool:
 
 
 def signature(df: DataFrame, ordered: bool = False) -> DataFrame:
-    """One row: rows, and a sum over row hashes that no partitioning changes; nor does the
-    order of rows, unless it counts, when hashes are of rows with their positions."""
+    """One row: rows, rows with a value, and a sum over row hashes that no partitioning changes;
+    nor does the order of rows, unless it counts, when hashes are of rows with their positions."""
     flat = normalised(df)
+    some = F.count_if(F.expr(filled(flat.columns))).alias("n_filled")
     flat = with_position(flat) if ordered else flat
-    row = row_number_of(F.to_json(F.struct(*flat.columns), {"ignoreNullFields": "false"}))
-    return flat.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(row), F.lit(0).cast("decimal(30,0)")).cast("string").alias("signature"))
+    return flat.agg(F.count(F.lit(1)).alias("n_rows"), some, total_of(F.expr(row_number_of(flat.columns))).alias("signature"))
 
 
 @dataclass

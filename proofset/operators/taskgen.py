@@ -11,10 +11,12 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 from proofset.functions import stats
 from proofset.functions import text as tx
@@ -254,11 +256,7 @@ def draw_tasks(spark: SparkSession, values: DataFrame, draws: int = 1, seed: int
 
 def facts_of(df: DataFrame, ordered: bool = False) -> DataFrame:
     """One row: n_rows, all_null (the only row has nulls only) and signature of a result."""
-    named = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
-    nulls = named.agg(F.count(F.when(F.coalesce(*(F.col(c).cast("string") for c in named.columns)).isNotNull(), 1)).alias("some"))
-    one = F.lit(1).alias("__one")
-    facts = exec_match.signature(df, ordered).select("*", one).join(nulls.select("*", one), "__one")
-    return facts.select("n_rows", F.expr("n_rows = 1 AND some = 0").alias("all_null"), "signature")
+    return exec_match.signature(df, ordered).select("n_rows", F.expr("n_rows = 1 AND n_filled = 0").alias("all_null"), "signature")
 
 
 def run_golds(spark: SparkSession, golds: list[str] | DataFrame, seconds: float = exec_match.LIMIT_SECONDS, ordered: bool = True) -> DataFrame:
@@ -279,36 +277,44 @@ def run_golds(spark: SparkSession, golds: list[str] | DataFrame, seconds: float
     return ran.select("gold", error.alias("error"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("all_null", F.lit(False)).alias("all_null"), F.coalesce("signature", F.concat(F.lit("ERR:"), error)).alias("signature"))
 
 
-#: Slots of few values whatever the tables' size: each value gets a statement of its own.
-LITERAL_SLOTS = (*SLOT_CONSTANTS, "price_threshold")
+#: Slots that no table gives, in places that take no column: each value gets a statement of its own.
+LITERAL_SLOTS = tuple(SLOT_CONSTANTS)
+#: What a folded slot is compared as, other than text; it is the type that a literal there is cast to.
+SLOT_TYPES = {"price_threshold": "long", "signup_cut": "timestamp_ntz"}
 FACTS = "gold string, error string, n_rows long, all_null boolean, signature string"
 
 
-def _folds(values: DataFrame) -> list[tuple[Template, dict[str, str], list[str]]]:
-    """(template, variant with literal slots, slots that are folded) of every statement to run."""
+def _folds(values: DataFrame) -> list[list[tuple[Template, dict[str, str], list[str]]]]:
+    """(template, variant with literal slots, slots that are folded) of every statement to run, by template."""
     few: dict[str, list[str]] = {}
     for r in values.filter(F.col("slot").isin(*LITERAL_SLOTS)).collect():
         few.setdefault(r.slot, []).append(r.value)
     out = []
     for t in TEMPLATES:
         known = [s for s in t.slots if s in LITERAL_SLOTS]
-        for variant in t.variants:
-            for chosen in product(*(sorted(few.get(s, [])) for s in known)):
-                out.append((t, {**variant, **dict(zip(known, chosen, strict=True))}, [s for s in t.slots if s not in LITERAL_SLOTS]))
-    return out
+        free = [s for s in t.slots if s not in LITERAL_SLOTS]
+        out.append([(t, {**v, **dict(zip(known, chosen, strict=True))}, free) for v in t.variants for chosen in product(*(sorted(few.get(s, [])) for s in known))])
+    return [folds for folds in out if folds]
+
+
+def _of(made: DataFrame, template: Template, known: dict[str, str]) -> DataFrame:
+    """The instances of one statement."""
+    rows = made.filter(F.col("family") == template.family)
+    for k, v in known.items():
+        rows = rows.filter(F.col("slots")[k] == v)
+    return rows
 
 
 def _folded(made: DataFrame, template: Template, known: dict[str, str], slots: list[str]) -> DataFrame:
     """``FACTS`` of all instances of the statement, which runs once.
 
     Slot values are rows of a parameter table, to which the statement is joined laterally;
-    the engine turns equalities into an ordinary join. Results are grouped by the values.
+    the engine turns equalities into an ordinary join. What stands for a row is computed
+    within the statement, so once for each of its rows and not for each value that has it.
+    Results are grouped by the values.
     """
     spark = made.sparkSession
-    rows = made.filter(F.col("family") == template.family)
-    for k, v in known.items():
-        rows = rows.filter(F.col("slots")[k] == v)
-    params = rows.select("gold", *(F.col("slots")[x].alias(x) for x in slots))
+    params = _of(made, template, known).select("gold", *(F.col("slots")[x].cast(SLOT_TYPES.get(x, "string")).alias(x) for x in slots))
     text = template.gold
     for k, v in known.items():
         text = text.replace(f"{{{k}}}", v)
@@ -318,40 +324,55 @@ def _folded(made: DataFrame, template: Template, known: dict[str, str], slots: l
     view = f"fold_{uuid.uuid4().hex}"
     params.select(*slots).createOrReplaceTempView(view)
     for x in slots:
-        text = text.replace(f"'{{{x}}}'", f"p.{x}")
+        text = text.replace(f"'{{{x}}}'", f"p.{x}").replace(f"{{{x}}}", f"p.{x}")
     try:
-        found = spark.sql(f"SELECT p.*, r.* FROM {view} p, LATERAL ({text}) r")
+        schema = spark.sql(f"SELECT r.* FROM {view} p, LATERAL ({text}) r").schema
+        cells = [f"c{i}" for i in range(len(schema))]
+        normal = ", ".join(f"{exec_match.normal_cell(StructField(c, f.dataType))} AS {c}" for c, f in zip(cells, schema, strict=True))
+        rows = f"SELECT {exec_match.row_number_of(cells)} AS number, {exec_match.filled(cells)} AS filled FROM (SELECT {normal} FROM ({text}) AS t({', '.join(cells)}))"
+        found = spark.sql(f"SELECT p.*, r.* FROM {view} p, LATERAL ({rows}) r")
         found._jdf.queryExecution().optimizedPlan()  # what cannot be folded is refused here
     finally:
         spark.catalog.dropTempView(view)
-    keys, cells = [f"k{i}" for i in range(len(slots))], [f"v{i}" for i in range(len(found.columns) - len(slots))]
-    found = found.toDF(*keys, *cells)
-    shown = F.to_json(F.struct(*(exec_match.normal_cell(found.schema[c]).alias(f"c{i}") for i, c in enumerate(cells))), {"ignoreNullFields": "false"})
-    some = F.coalesce(*(F.col(c).cast("string") for c in cells)).isNotNull()
-    sums = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(some, 1)).alias("some"), F.sum(exec_match.row_number_of(shown)).alias("total"))
+    keys = [f"k{i}" for i in range(len(slots))]
+    found = found.toDF(*keys, "number", "filled")
+    sums = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("filled").alias("some"), exec_match.total_of(F.col("number")).alias("total"))
     met = params.toDF("gold", *keys).join(sums, keys, "left")
     n = F.coalesce("n", F.lit(0))
-    return met.select("gold", F.lit(None).cast("string").alias("error"), n.alias("n_rows"), ((n == 1) & (F.coalesce("some", F.lit(0)) == 0)).alias("all_null"), F.coalesce("total", F.lit(0).cast("decimal(30,0)")).cast("string").alias("signature"))
+    return met.select("gold", F.lit(None).cast("string").alias("error"), n.alias("n_rows"), ((n == 1) & (F.coalesce("some", F.lit(0)) == 0)).alias("all_null"), F.coalesce("total", F.lit("0")).alias("signature"))
 
 
 def folded_golds(spark: SparkSession, values: DataFrame, seconds: float = exec_match.LIMIT_SECONDS) -> DataFrame:
     """``run_golds`` of every instance of every template, by one statement for each template,
     variant and literal slot value; signatures are of results without their order.
 
-    A statement that the engine cannot fold, or that fails for one of its values, is run
-    singly for each of them, so failures are those of the instances that fail.
+    A template's statements are one job, where they share what they have in common. It
+    may take ``seconds`` for each instance, as these might singly. Statements of a job that
+    fails run as jobs of their own; one that the engine cannot fold, or that fails for one of
+    its values, is run singly for each of them, so failures are those of the instances that fail.
     """
-    made, path = cut(instances(spark, values).select("family", "gold", "slots")), scratch_path(spark, "golds")
-    folds = _folds(values)
+    path = scratch_path(spark, "golds")
+    instances(spark, values).select("family", "gold", "slots").write.partitionBy("family").parquet(f"{path}-made")
+    made = spark.read.schema("gold string, slots map<string,string>, family string").parquet(f"{path}-made")
+    sizes = {r.family: r["count"] for r in made.groupBy("family").count().collect()}
     spark.createDataFrame([], FACTS).write.parquet(path)
-    ran = exec_match.side_by_side(spark, enumerate(folds), lambda f: _folded(made, *f[1]).write.parquet(f"{path}-{f[0]}"), seconds)
-    out = spark.read.schema(FACTS).parquet(path, *(f"{path}-{i}" for i, (_, error) in enumerate(ran) if error is None))
-    for (template, known, _), (_, error) in zip(folds, ran, strict=True):
-        if error is not None:
-            rows = made.filter(F.col("family") == template.family)
-            for k, v in known.items():
-                rows = rows.filter(F.col("slots")[k] == v)
-            out = out.union(run_golds(spark, rows, seconds, ordered=False))
+
+    def run(folds: list) -> str:
+        to = scratch_path(spark, "golds")  # another one each time: what ran out of time leaves a folder
+        reduce(DataFrame.union, (_folded(made, *f) for f in folds)).write.parquet(to)
+        return to
+
+    done, singly, jobs = [path], [], [folds for folds in _folds(values) if folds[0][0].family in sizes]
+    while jobs:
+        ran = exec_match.side_by_side(spark, jobs, run, lambda folds: seconds * sizes[folds[0][0].family])
+        done += [to for to, error in ran if error is None]
+        failed = [folds for folds, (_, error) in zip(jobs, ran, strict=True) if error is not None]
+        singly += [folds[0] for folds in failed if len(folds) == 1]
+        jobs = [[f] for folds in failed if len(folds) > 1 for f in folds]
+    out = spark.read.schema(FACTS).parquet(*done)
+    if singly:
+        left = reduce(DataFrame.union, (_of(made, template, known) for template, known, _ in singly))
+        out = out.union(run_golds(spark, left, seconds, ordered=False))
     return out
 
 
