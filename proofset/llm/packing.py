@@ -26,10 +26,10 @@ import os
 import re
 import unicodedata
 import zlib
-from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -50,6 +50,8 @@ UNSETTLED = r"\u1c89\u1c8a\ua7cb-\ua7dc\U00010000-\U0001f10c\U0001fbf0-\U0010fff
 #: Words whose ids a worker remembers, and the length up to which it does.
 KNOWN_WORDS = 1 << 19
 KNOWN_LETTERS = 32
+#: Letters of the texts whose new words are encoded together.
+RUN_LETTERS = 1 << 20
 
 
 @cache
@@ -71,12 +73,27 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Words(dict):
+    """Words' numbers; a word that has none gets the next one and is noted as new."""
+
+    def __init__(self):
+        super().__init__()
+        self.given, self.new = 0, []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = at = self.given
+        self.given += 1
+        return at
+
+
 class Encoder:
     """Token ids of whole texts by ``tokenizers``.
 
     Byte-level BPE merges within a word only, so a text's ids are those of its words
-    in a row, and a worker remembers the ids of words it has met. A full memory is
-    emptied, so that it is bounded by that size or one text. Texts with a special token
+    in a row, and a worker remembers the ids of words it has met. Texts are taken in runs,
+    whose new words are encoded together. A full memory is emptied, so that it is
+    bounded by that size and one run. Texts with a special token
     or a character that Unicode's versions class apart are encoded as a whole, and so
     are all texts of a vocabulary of another kind.
     """
@@ -91,30 +108,91 @@ class Encoder:
         by_words = split.get("type") == "ByteLevel" and not split["add_prefix_space"] and split.get("use_regex", True)
         self.by_words = by_words and made["model"]["type"] == "BPE" and not made["normalizer"]
         special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.special = re.compile(special or "(?!)")
         self.whole = re.compile(f"[{UNSETTLED}]|{special or '(?!)'}")
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """The ids, as little-endian bytes, of those ``words`` that aren't known; short ones are remembered."""
-        new = [w for w in set(words) if w not in self.known]
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        ids = {w: array("I", e.ids).tobytes() for w, e in zip(new, found, strict=True)}
-        if len(self.known) + len(ids) > KNOWN_WORDS:
-            self.known = {}
-        self.known.update((w, b) for w, b in ids.items() if len(w) <= KNOWN_LETTERS)
-        return ids
+        vocabulary = self.tokenizer.get_vocab()
+        #: Tokens that begin with a space.
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        #: Numbers of words; by number, where a word's ids begin and how many it has.
+        self.known = Words()
+        self.ids, self.starts, self.lengths = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def as_a_whole(self, text: str) -> bool:
+        # Characters from U+1000 on have first bytes from 0xE1 on; most texts have none.
+        high = not text.isascii() and np.frombuffer(text.encode(), np.uint8).max() >= 0xE1
+        return bool((self.whole if high else self.special).search(text))
+
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of ``words`` in a row; by word, where they begin and how many there are.
+
+        Words of a space and letters are encoded as one text, as they fall apart before
+        their spaces, and so do their ids; the others one by one.
+        """
+        spaced = np.array([w[0] == " " and w[1:].isalpha() for w in words], dtype=bool)
+        text = "".join(w for w, s in zip(words, spaced, strict=True) if s)
+        joined = [] if self.whole.search(text) else self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        ids = np.asarray(joined, dtype="<u4")
+        firsts = np.flatnonzero(self.spaced[ids])
+        if len(firsts) != spaced.sum():
+            spaced[:], ids, firsts = False, ids[:0], firsts[:0]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w for w, s in zip(words, spaced, strict=True) if not s], add_special_tokens=False)]
+        lengths = np.zeros(len(words), np.int64)
+        lengths[spaced] = np.diff(firsts, append=len(ids))
+        lengths[~spaced] = [len(x) for x in found]
+        starts = np.zeros(len(words), np.int64)
+        starts[spaced] = firsts
+        starts[~spaced] = len(ids) + np.cumsum(lengths[~spaced]) - lengths[~spaced]
+        return np.concatenate([ids, np.fromiter(chain.from_iterable(found), "<u4")]), starts, lengths
+
+    def run(self, texts: list[str]) -> list[np.ndarray]:
+        if self.known.given > KNOWN_WORDS:
+            self.forget()
+        number = self.known.__getitem__
+        numbers = []
+        for text in texts:
+            words = None if not self.by_words or self.as_a_whole(text) else pre_tokens().findall(text)
+            numbers.append(None if words is None else np.fromiter(map(number, words), np.int64, len(words)))
+        new, self.known.new = self.known.new, []
+        long = [w for w in new if len(w) > KNOWN_LETTERS]
+        for w in long:  # known in this run only: their ids come last and go again
+            del self.known[w]
+        if new:
+            of_long, base = np.array([len(w) > KNOWN_LETTERS for w in new]), len(self.starts)
+            self.starts, self.lengths = (np.concatenate([x, np.zeros(len(new), np.int64)]) for x in (self.starts, self.lengths))
+            for words, of in (([w for w in new if len(w) <= KNOWN_LETTERS], ~of_long), (long, of_long)):
+                kept = len(self.ids)
+                ids, starts, lengths = self.learn(words)
+                self.starts[base:][of], self.lengths[base:][of] = starts + kept, lengths
+                self.ids = np.concatenate([self.ids, ids])
+        out = []
+        for text, at in zip(texts, numbers, strict=True):
+            if at is None:
+                out.append(np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4"))
+                continue
+            lengths = self.lengths[at]
+            ends = np.cumsum(lengths)
+            out.append(self.ids[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(at) else 0)])
+        if long:
+            self.ids = self.ids[:kept].copy()
+        return out
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order, by runs of about ``RUN_LETTERS``; a longer text is a run of its own."""
+        run, size = [], 0
+        for text in texts:
+            if run and size + len(text) > RUN_LETTERS:
+                yield from self.run(run)
+                run, size = [], 0
+            run.append(text)
+            size += len(text)
+        yield from self.run(run)
 
     def encode(self, text: str) -> np.ndarray:
-        if not self.by_words or self.whole.search(text):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        words = pre_tokens().findall(text)
-        try:
-            ids = b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            before = self.known
-            new = self.learn(words)
-            ids = b"".join(new[w] if w in new else before[w] for w in words)
-        return np.frombuffer(ids, dtype="<u4")
+        return list(self.encode_all([text]))[0]
 
 
 @cache
@@ -129,12 +207,12 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int
     end = np.asarray([end_id], dtype="<u4")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode_all = encoder(path).encode_all
         for batch in batches:
             ids = batch.column(0).cast(pa.int64()).to_pylist()
             out: list[tuple] = []
-            for doc, text in zip(ids, batch.column(1), strict=True):
-                tokens = np.append(encode(text.as_py() or ""), end)
+            for doc, found in zip(ids, encode_all(t.as_py() or "" for t in batch.column(1)), strict=True):
+                tokens = np.append(found, end)
                 n, a, k = len(tokens), 0, 0
                 while a < n:
                     b = a + ((n - a) % capacity or capacity)

@@ -83,6 +83,29 @@ def test_words_are_the_library_s():
         assert whole.search(text) or [m.span() for m in op.pre_tokens().finditer(text)] == [at for _, at in split(text)], hex(c)
 
 
+def test_new_words_of_many_texts_are_learned_together(monkeypatch, prose):
+    own = op.Encoder(op.vocabulary_path())
+    calls, learn = [], own.learn
+    monkeypatch.setattr(own, "learn", lambda words: calls.append(len(words)) or learn(words))
+    texts = [prose(i, 300) + " é naïve 日本 ﬁn ' 's 12 x\u0301 <|endoftext|>"[: 1 + i % 40] for i in range(50)] + ["", " ", "y" * 99]
+    assert [x.tolist() for x in own.encode_all(texts)] == [ids_of(t) for t in texts] and len(calls) == 2  # short words, long ones
+    words = [" one", " deux", " Straße", " 日本", "one", " 1", "'s", " \n", " a1"]
+    ids, starts, lengths = own.learn(words)
+    assert [ids[a : a + n].tolist() for a, n in zip(starts, lengths, strict=True)] == [ids_of(w) for w in words]
+    singly = []
+    encode = own.tokenizer.encode_batch_fast
+    monkeypatch.setattr(own, "tokenizer", type("Counting", (), {"encode_batch_fast": lambda _, x, **k: singly.append(len(x)) or encode(x, **k)})())
+    assert len(own.learn([f" {w}" for w in prose(7, 500).split()])[1]) == 500 and singly == [1, 0]
+
+
+def test_runs_of_texts(monkeypatch, prose):
+    monkeypatch.setattr(op, "RUN_LETTERS", 500)
+    monkeypatch.setattr(op, "KNOWN_WORDS", 100)
+    own = op.Encoder(op.vocabulary_path())
+    texts = [prose(i, n) for i, n in enumerate([0, 10, 400, 1, 30, 30, 30, 30, 500, 0])] + ["x" * 400, "x" * 400, "x" * 400]
+    assert [x.tolist() for x in own.encode_all(texts)] == [ids_of(t) for t in texts] and list(own.encode_all([])) == []
+
+
 def test_memory_of_words_is_bounded(monkeypatch, prose):
     monkeypatch.setattr(op, "KNOWN_WORDS", 50)
     own = op.Encoder(op.vocabulary_path())
