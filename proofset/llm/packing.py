@@ -29,7 +29,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, repeat
 from pathlib import Path
 
 import numpy as np
@@ -48,51 +48,79 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters whose kind depends on the Unicode version, as Python and ``tokenizers`` have different ones.
 UNSETTLED = r"\u1c89\u1c8a\ua7cb-\ua7dc\U00010000-\U0001f10c\U0001fbf0-\U0010ffff"
 #: Words whose ids a worker remembers, and the length up to which it does.
-KNOWN_WORDS = 1 << 19
+KNOWN_WORDS = 1 << 18
 KNOWN_LETTERS = 32
 #: Letters of the texts whose new words are encoded together.
 RUN_LETTERS = 1 << 20
 
 
+def _edges(major: str) -> np.ndarray:
+    """Rows (first, after last) of the basic plane's characters of a major category."""
+    of = [unicodedata.category(chr(c))[0] == major for c in range(1 << 16)]
+    return np.flatnonzero(np.diff(of, prepend=False, append=False)).reshape(-1, 2)
+
+
 @cache
 def pre_tokens() -> re.Pattern:
     """The words of byte-level vocabularies: contractions, letters, numbers, signs, spaces."""
-
-    def kind(major: str) -> str:
-        of = [unicodedata.category(chr(c))[0] == major for c in range(1 << 16)]
-        edges = np.flatnonzero(np.diff(of, prepend=False, append=False)).reshape(-1, 2)
-        return "".join(f"\\u{a:04x}-\\u{b - 1:04x}" for a, b in edges)
-
-    letters, numbers = kind("L"), kind("N")
+    letters, numbers = ("".join(f"\\u{a:04x}-\\u{b - 1:04x}" for a, b in _edges(k)) for k in "LN")
     return re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{letters}]+| ?[{numbers}]+| ?[^{SPACE}{letters}{numbers}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
-def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
-    import public_tokenizers
+SIGN, LETTER, NUMBER, BLANK, UNSURE = 0, 1, 2, 3, 4
 
-    return public_tokenizers.path(name)
 
+@cache
+def kinds() -> np.ndarray:
+    """By code point, the kind that ``pre_tokens`` sees; ``UNSURE`` is added where Unicode's versions differ."""
+    out = np.full(0x110000, SIGN, np.uint8)
+    for kind, major in ((LETTER, "L"), (NUMBER, "N")):
+        for a, b in _edges(major):
+            out[a:b] = kind
+    for kind, of in ((BLANK, SPACE), (UNSURE, UNSETTLED)):
+        ends = re.findall(r"\\U[0-9a-f]{8}|\\u[0-9a-f]{4}|\\x[0-9a-f]{2}|\\.|-|.", of)
+        points = [ord(x if len(x) == 1 else x.encode().decode("unicode_escape")) if x != "-" else None for x in ends]
+        for at, c in enumerate(points):
+            if c is not None:
+                last = points[at + 2] if points[at + 1 : at + 2] == [None] else c
+                out[c : last + 1] = kind | (out[c : last + 1] if kind == UNSURE else 0)
+    return out
+
+
+def word_starts(points: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the words of ``pre_tokens`` begin in texts that stand in a row, text ``i`` from ``offsets[i]`` on."""
+    n = len(points)
+    first = np.zeros(n + 3, dtype=bool)  # of a text; beyond the end too
+    first[offsets] = True
+    first[n:] = True
+    blank, space = kind == BLANK, points == 32
+    start = first[: n + 3].copy()
+    start[1:n] |= (kind[1:] != kind[:-1]) & ~space[:-1]
+    # A run of blanks ahead of a word leaves its last one to the word, or by itself.
+    start[1:n] |= blank[1:] & (~blank[:-1] | ~np.append(blank[2:], True) & ~first[2 : n + 1])
+    marks = np.flatnonzero(points == 39)
+    marks = marks[start[marks] & ~first[marks + 1]]
+    one, two = points[marks + 1], points[np.minimum(marks + 2, n - 1)]
+    short = np.isin(one, [ord(c) for c in "sdmt"])
+    long = ~first[marks + 2] & ((one == 108) & (two == 108) | np.isin(one, [ord("v"), ord("r")]) & (two == 101))
+    start[marks[short | long] + 1] = False
+    start[marks[short] + 2] = start[marks[long] + 3] = True
+    return np.flatnonzero(start[:n])
 
-class Words(dict):
-    """Words' numbers; a word that has none gets the next one and is noted as new."""
 
-    def __init__(self):
-        super().__init__()
-        self.given, self.new = 0, []
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
 
-    def __missing__(self, word: str) -> int:
-        self.new.append(word)
-        self[word] = at = self.given
-        self.given += 1
-        return at
+    return public_tokenizers.path(name)
 
 
 class Encoder:
     """Token ids of whole texts by ``tokenizers``.
 
     Byte-level BPE merges within a word only, so a text's ids are those of its words
-    in a row, and a worker remembers the ids of words it has met. Texts are taken in runs,
-    whose new words are encoded together. A full memory is emptied, so that it is
+    in a row, and a worker remembers the ids of words it has met. Texts are taken in runs:
+    words are cut and told apart as arrays, only a run's distinct words become strings,
+    and its new words are encoded together. A full memory is emptied, so that it is
     bounded by that size and one run. Texts with a special token
     or a character that Unicode's versions class apart are encoded as a whole, and so
     are all texts of a vocabulary of another kind.
@@ -107,8 +135,8 @@ class Encoder:
         split = made["pre_tokenizer"] or {}
         by_words = split.get("type") == "ByteLevel" and not split["add_prefix_space"] and split.get("use_regex", True)
         self.by_words = by_words and made["model"]["type"] == "BPE" and not made["normalizer"]
-        special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.special = re.compile(special or "(?!)")
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = "|".join(map(re.escape, self.specials))
         self.whole = re.compile(f"[{UNSETTLED}]|{special or '(?!)'}")
         vocabulary = self.tokenizer.get_vocab()
         #: Tokens that begin with a space.
@@ -118,13 +146,36 @@ class Encoder:
 
     def forget(self) -> None:
         #: Numbers of words; by number, where a word's ids begin and how many it has.
-        self.known = Words()
+        self.known: dict[str, int] = {}
         self.ids, self.starts, self.lengths = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def as_a_whole(self, text: str) -> bool:
-        # Characters from U+1000 on have first bytes from 0xE1 on; most texts have none.
-        high = not text.isascii() and np.frombuffer(text.encode(), np.uint8).max() >= 0xE1
-        return bool((self.whole if high else self.special).search(text))
+    def words(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct words of ``texts``; by word, which of these it is; by text, its first word's place (and the end);
+        and whether it is to be encoded as a whole."""
+        joined = "".join(texts)
+        offsets = np.cumsum([0, *map(len, texts)])
+        utf8 = np.frombuffer(joined.encode(), np.uint8)
+        points = utf8 if joined.isascii() else np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        kind = kinds()[points]
+        unsure = np.flatnonzero(kind >= UNSURE)
+        whole = np.zeros(len(texts), dtype=bool)
+        whole[np.searchsorted(offsets, unsure, side="right") - 1] = True
+        if any(s in joined for s in self.specials):
+            whole |= [any(s in t for s in self.specials) for t in texts]
+        kind[unsure] -= UNSURE
+        starts = word_starts(points, kind, offsets)
+        bounds = np.searchsorted(starts, offsets)
+        starts = np.append(starts, len(points))
+        if points is not utf8:
+            more = (points >= 0x80).view(np.uint8) + (points >= 0x800) + (points >= 0x10000)
+            starts = starts + np.append(0, np.cumsum(more, dtype=np.int64))[starts]
+        found = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(utf8))
+        of = np.repeat(whole, np.diff(bounds))
+        if of.any():  # their words are not asked for
+            found = found.filter(pa.array(~of))
+            bounds = np.append(0, np.cumsum(np.diff(bounds) * ~whole))
+        found = found.dictionary_encode()
+        return found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(), bounds, whole
 
     def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of ``words`` in a row; by word, where they begin and how many there are.
@@ -149,36 +200,35 @@ class Encoder:
         return np.concatenate([ids, np.fromiter(chain.from_iterable(found), "<u4")]), starts, lengths
 
     def run(self, texts: list[str]) -> list[np.ndarray]:
-        if self.known.given > KNOWN_WORDS:
+        by_library = lambda text: np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        if not self.by_words:
+            return [by_library(t) for t in texts]
+        if len(self.known) > KNOWN_WORDS:
             self.forget()
-        number = self.known.__getitem__
-        numbers = []
-        for text in texts:
-            words = None if not self.by_words or self.as_a_whole(text) else pre_tokens().findall(text)
-            numbers.append(None if words is None else np.fromiter(map(number, words), np.int64, len(words)))
-        new, self.known.new = self.known.new, []
-        long = [w for w in new if len(w) > KNOWN_LETTERS]
-        for w in long:  # known in this run only: their ids come last and go again
-            del self.known[w]
-        if new:
-            of_long, base = np.array([len(w) > KNOWN_LETTERS for w in new]), len(self.starts)
-            self.starts, self.lengths = (np.concatenate([x, np.zeros(len(new), np.int64)]) for x in (self.starts, self.lengths))
-            for words, of in (([w for w in new if len(w) <= KNOWN_LETTERS], ~of_long), (long, of_long)):
-                kept = len(self.ids)
-                ids, starts, lengths = self.learn(words)
-                self.starts[base:][of], self.lengths[base:][of] = starts + kept, lengths
+        words, which, bounds, whole = self.words(texts)
+        number = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = [words[i] for i in np.flatnonzero(number < 0)]
+        short, long = [w for w in new if len(w) <= KNOWN_LETTERS], [w for w in new if len(w) > KNOWN_LETTERS]
+        base = len(self.starts)
+        self.known.update(zip(short, range(base, base + len(short)), strict=True))
+        at_long = {w: i for i, w in enumerate(long, base + len(short))}
+        number[number < 0] = [at_long[w] if len(w) > KNOWN_LETTERS else self.known[w] for w in new]
+        for some in (short, long):  # long ones are known in this run only: their ids come last and go again
+            kept = len(self.ids), len(self.starts)
+            if some:
+                ids, starts, lengths = self.learn(some)
+                self.starts = np.concatenate([self.starts, starts + len(self.ids)])
+                self.lengths = np.concatenate([self.lengths, lengths])
                 self.ids = np.concatenate([self.ids, ids])
-        out = []
-        for text, at in zip(texts, numbers, strict=True):
-            if at is None:
-                out.append(np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4"))
-                continue
-            lengths = self.lengths[at]
-            ends = np.cumsum(lengths)
-            out.append(self.ids[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(at) else 0)])
+        number = number[which]
+        lengths = self.lengths[number]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.repeat(self.starts[number] - ends + lengths, lengths) + np.arange(total)]
+        bounds = np.append(0, ends)[bounds]
         if long:
-            self.ids = self.ids[:kept].copy()
-        return out
+            self.ids, self.starts, self.lengths = self.ids[: kept[0]].copy(), self.starts[: kept[1]], self.lengths[: kept[1]]
+        return [by_library(t) if w else ids[a:b] for t, w, a, b in zip(texts, whole, bounds[:-1], bounds[1:], strict=True)]
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order, by runs of about ``RUN_LETTERS``; a longer text is a run of its own."""

@@ -147,3 +147,37 @@ def test_pieces_and_places(spark, frame, odd_rows, prose):
 
 def test_empty_table(spark, frame):
     assert op.pack(frame([])).count() == 0
+
+
+def test_words_are_cut_as_arrays():
+    own, rng = op.encoder(op.vocabulary_path()), random.Random(3)
+    alphabet = ["a", "s", "l", "ll", "ve", "re", "d", "the", " ", " ", "  ", "\n", "\t", "é", "漢", "😀", "'", "'s", "1", "23", "!", "\xa0", "　", "\x1c", "́", "²", "<|endoftext|>"]
+    for _ in range(1500):
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(12))) for _ in range(rng.randrange(7))]
+        words, which, bounds, whole = own.words(texts)
+        assert whole.tolist() == [bool(own.whole.search(t)) for t in texts]
+        got = [[words[i] for i in which[a:b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        assert got == [[] if own.whole.search(t) else op.pre_tokens().findall(t) for t in texts], texts
+
+
+def test_a_run_looks_each_distinct_word_up_once():
+    own, asked = op.Encoder(op.vocabulary_path()), []
+
+    class Asked(dict):
+        def get(self, word, *default):
+            asked.append(word)
+            return super().get(word, *default)
+
+    own.known = Asked()
+    texts = ["to be or not to be" * 30, " to be", "to do, to be"] * 40
+    assert [x.tolist() for x in own.run(texts)] == [ids_of(t) for t in texts]
+    assert asked and len(asked) == len(set(asked))
+
+
+def test_kinds_are_those_of_the_patterns():
+    import re
+
+    for c in [*range(0xD800), *range(0xE000, 0x110000, 5)]:
+        kind = op.kinds()[c]
+        assert bool(kind & op.UNSURE) == bool(re.match(f"[{op.UNSETTLED}]", chr(c)))
+        assert (kind & 3 == op.BLANK) == bool(re.match(f"[{op.SPACE}]", chr(c)))
