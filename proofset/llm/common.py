@@ -52,6 +52,17 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+#: Rows hold whole texts: batches are cut by bytes, and by fewer rows than Spark's own setting gives.
+BATCH_SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": "2m", "spark.sql.parquet.columnarReaderBatchSize": "1024"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Use ``BATCH_SETTINGS`` for the rest of the session, where it has no settings of its own."""
+    for k, v in BATCH_SETTINGS.items():
+        if spark.conf.get(k, None) is None:
+            spark.conf.set(k, v)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

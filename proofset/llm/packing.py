@@ -51,7 +51,7 @@ UNSETTLED = r"\u1c89\u1c8a\ua7cb-\ua7dc\U00010000-\U0001f10c\U0001fbf0-\U0010fff
 KNOWN_WORDS = 1 << 18
 KNOWN_LETTERS = 32
 #: Letters of the texts whose new words are encoded together.
-RUN_LETTERS = 1 << 20
+RUN_LETTERS = 1 << 19
 
 
 def _edges(major: str) -> np.ndarray:
