@@ -27,6 +27,8 @@ Defined results
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,87 +66,124 @@ RUN, CHUNK = 64, 512
 
 _SPANS = "array<struct<start:int,kind:int,end:int,score:double>>"
 
-# Expressions below are SQL text: one parse instead of thousands of column calls.
-# Names that they bind in lambdas are theirs; the text is the expression passed in.
+# Expressions below are built of column functions. As SQL text they were some 40 kB, and the
+# states that Spark's parser keeps for such nested text took 45 to 50 MB of the driver for good.
+
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
 
-def _let(name: str, value: str, body: str) -> str:
-    """``body`` with ``name`` for a value that is computed once."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
+def _div(n: Column, by: int) -> Column:
+    return F.call_function("div", n, F.lit(by))
 
-def _numbered(n: str, name: str, body: str) -> str:
-    """``body`` for ``name`` of 0, 1, ... n - 1 as an array."""
-    return f"transform(CASE WHEN {n} > 0 THEN sequence(0, CAST({n} AS INT) - 1) ELSE CAST(array() AS array<int>) END, {name} -> {body})"
 
+def _numbered(n: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of 0, 1, ... n - 1 as an array."""
+    return F.transform(F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>")), lambda i: body(i))
 
-def _running(values: str, fold: str, level: int = 2) -> str:
+
+def _running(values: Column, fold: Callable[[Column, Column], Column], level: int = 2) -> Column:
     """The folds, from 0, of the first value, the first two values and so on.
 
-    ``fold`` is of ``a`` and ``x``. A value's fold starts from that of the runs before
-    its own, which is found the same way.
+    A value's fold starts from that of the runs before its own, which is found the same way.
     """
-    v, before, i, b = (f"{n}{level}" for n in ("v", "before", "i", "b"))
+    folded = lambda part, base: F.aggregate(part, base, lambda a, x: fold(a, x))
     if not level:
-        return _let(v, values, _numbered(f"size({v})", i, f"aggregate(slice({v}, 1, {i} + 1), 0, (a, x) -> {fold})"))
-    totals = _numbered(f"ceil(size({v}) / {RUN})", b, f"aggregate(slice({v}, {b} * {RUN} + 1, {RUN}), 0, (a, x) -> {fold})")
-    base = f"CASE WHEN {i} >= {RUN} THEN get({before}, {i} div {RUN} - 1) ELSE 0 END"
-    each = f"aggregate(slice({v}, {i} - {i} % {RUN} + 1, {i} % {RUN} + 1), {base}, (a, x) -> {fold})"
-    return _let(v, values, _let(before, _running(totals, fold, level - 1), _numbered(f"size({v})", i, each)))
+        return _let(values, lambda v: _numbered(F.size(v), lambda i: folded(F.slice(v, F.lit(1), i + 1), F.lit(0))))
+
+    def of(v: Column) -> Column:
+        totals = _numbered(F.ceil(F.size(v) / RUN), lambda b: folded(F.slice(v, b * RUN + 1, F.lit(RUN)), F.lit(0)))
+        base = lambda before, i: F.when(i >= RUN, F.get(before, _div(i, RUN) - 1)).otherwise(F.lit(0))
+        each = lambda before, i: folded(F.slice(v, i - i % RUN + 1, i % RUN + 1), base(before, i))
+        return _let(_running(totals, fold, level - 1), lambda before: _numbered(F.size(v), lambda i: each(before, i)))
 
+    return _let(values, of)
 
-def _chunks(text: str) -> str:
-    return f"regexp_extract_all({text}, r'(?s).{{1,{CHUNK}}}', 0)"
 
+def _chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), 0)
 
-def _part(start: str, length: str) -> str:
+
+def _part(chunks: Column, start: Column, length: Column) -> Column:
     """``length`` code points from ``start`` (from 0) of the text in ``chunks``."""
-    first = f"CAST(({start}) div {CHUNK} AS INT)"
-    many = f"greatest(least(CAST(({start} + {length}) div {CHUNK} AS INT) + 1, size(chunks)) - {first}, 0)"
-    return f"substring(array_join(slice(chunks, {first} + 1, {many}), ''), {start} - {first} * {CHUNK} + 1, {length})"
-
-
-_DIGITS = "regexp_replace(s.match, '[^0-9]', '')"
-_FLAT = "replace(s.match, ' ', '')"
-_LUHN = f"""aggregate(transform(filter(split(reverse({_DIGITS}), ''), c -> c <> ''),
-    (c, i) -> CASE WHEN i % 2 = 0 THEN CAST(c AS INT) ELSE CAST(c AS INT) * 2 - CASE WHEN CAST(c AS INT) > 4 THEN 9 ELSE 0 END END), 0, (a, x) -> a + x) % 10 = 0"""
-_VALUE = "CASE WHEN c RLIKE '[0-9]' THEN CAST(c AS INT) ELSE ascii(c) - 55 END"
-_MOD97 = f"""aggregate(filter(split(concat(substring({_FLAT}, 5, 64), substring({_FLAT}, 1, 4)), ''), c -> c <> ''),
-    0, (a, c) -> (a * CASE WHEN c RLIKE '[0-9]' THEN 10 ELSE 100 END + {_VALUE}) % 97) = 1"""
-#: Whether a match ``s.match`` is confirmed.
-_VALID = {
-    "email": "true",
-    "ip": r"s.match RLIKE r'^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{0,2})(?:\.|$)){4}$'",
-    "card": f"CASE WHEN length({_DIGITS}) BETWEEN 14 AND 19 THEN {_LUHN} ELSE false END",
-    "phone": f"length({_DIGITS}) BETWEEN 10 AND 15",
-    "iban": f"CASE WHEN length({_FLAT}) BETWEEN 15 AND 34 THEN {_MOD97} ELSE false END",
-    "ssn": "true",
-}
-#: A cheap sign that the kind can occur at all.
-_POSSIBLE = {k: f"contains({{text}}, '{c}')" for k, c in NEEDS.items()} | {
-    "card": r"{text} RLIKE r'[0-9](?:[\x20-]?[0-9]){{13}}'",
-    "iban": "{text} RLIKE '[A-Z]{{2}}[0-9]{{2}}'",
+    first = _div(start, CHUNK).cast("int")
+    many = F.greatest(F.least(_div(start + length, CHUNK).cast("int") + 1, F.size(chunks)) - first, F.lit(0))
+    return F.substring(F.array_join(F.slice(chunks, first + 1, many), ""), start - first * CHUNK + 1, length)
+
+
+def _digits(match: Column) -> Column:
+    return F.regexp_replace(match, "[^0-9]", "")
+
+
+def _flat(match: Column) -> Column:
+    return F.replace(match, F.lit(" "), F.lit(""))
+
+
+def _characters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def _luhn(match: Column) -> Column:
+    doubled = lambda c: c * 2 - F.when(c > 4, 9).otherwise(0)
+    digits = F.transform(_characters(F.reverse(_digits(match))), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(doubled(c.cast("int"))))
+    return F.aggregate(digits, F.lit(0), lambda a, x: a + x) % 10 == 0
+
+
+def _mod97(match: Column) -> Column:
+    turned = F.concat(F.substring(_flat(match), 5, 64), F.substring(_flat(match), 1, 4))
+    digit = lambda c: c.rlike("[0-9]")
+    value = lambda c: F.when(digit(c), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(_characters(turned), F.lit(0), lambda a, c: (a * F.when(digit(c), 10).otherwise(100) + value(c)) % 97) == 1
+
+
+def _within(match: Column, least: int, most: int, confirmed: Column) -> Column:
+    return F.when(F.length(match).between(least, most), confirmed).otherwise(F.lit(False))
+
+
+#: Whether a match is confirmed.
+_VALID: dict[str, Callable[[Column], Column]] = {
+    "email": lambda m: F.lit(True),
+    "ip": lambda m: m.rlike(r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{0,2})(?:\.|$)){4}$"),
+    "card": lambda m: _within(_digits(m), 14, 19, _luhn(m)),
+    "phone": lambda m: F.length(_digits(m)).between(10, 15),
+    "iban": lambda m: _within(_flat(m), 15, 34, _mod97(m)),
+    "ssn": lambda m: F.lit(True),
 }
+#: A cheap sign that the kind can occur at all, where it is no single character.
+_POSSIBLE = {"card": r"[0-9](?:[\x20-]?[0-9]){13}", "iban": "[A-Z]{2}[0-9]{2}"}
 
 
-def _proposed(kind: str, text: str) -> str:
+def _proposed(kind: str, text: Column) -> Column:
     """Confirmed matches of a kind as structs of start, kind's number, end and score."""
-    pattern, none = f"r'{PATTERNS[kind]}'", f"CAST(array() AS {_SPANS})"
-    steps = f"zip_with(slice(split({text}, {pattern}, -1), 1, size(found)), found, (g, m) -> length(g) + length(m))"
-    placed = f"zip_with(found, {_running(steps, 'a + x')}, (m, e) -> named_struct('start', e - length(m), 'end', e, 'match', m))"
-    near = _part(f"greatest(s.start - {REACH}, 0)", f"(s.end - s.start + {2 * REACH})")
-    score = f"least({PRIOR[kind]}D + CASE WHEN {near} RLIKE r'(?i){CONTEXT[kind]}' THEN {BOOST}D ELSE 0D END, 1D)"
-    spans = f"CAST(transform(kept, s -> named_struct('start', s.start, 'kind', {KINDS.index(kind)}, 'end', s.end, 'score', {score})) AS {_SPANS})"
-    scored = f"CASE WHEN size(kept) > 0 THEN {_let('chunks', _chunks(text), spans)} ELSE {none} END"
-    out = _let("found", f"regexp_extract_all({text}, {pattern}, 0)", _let("kept", f"filter({placed}, s -> {_VALID[kind]})", scored))
+    pattern, none = PATTERNS[kind], F.array().cast(_SPANS)
+
+    def placed(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        steps = F.zip_with(gaps, found, lambda g, m: F.length(g) + F.length(m))
+        span = lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("match"))
+        return F.zip_with(found, _running(steps, lambda a, x: a + x), span)
+
+    def score(chunks: Column, s: Column) -> Column:
+        near = _part(chunks, F.greatest(s["start"] - REACH, F.lit(0)), s["end"] - s["start"] + 2 * REACH)
+        return F.least(F.lit(PRIOR[kind]) + F.when(near.rlike(f"(?i){CONTEXT[kind]}"), BOOST).otherwise(0.0), F.lit(1.0))
+
+    def spans(kept: Column, chunks: Column) -> Column:
+        span = lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), s["end"].alias("end"), score(chunks, s).alias("score"))
+        return F.transform(kept, span).cast(_SPANS)
+
+    scored = lambda kept: F.when(F.size(kept) > 0, _let(_chunks(text), lambda chunks: spans(kept, chunks))).otherwise(none)
+    confirmed = lambda found: F.filter(placed(found), lambda s: _VALID[kind](s["match"]))
+    out = _let(F.regexp_extract_all(text, F.lit(pattern), 0), lambda found: _let(confirmed(found), scored))
     if kind not in BASE_KINDS:
-        out = f"filter({out}, s -> s.score >= {THRESHOLD}D)"
-    return f"CASE WHEN {_POSSIBLE[kind].format(text=text)} THEN {out} ELSE {none} END"
+        out = F.filter(out, lambda s: s["score"] >= THRESHOLD)
+    return F.when(text.contains(NEEDS[kind]) if kind in NEEDS else text.rlike(_POSSIBLE[kind]), out).otherwise(none)
 
 
-def _spans(text: str) -> str:
+def _spans(text: Column) -> Column:
     """All spans in order."""
-    return f"sort_array(concat({', '.join(_proposed(k, f"coalesce({text}, '')") for k in KINDS)}))"
+    return F.sort_array(F.concat(*(_proposed(k, F.coalesce(text, F.lit(""))) for k in KINDS)))
 
 
 def _joined(spans: Column) -> Column:
@@ -152,13 +191,9 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _text(name: str) -> str:
-    return f"CAST(`{name.replace('`', '``')}` AS STRING)"
-
-
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_<base kind>, base_sha256, spans, scores."""
-    found = docs.select(quoted(id_col).alias("id"), F.expr(_spans(_text(text_col))).alias("found"))
+    found = docs.select(quoted(id_col).alias("id"), _spans(quoted(text_col).cast("string")).alias("found"))
     of = lambda k: F.size(F.filter("found", lambda s: s["kind"] == KINDS.index(k))).cast("long")
     base = F.filter("found", lambda s: s["kind"] < len(BASE_KINDS))
     return found.select(
@@ -170,18 +205,28 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
 
 
-def _cleaned(text: str, spans: str) -> str:
+def _cleaned(text: Column, spans: Column) -> Column:
     """The text with every run of overlapping spans replaced by the first one's kind."""
-    begins = _numbered("size(found)", "i", "CASE WHEN i = 0 OR get(found, i).start >= get(reach, greatest(i - 1, 0)) THEN i END")
-    run = """named_struct('start', get(found, i).start, 'kind', get(found, i).kind, 'end', get(reach, coalesce(get(firsts, k + 1), size(found)) - 1))"""
-    runs = _let("firsts", f"filter({begins}, i -> i IS NOT NULL)", f"transform(firsts, (i, k) -> {run})")
-    before = "CASE WHEN i > 0 THEN get(runs, greatest(i - 1, 0)).end ELSE 0 END"
-    names = f"array({', '.join(f"'<{k}>'" for k in KINDS)})"
-    pieces = f"transform(runs, (s, i) -> concat({_part(f'({before})', f'(s.start - ({before}))')}, element_at({names}, s.kind + 1)))"
-    last = "element_at(runs, -1).end"
-    rebuilt = f"concat(array_join({pieces}, ''), {_part(last, f'(length({text}) - {last})')})"
-    rest = _let("reach", _running("transform(found, s -> s.end)", "greatest(a, x)"), _let("runs", runs, _let("chunks", _chunks(text), rebuilt)))
-    return _let("found", spans, f"CASE WHEN size(found) > 0 THEN {rest} ELSE {text} END")
+    names = F.array(*(F.lit(f"<{k}>") for k in KINDS))
+
+    def runs(found: Column, reach: Column) -> Column:
+        first = lambda i: (i == 0) | (F.get(found, i)["start"] >= F.get(reach, F.greatest(i - 1, F.lit(0))))
+        begins = F.filter(_numbered(F.size(found), lambda i: F.when(first(i), i)), lambda i: i.isNotNull())
+        last = lambda firsts, k: F.coalesce(F.get(firsts, k + 1), F.size(found)) - 1
+        run = lambda firsts, i, k: F.struct(F.get(found, i)["start"].alias("start"), F.get(found, i)["kind"].alias("kind"), F.get(reach, last(firsts, k)).alias("end"))
+        return _let(begins, lambda firsts: F.transform(firsts, lambda i, k: run(firsts, i, k)))
+
+    def rebuilt(runs: Column, chunks: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(runs, F.greatest(i - 1, F.lit(0)))["end"]).otherwise(0)
+        piece = lambda s, i: F.concat(_part(chunks, before(i), s["start"] - before(i)), F.element_at(names, s["kind"] + 1))
+        last = F.element_at(runs, -1)["end"]
+        return F.concat(F.array_join(F.transform(runs, piece), ""), _part(chunks, last, F.length(text) - last))
+
+    def replaced(found: Column) -> Column:
+        reach = _running(F.transform(found, lambda s: s["end"]), lambda a, x: F.greatest(a, x))
+        return _let(reach, lambda reach: _let(runs(found, reach), lambda runs: _let(_chunks(text), lambda chunks: rebuilt(runs, chunks))))
+
+    return _let(spans, lambda found: F.when(F.size(found) > 0, replaced(found)).otherwise(text))
 
 
 def redact(docs: DataFrame, text_col: str = "text", count_col: str | None = None) -> DataFrame:
@@ -191,8 +236,8 @@ def redact(docs: DataFrame, text_col: str = "text", count_col: str | None = None
     there, gets the new text's length in code points. Null texts stay null.
     """
     found = fresh(docs.columns, "found_spans")
-    text = _text(text_col)
-    out = docs.withColumn(found, F.expr(_spans(text))).withColumn(text_col, F.expr(_cleaned(text, found))).drop(found)
+    text = quoted(text_col).cast("string")
+    out = docs.withColumn(found, _spans(text)).withColumn(text_col, _cleaned(text, F.col(found))).drop(found)
     if count_col and count_col in docs.columns:
         out = out.withColumn(count_col, F.length(quoted(text_col)).cast("long"))
     return out
