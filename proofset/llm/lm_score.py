@@ -48,11 +48,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofset.llm.common import KERNEL_BYTES, documents, mix64, ship, stage, text_chunks
+from proofset.llm.common import KERNEL_BYTES, documents, mix64, ship, small_batches, stage, text_chunks
 from proofset.llm.near_dedup import word_hashes
 
 ORDER, BACKOFF = 3, 0.4
 BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 32 << 20
+#: Words of a block that are hashed or scored at a time, about.
+RUN_WORDS = 1 << 17
 #: Bits of an n-gram's hash.
 HASH_BITS = 56
 #: Compression of texts, and of numbers' upper bytes, counts and totals.
@@ -73,44 +75,76 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(out), np.concatenate(before)
 
 
+def gathered(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[list[tuple[pa.Array, np.ndarray, np.ndarray]]]:
+    """Runs of (ids, bytes, offsets) of about ``limit`` bytes, across batches (id, text); a longer text is a run of its own."""
+    held, size = [], 0
+    for batch in batches:
+        for lo, hi, data, offsets in text_chunks(batch.column(1), min(limit, KERNEL_BYTES)):
+            if held and size + len(data) > limit:
+                yield held
+                held, size = [], 0
+            held.append((batch.column(0).slice(lo, hi - lo), data, offsets))
+            size += len(data)
+    if held:
+        yield held
+
+
 def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(block, ids, sizes, data, words): documents in blocks, in input order; data is their compressed text."""
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch.column(1), BLOCK_BYTES):
-                words, _ = words_of(data, offsets)
-                one = lambda a, rows=hi - lo: pa.ListArray.from_arrays(pa.array([0, rows], pa.int32()), pa.concat_arrays([a]))
-                squeezed = pa.Codec("zstd", compression_level=TEXT_LEVEL).compress(data.tobytes(), asbytes=True)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([part << 32 | n], pa.int64()),
-                        one(batch.column(0).slice(lo, hi - lo)),
-                        one(pa.array(np.diff(offsets), pa.int64())),
-                        pa.array([squeezed], pa.binary()),
-                        pa.array([len(words)], pa.int64()),
-                    ],
-                    names=["block", "ids", "sizes", "data", "words"],
-                )
-                n += 1
+        part = TaskContext.get().partitionId()
+        for n, held in enumerate(gathered(batches, BLOCK_BYTES)):
+            ids = pa.concat_arrays([i for i, _, _ in held])
+            one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+            words = sum(len(words_of(data, offsets)[0]) for _, data, offsets in held)
+            sizes = np.concatenate([np.diff(offsets) for _, _, offsets in held])
+            text = np.concatenate([data for _, data, _ in held])
+            held.clear()
+            squeezed = pa.Codec("zstd", compression_level=TEXT_LEVEL).compress(pa.py_buffer(text), asbytes=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part << 32 | n], pa.int64()), one(ids), one(pa.array(sizes, pa.int64())), pa.array([squeezed], pa.binary()), pa.array([words], pa.int64())],
+                names=["block", "ids", "sizes", "data", "words"],
+            )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(gather, "block long, ids array<long>, sizes array<long>, data binary, words long")
 
 
-def grams(sizes: pa.ListScalar, data: pa.BinaryScalar, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Of a block: hashes of the n-grams that end at each word, for n from 1 (0 where the text is
-    too short for it), and the words before each text."""
+def block_words(sizes: pa.ListScalar, data: pa.BinaryScalar) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, words before each text) of a block."""
     offsets = np.concatenate(([0], np.cumsum(sizes.values.to_numpy())))
     text = pa.decompress(data.as_buffer(), decompressed_size=int(offsets[-1]), codec="zstd")
-    words, before = words_of(np.frombuffer(text, dtype=np.uint8), offsets)
-    place = np.arange(len(words)) - np.repeat(before[:-1], np.diff(before))
-    out, sums = [], np.zeros(len(words), _U)
+    return words_of(np.frombuffer(text, dtype=np.uint8), offsets)
+
+
+def grams(words: np.ndarray, before: np.ndarray, order: int) -> Iterator[np.ndarray]:
+    """For n from 1: hashes of the n-grams that end at each word, 0 where the text is too short for it.
+
+    One n is held at a time, and hashed by ``RUN_WORDS``.
+    """
+    sums = np.zeros(len(words), _U)
     for k in range(order):
-        sums[k:] += words[: len(words) - k] * _PLACE[k]
-        out.append(np.where(place >= k, np.maximum(mix64(sums + _U(k)) >> _U(64 - HASH_BITS), _U(1)), _U(0)))
-    return out, before
+        ends = np.empty_like(sums)
+        for a in range(0, len(words), RUN_WORDS):
+            run = slice(a, a + RUN_WORDS)
+            lo = max(a, k)
+            sums[lo : a + RUN_WORDS] += words[lo - k : max(a + RUN_WORDS - k, 0)][: len(sums[lo : a + RUN_WORDS])] * _PLACE[k]
+            ends[run] = np.maximum(mix64(sums[run] + _U(k)) >> _U(64 - HASH_BITS), _U(1))
+        for j in range(k):
+            at = before[:-1] + j
+            ends[at[at < before[1:]]] = 0
+        yield ends
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers but 0, in order, and how often each occurs. Sorts ``values`` in place."""
+    values.sort()
+    values = values[np.searchsorted(values, _U(1)) :]
+    first = np.ones(len(values), dtype=bool)
+    np.not_equal(values[1:], values[:-1], out=first[1:])
+    first = np.flatnonzero(first)
+    return values[first], np.diff(first, append=len(values))
 
 
 def _squeezed(data: np.ndarray) -> bytes:
@@ -162,11 +196,8 @@ def requests(blocked: DataFrame, order: int, bits: int) -> DataFrame:
     def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, sizes, data in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                ends, _ = grams(sizes, data, order)
-                for n in range(1, order + 1):
-                    values, counts = np.unique(ends[n - 1], return_counts=True)
-                    ends[n - 1] = None
-                    counts, values = counts[values > 0], values[values > 0]
+                for n, ends in enumerate(grams(*block_words(sizes, data), order), 1):
+                    values, counts = distinct(ends)
                     if not len(values):
                         continue
                     bucket = (values >> _U(HASH_BITS - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
@@ -206,31 +237,45 @@ def _without_own(where: np.ndarray, totals: np.ndarray, owner: np.ndarray) -> np
     return totals[where] - times[inverse]
 
 
-def block_scores(ends: list[np.ndarray], before: np.ndarray, totals: list[np.ndarray], all_words: int) -> np.ndarray:
-    """Summed log scores of a block's documents; ``totals`` of each n in the order of its n-grams."""
+def block_scores(ends: Iterable[np.ndarray], before: np.ndarray, totals: Iterable[np.ndarray], all_words: int) -> np.ndarray:
+    """Summed log scores of a block's documents; ``totals`` of each n in the order of its n-grams.
+
+    Documents are scored by runs of about ``RUN_WORDS``, so that only the n-grams, their totals and
+    a count and score for each word are as long as the block.
+    """
     sizes = np.diff(before)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    elsewhere = np.maximum(all_words - sizes[owner], 1)
-    score = shorter = None
+    bounds = [0]
+    while bounds[-1] < len(sizes):
+        bounds.append(max(bounds[-1] + 1, int(np.searchsorted(before, before[bounds[-1]] + RUN_WORDS, side="right")) - 1))
+    score, counts = np.zeros(before[-1]), np.zeros(before[-1], np.int64)
     for k, (at, told) in enumerate(zip(ends, totals, strict=True)):
-        values, where = np.unique(at, return_inverse=True)
-        if len(values) and values[0] == 0:  # texts too short for the n-gram
-            told = np.concatenate(([0], told))
-        counts = _without_own(where, told, owner)
-        if k == 0:
-            score = np.log(np.maximum(counts, 0.5) / elsewhere)
-        else:
-            there = at > 0
-            context = np.concatenate(([0], shorter[:-1]))
-            score = np.where(there & (counts > 0), np.log(np.maximum(counts, 1) / np.maximum(context, 1)), score + there * math.log(BACKOFF))
-        shorter = counts
-    return np.bincount(owner, weights=score, minlength=len(sizes))
+        values, _ = distinct(at.copy())
+        told = np.append(told, 0)  # for texts too short for the n-gram
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            run = slice(before[lo], before[hi])
+            mine = at[run]
+            there = mine > 0
+            by_value = np.argsort(mine)
+            where = np.empty(len(mine), np.int64)
+            where[by_value] = np.searchsorted(values, mine[by_value])
+            where[~there] = len(values)
+            owner = np.repeat(np.arange(hi - lo), sizes[lo:hi])
+            elsewhere = _without_own(where, told, owner)
+            if k == 0:
+                score[run] = np.log(np.maximum(elsewhere, 0.5) / np.maximum(all_words - sizes[lo:hi][owner], 1))
+            else:
+                context = np.concatenate(([0], counts[run][:-1]))[: len(mine)]
+                known = np.log(np.maximum(elsewhere, 1) / np.maximum(context, 1))
+                score[run] = np.where(there & (elsewhere > 0), known, score[run] + there * math.log(BACKOFF))
+            counts[run] = elsewhere
+    return np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=score, minlength=len(sizes))
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """One row per input row: id, n_words, log_score, score."""
     spark = docs.sparkSession
     ship(spark)
+    small_batches(spark)
     blocked = stage(blocks(docs, id_col, text_col), "lm-blocks", compression="none")
     all_words = blocked.agg(F.sum("words")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, all_words * order * 6 / BUCKET_BYTES))))
@@ -240,13 +285,16 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         out = []
         answered = answered.sort_by([("n", "ascending"), ("bucket", "ascending")])
         ns = answered["n"].to_numpy()
+
+        def totals(n: int) -> np.ndarray:
+            return np.concatenate([np.zeros(0, np.int64), *(widened(memoryview(x.as_buffer())) for x in answered["totals"].filter(pa.array(ns == n)))])
+
         for ids, sizes, data in zip(block["ids"], block["sizes"], block["data"], strict=True):
-            ends, before = grams(sizes, data, order)
+            hashes, before = block_words(sizes, data)
             words = np.diff(before)
             sums = np.zeros(len(words))
-            if len(ends[0]):
-                parts = [[np.zeros(0, np.int64), *(widened(memoryview(x.as_buffer())) for x in answered["totals"].filter(pa.array(ns == n)))] for n in range(1, order + 1)]
-                sums = block_scores(ends, before, [np.concatenate(p) for p in parts], all_words)
+            if len(hashes):
+                sums = block_scores(grams(hashes, before, order), before, map(totals, range(1, order + 1)), all_words)
             out.append(pa.table([ids.values, pa.array(words, pa.int64()), pa.array(sums), pa.array(sums / np.maximum(words, 1))], names=["id", "n_words", "log_score", "score"]))
         return pa.concat_tables(out)
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -72,3 +73,46 @@ def test_query_hears_usual_bigrams_in_an_unusual_order(frame):
     rows = [(i, "a b c" if i % 2 else "x b y") for i in range(100)] + [(200, "a b c"), (201, "x b c")]
     got = {r[0]: r.score for r in op.lm_scores(frame(rows)).collect()}
     assert got[200] > got[201]
+
+
+def test_blocks_go_across_batches(spark, frame, prose):
+    """Batches are small for the workers' memory; blocks, on which the number of rows hangs, are not."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4")
+    try:
+        got = op.blocks(frame([(i, prose(i, 50)) for i in range(40)]).coalesce(1), "doc_id", "text").collect()
+    finally:
+        spark.conf.set(key, before)
+    assert [sorted(r.ids) for r in got] == [list(range(40))]
+
+
+def kernel_block(prose, texts):
+    data = [prose(i, n).encode() for i, n in enumerate(texts)]
+    offsets = np.cumsum([0, *map(len, data)])
+    return op.words_of(np.frombuffer(b"".join(data), np.uint8), offsets)
+
+
+def kernel_scores(words, before):
+    totals = [op.distinct(e)[1] + 1 for e in op.grams(words, before, 3)]
+    return op.block_scores(op.grams(words, before, 3), before, iter(totals), 10 * len(words) + 10)
+
+
+def test_runs_do_not_change_a_block(prose, monkeypatch):
+    words, before = kernel_block(prose, [0, 1, 2, 300, 0, 5, 40, 3, 7, 90, 0])
+    whole = kernel_scores(words, before), list(op.grams(words, before, 3))
+    for run in (1, 2, 7, 100):
+        monkeypatch.setattr(op, "RUN_WORDS", run)
+        assert kernel_scores(words, before) == pytest.approx(whole[0], rel=1e-12)
+        assert all((a == b).all() for a, b in zip(op.grams(words, before, 3), whole[1], strict=True))
+
+
+def test_scratch_of_a_block_is_small(prose):
+    """It was 170 bytes a word, texts and words included, when all n-grams and counts of a block stood side by side."""
+    words, before = kernel_block(prose, [2000] * 300)
+    totals = [op.distinct(e)[1] + 1 for e in op.grams(words, before, 3)]
+    tracemalloc.start()
+    op.block_scores(op.grams(words, before, 3), before, iter(totals), 10 * len(words))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 * len(words), peak / len(words)
