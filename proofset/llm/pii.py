@@ -66,7 +66,7 @@ RUN, CHUNK = 64, 512
 
 _SPANS = "array<struct<start:int,kind:int,end:int,score:double>>"
 
-# Expressions below are built of column functions. As SQL text they were some 40 kB, and the
+# Expressions below are built of column functions. As SQL text they were 21 kB, and the
 # states that Spark's parser keeps for such nested text took 45 to 50 MB of the driver for good.
 
 
